@@ -3,8 +3,8 @@
 A command is accepted or rejected by the state its key has reached, so a key is replayed in
 order. Up to the first rejection that replay is a running sum, which `running_totals` does
 in slices of the history; only the rest of a key, from its first rejection on, needs the
-step-by-step replay. That one reads the key as a stream of Arrow batches, so its memory
-does not grow with the key.
+step-by-step replay. That one reads sorted rows as a stream of Arrow batches, so its
+memory does not grow with the key.
 
 Fixed values: the operations and the conditions under which they are accepted
     ADJUST   on_hand + q >= 0
@@ -18,14 +18,13 @@ Any command for a key without an item is rejected as not found.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import stock
-from granary.operators.ordered import running_totals
+from granary.operators.ordered import FOUND, running_totals
 from granary.schemas import KEY
 
 
@@ -44,8 +43,6 @@ OVER_RELEASE = "RELEASE_EXCEEDS_RESERVED"
 NOT_POSITIVE = "QUANTITY_NOT_POSITIVE"
 UNKNOWN_OP = "UNKNOWN_OPERATION"
 
-_STATE = ["quantity_on_hand", "quantity_reserved", "quantity_in_transit"]
-
 
 def on_hand_change() -> Column:
     return (
@@ -71,62 +68,49 @@ def rejection(on_hand: Column, reserved: Column) -> Column:
     )
 
 
-def replay_batch(
-    batch: pd.DataFrame, levels: tuple[int, int]
-) -> tuple[pd.DataFrame, tuple[int, int]]:
-    """Step through commands of one key in the order given, from (on hand, reserved)."""
-    on_hand, reserved = levels
-    reasons, hand_after, reserved_after = [], [], []
-    for op, q in zip(batch["op"], batch["quantity"], strict=True):
-        q = int(q)
-        reason = None
-        if op == "ADJUST":
-            if on_hand + q < 0:
-                reason = NEGATIVE
-            else:
-                on_hand += q
-        elif op == "RECEIPT":
-            on_hand += q
-        elif op == "RELEASE":
-            if q > reserved:
-                reason = OVER_RELEASE
-            else:
-                reserved -= q
-        elif op == "RESERVE" and q <= 0:
-            reason = NOT_POSITIVE
-        elif op not in ("RESERVE", "SALE"):
-            reason = UNKNOWN_OP
-        elif q > on_hand - reserved:
-            reason = INSUFFICIENT
-        elif op == "SALE":
-            on_hand -= q
-        else:
-            reserved += q
-        reasons.append(reason)
-        hand_after.append(on_hand)
-        reserved_after.append(reserved)
-    judged = batch[["id", *KEY, "op", "quantity", "timestamp"]].assign(
+def step(op: str, q: int, on_hand: int, reserved: int) -> tuple[str | None, int, int]:
+    """One command: why it is rejected, or None, and the levels after it."""
+    if op == "RECEIPT":
+        return None, on_hand + q, reserved
+    if op == "ADJUST":
+        return (NEGATIVE, on_hand, reserved) if on_hand + q < 0 else (None, on_hand + q, reserved)
+    if op == "RELEASE":
+        return (OVER_RELEASE, on_hand, reserved) if q > reserved else (None, on_hand, reserved - q)
+    if op not in ("SALE", "RESERVE"):
+        return UNKNOWN_OP, on_hand, reserved
+    if op == "RESERVE" and q <= 0:
+        return NOT_POSITIVE, on_hand, reserved
+    if q > on_hand - reserved:
+        return INSUFFICIENT, on_hand, reserved
+    return (None, on_hand - q, reserved) if op == "SALE" else (None, on_hand, reserved + q)
+
+
+def judged_batch(batch: pd.DataFrame, outcomes: list[tuple[str | None, int, int]]) -> pd.DataFrame:
+    reasons, on_hand, reserved = zip(*outcomes, strict=True)
+    return batch[["id", *KEY, "op", "quantity", "timestamp"]].assign(
         rejection=pd.Series(reasons, dtype="object", index=batch.index),
-        on_hand_after=pd.Series(hand_after, dtype="int64", index=batch.index),
-        reserved_after=pd.Series(reserved_after, dtype="int64", index=batch.index),
+        on_hand_after=pd.Series(on_hand, dtype="int64", index=batch.index),
+        reserved_after=pd.Series(reserved, dtype="int64", index=batch.index),
     )
-    return judged, (on_hand, reserved)
 
 
-def _replay_key(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One key's remaining commands, batch by batch; only the two levels are kept."""
-    levels = last = None
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Step through keys that lie one after another, each in order. Only the key at hand and
+    its two levels are kept, whatever the length of a key."""
+    key = on_hand = reserved = None
     for batch in batches:
         if batch.empty:
             continue
-        if levels is None:
-            levels = (int(batch["_hand_before"].iloc[0]), int(batch["_reserved_before"].iloc[0]))
-        ends = [(batch["timestamp"].iloc[i], batch["id"].iloc[i]) for i in (0, -1)]
-        if not batch["timestamp"].is_monotonic_increasing or (last is not None and ends[0] < last):
-            raise ValueError("commands of a key arrived out of order")
-        last = ends[1]
-        judged, levels = replay_batch(batch, levels)
-        yield judged
+        outcomes = []
+        for sku, warehouse, op, q, hand0, reserved0 in zip(
+            batch["sku"], batch["warehouse_id"], batch["op"], batch["quantity"],
+            batch["_hand_before"], batch["_reserved_before"], strict=True,
+        ):
+            if (sku, warehouse) != key:
+                key, on_hand, reserved = (sku, warehouse), hand0, reserved0
+            outcomes.append(step(op, q, on_hand, reserved))
+            _, on_hand, reserved = outcomes[-1]
+        yield judged_batch(batch, outcomes)
 
 
 _JUDGED = (
@@ -141,20 +125,20 @@ def judge(items: DataFrame, commands: DataFrame, *, grain: str = "hour") -> Data
     Commands are ordered by (timestamp, id) within a key; ids must be unique.
     """
     columns = ["id", *KEY, "op", "quantity", "timestamp"]
-    levels = items.select(*KEY, *[F.col(c).cast("bigint").alias(f"_{c}") for c in _STATE[:2]])
-    known = commands.select(*columns).join(levels, KEY, "left")
-    found = F.col("_quantity_on_hand").isNotNull()
-
-    linear = running_totals(
-        known.filter(found),
+    levels = items.select(
+        *KEY,
+        F.col("quantity_on_hand").cast("bigint").alias("_hand_after"),
+        F.col("quantity_reserved").cast("bigint").alias("_reserved_after"),
+    )
+    replayed = running_totals(
+        commands.select(*columns),
         KEY,
         ["timestamp", "id"],
-        {"_dh": on_hand_change(), "_dr": reserved_change()},
+        {"_hand_after": on_hand_change(), "_reserved_after": reserved_change()},
+        start=levels,
         grain=grain,
-    ).withColumns({
-        "_hand_after": F.col("_quantity_on_hand") + F.col("_dh"),
-        "_reserved_after": F.col("_quantity_reserved") + F.col("_dr"),
-    }).withColumns({
+    )
+    linear = replayed.filter(FOUND).withColumns({
         "_hand_before": F.col("_hand_after") - on_hand_change(),
         "_reserved_before": F.col("_reserved_after") - reserved_change(),
     })
@@ -172,16 +156,14 @@ def judge(items: DataFrame, commands: DataFrame, *, grain: str = "hour") -> Data
         F.col("_hand_after").alias("on_hand_after"),
         F.col("_reserved_after").alias("reserved_after"),
     )
-    # sorted by key and time before the grouping, which keeps a sort it already finds
     stepped = (
         placed.filter(~clean)
         .select(*columns, "_hand_before", "_reserved_before")
         .repartition(*KEY)
         .sortWithinPartitions(*KEY, "timestamp", "id")
-        .groupBy(*KEY)
-        .applyInPandas(_replay_key, _JUDGED)
+        .mapInPandas(_replay, _JUDGED)
     )
-    unknown = known.filter(~found).select(
+    unknown = replayed.filter(~F.col(FOUND)).select(
         *columns,
         F.lit(NOT_FOUND).alias("rejection"),
         F.lit(None).cast("bigint").alias("on_hand_after"),
@@ -229,16 +211,23 @@ def events_from_commands(commands: DataFrame) -> DataFrame:
     )
 
 
-def _receive(state: int, q: int) -> int:
-    return state - q if state >= q else state
-
-
-def _transit_key(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    left = None
+def _receive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each key has left in transit; keys lie one after another, each in order."""
+    key = left = None
     for batch in batches:
-        for q, start in zip(batch["quantity"], batch["_start"], strict=True):
-            left = _receive(int(start) if left is None else left, int(q))
-    yield pd.DataFrame({"sku": [key[0]], "warehouse_id": [key[1]], "_transit": [left]})
+        done = []
+        for sku, warehouse, q, start in zip(
+            batch["sku"], batch["warehouse_id"], batch["quantity"], batch["_start"], strict=True
+        ):
+            if (sku, warehouse) != key:
+                if key is not None:
+                    done.append((*key, left))
+                key, left = (sku, warehouse), start
+            if left >= q:
+                left -= q
+        yield pd.DataFrame(done, columns=[*KEY, "_transit"])
+    if key is not None:
+        yield pd.DataFrame([(*key, left)], columns=[*KEY, "_transit"])
 
 
 def in_transit_after(items: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -265,24 +254,24 @@ def in_transit_after(items: DataFrame, receipts: DataFrame) -> DataFrame:
         .select(*KEY, "timestamp", "id", "quantity", "_start")
         .repartition(*KEY)
         .sortWithinPartitions(*KEY, "timestamp", "id")
-        .groupBy(*KEY)
-        .applyInPandas(_transit_key, "sku string, warehouse_id string, _transit bigint")
+        .mapInPandas(_receive, "sku string, warehouse_id string, _transit bigint")
     )
     return quick.unionByName(slow)
 
 
-def items_after(items: DataFrame, judged: DataFrame) -> DataFrame:
-    """The items once all accepted commands are applied.
+def items_after(items: DataFrame, commands: DataFrame, *, grain: str = "hour") -> DataFrame:
+    """The items once all commands that are accepted have been applied.
 
     Every touched item gets a status derived from its new levels, so DISCONTINUED is lost,
     and its version goes up by the number of accepted commands.
     """
-    done = accepted(judged)
+    done = accepted(judge(items, commands, grain=grain))
     last = done.groupBy(*KEY).agg(
         F.max_by(F.struct("on_hand_after", "reserved_after"), F.struct("timestamp", "id")).alias("_last"),
         F.count(F.lit(1)).alias("_applied"),
     )
-    transit = in_transit_after(items, done.filter(_op() == "RECEIPT"))
+    # a receipt for a known item is never rejected, so these need not wait for the judgement
+    transit = in_transit_after(items, commands.filter(_op() == "RECEIPT"))
     touched = F.col("_applied").isNotNull()
     merged = items.join(last, KEY, "left").join(transit, KEY, "left").withColumns({
         "quantity_on_hand": F.coalesce("_last.on_hand_after", "quantity_on_hand").cast("int"),
@@ -297,15 +286,14 @@ def items_after(items: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def replay_ledger(items: DataFrame, ledger: DataFrame, *, grain: str = "hour") -> DataFrame:
-    """Stock level after every movement: the starting level plus all changes so far."""
+    """Stock level after every movement of a known item: its level and all changes so far."""
+    start = items.select(*KEY, F.col("quantity_on_hand").cast("bigint").alias("stock_after"))
     moves = running_totals(
         ledger.select("id", *KEY, "quantity_change", "timestamp"),
         KEY,
         ["timestamp", "id"],
-        {"_change": F.col("quantity_change").cast("bigint")},
+        {"stock_after": F.col("quantity_change").cast("bigint")},
+        start=start,
         grain=grain,
     )
-    start = items.select(*KEY, F.col("quantity_on_hand").alias("_start"))
-    return moves.join(start, KEY, "inner").select(
-        "id", *KEY, "timestamp", "quantity_change", (F.col("_start") + F.col("_change")).alias("stock_after")
-    )
+    return moves.filter(FOUND).select("id", *KEY, "timestamp", "quantity_change", "stock_after")

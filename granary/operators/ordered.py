@@ -1,9 +1,10 @@
 """Running totals and positions along one key's history, safe for very large keys.
 
 A window over (sku, warehouse) puts a whole key into one task. Here a key's history is cut
-at time boundaries: rows are summed within (key, slice), slices are totalled and summed
-up on a table with one row per (key, slice), and the two are added. No task ever sees
-more than one slice of one key.
+at time boundaries. The slices are totalled (with map-side combine) and summed up on a table
+with one row per (key, slice); each slice then gets what came before it as one extra row
+ahead of its own, so a window over (key, slice) yields the running total of the key. Rows
+are shuffled once, are never joined, and no task sees more than one slice of one key.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
+FOUND = "_found"
+_OWN = "_own_row"
 
 
 def running_totals(
@@ -21,34 +24,45 @@ def running_totals(
     order: list[str],
     totals: dict[str, Column],
     *,
+    start: DataFrame | None = None,
     grain: str = "hour",
 ) -> DataFrame:
     """Add each named running sum, from the start of the key up to and with the row.
 
     `order` starts with a timestamp and must be unique within a key. `grain` is the length
     of a slice; choose it so that one key's rows of that length fit a task's sort.
+
+    `start` has the keys and, under the names of `totals`, the level each sum starts from.
+    `_found` then tells whether the row's key is in it; without a level the sum starts at 0.
     """
     names = list(totals)
-    sliced = df.withColumns({**totals, SLICE: F.date_trunc(grain, F.col(order[0]))})
     place = [*keys, SLICE]
-
-    per_slice = sliced.groupBy(*place).agg(*[F.sum(n).alias(f"_sum_{n}") for n in names])
-    earlier = W.partitionBy(*keys).orderBy(F.col(SLICE).asc_nulls_first()).rowsBetween(
-        W.unboundedPreceding, -1
+    # rows without a time sort first; they share a slice before all others
+    slice_of = F.coalesce(
+        F.date_trunc(grain, F.col(order[0])).cast("timestamp_ntz"),
+        F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"),
     )
-    before = per_slice.select(
-        *[F.col(c).alias(f"_k_{c}") for c in place],
-        *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in names],
+    sliced = df.withColumns({**totals, SLICE: slice_of})
+
+    earlier = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    ahead = sliced.groupBy(*place).agg(*[F.sum(n).alias(n) for n in names]).withColumns(
+        {n: F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in names}
     )
+    if start is not None:
+        levels = start.select(*keys, F.struct(*names).alias("_level"))
+        ahead = ahead.join(levels, keys, "left").withColumns({
+            **{n: F.col(n) + F.coalesce(f"_level.{n}", F.lit(0)) for n in names},
+            FOUND: F.col("_level").isNotNull().cast("int"),
+        }).drop("_level")
+        sliced = sliced.withColumn(FOUND, F.lit(0))
+        names = [*names, FOUND]
 
-    within = W.partitionBy(*place).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = sliced.withColumns({n: F.sum(n).over(within) for n in names})
-    same_place = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in place]
-    return (
-        local.join(before, same_place, "inner")
-        .withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in names})
-        .drop(SLICE, *[f"_k_{c}" for c in place], *[f"_before_{n}" for n in names])
+    both = sliced.withColumn(_OWN, F.lit(True)).unionByName(
+        ahead.withColumn(_OWN, F.lit(False)), allowMissingColumns=True
     )
+    along = W.partitionBy(*place).orderBy(_OWN, *order).rowsBetween(W.unboundedPreceding, 0)
+    out = both.withColumns({n: F.sum(n).over(along) for n in names}).filter(_OWN).drop(_OWN, SLICE)
+    return out if start is None else out.withColumn(FOUND, F.col(FOUND) > 0)
 
 
 def with_position(

@@ -50,7 +50,7 @@ SELECT i.sku, i.warehouse_id, CAST(h AS INT) AS quantity_on_hand, CAST(r AS INT)
             WHEN h - r <= i.reorder_point THEN 'LOW_STOCK' WHEN h > 3 * i.reorder_point THEN 'OVERSTOCK'
             ELSE 'NORMAL' END AS inventory_status
 FROM items i JOIN last l ON i.sku = l.sku AND i.warehouse_id = l.warehouse_id""", views="commands items")(
-    lambda t: commands.items_after(t.items, commands.judge(t.items, t.commands)).select(
+    lambda t: commands.items_after(t.items, t.commands).select(
         *KEY, "quantity_on_hand", "quantity_reserved", "quantity_in_transit", "version", "inventory_status"
     )
 )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from granary.operators.commands import NOT_FOUND, replay_batch
+from granary.operators.commands import NOT_FOUND, judged_batch, step
 from granary.schemas import KEY
 
 _JUDGED = (
@@ -35,9 +35,13 @@ def _step(
             reserved_after=pd.Series(pd.NA, index=rows.index, dtype="Int64"),
         )
         return
-    out, levels = replay_batch(rows, (int(on_hand), int(reserved)))
-    state.update(levels)
-    yield out
+    on_hand, reserved = int(on_hand), int(reserved)
+    outcomes = []
+    for op, q in zip(rows["op"], rows["quantity"], strict=True):
+        outcomes.append(step(op, int(q), on_hand, reserved))
+        _, on_hand, reserved = outcomes[-1]
+    state.update((on_hand, reserved))
+    yield judged_batch(rows, outcomes)
 
 
 def stream_judge(items: DataFrame, commands: DataFrame) -> DataFrame:
