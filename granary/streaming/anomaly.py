@@ -38,26 +38,28 @@ def detector(threshold: float = HIGH_Z, critical: float = CRITICAL_Z, history: i
         key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         # a micro-batch is bounded by the source's trigger options, and so is this
-        rows = pd.concat(list(batches)).sort_values(["timestamp", "id"])
-        before = list(state.get[0]) if state.exists else []
-        change = rows["quantity_change"].to_numpy(dtype="float64")
-        values = np.concatenate([before, change])
-        state.update(([float(v) for v in values[-history:]],))
+        rows = pd.concat(list(batches))
+        rows = rows.iloc[np.lexsort((rows["id"].to_numpy(), rows["timestamp"].to_numpy()))]
+        before = state.get[0] if state.exists else []
+        values = np.concatenate([before, rows["quantity_change"].to_numpy(dtype="float64")])
+        state.update((values[-history:].tolist(),))
         mean, z = _score(values, history, len(before))
         odd = z > threshold
+        if not odd.any():
+            return
         hits = rows[odd]
+        change = hits["quantity_change"].astype("int64")
         yield pd.DataFrame({
             "id": hits["id"],
             "sku": key[0],
             "warehouse_id": key[1],
             "anomaly_type": "VOLUME_ANOMALY",
             "severity": np.where(z[odd] > critical, "CRITICAL", "HIGH"),
-            "current_value": change[odd],
+            "current_value": change.astype("float64"),
             "expected_value": mean[odd],
             "deviation": z[odd],
             "timestamp": hits["timestamp"],
-            "message": "Unusual inventory change detected: "
-            + hits["quantity_change"].astype("int64").astype("str"),
+            "message": "Unusual inventory change detected: " + change.astype("str"),
         })
 
     return step
