@@ -66,6 +66,14 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0))
 
 
+def to_cents(value: Column) -> Column:
+    """Two decimals: nearest whole number of hundredths, halves up, on the binary product.
+
+    F.round works on the decimal spelling and would make 2.175 (stored as 2.17499…) 2.18.
+    """
+    return F.floor(value * 100.0 + 0.5) / 100.0
+
+
 def velocity_class(velocity: Column) -> Column:
     return F.when(velocity > 10, "HIGH").when(velocity > 5, "MEDIUM").otherwise("LOW")
 

@@ -18,13 +18,14 @@ Any command for a key without an item is rejected as not found.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import stock
-from granary.operators.ordered import FOUND, running_totals
+from granary.operators.ordered import FOUND, fold_in_order, running_totals
 from granary.schemas import KEY
 
 
@@ -94,18 +95,24 @@ def judged_batch(batch: pd.DataFrame, outcomes: list[tuple[str | None, int, int]
     )
 
 
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _replay(group: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Step through keys that lie one after another, each in order. Only the key at hand and
     its two levels are kept, whatever the length of a key."""
     key = on_hand = reserved = None
+    last = ()
     for batch in batches:
         if batch.empty:
             continue
         outcomes = []
-        for sku, warehouse, op, q, hand0, reserved0 in zip(
-            batch["sku"], batch["warehouse_id"], batch["op"], batch["quantity"],
-            batch["_hand_before"], batch["_reserved_before"], strict=True,
+        for sku, warehouse, at, row_id, op, q, hand0, reserved0 in zip(
+            *[batch[c] for c in (*KEY, "timestamp", "id", "op", "quantity", "_hand_before",
+                                 "_reserved_before")],
+            strict=True,
         ):
+            here = (sku, warehouse, at, row_id)
+            if here < last:
+                raise ValueError(f"commands out of order at {here}")
+            last = here
             if (sku, warehouse) != key:
                 key, on_hand, reserved = (sku, warehouse), hand0, reserved0
             outcomes.append(step(op, q, on_hand, reserved))
@@ -156,13 +163,8 @@ def judge(items: DataFrame, commands: DataFrame, *, grain: str = "hour") -> Data
         F.col("_hand_after").alias("on_hand_after"),
         F.col("_reserved_after").alias("reserved_after"),
     )
-    stepped = (
-        placed.filter(~clean)
-        .select(*columns, "_hand_before", "_reserved_before")
-        .repartition(*KEY)
-        .sortWithinPartitions(*KEY, "timestamp", "id")
-        .mapInPandas(_replay, _JUDGED)
-    )
+    rest = placed.filter(~clean).select(*columns, "_hand_before", "_reserved_before")
+    stepped = fold_in_order(rest, KEY, ["timestamp", "id"], _replay, _JUDGED)
     unknown = replayed.filter(~F.col(FOUND)).select(
         *columns,
         F.lit(NOT_FOUND).alias("rejection"),
@@ -211,14 +213,19 @@ def events_from_commands(commands: DataFrame) -> DataFrame:
     )
 
 
-def _receive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _receive(group: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What each key has left in transit; keys lie one after another, each in order."""
     key = left = None
+    last = ()
     for batch in batches:
         done = []
-        for sku, warehouse, q, start in zip(
-            batch["sku"], batch["warehouse_id"], batch["quantity"], batch["_start"], strict=True
+        for sku, warehouse, at, row_id, q, start in zip(
+            *[batch[c] for c in (*KEY, "timestamp", "id", "quantity", "_start")], strict=True
         ):
+            here = (sku, warehouse, at, row_id)
+            if here < last:
+                raise ValueError(f"receipts out of order at {here}")
+            last = here
             if (sku, warehouse) != key:
                 if key is not None:
                     done.append((*key, left))
@@ -248,13 +255,14 @@ def in_transit_after(items: DataFrame, receipts: DataFrame) -> DataFrame:
         *KEY, F.when(fits, F.col("_start") - F.col("_total")).otherwise(F.col("_start")).alias("_transit")
     )
     # a receipt larger than the starting level can never fit: dropped before the shuffle
-    slow = (
+    fitting = (
         receipts.join(sized.filter(~(fits | none_fit)).select(*KEY, "_start"), KEY, "inner")
         .filter(F.col("quantity") <= F.col("_start"))
         .select(*KEY, "timestamp", "id", "quantity", "_start")
-        .repartition(*KEY)
-        .sortWithinPartitions(*KEY, "timestamp", "id")
-        .mapInPandas(_receive, "sku string, warehouse_id string, _transit bigint")
+    )
+    slow = fold_in_order(
+        fitting, KEY, ["timestamp", "id"], _receive,
+        "sku string, warehouse_id string, _transit bigint",
     )
     return quick.unionByName(slow)
 

@@ -9,6 +9,8 @@ are shuffled once, are never joined, and no task sees more than one slice of one
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -112,3 +114,24 @@ def with_trailing(
     return summed.filter(F.col("_block") == F.col("_home")).drop(
         "_v", "_home", "_block", "_c1", "_c2"
     )
+
+
+def fold_in_order(
+    df: DataFrame, keys: list[str], order: list[str], fold: Callable, schema: str
+) -> DataFrame:
+    """Hand every key's rows, in order, to a Python function as a stream of batches.
+
+    `fold` takes (group, iterator of pandas frames): whole keys one after another, sorted by
+    key and order, many keys in a group, so neither the number nor the length of keys
+    costs memory. The grouping states the clustering it needs; a bare repartition would not,
+    and adaptive execution may then read it in another layout. It also keeps the sort that
+    it finds, because that begins with its own column.
+    """
+    groups = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        df.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups)))
+        .repartition("_group")
+        .sortWithinPartitions("_group", *keys, *order)
+        .groupBy("_group")
+        .applyInPandas(fold, schema)
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.functions.stock import to_cents
 from granary.functions.timing import at
 from granary.operators.lookups import low_stock
 from granary.schemas import KEY
@@ -130,7 +131,7 @@ def replenishment_plan(forecast: DataFrame, stock: DataFrame) -> DataFrame:
             "reorder_point",
             "recommended_order_quantity",
             "stockout_date",
-            F.round(F.coalesce("stockout_probability", F.lit(0.0)), 2).alias("stockout_probability"),
+            to_cents(F.coalesce("stockout_probability", F.lit(0.0))).alias("stockout_probability"),
             F.lit(CONFIDENCE).alias("confidence_level"),
         )
     )
@@ -140,11 +141,11 @@ def with_points(plan: DataFrame, forecast: DataFrame) -> DataFrame:
     """Attach the forecast points, in date order: one per day of the horizon, so short."""
     point = F.struct(
         F.col("date"),
-        F.round("yhat", 2).alias("predicted_demand"),
-        F.round("yhat_lower", 2).alias("lower_bound"),
-        F.round("yhat_upper", 2).alias("upper_bound"),
-        F.round("trend", 2).alias("trend"),
-        F.round("seasonality", 2).alias("seasonality"),
+        to_cents(F.col("yhat")).alias("predicted_demand"),
+        to_cents(F.col("yhat_lower")).alias("lower_bound"),
+        to_cents(F.col("yhat_upper")).alias("upper_bound"),
+        to_cents(F.col("trend")).alias("trend"),
+        to_cents(F.col("seasonality")).alias("seasonality"),
     )
     points = forecast.groupBy(*KEY).agg(F.sort_array(F.collect_list(point)).alias("predictions"))
     return plan.join(points, KEY, "left")

@@ -44,7 +44,7 @@ def velocity(
         *KEY,
         F.lit(period_days).alias("period_days"),
         total.alias("total_quantity"),
-        F.round(per_day, 2).alias("velocity"),
+        stock.to_cents(per_day).alias("velocity"),
         F.coalesce("transaction_count", F.lit(0)).alias("transaction_count"),
         stock.velocity_class(per_day).alias("trend"),
     )
@@ -66,10 +66,10 @@ def net_velocity(
         _for_keys(per_key, keys)
         .select(
             *KEY,
-            F.round(week, 2).alias("velocity_7d"),
-            F.round(month, 2).alias("velocity_30d"),
-            F.round(month * min(period_days, 30), 2).alias("total_sales"),
-            F.round(month if period_days >= 30 else week, 2).alias("average_daily_sales"),
+            stock.to_cents(week).alias("velocity_7d"),
+            stock.to_cents(month).alias("velocity_30d"),
+            stock.to_cents(month * min(period_days, 30)).alias("total_sales"),
+            stock.to_cents(month if period_days >= 30 else week).alias("average_daily_sales"),
             F.lit(period_days).alias("period_days"),
         )
         .withColumn(
@@ -109,8 +109,8 @@ def turnover(
             F.lit(period_days).alias("period_days"),
             sales.alias("total_sales"),
             F.col("quantity_on_hand").cast("double").alias("average_inventory"),
-            F.round(rate, 2).alias("turnover_rate"),
-            F.round(days, 2).alias("days_to_turnover"),
+            stock.to_cents(rate).alias("turnover_rate"),
+            stock.to_cents(days).alias("days_to_turnover"),
         )
     )
 
