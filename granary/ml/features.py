@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.operators.series import with_cycles, with_next_day_target, with_stock_ratios
 from granary.schemas import KEY
+from granary.session import materialized
 
 # The model's inputs, in order.
 FEATURES = [
@@ -22,7 +23,12 @@ TEST_DAYS = 60
 
 
 def time_split(frame: DataFrame, *, test_days: int = TEST_DAYS) -> tuple[DataFrame, DataFrame]:
-    """(train, test): the last days of the whole frame are the test."""
+    """(train, test): the last days of the whole frame are the test.
+
+    The frame, one row per key and day, is written once: both parts and all that is fitted on
+    them read it again, and none of them should go back to the ledger.
+    """
+    frame = materialized(frame)
     cut = F.date_sub(frame.agg(F.max("date")).scalar(), test_days)
     return frame.filter(F.col("date") <= cut), frame.filter(F.col("date") > cut)
 

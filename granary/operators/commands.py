@@ -4,7 +4,7 @@ A command is accepted or rejected by the state its key has reached, so a key is
 order. Up to the first rejection that replay is a running sum, which `running_totals` does
 in slices of the history; only the rest of a key, from its first rejection on, needs the
 step-by-step replay. That one reads sorted rows as a stream of Arrow batches, so its
-memory does not grow with the key.
+memory does not grow with the key, and very long keys are cut into runs first (`settle`).
 
 Fixed values: the operations and the conditions under which they are accepted
     ADJUST   on_hand + q >= 0
@@ -25,7 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import stock
-from granary.operators.ordered import FOUND, fold_in_order, running_totals
+from granary.operators.ordered import (
+    FOUND,
+    RUN,
+    SLICE,
+    fold_in_order,
+    running_totals,
+    settle,
+    slice_of,
+)
 from granary.schemas import KEY
 
 
@@ -95,41 +103,78 @@ def judged_batch(batch: pd.DataFrame, outcomes: list[tuple[str | None, int, int]
     )
 
 
+_HELD = ("_hand_before", "_reserved_before")
+
+
+def _ordered_rows(batch: pd.DataFrame, run: str, last: tuple, *columns: str):
+    """(run of a key, values) of each row, after a look at the order of the rows."""
+    for sku, warehouse, part, at, row_id, *values in zip(
+        *[batch[c] for c in (*KEY, run, "timestamp", "id", *columns)], strict=True
+    ):
+        here = (sku, warehouse, part, at, row_id)
+        if here < last:
+            raise ValueError(f"rows out of order at {here}")
+        last = here
+        yield here, values
+
+
 def _replay(group: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step through keys that lie one after another, each in order. Only the key at hand and
-    its two levels are kept, whatever the length of a key."""
-    key = on_hand = reserved = None
+    """Step through runs that lie one after another, each in order. Only the run at hand and
+    its two levels are kept, whatever the length of a run."""
+    run = on_hand = reserved = None
     last = ()
     for batch in batches:
         if batch.empty:
             continue
         outcomes = []
-        for sku, warehouse, at, row_id, op, q, hand0, reserved0 in zip(
-            *[batch[c] for c in (*KEY, "timestamp", "id", "op", "quantity", "_hand_before",
-                                 "_reserved_before")],
-            strict=True,
-        ):
-            here = (sku, warehouse, at, row_id)
-            if here < last:
-                raise ValueError(f"commands out of order at {here}")
-            last = here
-            if (sku, warehouse) != key:
-                key, on_hand, reserved = (sku, warehouse), hand0, reserved0
+        for last, (op, q, hand0, reserved0) in _ordered_rows(batch, RUN, last, "op", "quantity", *_HELD):
+            if last[:3] != run:
+                run, on_hand, reserved = last[:3], hand0, reserved0
             outcomes.append(step(op, q, on_hand, reserved))
             _, on_hand, reserved = outcomes[-1]
         yield judged_batch(batch, outcomes)
 
 
+def _levels_after(
+    group: tuple[Any, ...], batches: Iterator[pd.DataFrame]
+) -> Iterator[pd.DataFrame]:
+    """The two levels before and after each slice of a key."""
+    run = start = on_hand = reserved = None
+    last = ()
+    columns = [*KEY, SLICE, _HELD[0], f"_end_{_HELD[0]}", _HELD[1], f"_end_{_HELD[1]}"]
+    for batch in batches:
+        done = []
+        for last, (op, q, *before) in _ordered_rows(batch, SLICE, last, "op", "quantity", *_HELD):
+            if last[:3] != run:
+                if run is not None:
+                    done.append((*run, start[0], on_hand, start[1], reserved))
+                run, start = last[:3], before
+                on_hand, reserved = before
+            _, on_hand, reserved = step(op, q, on_hand, reserved)
+        yield pd.DataFrame(done, columns=columns)
+    if run is not None:
+        yield pd.DataFrame([(*run, start[0], on_hand, start[1], reserved)], columns=columns)
+
+
 _JUDGED = (
     "id bigint, sku string, warehouse_id string, op string, quantity int, "
     "timestamp timestamp_ntz, rejection string, on_hand_after bigint, reserved_after bigint"
 )
 
 
-def judge(items: DataFrame, commands: DataFrame, *, grain: str = "hour") -> DataFrame:
+def judge(
+    items: DataFrame,
+    commands: DataFrame,
+    *,
+    grain: str = "hour",
+    long_key: int = 5_000_000,
+    rounds: int = 20,
+) -> DataFrame:
     """Every command with its rejection (NULL when accepted) and the levels after it.
 
-    Commands are ordered by (timestamp, id) within a key; ids must be unique.
+    Commands are ordered by (timestamp, id) within a key; ids must be unique. The rest of a
+    key that has more than `long_key` commands is cut into slices which settle on
+    their starting levels in up to `rounds` rounds, and are then replayed side by side.
     """
     columns = ["id", *KEY, "op", "quantity", "timestamp"]
     levels = items.select(
@@ -163,8 +208,31 @@ def judge(items: DataFrame, commands: DataFrame, *, grain: str = "hour") -> Data
         F.col("_hand_after").alias("on_hand_after"),
         F.col("_reserved_after").alias("reserved_after"),
     )
-    rest = placed.filter(~clean).select(*columns, "_hand_before", "_reserved_before")
-    stepped = fold_in_order(rest, KEY, ["timestamp", "id"], _replay, _JUDGED)
+    rest = placed.filter(~clean).select(*columns, *_HELD)
+    order = ["timestamp", "id"]
+    long = commands.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > long_key)
+    if long.isEmpty():
+        runs = rest.withColumn(RUN, F.lit(0))
+        stepped = fold_in_order(runs, [*KEY, RUN], order, _replay, _JUDGED)
+    else:
+        short_rest = rest.join(long.select(*KEY), KEY, "left_anti").withColumn(RUN, F.lit(0))
+        long_rest = rest.join(long.select(*KEY), KEY, "left_semi")
+        settled = settle(
+            long_rest, KEY, order, dict.fromkeys(_HELD, "bigint"), _levels_after,
+            grain=grain, rounds=rounds,
+        )
+        here = slice_of("timestamp", grain)
+        open_from = settled.groupBy(*KEY).agg(F.first("_open").alias("_open"))
+        cut = (
+            long_rest.drop(*_HELD)
+            .join(open_from, KEY, "left")
+            .withColumn(RUN, F.least(here, F.coalesce("_open", here)))
+            .drop("_open")
+            .join(settled.drop("_open"), [*KEY, RUN], "inner")
+        )
+        stepped = fold_in_order(short_rest, [*KEY, RUN], order, _replay, _JUDGED).unionByName(
+            fold_in_order(cut, [*KEY, RUN], order, _replay, _JUDGED)
+        )
     unknown = replayed.filter(~F.col(FOUND)).select(
         *columns,
         F.lit(NOT_FOUND).alias("rejection"),
@@ -219,17 +287,11 @@ def _receive(group: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterato
     last = ()
     for batch in batches:
         done = []
-        for sku, warehouse, at, row_id, q, start in zip(
-            *[batch[c] for c in (*KEY, "timestamp", "id", "quantity", "_start")], strict=True
-        ):
-            here = (sku, warehouse, at, row_id)
-            if here < last:
-                raise ValueError(f"receipts out of order at {here}")
-            last = here
-            if (sku, warehouse) != key:
+        for last, (q, start) in _ordered_rows(batch, RUN, last, "quantity", "_start"):
+            if last[:2] != key:
                 if key is not None:
                     done.append((*key, left))
-                key, left = (sku, warehouse), start
+                key, left = last[:2], start
             if left >= q:
                 left -= q
         yield pd.DataFrame(done, columns=[*KEY, "_transit"])
@@ -261,7 +323,7 @@ def in_transit_after(items: DataFrame, receipts: DataFrame) -> DataFrame:
         .select(*KEY, "timestamp", "id", "quantity", "_start")
     )
     slow = fold_in_order(
-        fitting, KEY, ["timestamp", "id"], _receive,
+        fitting.withColumn(RUN, F.lit(0)), KEY, ["timestamp", "id"], _receive,
         "sku string, warehouse_id string, _transit bigint",
     )
     return quick.unionByName(slow)

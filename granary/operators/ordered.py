@@ -10,11 +10,14 @@ are shuffled once, are never joined, and no task sees more than one slice of one
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.session import enable_checkpoints
+
 SLICE = "_slice"
 FOUND = "_found"
 _OWN = "_own_row"
@@ -39,12 +42,7 @@ def running_totals(
     """
     names = list(totals)
     place = [*keys, SLICE]
-    # rows without a time sort first; they share a slice before all others
-    slice_of = F.coalesce(
-        F.date_trunc(grain, F.col(order[0])).cast("timestamp_ntz"),
-        F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"),
-    )
-    sliced = df.withColumns({**totals, SLICE: slice_of})
+    sliced = df.withColumns({**totals, SLICE: slice_of(order[0], grain)})
 
     earlier = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     ahead = sliced.groupBy(*place).agg(*[F.sum(n).alias(n) for n in names]).withColumns(
@@ -116,6 +114,14 @@ def with_trailing(
     )
 
 
+def slice_of(time: str, grain: str) -> Column:
+    """The time slice a row belongs to; rows without a time share one before all others."""
+    return F.coalesce(
+        F.date_trunc(grain, F.col(time)).cast("timestamp_ntz"),
+        F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"),
+    )
+
+
 def fold_in_order(
     df: DataFrame, keys: list[str], order: list[str], fold: Callable, schema: str
 ) -> DataFrame:
@@ -135,3 +141,75 @@ def fold_in_order(
         .groupBy("_group")
         .applyInPandas(fold, schema)
     )
+
+
+RUN = "_run"
+
+
+def settle(
+    rows: DataFrame,
+    keys: list[str],
+    order: list[str],
+    state: dict[str, str],
+    ends: Callable,
+    *,
+    grain: str,
+    rounds: int,
+) -> DataFrame:
+    """Cut long keys into runs that can be folded side by side, each from its exact state.
+
+    `rows` carry, under the names of `state`, the state their key would have before them if
+    nothing unforeseen happened; only the first row of a slice is asked for it, as a guess.
+    Each round folds the slices whose guess is new (`ends` yields the state after each), adds
+    up the changes along the key, and takes the sums as new guesses. A key's first slice
+    starts from a known state, so each round makes at least one more slice exact, and
+    when no guess changes all are. Whatever has not settled after `rounds` becomes one
+    last run of its key. The result has one row per key and run: the run and its state.
+
+    `state` maps names to SQL types. The tables of all rounds are checkpointed.
+    """
+    enable_checkpoints(rows.sparkSession)
+    names, place = list(state), [*keys, SLICE]
+    sliced = rows.withColumn(SLICE, slice_of(order[0], grain)).checkpoint()
+    guesses = sliced.groupBy(*place).agg(
+        F.min_by(F.struct(*names), F.struct(*order)).alias("_guess")
+    )
+    todo = guesses.select(*place, *[F.col(f"_guess.{n}").alias(n) for n in names])
+    known: DataFrame | None = None
+    schema = ", ".join(
+        [f"{c} {t}" for c, t in rows.select(*keys).dtypes]
+        + [f"{SLICE} timestamp_ntz"]
+        + [f"{n} {t}, _end_{n} {t}" for n, t in state.items()]
+    )
+    along = W.partitionBy(*keys).orderBy(SLICE)
+    before = along.rowsBetween(W.unboundedPreceding, -1)
+    for _ in range(rounds):
+        folded = fold_in_order(
+            sliced.drop(*names).join(todo, place, "inner"), place, order, ends, schema
+        )
+        if known is not None:
+            folded = folded.unionByName(
+                known.select(*folded.columns).join(todo.select(*place), place, "left_anti")
+            )
+        known = folded.withColumns({
+            f"_next_{n}": F.first(n).over(along)
+            + F.coalesce(F.sum(F.col(f"_end_{n}") - F.col(n)).over(before), F.lit(0))
+            for n in names
+        }).checkpoint()
+        todo = known.filter(_any([F.col(f"_next_{n}") != F.col(n) for n in names])).select(
+            *place, *[F.col(f"_next_{n}").alias(n) for n in names]
+        )
+        if todo.isEmpty():
+            break
+    # slices before the first unsettled one are exact, and so is that one's start
+    unsettled = _any([F.col(f"_next_{n}") != F.col(n) for n in names])
+    open_from = F.min(F.when(unsettled, F.col(SLICE))).over(W.partitionBy(*keys))
+    return known.withColumn("_open", open_from).filter(
+        F.col("_open").isNull() | (F.col(SLICE) <= F.col("_open"))
+    ).select(
+        *keys, F.col(SLICE).alias(RUN), "_open", *[F.col(f"_next_{n}").alias(n) for n in names]
+    )
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -79,61 +79,76 @@ def _along(forecast: DataFrame) -> DataFrame:
     })
 
 
-def stockouts(forecast: DataFrame, stock: DataFrame) -> DataFrame:
-    """First day the running demand reaches the stock, and the probability on that day.
+def _level() -> Column:
+    return F.coalesce("current_inventory", F.lit(0))
 
-    `stock` has the keys and `current_inventory`; a key without stock counts as 0.
-    """
-    level = F.coalesce("current_inventory", F.lit(0))
-    crossing = _along(forecast).join(stock, KEY, "left").filter(F.col("_cumulative") >= level)
+
+def _stockout() -> dict[str, Column]:
+    """First day the running demand reaches the stock, and how likely it is by its interval."""
+    crossed = F.col("_cumulative") >= _level()
     width = F.col("yhat_upper") - F.col("yhat_lower")
     odds = F.when(
-        width > 0, F.least(F.lit(0.5) + (F.col("_cumulative") - level) / width * 0.5, F.lit(1.0))
+        width > 0,
+        F.least(F.lit(0.5) + (F.col("_cumulative") - _level()) / width * 0.5, F.lit(1.0)),
     ).otherwise(F.lit(0.0))
-    return crossing.groupBy(*KEY).agg(
-        F.min("date").alias("stockout_date"),
-        F.min_by(odds, F.col("_step")).alias("stockout_probability"),
-    )
+    return {
+        "stockout_date": F.min(F.when(crossed, F.col("date"))),
+        "stockout_probability": F.min_by(odds, F.when(crossed, F.col("_step"))),
+    }
 
 
-def order_plan(forecast: DataFrame) -> DataFrame:
+def _whole(amount: Column) -> Column:
+    """Cut toward zero; 9 decimals first, so that float noise cannot lose a whole unit."""
+    exact = F.round(amount, 9)
+    return F.when(exact < 0, F.ceil(exact)).otherwise(F.floor(exact)).cast("int")
+
+
+def _order() -> dict[str, Column]:
     """Reorder point from lead-time demand and safety stock; the larger of it and the EOQ."""
     step = F.col("_step")
-    sums = _along(forecast).groupBy(*KEY).agg(
-        F.sum(F.when(step <= LEAD_DAYS, F.col("yhat"))).alias("_lead"),
-        F.sum(F.when(step <= SAFETY_DAYS, F.col("yhat_upper"))).alias("_safety"),
-        F.avg("yhat").alias("_mean"),
+    point = F.sum(F.when(step <= LEAD_DAYS, F.col("yhat"))) + F.sum(
+        F.when(step <= SAFETY_DAYS, F.col("yhat_upper"))
     )
-    point = F.round(F.col("_lead") + F.col("_safety"), 9)
-    lot = F.sqrt(F.greatest(F.col("_mean"), F.lit(0.0)) * 2 * 365 * ORDERING_COST / HOLDING_COST)
+    mean = F.greatest(F.avg("yhat"), F.lit(0.0))
+    lot = F.sqrt(mean * 2 * 365 * ORDERING_COST / HOLDING_COST)
+    return {
+        "reorder_point": _whole(point),
+        "recommended_order_quantity": F.greatest(_whole(lot), _whole(point)),
+    }
 
-    def whole(amount):
-        """Cut toward zero."""
-        return F.when(amount < 0, F.ceil(amount)).otherwise(F.floor(amount)).cast("int")
 
-    return sums.select(
-        *KEY,
-        whole(point).alias("reorder_point"),
-        F.greatest(whole(F.round(lot, 9)), whole(point)).alias("recommended_order_quantity"),
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(n) for n, c in columns.items()]
+
+
+def stockouts(forecast: DataFrame, stock: DataFrame) -> DataFrame:
+    """The keys whose demand reaches their stock within the horizon: when, and how likely.
+
+    `stock` has the keys and `current_inventory`; a key without stock counts as 0.
+    """
+    level = stock.select(*KEY, "current_inventory")
+    return (
+        _along(forecast).join(level, KEY, "left").groupBy(*KEY).agg(*_named(_stockout()))
+        .filter(F.col("stockout_date").isNotNull())
     )
 
 
+def order_plan(forecast: DataFrame) -> DataFrame:
+    return _along(forecast).groupBy(*KEY).agg(*_named(_order()))
+
+
 def replenishment_plan(forecast: DataFrame, stock: DataFrame) -> DataFrame:
-    """One row per key: stock, stockout, reorder point and order quantity."""
+    """One row per key: stock, stockout, reorder point and order quantity, in one pass."""
     level = stock.select(*KEY, "current_inventory")
     return (
-        order_plan(forecast)
-        .join(stockouts(forecast, level), KEY, "left")
+        _along(forecast)
         .join(level, KEY, "left")
-        .select(
-            *KEY,
-            F.coalesce("current_inventory", F.lit(0)).alias("current_inventory"),
-            "reorder_point",
-            "recommended_order_quantity",
-            "stockout_date",
-            to_cents(F.coalesce("stockout_probability", F.lit(0.0))).alias("stockout_probability"),
-            F.lit(CONFIDENCE).alias("confidence_level"),
-        )
+        .groupBy(*KEY)
+        .agg(F.max(_level()).alias("current_inventory"), *_named({**_order(), **_stockout()}))
+        .withColumns({
+            "stockout_probability": to_cents(F.coalesce("stockout_probability", F.lit(0.0))),
+            "confidence_level": F.lit(CONFIDENCE),
+        })
     )
 
 

@@ -239,16 +239,16 @@ def alert_counts(items: DataFrame) -> DataFrame:
 
 def alert_summary(items: DataFrame, *, first: int = 10) -> DataFrame:
     """The most urgent items, each with the totals of all alerts."""
-    totals = alert_counts(items)
+    names = ["total_low_stock_items", "urgent_count", "high_priority_count"]
+    totals = alert_counts(items).select(F.struct(*names)).scalar()
+    # one projection above the sort and limit, so that they stay a top-k
     return low_stock_alerts(items).limit(first).select(
         *KEY,
         "quantity_on_hand",
         "available_quantity",
         "reorder_point",
         "priority",
-        totals.select("total_low_stock_items").scalar().alias("total_low_stock_items"),
-        totals.select("urgent_count").scalar().alias("urgent_count"),
-        totals.select("high_priority_count").scalar().alias("high_priority_count"),
+        *[totals.getField(n).alias(n) for n in names],
     )
 
 

@@ -44,11 +44,12 @@ def daily_net_demand(ledger: DataFrame) -> DataFrame:
     """Sales less returns per key and day, as a positive number, with the day as text."""
     return (
         ledger.filter(F.col("transaction_type").isin("SALE", "RETURN"))
-        .groupBy(*KEY, F.date_format("timestamp", "yyyy-MM-dd").alias("day"))
+        .groupBy(*KEY, F.to_date("timestamp").alias("day"))
         .agg(
             F.abs(F.sum("quantity_change")).alias("demand"),
             F.count(F.lit(1)).alias("transaction_count"),
         )
+        .withColumn("day", F.col("day").cast("string"))  # after the sums: one per day, not per row
     )
 
 

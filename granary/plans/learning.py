@@ -15,7 +15,7 @@ from granary.plans.registry import query
 from granary.plans.series import FRAME, VIEWS, frame, stock_levels
 from granary.plans.views import Tables
 from granary.schemas import KEY
-from granary.session import fresh_dir
+from granary.session import fresh_dir, materialized
 
 query("time_split", f"""
 SELECT sku, warehouse_id, CAST(date AS VARCHAR) AS date,
@@ -121,7 +121,7 @@ def _(t: Tables):
 
 @query("replenishment_from_forecast")
 def _(t: Tables):
-    ahead = forecast.forecast(forecast.fit_models(daily_demand(t)), horizon=30)
+    ahead = materialized(forecast.forecast(forecast.fit_models(daily_demand(t)), horizon=30))
     plan = replenishment.replenishment_plan(ahead, stock_levels(t))
     full = replenishment.with_points(plan, ahead)
     return full.withColumn("points", F.size("predictions")).drop("predictions")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -48,3 +48,12 @@ def enable_checkpoints(spark: SparkSession) -> None:
     """Let DataFrame.checkpoint() write under the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """The rows written once under the shared folder, for frames that are read many times.
+
+    Unlike a cache this survives the loss of executors, and it cuts the lineage.
+    """
+    enable_checkpoints(df.sparkSession)
+    return df.checkpoint()

@@ -18,7 +18,7 @@ MEDIUM = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark() -> SparkSession:
-    return local_session(8, shuffle_partitions=8)
+    return local_session(8, shuffle_partitions=4)
 
 
 @pytest.fixture

@@ -203,7 +203,7 @@ def test_running_totals_shuffle_rows_by_key_and_slice_only(spark):
 def test_judge_keeps_keys_whole_under_adaptive_layouts(spark, items):
     """With several partitions and a join that turns into a broadcast at run time, shuffles may
     be read in another layout; a key must still be replayed in one piece."""
-    log = random_log(7, 6000, hot=0.3)
+    log = random_log(7, 3000, hot=0.3)
     keys = [(s, w) for s in ("AAA", "BBB", "CCC", "DDD") for w in ("W1", "W2")]
     stock = items(*[{"sku": s, "warehouse_id": w} for s, w in keys])
     coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
@@ -234,3 +234,14 @@ def test_fold_in_order_sees_sorted_whole_keys(spark):
     assert out.count() == len(rows)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.index("FlatMapGroups") < plan.index("Sort [_group") < plan.index("Exchange")
+
+
+@pytest.mark.parametrize(("grain", "rounds"), [("day", 50), ("hour", 2)])
+def test_long_keys_settle_to_the_same(spark, items, grain, rounds):
+    """Slices replayed side by side, whether or not all of them settle in the rounds given."""
+    log = random_log(11, 600, hot=0.5)
+    keys = [(s, w) for s in ("AAA", "BBB", "CCC", "DDD") for w in ("W1", "W2")]
+    stock = items(*[{"sku": s, "warehouse_id": w} for s, w in keys])
+    judged = c.judge(stock, commands(spark, log), grain=grain, long_key=100, rounds=rounds)
+    got = {r.id: (r.rejection, r.on_hand_after, r.reserved_after) for r in judged.collect()}
+    assert got == brute_force(dict.fromkeys(keys, (100, 10)), log)
