@@ -39,7 +39,8 @@ def volume_anomalies(
         block=block,
     )
     n, s1, s2 = F.col("_n"), F.col("_s1"), F.col("_s2")
-    spread = F.sqrt((n * s2 - s1 * s1).cast("double"))  # n times the deviation, exact inside
+    exact_s1 = s1.cast("decimal(19,0)")
+    spread = F.sqrt((n * s2 - exact_s1 * exact_s1).cast("double"))  # n times the deviation
     z = F.when(spread > 0, F.abs(n * F.col("quantity_change") - s1) / spread).otherwise(F.lit(0.0))
     return (
         trailing.withColumn("deviation", z)

@@ -299,16 +299,46 @@ def _receive(group: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterato
         yield pd.DataFrame([(*key, left)], columns=[*KEY, "_transit"])
 
 
-def in_transit_after(items: DataFrame, receipts: DataFrame) -> DataFrame:
+def _left_after(
+    group: tuple[Any, ...], batches: Iterator[pd.DataFrame]
+) -> Iterator[pd.DataFrame]:
+    """What is left before and after each slice of a key."""
+    run = before = left = None
+    last = ()
+    columns = [*KEY, SLICE, "_start", "_end__start"]
+    for batch in batches:
+        done = []
+        for last, (q, start) in _ordered_rows(batch, SLICE, last, "quantity", "_start"):
+            if last[:3] != run:
+                if run is not None:
+                    done.append((*run, before, left))
+                run, before, left = last[:3], start, start
+            if left >= q:
+                left -= q
+        yield pd.DataFrame(done, columns=columns)
+    if run is not None:
+        yield pd.DataFrame([(*run, before, left)], columns=columns)
+
+
+def in_transit_after(
+    items: DataFrame,
+    receipts: DataFrame,
+    *,
+    grain: str = "hour",
+    long_key: int = 5_000_000,
+    rounds: int = 20,
+) -> DataFrame:
     """What is still in transit per key after its receipts, taken in order.
 
-    A receipt larger than what is left changes nothing. Once nothing is left no positive
-    receipt can change it, and while all receipts so far fit the result is a plain
-    difference, so keys whose receipts fit in total skip the step-by-step replay.
+    A receipt larger than what is left changes nothing. While all receipts fit in total the
+    result is a plain difference, and where not even the least fits nothing changes; only the
+    other keys are stepped through, and long ones of these in slices (see `judge`).
     """
+    order = ["timestamp", "id"]
+    schema = "sku string, warehouse_id string, _transit bigint"
     start = items.select(*KEY, F.col("quantity_in_transit").cast("bigint").alias("_start"))
     totals = receipts.groupBy(*KEY).agg(
-        F.sum("quantity").alias("_total"), F.min("quantity").alias("_least")
+        F.sum(_q()).alias("_total"), F.min(_q()).alias("_least"), F.count(F.lit(1)).alias("_n")
     )
     sized = start.join(totals, KEY, "inner")
     fits = (F.col("_least") >= 0) & (F.col("_total") <= F.col("_start"))
@@ -316,32 +346,41 @@ def in_transit_after(items: DataFrame, receipts: DataFrame) -> DataFrame:
     quick = sized.filter(fits | none_fit).select(
         *KEY, F.when(fits, F.col("_start") - F.col("_total")).otherwise(F.col("_start")).alias("_transit")
     )
-    # a receipt larger than the starting level can never fit: dropped before the shuffle
+    # of receipts that are never negative, one larger than the starting level cannot fit later
     fitting = (
-        receipts.join(sized.filter(~(fits | none_fit)).select(*KEY, "_start"), KEY, "inner")
-        .filter(F.col("quantity") <= F.col("_start"))
-        .select(*KEY, "timestamp", "id", "quantity", "_start")
+        receipts.join(sized.filter(~(fits | none_fit)), KEY, "inner")
+        .filter((_q() <= F.col("_start")) | (F.col("_least") < 0))
+        .select(*KEY, *order, "quantity", "_start", "_n")
+    )
+    short_rows = fitting.filter(F.col("_n") <= long_key).drop("_n").withColumn(RUN, F.lit(0))
+    result = quick.unionByName(fold_in_order(short_rows, [*KEY, RUN], order, _receive, schema))
+    if totals.filter(F.col("_n") > long_key).isEmpty():
+        return result
+    long_rows = fitting.filter(F.col("_n") > long_key).drop("_n")
+    settled = settle(long_rows, KEY, order, {"_start": "bigint"}, _left_after, grain=grain, rounds=rounds)
+    # only the last run of a key decides what is left in the end
+    final = settled.groupBy(*KEY).agg(
+        F.max(RUN).alias(RUN), F.max_by("_start", RUN).alias("_start")
     )
-    slow = fold_in_order(
-        fitting.withColumn(RUN, F.lit(0)), KEY, ["timestamp", "id"], _receive,
-        "sku string, warehouse_id string, _transit bigint",
+    tail = long_rows.drop("_start").join(final, KEY, "inner").filter(
+        slice_of("timestamp", grain) >= F.col(RUN)
     )
-    return quick.unionByName(slow)
+    return result.unionByName(fold_in_order(tail, [*KEY, RUN], order, _receive, schema))
 
 
-def items_after(items: DataFrame, commands: DataFrame, *, grain: str = "hour") -> DataFrame:
+def items_after(items: DataFrame, commands: DataFrame, **cut) -> DataFrame:
     """The items once all commands that are accepted have been applied.
 
     Every touched item gets a status derived from its new levels, so DISCONTINUED is lost,
-    and its version goes up by the number of accepted commands.
+    and its version goes up by the number of accepted commands. `cut` is as for `judge`.
     """
-    done = accepted(judge(items, commands, grain=grain))
+    done = accepted(judge(items, commands, **cut))
     last = done.groupBy(*KEY).agg(
         F.max_by(F.struct("on_hand_after", "reserved_after"), F.struct("timestamp", "id")).alias("_last"),
         F.count(F.lit(1)).alias("_applied"),
     )
     # a receipt for a known item is never rejected, so these need not wait for the judgement
-    transit = in_transit_after(items, commands.filter(_op() == "RECEIPT"))
+    transit = in_transit_after(items, commands.filter(_op() == "RECEIPT"), **cut)
     touched = F.col("_applied").isNotNull()
     merged = items.join(last, KEY, "left").join(transit, KEY, "left").withColumns({
         "quantity_on_hand": F.coalesce("_last.on_hand_after", "quantity_on_hand").cast("int"),

@@ -103,7 +103,8 @@ def with_trailing(
     so_far = along.rowsBetween(W.unboundedPreceding, 0)
     summed = spread.withColumns({
         "_c1": F.sum("_v").over(so_far),
-        "_c2": F.sum(F.col("_v") * F.col("_v")).over(so_far),
+        # squares of large integers would overflow a bigint once added up
+        "_c2": F.sum((F.col("_v") * F.col("_v")).cast("decimal(19,0)")).over(so_far),
     }).withColumns({
         "_s1": F.col("_c1") - F.coalesce(F.lag("_c1", rows).over(along), F.lit(0)),
         "_s2": F.col("_c2") - F.coalesce(F.lag("_c2", rows).over(along), F.lit(0)),

@@ -24,19 +24,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+_local_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where `spark.checkpoint.dir` is unset (a bare local session) is a temporary
-    folder taken, and then it is set for the rest of the session.
+    Only in a local session where `spark.checkpoint.dir` is unset is a temporary folder
+    taken, one for the life of the process.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="granary-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    global _local_dir
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    if _local_dir is None:
+        _local_dir = tempfile.mkdtemp(prefix="granary-")
+    return _local_dir
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:

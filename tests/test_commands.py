@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import commands as c
 from granary.operators import ordered
+from granary.operators.anomaly import volume_anomalies
 from granary.schemas import COMMANDS
 from granary.session import fresh_dir
 from granary.sources.streams import read_table_files
@@ -28,34 +29,43 @@ def commands(spark, rows):
     )
 
 
-@pytest.mark.parametrize(
-    ("before", "op", "q", "after", "reason"),
-    [
-        ({}, "ADJUST", -10, (90, 10, 0), None),
-        ({"quantity_on_hand": 5, "quantity_reserved": 0}, "ADJUST", -10, (5, 0, 0), c.NEGATIVE),
-        ({}, "RESERVE", 10, (100, 20, 0), None),
-        ({"quantity_on_hand": 15}, "RESERVE", 10, (15, 10, 0), c.INSUFFICIENT),
-        ({}, "RESERVE", 0, (100, 10, 0), c.NOT_POSITIVE),
-        ({}, "SALE", 15, (85, 10, 0), None),
-        ({}, "SALE", 91, (100, 10, 0), c.INSUFFICIENT),
-        ({"quantity_on_hand": 50, "quantity_in_transit": 30}, "RECEIPT", 30, (80, 10, 0), None),
-        ({"quantity_on_hand": 50, "quantity_in_transit": 10}, "RECEIPT", 30, (80, 10, 10), None),
-        ({"quantity_reserved": 20}, "RELEASE", 10, (100, 10, 0), None),
-        ({}, "RELEASE", 11, (100, 10, 0), c.OVER_RELEASE),
-        ({}, "PAINT", 1, (100, 10, 0), c.UNKNOWN_OP),
-    ],
-)
-def test_golden_cases(spark, items, before, op, q, after, reason):
-    stock = items(before)
-    log = commands(spark, [(1, "AAA", "W1", op, q, 0)])
-    judged = c.judge(stock, log)
-    assert judged.select("rejection").first()[0] == reason
-    row = c.items_after(stock, log).first()
-    assert (row.quantity_on_hand, row.quantity_reserved, row.quantity_in_transit) == after
-    assert row.version == (0 if reason else 1)
+GOLDEN = [
+    # what differs from 100 on hand, 10 reserved, reorder point 20; command; levels after; reason
+    ({}, "ADJUST", -10, (90, 10, 0), None),
+    ({"quantity_on_hand": 5, "quantity_reserved": 0}, "ADJUST", -10, (5, 0, 0), c.NEGATIVE),
+    ({}, "RESERVE", 10, (100, 20, 0), None),
+    ({"quantity_on_hand": 15}, "RESERVE", 10, (15, 10, 0), c.INSUFFICIENT),
+    ({}, "RESERVE", 0, (100, 10, 0), c.NOT_POSITIVE),
+    ({}, "SALE", 15, (85, 10, 0), None),
+    ({}, "SALE", 91, (100, 10, 0), c.INSUFFICIENT),
+    ({"quantity_on_hand": 50, "quantity_in_transit": 30}, "RECEIPT", 30, (80, 10, 0), None),
+    ({"quantity_on_hand": 50, "quantity_in_transit": 10}, "RECEIPT", 30, (80, 10, 10), None),
+    ({"quantity_reserved": 20}, "RELEASE", 10, (100, 10, 0), None),
+    ({}, "RELEASE", 11, (100, 10, 0), c.OVER_RELEASE),
+    ({}, "PAINT", 1, (100, 10, 0), c.UNKNOWN_OP),
+]
+
+
+def test_golden_cases(spark, items):
+    """Each case is a product of its own, so one replay answers all of them."""
+    skus = [f"S{n:02d}" for n in range(len(GOLDEN))]
+    stock = items(*[{"sku": s, **before} for s, (before, *_) in zip(skus, GOLDEN, strict=True)])
+    log = commands(
+        spark, [(n, s, "W1", op, q, 0) for n, (s, (_, op, q, *_)) in enumerate(zip(skus, GOLDEN, strict=True))]
+    )
+    judged = c.judge(stock, log).cache()
+    reasons = [reason for *_, reason in GOLDEN]
+    assert dict(judged.select("sku", "rejection").collect()) == dict(zip(skus, reasons, strict=True))
+    after = {r.sku: r for r in c.items_after(stock, log).collect()}
+    for sku, (_, _, _, levels, reason) in zip(skus, GOLDEN, strict=True):
+        r = after[sku]
+        assert (r.quantity_on_hand, r.quantity_reserved, r.quantity_in_transit) == levels, sku
+        assert r.version == (0 if reason else 1)
     # a rejected command leaves neither ledger row nor event
     done = c.accepted(judged)
-    assert c.ledger_from_commands(done).count() == c.events_from_commands(done).count() == (0 if reason else 1)
+    kept = {s for s, reason in zip(skus, reasons, strict=True) if reason is None}
+    assert {r.sku for r in c.ledger_from_commands(done).collect()} == kept
+    assert {r.sku for r in c.events_from_commands(done).collect()} == kept
 
 
 def test_unknown_item_is_rejected(spark, items):
@@ -245,3 +255,35 @@ def test_long_keys_settle_to_the_same(spark, items, grain, rounds):
     judged = c.judge(stock, commands(spark, log), grain=grain, long_key=100, rounds=rounds)
     got = {r.id: (r.rejection, r.on_hand_after, r.reserved_after) for r in judged.collect()}
     assert got == brute_force(dict.fromkeys(keys, (100, 10)), log)
+
+
+@pytest.mark.parametrize("cut", [{}, {"grain": "day", "long_key": 20}, {"long_key": 20, "rounds": 1}])
+def test_in_transit_equals_brute_force(spark, items, cut):
+    rng = random.Random(13)
+    start = {"AAA": 200, "BBB": 40, "CCC": 3, "DDD": 10_000, "EEE": 7}
+    least = {"CCC": 4, "EEE": -2}
+    log = [
+        (i, s, "W1", "RECEIPT", rng.randint(least.get(s, 1), 30), rng.randint(0, 4000))
+        for i in rng.sample(range(5000), 250) for s in [rng.choice(["AAA", "AAA", "BBB", "CCC", "DDD", "EEE"])]
+    ]
+    stock = items(*[{"sku": s, "quantity_in_transit": q} for s, q in start.items()])
+    want = dict(start)
+    for _, s, _, _, q, _ in sorted(log, key=lambda r: (r[5], r[0])):
+        if want[s] >= q:
+            want[s] -= q
+    got = c.in_transit_after(stock, commands(spark, log), **cut)
+    assert dict(got.select("sku", "_transit").collect()) == want
+
+
+def test_large_quantities_do_not_overflow(spark):
+    rows = [(i, "A", "W1", 2_000_000_000 if i % 2 else -2_000_000_000, START + timedelta(minutes=i)) for i in range(300)]
+    df = spark.createDataFrame(
+        rows, "id long, sku string, warehouse_id string, quantity_change int, timestamp timestamp_ntz"
+    )
+    want = {}
+    for i in range(300):
+        frame = [r[3] for r in rows[max(0, i - 99) : i + 1]]
+        n, s1, s2 = len(frame), sum(frame), sum(x * x for x in frame)
+        want[i] = abs(n * frame[-1] - s1) / (n * s2 - s1 * s1) ** 0.5 if n * s2 > s1 * s1 else 0.0
+    got = {r.id: r.deviation for r in volume_anomalies(df, threshold=-1.0).collect()}
+    assert got == pytest.approx(want)
