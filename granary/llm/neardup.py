@@ -106,8 +106,8 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
     """The rows of `docs` with the least key of their component; where rows share that key, the one with the
     least text. Rows with a null key stay if no other key is in their component."""
     found = near_duplicates(docs, key=key, text=text, shingle=shingle, radius=radius)
-    stay = found.filter(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("_key")).distinct()
+    stay = found.filter(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("stay:key")).distinct()
     columns = docs.columns
-    kept = docs.join(stay, docs[key].eqNullSafe(F.col("_key")), "left_semi")
+    kept = docs.join(stay, docs[key].eqNullSafe(F.col("stay:key")), "left_semi")
     place = F.row_number().over(Window.partitionBy(key).orderBy(text))
-    return kept.withColumn("_place", place).filter("_place = 1").select(*columns)
+    return kept.withColumn("stay:place", place).filter(F.col("stay:place") == 1).select(*columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import neardup, quality, sharding
+from granary.llm import lines, neardup, packing, quality, sharding, tokenfiles
 from granary.llm.store import written
 
 
@@ -29,6 +29,27 @@ def op3_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def vocabulary() -> str:
+    """Where the public tokenizers lie on every machine; their path is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = tokenfiles.write_tokens(documents(spark, folder), vocabulary(), end_id=0)
+    return tokenfiles.read_tokens(manifest)
+
+
+def op6_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(documents(spark, folder), vocabulary(), length=2048, end_id=1), length=2048)
+
+
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = lines.drop_repeated_lines(documents(spark, folder).select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
     rows = documents(spark, folder).select(
         "doc_id", "source",
