@@ -38,8 +38,9 @@ def _hashed(keys: dict[bytes, list[int]]) -> np.ndarray:
 
 
 def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST, bits: int = BITS) -> DataFrame:
-    """(key, lines array<int>) of the documents that lose lines: those whose key also stands in a document of
-    a smaller id. A null id counts as the largest; rows that repeat an id are one document."""
+    """(doc, mark, lines array<int>) of the documents that lose lines: those whose key also stands in a document of
+    a smaller id. A null id counts as the largest; rows that repeat an id are one document, and `mark`, a hash of
+    the text, tells their lines apart."""
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         return (_hashed(line_keys(value.as_py(), least)) for value in batch.column(0))
@@ -47,32 +48,33 @@ def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     filled = twice_seen(docs.select(text), hashes, bits)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc", pa.int64()), ("line", pa.binary()), ("numbers", pa.list_(pa.int32()))])
+        schema = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("line", pa.binary()), ("numbers", pa.list_(pa.int32()))])
         for batch in batches:
-            docs_of, line, numbers = [], [], []
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            docs_of, marks, line, numbers = [], [], [], []
+            for doc, mark, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 keys = line_keys(value.as_py(), least)
                 if keys:
                     for (k, at), suspect in zip(keys.items(), may_repeat(filled.value, _hashed(keys), bits).tolist(), strict=True):
                         if suspect:
                             docs_of.append(doc)
+                            marks.append(mark)
                             line.append(k)
                             numbers.append(at)
             if line:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs_of, pa.int64()), pa.array(line, pa.binary()), pa.array(numbers, pa.list_(pa.int32()))], schema=schema
+                    [pa.array(c, f.type) for c, f in zip((docs_of, marks, line, numbers), schema, strict=True)], schema=schema
                 )
 
     ids = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
     found = written(
-        docs.select(ids.alias("doc"), text).mapInArrow(suspects, "doc long, line binary, numbers array<int>"), "suspects"
+        docs.select(ids.alias("doc"), F.xxhash64(text).alias("mark"), text)
+        .mapInArrow(suspects, "doc long, mark long, line binary, numbers array<int>"),
+        "suspects",
     )
     # the partial minimum leaves a row per line and task; the join back is split where one line is in many documents
     first = found.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
     lost = found.join(first, "line").filter("doc > first")
-    return lost.groupBy("doc").agg(F.flatten(F.collect_list("numbers")).alias("lines")).select(
-        F.when(F.col("doc") != LAST, F.col("doc")).alias(key), "lines"
-    )
+    return lost.groupBy("doc", "mark").agg(F.flatten(F.collect_list("numbers")).alias("lines"))
 
 
 def drop_repeated_lines(
@@ -86,8 +88,9 @@ def drop_repeated_lines(
     """
     columns = [c for c in docs.columns if c not in (lines, dropped)]
     lost = repeated_lines(docs, key=key, text=text, least=least, bits=bits)
-    lost = lost.select(F.col(key).alias("lost:key"), F.col("lines").alias("lost:lines"))
-    joined = docs.select(*columns).join(lost, F.col(key).eqNullSafe(F.col("lost:key")), "left").drop("lost:key")
+    lost = lost.select(F.col("doc").alias("lost:doc"), F.col("mark").alias("lost:mark"), F.col("lines").alias("lost:lines"))
+    marked = docs.select(*columns).withColumns({"lost:doc": F.coalesce(F.col(key).cast("long"), F.lit(LAST)), "lost:mark": F.xxhash64(text)})
+    joined = marked.join(lost, ["lost:doc", "lost:mark"], "left").select(*columns, "lost:lines")
     schema = T.StructType([f if f.name != text else T.StructField(text, T.StringType()) for f in docs.select(*columns).schema])
     schema = schema.add(lines, "long").add(dropped, "long")
 

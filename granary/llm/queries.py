@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import lines, neardup, packing, quality, sharding, tokenfiles
+from granary.llm import (
+    classifier,
+    decontamination,
+    lines,
+    neardup,
+    packing,
+    pii,
+    quality,
+    sharding,
+    substrings,
+    tokenfiles,
+)
 from granary.llm.store import written
 
 
@@ -21,6 +32,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op3_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, folder)).select(
         "doc_id",
@@ -41,6 +56,16 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfiles.read_tokens(manifest)
 
 
+#: Stands in for the secret key that a caller passes.
+EXAMPLE_KEY = b"an example; pass your own secret"
+
+
+def op5_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.with_pseudonyms(documents(spark, folder).select("doc_id", "text"), EXAMPLE_KEY)
+    kinds = F.array_join(F.array_sort(F.array_distinct("pii.kind")), ",")
+    return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), kinds.alias("kinds"))
+
+
 def op6_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.token_pieces(documents(spark, folder), vocabulary(), length=2048, end_id=1), length=2048)
 
@@ -50,6 +75,21 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = substrings.drop_repeated_passages(documents(spark, folder).select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter(~held_out)
+    docs = documents(spark, folder).select("doc_id", "text")
+    scored = classifier.with_score(docs, classifier.train(docs, labels))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op10_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
     rows = documents(spark, folder).select(
         "doc_id", "source",
