@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         odds = vectors @ (weights[1] - weights[0])
         return pd.DataFrame({"model": [np.append(odds, biases[1] - biases[0]).astype("<f4").tobytes()]})
 
-    fitted = rows.groupBy(F.lit(0)).applyInPandas(run, "model binary").first()
+    fitted = rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, "model binary").first()
     return fitted["model"] if fitted else np.zeros(BUCKETS + 1, "<f4").tobytes()
 
 

@@ -32,8 +32,9 @@ def _hashes(words: str) -> Column:
 
 
 def with_shingles(df: DataFrame, text: str, to: str) -> DataFrame:
-    """Add the hashes of a text's runs of five words, in order; rows without any go."""
-    return df.withColumn("_words", _words(text)).withColumn(to, _hashes("_words")).drop("_words").filter(F.size(to) > 0)
+    """Add the hashes of a text's runs of five words, in order; null where there are none. A filter on the array, also
+    one that `explode` implies, would move below it and compute the words anew for each element."""
+    return df.withColumn("_words", _words(text)).withColumn(to, _hashes("_words")).drop("_words")
 
 
 def with_simhash(df: DataFrame, hashes: str, to: str) -> DataFrame:
@@ -86,12 +87,12 @@ def contaminated(
     items = written(
         with_simhash(with_shingles(benchmark.select(F.col(item_key).alias("item"), F.col(item_text).alias("_text")), "_text", "item_hashes"), "item_hashes", "item_mark").drop("_text"),
         "items",
-    )
+    ).filter("item_hashes is not null")
     seeds = written(
         items.select(F.posexplode("item_hashes").alias("offset", "hash"), F.size("item_hashes").alias("length")).distinct(), "seeds"
     )
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("_text"))
-    every = with_shingles(rows, "_text", "hashes").select("doc", "version", F.posexplode("hashes").alias("place", "hash"))
+    every = with_shingles(rows, "_text", "hashes").select("doc", "version", F.posexplode_outer("hashes").alias("place", "hash"))
     known = F.broadcast(seeds) if seeds.count() <= BROADCAST_ROWS else seeds
     laid = written(
         every.join(known, "hash").select("doc", "version", (F.col("place") - F.col("offset")).alias("start"), "length").distinct()
@@ -105,7 +106,7 @@ def contaminated(
     ).select("doc", "version", "_text", "laid")
     cut = with_shingles(matched, "_text", "hashes").select(
         "doc",
-        F.explode(F.expr(
+        F.explode_outer(F.expr(
             "transform(laid, w -> struct(greatest(w.start, 0) as start, w.length as length,"
             " slice(hashes, greatest(w.start, 0) + 1, least(w.start + w.length, size(hashes)) - greatest(w.start, 0)) as hashes))"
         )).alias("w"),

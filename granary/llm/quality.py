@@ -81,14 +81,16 @@ def with_metrics(df: DataFrame) -> DataFrame:
 
 
 def sketch(df: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """The sketch of each metric in each group: rows (groups, metric, value, n). Counts are added up before
-    they are shuffled, so a group is as large as its distinct values, however many rows it has."""
-    metrics = F.explode(F.array(*[
+    """The sketch of each metric in each group, of the rows that pass the base rules: (groups, metric, value, n).
+    Counts are added up before they are shuffled, so a group is as large as its distinct values, however many
+    rows it has."""
+    # no filter on base_failed: it would move below the counts and compute their arrays once more for each element
+    metrics = F.explode_outer(F.when(~F.col("base_failed"), F.array(*[
         F.struct(F.lit(name).alias("metric"), F.col(name).alias("value")) for name in METRICS
-    ]))
+    ])))
     cut = F.expr("shiftleft(shiftright(value, greatest(length(bin(value)) - 6, 0)), greatest(length(bin(value)) - 6, 0))")
     return (
-        df.select(*groups, metrics.alias("m")).select(*groups, "m.metric", "m.value")
+        df.select(*groups, metrics.alias("m")).filter("m is not null").select(*groups, "m.metric", "m.value")
         .groupBy(*groups, "metric", cut.alias("value")).agg(F.count("*").alias("n"))
     )
 
@@ -155,13 +157,13 @@ def judged(metrics: DataFrame, limits_of: DataFrame) -> DataFrame:
     """Add `kept` to rows with counts and metrics: false for those that failed the base rules or have a metric
     beyond the limits of their language and source. Rows of a group without limits are judged by the base rules alone."""
     right = limits_of.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    fits = F.lit(True)
+    broken = F.col("base_failed").cast("int")  # counted, so that a filter on the verdict stays above the join
     for name in METRICS:
-        inside = (F.col(name) >= F.coalesce(f"low_{name}", name)) & (F.col(name) <= F.coalesce(f"high_{name}", name))
-        fits = fits & inside
+        outside = (F.col(name) < F.coalesce(f"low_{name}", name)) | (F.col(name) > F.coalesce(f"high_{name}", name))
+        broken = broken + outside.cast("int")
     on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     return (
-        metrics.join(right, on, "left").withColumn("kept", ~F.col("base_failed") & fits)
+        metrics.join(right, on, "left").withColumn("kept", broken == 0)
         .drop(*right.columns)
     )
 
@@ -169,7 +171,7 @@ def judged(metrics: DataFrame, limits_of: DataFrame) -> DataFrame:
 def corpus_limits(metrics: DataFrame) -> DataFrame:
     """The limits of a corpus, from the sketches of its documents that pass the base rules, as a small
     written table: the planner sees its size and broadcasts it only if that is below its own limit."""
-    return written(limits(sketch(metrics.filter(~F.col("base_failed")))), "limits")
+    return written(limits(sketch(metrics)), "limits")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
