@@ -17,6 +17,7 @@ from granary.llm import (
     substrings,
     tokenfiles,
 )
+from granary.llm.oracles import SQL  # noqa: F401
 from granary.llm.store import written
 
 
@@ -105,4 +106,3 @@ def op10_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     name: function for name, function in sorted(globals().items()) if name.startswith("op") and callable(function)
 }
-SQL: dict[str, str] = {}
