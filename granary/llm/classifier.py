@@ -96,7 +96,9 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         .orderBy(F.xxhash64("_key"), "_key", "_label").limit(sample),
         "sample",
     )
-    rows = docs.join(chosen, docs[key] == F.col("_key")).select("_key", "_label", F.col(text).alias("_text")).filter("_text is not null")
+    rows = docs.select(F.col(key).alias("_own"), F.col(text).alias("_text")).filter("_text is not null").join(
+        chosen, F.col("_own") == F.col("_key")
+    ).select("_key", "_label", "_text")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["_key", "_text", "_label"])

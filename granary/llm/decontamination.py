@@ -82,10 +82,11 @@ def contaminated(
     document. SimHash fingerprints of windows and items within `radius` bits are candidates; those whose shingles, counted
     as often as they stand, have a weighted Jaccard similarity of `least` or more are hits. `start` counts words
     from 0. Texts and items of fewer than five words, and null ones, hold no shingle and are never hits; rows that
-    repeat a key are judged one by one and reported together; a null key is a key like any other.
+    repeat a key are judged one by one and reported together; null keys of
+    documents and items are keys like any other.
     """
     items = written(
-        with_simhash(with_shingles(benchmark.select(F.col(item_key).alias("item"), F.col(item_text).alias("_text")), "_text", "item_hashes"), "item_hashes", "item_mark").drop("_text"),
+        with_simhash(with_shingles(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_key).alias("name"), F.col(item_text).alias("_text")), "_text", "item_hashes"), "item_hashes", "item_mark").drop("_text"),
         "items",
     ).filter("item_hashes is not null")
     seeds = written(
@@ -124,9 +125,10 @@ def contaminated(
     )
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "length")).alias("best")
     return (
-        alike.join(windows.select("window", "doc", "start", "length"), "window").groupBy("doc", "item").agg(best)
+        alike.join(windows.select("window", "doc", "start", "length"), "window").join(items.select("item", "name"), "item")
+        .groupBy("doc", "name").agg(best)
         .select(
-            F.col("doc").alias(key), F.col("item").alias(item_key), F.round("best.similarity", 6).alias("similarity"),
+            F.col("doc").alias(key), F.col("name").alias(item_key), F.round("best.similarity", 6).alias("similarity"),
             (-F.col("best.start")).alias("start"), (F.col("best.length") + SHINGLE - 1).alias("length"),
         )
     )

@@ -29,46 +29,49 @@ def words(text: Column) -> Column:
 def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed.
 
-    All are 0, and base_failed is true, for null and empty texts. Repeated windows are found by 64-bit hashes of
+    All are 0, and base_failed is true, for null and empty texts. Columns of these names are replaced. Repeated windows are found by 64-bit hashes of
     their words within one text, sorted with their positions, in n log n time for a text of n words.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda line: F.length(F.btrim(line, F.lit(SPACES))) > 0)
-    out = df.withColumns({"_words": words(F.col(text)), "_lines": lines}).withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+    out = df.withColumns({"rule:words": words(F.col(text)), "rule:lines": lines}).withColumns({
+        "n_words": F.size("rule:words").cast("long"),
+        "word_chars": F.length(F.array_join("rule:words", "")).cast("long"),
         "n_symbols": F.regexp_count(whole, F.lit("[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_windows": F.when(
-            F.size("_words") >= WINDOW,
+        "n_dup_lines": (F.size("rule:lines") - F.size(F.array_distinct("rule:lines"))).cast("long"),
+        "rule:windows": F.when(
+            F.size("rule:words") >= WINDOW,
             F.transform(
-                F.sequence(F.lit(0), F.size("_words") - WINDOW),
-                lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(WINDOW)]),
+                F.sequence(F.lit(0), F.size("rule:words") - WINDOW),
+                lambda i: F.xxhash64(*[F.get("rule:words", i + k) for k in range(WINDOW)]),
             ),
         ),
     })
     # windows sorted by hash, then place: those that occur twice have an equal neighbour
     def twice(window: Column, i: Column) -> Column:
-        return F.get("_sorted", i - 1)["h"].eqNullSafe(window["h"]) | F.get("_sorted", i + 1)["h"].eqNullSafe(window["h"])
+        return F.get("rule:sorted", i - 1)["h"].eqNullSafe(window["h"]) | F.get("rule:sorted", i + 1)["h"].eqNullSafe(window["h"])
 
     out = out.withColumn(
-        "_sorted",
+        "rule:sorted",
         F.when(
-            F.size(F.array_distinct("_windows")) < F.size("_windows"),
-            F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("at")))),
+            F.size(F.array_distinct("rule:windows")) < F.size("rule:windows"),
+            F.array_sort(F.transform("rule:windows", lambda h, i: F.struct(h.alias("h"), i.alias("at")))),
         ),
-    ).withColumn("_places", F.array_sort(F.transform(F.filter("_sorted", twice), lambda w: w["at"])))
+    ).withColumn("rule:places", F.array_sort(F.transform(F.filter("rule:sorted", twice), lambda w: w["at"])))
     # each place covers a window's words, less those the next place covers as well
     covered = F.aggregate(
-        F.transform("_places", lambda at, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_places", i + 1) - at, F.lit(WINDOW)))),
+        F.transform("rule:places", lambda at, i: F.least(F.lit(WINDOW), F.coalesce(F.get("rule:places", i + 1) - at, F.lit(WINDOW)))),
         F.lit(0).cast("long"),
         lambda total, n: total + n,
     )
-    return (
-        out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-        .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-        .drop("_words", "_lines", "_windows", "_sorted", "_places")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).withColumn(
+        "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     )
+    # a row of one: filters on the counts stay above it; below, they would compute the arrays anew for each element
+    once = F.explode(F.array(F.struct(*counts))).alias("rule:counts")
+    columns = [F.col(f"`{c}`") for c in df.columns if c not in counts]
+    return out.select(*columns, once).select(*columns, "`rule:counts`.*")
 
 
 def with_metrics(df: DataFrame) -> DataFrame:
@@ -84,13 +87,12 @@ def sketch(df: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataF
     """The sketch of each metric in each group, of the rows that pass the base rules: (groups, metric, value, n).
     Counts are added up before they are shuffled, so a group is as large as its distinct values, however many
     rows it has."""
-    # no filter on base_failed: it would move below the counts and compute their arrays once more for each element
-    metrics = F.explode_outer(F.when(~F.col("base_failed"), F.array(*[
+    metrics = F.explode(F.array(*[
         F.struct(F.lit(name).alias("metric"), F.col(name).alias("value")) for name in METRICS
-    ])))
+    ]))
     cut = F.expr("shiftleft(shiftright(value, greatest(length(bin(value)) - 6, 0)), greatest(length(bin(value)) - 6, 0))")
     return (
-        df.select(*groups, metrics.alias("m")).filter("m is not null").select(*groups, "m.metric", "m.value")
+        df.filter(~F.col("base_failed")).select(*groups, metrics.alias("m")).select(*groups, "m.metric", "m.value")
         .groupBy(*groups, "metric", cut.alias("value")).agg(F.count("*").alias("n"))
     )
 
@@ -157,13 +159,13 @@ def judged(metrics: DataFrame, limits_of: DataFrame) -> DataFrame:
     """Add `kept` to rows with counts and metrics: false for those that failed the base rules or have a metric
     beyond the limits of their language and source. Rows of a group without limits are judged by the base rules alone."""
     right = limits_of.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    broken = F.col("base_failed").cast("int")  # counted, so that a filter on the verdict stays above the join
+    fits = ~F.col("base_failed")
     for name in METRICS:
-        outside = (F.col(name) < F.coalesce(f"low_{name}", name)) | (F.col(name) > F.coalesce(f"high_{name}", name))
-        broken = broken + outside.cast("int")
+        inside = (F.col(name) >= F.coalesce(f"low_{name}", name)) & (F.col(name) <= F.coalesce(f"high_{name}", name))
+        fits = fits & inside
     on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     return (
-        metrics.join(right, on, "left").withColumn("kept", broken == 0)
+        metrics.join(right, on, "left").withColumn("kept", fits)
         .drop(*right.columns)
     )
 

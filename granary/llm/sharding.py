@@ -14,9 +14,9 @@ def _placed(df: DataFrame, whole: list[str], block: str, order: list[str], count
     """Number the rows of each `whole` from 0 by block and then by `order`: the rows of the blocks before
     come from `counts` (one row `n` per block), so no task sorts more than a block."""
     before = Window.partitionBy(*whole).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    starts = counts.withColumn("at:before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     within = F.row_number().over(Window.partitionBy(*whole, block).orderBy(*order))
-    return df.join(starts, [*whole, block]).withColumn(to, F.col("_before") + within - 1).drop("_before")
+    return df.join(starts, [*whole, block]).withColumn(to, F.col("at:before") + within - 1).drop("at:before")
 
 
 def interleave(
@@ -25,8 +25,8 @@ def interleave(
     """Add `shard` (int) and `slot` (long, gapless from 0 in each shard).
 
     The rows of a stratum, in a seeded random order, are spread evenly over [0, 1); all rows are sorted by
-    that fraction and cut into shards whose counts differ by one at most. A stratum's share of a shard is off
-    from its share of the whole by less than two rows.
+    that fraction and cut into shards whose counts differ by one at most. A stratum's rows in a shard are off
+    from its share of the whole by less than two, and by its share of the number of strata.
 
     The order within a stratum is that of a hash of seed and key, then of the key and of `ties`; rows equal in all of
     these are interchangeable. A null key counts like any other, null strata are one stratum, an empty table
@@ -36,25 +36,25 @@ def interleave(
     rows = max(1, df.count())
     bits = max(1, math.ceil(math.log2(rows) / 2))
     drawn = df.withColumns({
-        "_stratum": F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")),
-        "_draw": F.xxhash64(F.lit(seed), F.col(key)),
-    }).withColumn("_block", F.shiftrightunsigned("_draw", 64 - bits))
+        "at:stratum": F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")),
+        "at:draw": F.xxhash64(F.lit(seed), F.col(key)),
+    }).withColumn("at:block", F.shiftrightunsigned("at:draw", 64 - bits))
     blocks = (
-        drawn.groupBy("_stratum", "_block").agg(F.count("*").alias("n"))
-        .withColumn("_size", F.sum("n").over(Window.partitionBy("_stratum")))
+        drawn.groupBy("at:stratum", "at:block").agg(F.count("*").alias("n"))
+        .withColumn("at:size", F.sum("n").over(Window.partitionBy("at:stratum")))
     )
-    order = ["_draw", key, *ties]
-    ranked = _placed(drawn, ["_stratum"], "_block", order, blocks, "_rank")
+    order = ["at:draw", key, *ties]
+    ranked = _placed(drawn, ["at:stratum"], "at:block", order, blocks, "at:rank")
     spread = written(
-        ranked.withColumn("_fraction", (2 * F.col("_rank") + 1) / (2 * F.col("_size")))
-        .withColumn("_range", F.floor(F.col("_fraction") * F.lit(1 << bits)))
-        .drop("_block", "_rank", "_size"),
+        ranked.withColumn("at:fraction", (2 * F.col("at:rank") + 1) / (2 * F.col("at:size")))
+        .withColumn("at:range", F.floor(F.col("at:fraction") * F.lit(1 << bits)))
+        .drop("at:block", "at:rank", "at:size"),
         "interleaved",
     )
-    ranges = spread.groupBy("_range").agg(F.count("*").alias("n"))
-    placed = _placed(spread, [], "_range", ["_fraction", "_stratum", *order], ranges, "_place")
+    ranges = spread.groupBy("at:range").agg(F.count("*").alias("n"))
+    placed = _placed(spread, [], "at:range", ["at:fraction", "at:stratum", *order], ranges, "at:place")
     return (
-        placed.withColumn("shard", F.expr(f"cast((_place * {shards}) div {rows} as int)"))
-        .withColumn("slot", F.expr(f"_place - (shard * {rows}L + {shards - 1}) div {shards}"))
-        .drop("_stratum", "_draw", "_fraction", "_range", "_place")
+        placed.withColumn("shard", F.expr(f"cast((`at:place` * {shards}) div {rows} as int)"))
+        .withColumn("slot", F.expr(f"`at:place` - (shard * {rows}L + {shards - 1}) div {shards}"))
+        .drop("at:stratum", "at:draw", "at:fraction", "at:range", "at:place")
     )
