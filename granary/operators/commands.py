@@ -46,6 +46,7 @@ def _q() -> Column:
 
 
 NOT_FOUND = "NOT_FOUND"
+MISSING = "MISSING_VALUE"
 NEGATIVE = "NEGATIVE_INVENTORY"
 INSUFFICIENT = "INSUFFICIENT_INVENTORY"
 OVER_RELEASE = "RELEASE_EXCEEDS_RESERVED"
@@ -54,14 +55,16 @@ UNKNOWN_OP = "UNKNOWN_OPERATION"
 
 
 def on_hand_change() -> Column:
-    return (
-        F.when(_op().isin("ADJUST", "RECEIPT"), _q()).when(_op() == "SALE", -_q()).otherwise(F.lit(0))
+    return F.coalesce(  # a command without quantity changes nothing
+        F.when(_op().isin("ADJUST", "RECEIPT"), _q()).when(_op() == "SALE", -_q()).otherwise(F.lit(0)),
+        F.lit(0),
     ).cast("bigint")
 
 
 def reserved_change() -> Column:
-    return (
-        F.when(_op() == "RESERVE", _q()).when(_op() == "RELEASE", -_q()).otherwise(F.lit(0))
+    return F.coalesce(  # a command without quantity changes nothing
+        F.when(_op() == "RESERVE", _q()).when(_op() == "RELEASE", -_q()).otherwise(F.lit(0)),
+        F.lit(0),
     ).cast("bigint")
 
 
@@ -69,7 +72,8 @@ def rejection(on_hand: Column, reserved: Column) -> Column:
     """Why a command fails in the given state before it; NULL when it is accepted."""
     free = on_hand - reserved
     return (
-        F.when((_op() == "ADJUST") & (on_hand + _q() < 0), NEGATIVE)
+        F.when(_op().isNull() | _q().isNull(), MISSING)
+        .when((_op() == "ADJUST") & (on_hand + _q() < 0), NEGATIVE)
         .when((_op() == "RESERVE") & (_q() <= 0), NOT_POSITIVE)
         .when(_op().isin("RESERVE", "SALE") & (_q() > free), INSUFFICIENT)
         .when((_op() == "RELEASE") & (_q() > reserved), OVER_RELEASE)
@@ -77,8 +81,11 @@ def rejection(on_hand: Column, reserved: Column) -> Column:
     )
 
 
-def step(op: str, q: int, on_hand: int, reserved: int) -> tuple[str | None, int, int]:
+def step(op: str | None, q: float | None, on_hand: int, reserved: int) -> tuple[str | None, int, int]:
     """One command: why it is rejected, or None, and the levels after it."""
+    if op is None or q is None or op != op or q != q:  # NULLs arrive as None or as NaN
+        return MISSING, on_hand, reserved
+    q = int(q)
     if op == "RECEIPT":
         return None, on_hand + q, reserved
     if op == "ADJUST":

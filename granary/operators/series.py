@@ -61,7 +61,7 @@ def demand_features(history: DataFrame) -> DataFrame:
     ranked = history.withColumn("_back", F.row_number().over(latest_first()))
     sales, back = F.col("daily_sales"), F.col("_back")
     means = ranked.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("_days"),
+        F.count(sales).alias("_days"),
         F.avg(F.when(back <= 7, sales)).alias("velocity_7d"),
         F.avg(F.when(back <= 30, sales)).alias("velocity_30d"),
         F.stddev_samp(sales).alias("_deviation"),
@@ -96,10 +96,13 @@ def with_risk_and_reorder(features: DataFrame) -> DataFrame:
 def processed_metrics(
     touched: DataFrame, ledger: DataFrame, *, as_of: datetime, days: int = 90
 ) -> DataFrame:
-    """Metrics of every touched key, one row each; a key without history gets the defaults."""
+    """Metrics of every touched key, one row each; a key without history gets the defaults.
+
+    The ledger is summed to days before it meets the keys, so no key brings its movements to the join.
+    """
     keys = touched.select(*KEY).distinct()
-    features = demand_features(daily_sales(ledger.join(keys, KEY, "left_semi"), as_of=as_of, days=days))
-    filled = keys.join(features, KEY, "left").fillna(
+    features = demand_features(keys.join(daily_sales(ledger, as_of=as_of, days=days), KEY, "left"))
+    filled = features.fillna(
         {"velocity_7d": 0.0, "velocity_30d": 0.0, "volatility": 0.0, "trend": 0.0,
          "seasonality_index": 1.0}
     )
@@ -263,22 +266,21 @@ def feature_store(frame: DataFrame) -> DataFrame:
 
 
 def feature_metadata(features: DataFrame, columns: list[str]) -> DataFrame:
-    """Type, share of NULLs and number of distinct values of each column."""
+    """Type, share of NULLs and number of distinct values of each column, in one aggregate over the rows."""
     types = dict(features.dtypes)
-    per_value = (
-        features.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-            for c in columns
-        ])).alias("cell"))
-        .groupBy("cell.feature", "cell.value")
-        .agg(F.count(F.lit(1)).alias("n"))
+    counts = features.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.struct(F.count_if(F.col(c).isNull()).alias("missing"), F.count_distinct(c).alias("different")).alias(c) for c in columns],
+    )
+    cell = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(types[c]).alias("data_type"), F.col(c).alias("n")) for c in columns
+    ])).alias("cell")
+    return counts.select("_rows", cell).select(
+        "cell.feature",
+        (F.col("cell.n.missing") * 100.0 / F.col("_rows")).alias("null_percentage"),
+        F.col("cell.n.different").alias("unique_values"),
+        "cell.data_type",
     )
-    kind = F.create_map(*[F.lit(x) for c in columns for x in (c, types[c])])
-    missing = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(F.lit(0)))
-    return per_value.groupBy("feature").agg(
-        (missing * 100.0 / F.sum("n")).alias("null_percentage"),
-        F.count("value").alias("unique_values"),
-    ).withColumn("data_type", kind[F.col("feature")])
 
 
 def seasonality_strength(daily: DataFrame, *, value: str, day: str, period: int = 7) -> DataFrame:

@@ -48,6 +48,7 @@ def inventory_snapshot(
         "reorder_point",
         "reorder_quantity",
         "unit_cost",
+        "last_reorder_date",
         F.col("inventory_status").alias("status"),
         stock.stock_value().alias("inventory_value"),
     )

@@ -117,8 +117,8 @@ _categories("category_search", "is_active AND lower(name) LIKE '%o%'", lambda d:
 _categories("categories_active", "is_active", op.active)
 _categories("categories_root", "parent_category_id IS NULL",
             lambda d: d.filter(F.col("parent_category_id").isNull()))
-_categories("categories_children", "parent_category_id = 2",
-            lambda d: op.where_equal(d, parent_category_id=2))
+_categories("categories_children", "parent_category_id = 1",
+            lambda d: op.where_equal(d, parent_category_id=1))
 
 WAREHOUSE = "SELECT id, warehouse_id, name, country, is_active FROM warehouses WHERE "
 

@@ -49,6 +49,9 @@ SELECT concat('SKU-', lpad(CAST(user_id AS STRING), 6, '0')) AS sku,
        CASE WHEN user_id % 3 = 0 THEN NULL ELSE first_ts END AS last_stock_check
 FROM (SELECT user_id, event_id % 4 + 1 AS w, min(ts) AS first_ts
       FROM {events} GROUP BY user_id, event_id % 4 + 1) k""",
+    # items with the day of their last reorder
+    "ordered_items": """
+SELECT i.*, CASE WHEN quantity_on_hand % 4 <> 0 THEN last_stock_check END AS last_reorder_date FROM {items} i""",
     "tx_dense": """
 SELECT (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 100
          + CAST(l_quantity AS BIGINT) AS id,
@@ -80,11 +83,9 @@ FROM (SELECT p_type AS sku, concat('WH', CAST(n_regionkey AS STRING)) AS warehou
       JOIN {nation} ON s_nationkey = n_nationkey
       GROUP BY p_type, n_regionkey) k""",
     "categories": """
-SELECT CAST(row_number() OVER (ORDER BY p_type) AS BIGINT) AS id, p_type AS name,
-       CAST(CASE WHEN row_number() OVER (ORDER BY p_type) <= 2 THEN NULL
-            ELSE row_number() OVER (ORDER BY p_type) % 2 + 1 END AS BIGINT) AS parent_category_id,
+SELECT id, name, CAST(CASE WHEN id <= 3 THEN NULL WHEN id % 4 < 2 THEN 1 ELSE 3 END AS BIGINT) AS parent_category_id,
        TRUE AS is_active
-FROM (SELECT DISTINCT p_type FROM {part}) t""",
+FROM (SELECT CAST(min(p_partkey) + 1 AS BIGINT) AS id, p_type AS name FROM {part} GROUP BY p_type) t""",
     "products": """
 SELECT p_partkey AS id, concat('SKU-', lpad(CAST(p_partkey AS STRING), 6, '0')) AS sku,
        p_name AS name, concat(p_brand, ' ', p_type) AS description,

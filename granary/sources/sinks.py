@@ -32,13 +32,19 @@ def archive_metrics(metrics: DataFrame, path: str, *, processed_at: datetime) ->
     stamped = metrics.withColumns({
         "processed_at": at(processed_at),
         "processed_date": F.lit(processed_at.strftime("%Y-%m-%d")),
-        "run": F.lit(processed_at.strftime("%Y%m%d_%H%M%S")),
+        "run": F.lit(run_name(processed_at)),
     })
     write_partitions(stamped, path, ["processed_date", "run"])
 
 
+def run_name(at_time: datetime) -> str:
+    return at_time.strftime("%Y%m%d_%H%M%S")
+
+
 def append_metrics(metrics: DataFrame, path: str, *, processed_at: datetime) -> None:
-    metrics.withColumn("processed_at", at(processed_at)).write.mode("append").parquet(path)
+    """Metrics of one run, in a folder per run that a repeated run replaces."""
+    stamped = metrics.withColumns({"processed_at": at(processed_at), "run": F.lit(run_name(processed_at))})
+    write_partitions(stamped, path, ["run"])
 
 
 def upsert_partitions(
@@ -53,21 +59,27 @@ def upsert_partitions(
 ) -> None:
     """Merge a batch into a parquet table partitioned by one of its key columns.
 
-    Only the partitions named in the batch are read. The merged rows are checkpointed before
-    they replace those partitions, so no plan reads the files it is replacing.
+    Only partitions between the least and the greatest that the batch names are read, and of those the rows of
+    named ones are kept. The merged rows are checkpointed before they replace those partitions, so no plan reads
+    the files it is replacing. A batch without rows changes nothing.
     """
     if by not in keys:
         raise ValueError("the partition column must be part of the key")
     enable_checkpoints(spark)
     names = new.select(by).distinct()
-    old = spark.read.schema(schema).parquet(path).join(names, by, "left_semi")
+    low, high = new.agg(F.min(by), F.max(by)).first()
+    if low is None:
+        return
+    stored = spark.read.schema(schema).parquet(path)
+    old = stored.filter(F.col(by).between(F.lit(low), F.lit(high))).join(names, by, "left_semi")
     merged = upsert(old, new.select(*schema.fieldNames()), keys, update=update).checkpoint()
     write_partitions(merged, path, [by])
 
 
 def write_alerts(alerts: DataFrame, path: str, *, at_time: datetime) -> None:
-    """Alert rows as JSON lines, the content of the alert topic."""
-    alert_messages(alerts, at_time=at_time).write.mode("append").text(path)
+    """Alert rows as JSON lines, the content of the alert topic, in a folder per run."""
+    lines = alert_messages(alerts, at_time=at_time).withColumn("run", F.lit(run_name(at_time)))
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").text(path)
 
 
 def alert_messages(alerts: DataFrame, *, at_time: datetime) -> DataFrame:
@@ -82,11 +94,12 @@ def publish_events(events: DataFrame, servers: str, topic: str) -> None:
     ).save()
 
 
-def write_routed(events: DataFrame, path: str) -> None:
-    """Events into one folder per index."""
+def write_routed(events: DataFrame, path: str, *, batch: str) -> None:
+    """Events into one folder per index and batch; a batch that is written again replaces itself."""
     (
-        with_index_name(events).write.mode("append")
+        with_index_name(events).withColumn("batch", F.lit(batch)).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("timestampNTZFormat", JSON_TIME)
-        .partitionBy("index_name")
+        .partitionBy("index_name", "batch")
         .json(path)
     )

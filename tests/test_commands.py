@@ -43,6 +43,9 @@ GOLDEN = [
     ({"quantity_reserved": 20}, "RELEASE", 10, (100, 10, 0), None),
     ({}, "RELEASE", 11, (100, 10, 0), c.OVER_RELEASE),
     ({}, "PAINT", 1, (100, 10, 0), c.UNKNOWN_OP),
+    ({}, None, 1, (100, 10, 0), c.MISSING),
+    ({}, "SALE", None, (100, 10, 0), c.MISSING),
+    ({}, "RECEIPT", None, (100, 10, 0), c.MISSING),
 ]
 
 
@@ -68,6 +71,28 @@ def test_golden_cases(spark, items):
     assert {r.sku for r in c.events_from_commands(done).collect()} == kept
 
 
+MIXED = [("SALE", 5), ("SALE", None), ("SALE", 1000), (None, 5), ("ADJUST", None), ("RELEASE", None), ("SALE", 5)]
+MIXED_REASONS = [None, c.MISSING, c.INSUFFICIENT, c.MISSING, c.MISSING, c.MISSING, None]
+
+
+def test_missing_values_are_rejected_before_and_after_a_rejection(spark, items):
+    log = commands(spark, [(n, "AAA", "W1", op, q, n) for n, (op, q) in enumerate(MIXED)])
+    judged = c.judge(items({}), log).orderBy("id").collect()
+    assert [r.rejection for r in judged] == MIXED_REASONS
+    assert judged[-1].on_hand_after == 90
+    sliced = c.judge(items({}), log, long_key=2).orderBy("id").collect()
+    assert [r.rejection for r in sliced] == MIXED_REASONS
+
+
+def test_missing_values_are_rejected_on_a_stream(spark, items):
+    log = commands(spark, [(n, "AAA", "W1", op, q, n) for n, (op, q) in enumerate(MIXED)])
+    path, out = fresh_dir(spark, "mixed"), fresh_dir(spark, "judged")
+    log.coalesce(1).write.parquet(path)
+    stream = read_table_files(spark, path, COMMANDS, only="*.parquet")
+    table = to_table(stream_judge(items({}), stream), out, checkpoint=out + "-checkpoint")
+    assert [r.rejection for r in table.orderBy("id").collect()] == MIXED_REASONS
+
+
 def test_unknown_item_is_rejected(spark, items):
     judged = c.judge(items({}), commands(spark, [(1, "ZZZ", "W1", "SALE", 1, 0)]))
     assert [tuple(r) for r in judged.select("rejection", "on_hand_after").collect()] == [(c.NOT_FOUND, None)]

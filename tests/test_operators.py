@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import glob
+import os
 from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.operators import (
     anomaly, catalog, events, keyed, lookups, quality, replenishment, reports, rollups, series, snapshot, upsert,
@@ -442,3 +445,38 @@ def test_documents_round_trip(spark, ledger):
     tables.as_documents(ledger([(1, "A", "W", -5, "SALE", "2024-01-01T10:00:00")])).write.json(path)
     back = tables.read_ledger_documents(spark, path)
     assert as_set(back, "sku", "quantity_change", "timestamp") == {("A", -5, datetime(2024, 1, 1, 10))}
+
+
+def test_upsert_reads_only_partitions_between_those_of_the_batch(spark):
+    path = fresh_dir(spark, "pruned")
+    schema = T.StructType().add("day", "string").add("k", "integer").add("v", "integer")
+    table = spark.createDataFrame([(f"2024-01-{d:02d}", k, 0) for d in range(1, 10) for k in range(2)], schema)
+    sinks.write_partitions(table, path, ["day"])
+    before = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/day=*/*.parquet")}
+    new = spark.createDataFrame([("2024-01-05", 1, 7), ("2024-01-05", 2, 8)], schema)
+    sinks.upsert_partitions(spark, path, new, schema=schema, keys=["day", "k"], by="day")
+    after = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/day=*/*.parquet")}
+    assert {f for f in before if before[f] != after.get(f)} == {f for f in before if "01-05" in f}
+    got = spark.read.schema(schema).parquet(path)
+    assert as_set(got.filter("v > 0"), "day", "k", "v") == {("2024-01-05", 1, 7), ("2024-01-05", 2, 8)} and got.count() == 19
+    sinks.upsert_partitions(spark, path, new.limit(0), schema=schema, keys=["day", "k"], by="day")
+    assert spark.read.schema(schema).parquet(path).count() == 19
+    plan = got.filter(F.col("day").between("2024-01-05", "2024-01-05"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_sinks_of_a_run_replace_themselves(spark):
+    path = fresh_dir(spark, "again")
+    rows = spark.createDataFrame([("A", 1)], "sku string, n int")
+    for day in (1, 1, 2):
+        run = datetime(2024, 1, day)
+        sinks.append_metrics(rows, path + "/metrics", processed_at=run)
+        sinks.write_alerts(rows, path + "/alerts", at_time=run)
+    assert spark.read.parquet(path + "/metrics").count() == 2 and spark.read.text(path + "/alerts").count() == 2
+
+
+def test_metrics_sum_the_ledger_before_the_join(spark, ledger):
+    log = ledger([(1, "A", "W", -5, "SALE", "2024-01-10T00:00")])
+    plan = series.processed_metrics(log, log, as_of=NOW)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate [sku") or "LeftSemi" not in plan
+    assert "LeftSemi" not in plan and plan.count("Join") == 1
