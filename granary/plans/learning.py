@@ -1,6 +1,6 @@
 """Feature rows, model training, evaluation and forecasts.
 
-Fitted models have no SQL to equal; the tests check what they must satisfy.
+Fitted numbers have no SQL to equal: queries compare what must hold of them, and the tests check the rest.
 """
 
 from __future__ import annotations
@@ -101,27 +101,86 @@ def daily_demand(t: Tables):
     return series.daily_net_demand(t.tx_dense).withColumnRenamed("day", "date")
 
 
-query("batch_train_pairs")(lambda t: forecast.training_report(forecast.fit_models(daily_demand(t))))
-query("holdout_mape")(
-    lambda t: forecast.fit_models(daily_demand(t)).select(*KEY, "data_points", "mape")
+# What is known of a key's model before it is fitted.
+REPORT = f"""
+SELECT sku, warehouse_id, CASE WHEN count(*) >= {forecast.MIN_DAYS} THEN 'success' ELSE 'error' END AS status,
+       CASE WHEN count(*) < {forecast.MIN_DAYS} THEN '{forecast.TOO_SHORT}' END AS error,
+       CAST(count(*) AS INT) AS data_points, max(day) AS last_day
+FROM (SELECT sku, warehouse_id, CAST(timestamp AS DATE) AS day FROM tx_dense
+      WHERE transaction_type IN ('SALE', 'RETURN') GROUP BY ALL) d GROUP BY ALL"""
+HORIZON = 30
+
+
+def has_error():
+    """A hold-out error is a share: there, and not negative."""
+    return (F.col("mape") >= 0).alias("has_mape")
+
+
+def reported(t: Tables):
+    """The models, written once, and what happened to each key."""
+    models = materialized(forecast.fit_models(daily_demand(t)))
+    return models, forecast.training_report(models)
+
+
+query("batch_train_pairs", f"""
+SELECT sku, warehouse_id, status, error, data_points, CAST(last_day AS VARCHAR) AS last_date,
+       CASE status WHEN 'success' THEN TRUE END AS has_mape FROM ({REPORT})""", views="tx_dense")(
+    lambda t: forecast.training_report(forecast.fit_models(daily_demand(t))).select(
+        *KEY, "status", "error", "data_points", "last_date", has_error()
+    )
 )
-query("forecast_per_key")(
-    lambda t: forecast.forecast(forecast.fit_models(daily_demand(t)), horizon=30)
+query("holdout_mape", f"""
+SELECT sku, warehouse_id, data_points, CASE status WHEN 'success' THEN TRUE END AS has_mape FROM ({REPORT})""",
+      views="tx_dense")(
+    lambda t: forecast.fit_models(daily_demand(t)).select(*KEY, "data_points", has_error())
 )
 
 
-@query("save_load_models")
+@query("forecast_per_key", f"""
+SELECT sku, warehouse_id, status, error, CAST(last_day + CAST(step AS INT) AS VARCHAR) AS date, TRUE AS bounds_in_order
+FROM ({REPORT}), range(1, {HORIZON + 1}) h(step) WHERE status = 'success'
+UNION ALL SELECT sku, warehouse_id, status, error, NULL, NULL FROM ({REPORT}) WHERE status <> 'success'""",
+       views="tx_dense")
+def _(t: Tables):
+    """Every key: its days ahead, or the reason why there are none."""
+    models, report = reported(t)
+    ahead = forecast.forecast(models, horizon=HORIZON)
+    in_order = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    return report.select(*KEY, "status", "error").join(ahead, KEY, "left").select(
+        *KEY, "status", "error", "date", in_order.alias("bounds_in_order")
+    )
+
+
+@query("save_load_models", f"""
+SELECT sku, warehouse_id, '20010630_000000' AS version, status, data_points,
+       CASE status WHEN 'success' THEN TRUE END AS has_mape FROM ({REPORT})""", views="tx_dense")
 def _(t: Tables):
     path = fresh_dir(t.spark, "models")
     models = forecast.fit_models(daily_demand(t))
     registry.save_models(models, path, trained_at=datetime(2001, 6, 30))
     stored = registry.load_models(t.spark, path)
-    return stored.select(*KEY, "version", "status", "data_points", "mape")
+    return stored.select(*KEY, "version", "status", "data_points", has_error())
 
 
-@query("replenishment_from_forecast")
+@query("replenishment_from_forecast", f"""
+SELECT r.sku, r.warehouse_id, status, error, CASE status WHEN 'success' THEN {HORIZON} END AS points,
+       CASE status WHEN 'success' THEN TRUE END AS points_in_order, CASE status WHEN 'success' THEN TRUE END AS has_accuracy,
+       CASE status WHEN 'success' THEN i.quantity_on_hand END AS current_inventory,
+       CASE status WHEN 'success' THEN TRUE END AS order_covers_point
+FROM ({REPORT}) r LEFT JOIN items_dense i ON r.sku = i.sku AND r.warehouse_id = i.warehouse_id""",
+       views="tx_dense items_dense")
 def _(t: Tables):
-    ahead = materialized(forecast.forecast(forecast.fit_models(daily_demand(t)), horizon=30))
-    plan = replenishment.replenishment_plan(ahead, stock_levels(t))
-    full = replenishment.with_points(plan, ahead)
-    return full.withColumn("points", F.size("predictions")).drop("predictions")
+    """Every key: its plan with the points and the accuracy of its model, or the reason why there is none."""
+    models, report = reported(t)
+    ahead = materialized(forecast.forecast(models, horizon=HORIZON))
+    plan = replenishment.with_points(replenishment.replenishment_plan(ahead, stock_levels(t)), ahead)
+    full = report.select(*KEY, "status", "error", F.col("mape").alias("model_accuracy")).join(plan, KEY, "left")
+    days = F.col("predictions.date")
+    return full.select(
+        *KEY, "status", "error",
+        F.when(F.col("predictions").isNotNull(), F.size("predictions")).alias("points"),
+        (F.array_sort(days) == days).alias("points_in_order"),
+        (F.col("model_accuracy") >= 0).alias("has_accuracy"),
+        "current_inventory",
+        (F.col("recommended_order_quantity") >= F.col("reorder_point")).alias("order_covers_point"),
+    )

@@ -18,8 +18,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 LEARNED = {
-    "train_random_forest", "train_gbt", "ensemble_predict", "forecast_per_key",
-    "replenishment_from_forecast", "feature_matrix",
+    "train_random_forest", "train_gbt", "ensemble_predict", "feature_matrix",
 }
 
 
