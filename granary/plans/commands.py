@@ -196,3 +196,42 @@ FROM catalog WHERE id % 6 = 1""", views="catalog categories")(
         ),
     )
 )
+
+
+def changes_of(view: str, unique: str, rest: list[str], parent: str | None) -> None:
+    """Queries of one request per row of a catalog table, as `requests` makes them for products."""
+    columns = ["id", unique, *rest, "is_active"]
+    flipped = "3" if parent else "3, 4"
+    no_parent = " WHEN 4 THEN 'PARENT_NOT_FOUND'" if parent else ""
+    also = "".join(f", {c}" for c in rest)
+
+    def asked(t: Tables):
+        kind = F.col("id") % 6
+        table = getattr(t, view)
+        return table.select(
+            F.col("id").alias("request_id"),
+            F.when(kind < 2, F.lit(None)).when(kind == 2, F.col("id") + 10_000_000)
+            .otherwise(F.col("id")).cast("bigint").alias("id"),
+            F.when(kind.isin(1, 3), F.concat(unique, F.lit("-B"))).otherwise(F.col(unique)).alias(unique),
+            *[F.when(kind == 4, F.lit(10**9)).otherwise(F.col(c)).cast("bigint").alias(c) if c == parent else F.col(c) for c in rest],
+            F.when(kind != 5, ~F.col("is_active")).alias("is_active"),
+        )
+
+    def judged(t: Tables):
+        table = getattr(t, view).select(columns)
+        return catalog.judge_changes(table, asked(t), unique=unique, parent=parent, parents=getattr(t, view) if parent else None)
+
+    query(f"{view}_upsert_judged", f"""
+SELECT id AS request_id, CASE id % 6 WHEN 0 THEN 'DUPLICATE' WHEN 2 THEN 'NOT_FOUND'{no_parent} END AS rejection FROM {view}""",
+          views=view)(lambda t: judged(t).select("request_id", "rejection"))
+    query(f"{view}_upsert", f"""
+SELECT id, CASE WHEN id % 6 = 3 THEN {unique} || '-B' ELSE {unique} END AS {unique}{also},
+       CASE WHEN id % 6 IN ({flipped}) THEN NOT is_active ELSE is_active END AS is_active FROM {view}
+UNION ALL
+SELECT (SELECT max(id) FROM {view}) + id, {unique} || '-B'{also}, NOT is_active FROM {view} WHERE id % 6 = 1""", views=view)(
+        lambda t: catalog.apply_changes(getattr(t, view).select(columns), judged(t))
+    )
+
+
+changes_of("categories", "name", ["parent_category_id"], "parent_category_id")
+changes_of("warehouses", "warehouse_id", ["name", "country"], None)
