@@ -175,13 +175,13 @@ def judge(
     *,
     grain: str = "hour",
     long_key: int = 5_000_000,
-    rounds: int = 20,
+    rounds: int | None = None,
 ) -> DataFrame:
     """Every command with its rejection (NULL when accepted) and the levels after it.
 
     Commands are ordered by (timestamp, id) within a key; ids must be unique. The rest of a
     key that has more than `long_key` commands is cut into slices which settle on
-    their starting levels in up to `rounds` rounds, and are then replayed side by side.
+    their starting levels round by round (in `rounds` at most, if given), and are then replayed side by side.
     """
     columns = ["id", *KEY, "op", "quantity", "timestamp"]
     levels = items.select(
@@ -333,7 +333,7 @@ def in_transit_after(
     *,
     grain: str = "hour",
     long_key: int = 5_000_000,
-    rounds: int = 20,
+    rounds: int | None = None,
 ) -> DataFrame:
     """What is still in transit per key after its receipts, taken in order.
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -155,7 +156,7 @@ def settle(
     ends: Callable,
     *,
     grain: str,
-    rounds: int,
+    rounds: int | None = None,
 ) -> DataFrame:
     """Cut long keys into runs that can be folded side by side, each from its exact state.
 
@@ -164,8 +165,9 @@ def settle(
     Each round folds the slices whose guess is new (`ends` yields the state after each), adds
     up the changes along the key, and takes the sums as new guesses. A key's first slice
     starts from a known state, so each round makes at least one more slice exact, and
-    when no guess changes all are. Whatever has not settled after `rounds` becomes one
-    last run of its key. The result has one row per key and run: the run and its state.
+    when no guess changes all are. Rounds go on until then; a caller may end them after `rounds`, and
+    whatever has not settled becomes one last run of its key. The result has one row per key and run: the
+    run and its state.
 
     `state` maps names to SQL types. The tables of all rounds are checkpointed.
     """
@@ -184,7 +186,7 @@ def settle(
     )
     along = W.partitionBy(*keys).orderBy(SLICE)
     before = along.rowsBetween(W.unboundedPreceding, -1)
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         folded = fold_in_order(
             sliced.drop(*names).join(todo, place, "inner"), place, order, ends, schema
         )
