@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from granary.ml import features, forecast, registry, train
 from granary.operators import replenishment, series
 from granary.plans.registry import query
-from granary.plans.series import FRAME, VIEWS, frame, stock_levels
+from granary.plans.series import FRAME, RATIOS, VIEWS, frame, stock_levels
 from granary.plans.views import Tables
 from granary.schemas import KEY
 from granary.session import fresh_dir, materialized
@@ -55,7 +55,24 @@ def split_rows(t: Tables):
     return features.feature_rows(before), features.feature_rows(after)
 
 
-@query("feature_matrix")
+_inputs = {c: c for c in features.FEATURES} | {
+    "day_sin": "sin(2 * pi() * day_of_week / 7)", "day_cos": "cos(2 * pi() * day_of_week / 7)",
+    "month_sin": "sin(2 * pi() * month / 12)", "month_cos": "cos(2 * pi() * month / 12)",
+}
+# Scaled by the mean and sample deviation of the rows before the last 60 days; a constant input is 0.
+MATRIX = f"""
+WITH parts AS (SELECT *, date > (SELECT max(date) - 60 FROM ({RATIOS})) AS held_out FROM ({RATIOS})),
+rows_of AS (SELECT *, lead(daily_sales) OVER (PARTITION BY sku, warehouse_id, held_out ORDER BY date) AS target FROM parts),
+inputs AS (SELECT sku, warehouse_id, date, held_out, target,
+  {", ".join(f"CAST(coalesce({sql}, 0) AS DOUBLE) AS {c}" for c, sql in _inputs.items())}
+  FROM rows_of WHERE target IS NOT NULL),
+seen AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS d_{c}" for c in _inputs)} FROM inputs WHERE NOT held_out)
+SELECT sku, warehouse_id, CAST(date AS VARCHAR) AS date, CAST(target AS DOUBLE) AS target,
+  {", ".join(f"round(CASE WHEN d_{c} > 0 THEN ({c} - m_{c}) / d_{c} ELSE 0 END, 6) + 0.0 AS {c}" for c in _inputs)}
+FROM inputs, seen WHERE held_out"""
+
+
+@query("feature_matrix", MATRIX, views=VIEWS)
 def _(t: Tables):
     learn, test = split_rows(t)
     vectors = features.feature_matrix(learn, test)
