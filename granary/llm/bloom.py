@@ -1,6 +1,6 @@
 """Which hashes occur more than once: two Bloom filters, for hashes seen once and seen twice.
 
-Map tasks hand over their hashes, 8 bytes each, dealt by hash into segments; a task that builds a segment sets each hash
+Map tasks hand over their hashes, 4 bytes each, dealt by hash into segments; a task that builds a segment sets each hash
 in the first filter, and in the second if the first already had it. The second filter, of a fixed
 size whatever the input, then tells every task which of its items may be repeated. It never misses one; what it
 holds wrongly costs a shuffle of that item to an exact check, and no result.
@@ -21,9 +21,15 @@ SEGMENTS = 6
 PROBES = 4
 
 
-def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The bits of each hash in its segment of 2**bits bits, one row per probe."""
-    first, step = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(24)) | np.uint64(1)
+def _keys(hashes: np.ndarray) -> np.ndarray:
+    """The 32 bits after those that name the segment: all that travels of a hash."""
+    return (hashes >> np.uint64(32 - SEGMENTS)).astype(np.uint32)
+
+
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of each key in its segment of 2**bits bits, one row per probe."""
+    mixed = (keys.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    first, step = mixed >> np.uint64(32), (mixed >> np.uint64(7)) & np.uint64(0xFFFFFF) | np.uint64(1)
     probes = np.arange(PROBES, dtype=np.uint64)[:, None]
     return ((first + probes * step) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
@@ -33,7 +39,7 @@ def may_repeat(second: bytes, hashes: np.ndarray, bits: int = BITS) -> np.ndarra
     filled = np.frombuffer(second, np.uint8)
     inner = bits - SEGMENTS
     base = (hashes >> np.uint64(64 - SEGMENTS)).astype(np.int64) << inner
-    places = _places(hashes, inner) + base
+    places = _places(_keys(hashes), inner) + base
     return ((filled[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(axis=0)
 
 
@@ -53,7 +59,7 @@ def twice_seen(
             found, times = np.unique(np.concatenate(each), return_counts=True)
             cuts = np.searchsorted(found, np.arange(1, 1 << SEGMENTS, dtype=np.uint64) << np.uint64(64 - SEGMENTS))
             rows = [
-                (segment, part.tobytes(), part[n > 1].tobytes())
+                (segment, _keys(part).tobytes(), _keys(part[n > 1]).tobytes())
                 for segment, (part, n) in enumerate(zip(np.split(found, cuts), np.split(times, cuts), strict=True))
                 if part.size
             ]
@@ -66,9 +72,9 @@ def twice_seen(
                 if segment not in filters:
                     filters[segment] = (np.zeros(1 << inner, bool), np.zeros(1 << inner, bool))
                 once, twice = filters[segment]
-                places = _places(np.frombuffer(every, np.uint64), inner)
+                places = _places(np.frombuffer(every, np.uint32), inner)
                 twice[places[:, once[places].all(axis=0)]] = True
-                twice[_places(np.frombuffer(again, np.uint64), inner)] = True
+                twice[_places(np.frombuffer(again, np.uint32), inner)] = True
                 once[places] = True
         for segment, (_, twice) in filters.items():
             packed = np.packbits(twice, bitorder="little").tobytes()

@@ -71,8 +71,11 @@ def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         .mapInArrow(suspects, "doc long, mark long, line binary, numbers array<int>"),
         "suspects",
     )
-    # the partial minimum leaves a row per line and task; the join back is split where one line is in many documents
-    first = found.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+    # the partial minimum leaves a row per line and task; written apart, so that adaptive execution can split the join
+    # back where one line is in many documents
+    first = written(
+        found.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last"), "repeated"
+    )
     lost = found.join(first, "line").filter("doc > first")
     return lost.groupBy("doc", "mark").agg(F.flatten(F.collect_list("numbers")).alias("lines"))
 
