@@ -66,6 +66,7 @@ def hamming_pairs(windows: DataFrame, items: DataFrame, radius: int = RADIUS) ->
     entered = items.select("item", "item_mark", blocks).withColumn("value", F.expr(_block("item_mark", "block"))).withColumn(
         "value", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseXOR(F.col("value"))))
     )
+    entered = written(entered, "entered")  # the planner does not see how much an explode adds; of a table it does
     asked = windows.select("*", blocks).withColumn("value", F.expr(_block("mark", "block")))
     met = asked.join(entered, ["block", "value"]).filter(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= radius)
     return met.drop("block", "value").distinct()
