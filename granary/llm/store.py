@@ -11,5 +11,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: read many times, computed once, whole
     whichever executors are lost, and of a size that the planner knows."""
     path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    # small row groups: a writer holds one in memory, beside the Python workers
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

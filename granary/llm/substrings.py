@@ -1,9 +1,9 @@
 """Passages that several documents share stay in the first of them only: FM-indexes of the shared passages.
 
 A window is `length` consecutive words. Each window has an anchor, the least hash among its five-word grams, so
-equal windows have equal anchors wherever they stand, and a run of windows with one anchor is a segment. Anchors, then
-windows, that a Bloom filter has seen only once can't be shared and go no further; segments of
-the others are dealt by anchor to shards. Each shard is a compressed index of its distinct segments; their windows are
+equal windows have equal anchors wherever they stand. Anchors, then windows, that a Bloom filter has seen only once
+can't be shared and go no further; runs of the others that have one anchor are passages, dealt by anchor to shards.
+Each shard is a compressed index of its distinct passages; their windows are
 searched backwards in it, and the documents of the rows found tell where a window stands first.
 """
 
@@ -19,13 +19,20 @@ from pyspark.sql import types as T
 
 from granary.llm.bloom import BITS, may_repeat, twice_seen
 from granary.llm.store import written
+from granary.llm.tokens import bounded
 
 LENGTH = 13
 GRAM = 5
 #: Stands for a null key: after every document.
 LAST = (1 << 63) - 1
-#: Words of distinct segments in a shard.
-SHARD = 400_000
+#: Bytes of distinct passages in a shard.
+SHARD = 1_000_000
+#: Distinct passages that a task remembers, so that it sends those that many documents share once.
+TOLD = 20_000
+#: log2 of the bits of the filter of documents that lose words: 2 MB.
+LOSERS = 24
+#: Bytes of text looked at in one go.
+AT_ONCE = 500_000
 
 # Odd multipliers of a multiplicative hash.
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
@@ -37,7 +44,7 @@ class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) > 300_000:
+        if len(self) > 120_000:
             self.clear()
         self[word] = found = xxh3_64_intdigest(word)
         return found
@@ -62,23 +69,38 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def anchors(hashes: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The anchor of each window of `length` words."""
-    own = grams(hashes, min(GRAM, length))
+def window_hashes(hashes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor and a hash of each window of `length` words: the grams that cover it give both."""
+    size = min(GRAM, length)
+    own = grams(hashes, size)
     n = len(hashes) - length + 1
     if n <= 0:
-        return np.empty(0, np.uint64)
-    span = length - min(GRAM, length) + 1
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    span = length - size + 1
     least, have = own, 1
     while 2 * have <= span:
         least, have = np.minimum(least[:-have], least[have:]), 2 * have
-    return np.minimum(least[:n], least[span - have : span - have + n])
-
-
-def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First place of each run of equal values, and the place after its last."""
-    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
-    return starts, np.append(starts[1:], len(values)) if len(values) else starts
+    whole = np.zeros(n, np.uint64)
+    for k in (*range(0, span - 1, size), span - 1):
+        whole = _mixed(whole * np.uint64(_ODD[1]) + own[k : k + n])
+    return np.minimum(least[:n], least[span - have : span - have + n]), whole
+
+
+def batch_windows(texts: pa.Array, hashes: Hashes, length: int = LENGTH) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts after one another; of each window where it starts there; the text it is of; and where
+    each text starts."""
+    words: list[bytes] = []
+    sizes = []
+    for value in texts:
+        own = (value.as_py() or "").encode().split()
+        sizes.append(len(own))
+        words += own
+    size = np.array(sizes, np.int64)
+    begin = np.cumsum(size) - size
+    count = np.maximum(size - length + 1, 0)
+    of = np.repeat(np.arange(len(size)), count)
+    starts = begin[of] + np.arange(len(of)) - (np.cumsum(count) - count)[of]
+    return words, starts, of, begin
 
 
 class Wavelet:
@@ -136,12 +158,15 @@ class Index:
         self.tree = Wavelet(sequence[self.rows - 1], symbols)  # the symbol before each row, round at the first
 
     def search(self, sequence: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [low, high) that start with the `length` symbols up to each end, taken from last to first."""
+        """Rows [low, high) that start with the `length` symbols up to each end, taken from last to first; for symbols
+        that only the sequence at that end has, one row, which stands for a later start in the same text."""
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.rows), np.int64)
+        open_ = np.arange(len(ends))  # a window that only one row has is found: its own
         for back in range(length):
-            symbol = sequence[ends - back].astype(np.int64)
-            low = self.before[symbol] + self.tree.rank(symbol, low)
-            high = self.before[symbol] + self.tree.rank(symbol, high)
+            symbol = sequence[ends[open_] - back].astype(np.int64)
+            low[open_] = self.before[symbol] + self.tree.rank(symbol, low[open_])
+            high[open_] = self.before[symbol] + self.tree.rank(symbol, high[open_])
+            open_ = open_[high[open_] - low[open_] > 1]
         return low, high
 
 
@@ -180,72 +205,99 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, bits: int = BITS)
 
     def anchors_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         hashes = Hashes()
-        for value in batch.column(0):
-            yield np.unique(anchors(hashes.of((value.as_py() or "").encode().split()), length))
+        for part in bounded(iter([batch]), "text", AT_ONCE):
+            words, starts, of, _ = batch_windows(part.column("text"), hashes, length)
+            anchor = window_hashes(hashes.of(words), length)[0][starts]
+            # one of each run of equal anchors in a text; what a text repeats itself does no harm
+            first = np.flatnonzero((anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])) + 1
+            order = np.concatenate([[0], first]) if len(starts) else first
+            ends = np.searchsorted(of[order], np.arange(part.num_rows), side="right")
+            yield from (np.unique(own) for own in np.split(anchor[order], ends[:-1]))
 
     filled = twice_seen(docs.select("text"), anchors_of, bits)
-    kind = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64()), ("content", pa.binary())])
-    ddl = "doc long, mark long, start int, anchor long, content binary"
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         hashes = Hashes()
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, mark, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = (value.as_py() or "").encode().split()
-                own = anchors(hashes.of(words), length)
-                begin, end = runs(own)
-                hit = may_repeat(filled.value, own[begin], bits)
-                for a, b, anchor in zip(begin[hit].tolist(), end[hit].tolist(), own[begin[hit]].view(np.int64).tolist(), strict=True):
-                    rows.append((doc, mark, a, anchor, b" ".join(words[a : b + length - 1])))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+        for part in bounded(iter([batch]), "text", AT_ONCE):
+            words, starts, of, _ = batch_windows(part.column("text"), hashes, length)
+            anchor, whole = (v[starts] for v in window_hashes(hashes.of(words), length))
+            hit = may_repeat(filled.value, anchor, bits)
+            ends = np.searchsorted(of[hit], np.arange(part.num_rows), side="right")
+            yield from (np.unique(own) for own in np.split(whole[hit], ends[:-1]))
 
-    found = written(docs.mapInArrow(segments, ddl), "segments")
+    shared = twice_seen(docs.select("text"), windows_of, bits)
+    kind = pa.schema([(n, pa.int64()) for n in ("doc", "mark", "start", "shard", "id", "id2", "last")] + [("content", pa.binary())])
 
-    def windows_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        hashes = Hashes()
-        for value in batch.column(0):
-            yield np.unique(grams(hashes.of(value.as_py().split(b" ")), length))
+    def passages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per passage of a document without its content, and the contents the task has met, with the least and
+        the greatest document of each."""
+        from xxhash import xxh3_128_digest
 
-    shared = twice_seen(found.select("content"), windows_of, bits)
+        hashes, told = Hashes(), {}
 
-    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
+        def filled_rows(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+
+        def contents() -> pa.RecordBatch:
+            rows = [(first, 0, 0, shard, *ids, last, content) for content, (first, last, shard, ids) in told.items()]
+            told.clear()
+            return filled_rows(rows)
+
+        for batch in bounded(batches, "text", AT_ONCE):
             rows: list[tuple] = []
-            for doc, mark, start, anchor, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = content.split(b" ")
-                hit = may_repeat(shared.value, grams(hashes.of(words), length), bits)
-                begin, end = runs(hit)
-                for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-                    if hit[a]:
-                        rows.append((doc, mark, start + a, anchor, b" ".join(words[a : b + length - 1])))
+            ids_of, marks = batch.column("doc").to_pylist(), batch.column("mark").to_pylist()
+            words, starts, of, begin = batch_windows(batch.column("text"), hashes, length)
+            anchor, whole = (v[starts] for v in window_hashes(hashes.of(words), length))
+            at = np.flatnonzero(may_repeat(filled.value, anchor, bits))
+            at = at[may_repeat(shared.value, whole[at], bits)]
+            # a passage goes on while windows of a text follow one another and have one anchor
+            new = (np.diff(at, prepend=-2) != 1) | (np.diff(anchor[at], prepend=np.uint64(0)) != 0) | (np.diff(of[at], prepend=-1) != 0)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(at))[: len(first)] - 1
+            for text, a, b, shard in zip(
+                of[at[first]].tolist(), starts[at[first]].tolist(), starts[at[last]].tolist(),
+                (anchor[at[first]] >> np.uint64(1)).tolist(), strict=True,
+            ):
+                doc, content = ids_of[text], b" ".join(words[a : b + length])
+                seen = told.get(content)
+                if seen is None:
+                    digest = xxh3_128_digest(content)
+                    ids = (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))
+                    told[content] = (doc, doc, shard, ids)
+                else:
+                    ids = seen[3]
+                    if doc < seen[0] or doc > seen[1]:
+                        told[content] = (min(doc, seen[0]), max(doc, seen[1]), *seen[2:])
+                rows.append((doc, marks[text], a - int(begin[text]), None, *ids, None, None))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
-
-    passages = written(found.mapInArrow(trimmed, ddl), "passages")
-    # one row a distinct passage, however many documents hold it
-    distinct = passages.groupBy("anchor", "content").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    words = passages.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    shards = max(1, -(-words // (6 * SHARD)))
-    out = pa.schema([("content", pa.binary()), ("firsts", pa.list_(pa.int64()))])
+                yield filled_rows(rows)
+            if len(told) > TOLD:
+                yield contents()
+        if told:
+            yield contents()
+
+    table = written(docs.mapInArrow(passages_of, "doc long, mark long, start long, shard long, id long, id2 long, last long, content binary"), "passages")
+    contents = table.filter("content is not null")
+    size = contents.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD))
+    out = pa.schema([("id", pa.int64()), ("id2", pa.int64()), ("firsts", pa.list_(pa.int64()))])
 
     def search(shard: pa.Table) -> pa.Table:
-        contents, last = shard.column("content").to_pylist(), shard.column("last").to_numpy()
-        firsts = first_holders(contents, shard.column("first").to_numpy(), length)
-        told = [(c, f) for c, f, top in zip(contents, firsts, last.tolist(), strict=True) if (f < top).any()]
-        return pa.Table.from_arrays([pa.array([c for c, _ in told], pa.binary()), pa.array([f for _, f in told], pa.list_(pa.int64()))], schema=out)
-
-    held = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(
-        search, "content binary, firsts array<long>"
-    )
-    places = F.expr("filter(transform(firsts, (first, i) -> if(first < doc, start + i, -1)), at -> at >= 0)")
+        held: dict[bytes, list[int]] = {}
+        for content, first, last, *ids in zip(*(shard.column(c).to_pylist() for c in ("content", "doc", "last", "id", "id2")), strict=True):
+            seen = held.setdefault(content, [first, last, *ids])
+            seen[0], seen[1] = min(seen[0], first), max(seen[1], last)
+        firsts = first_holders(list(held), np.array([h[0] for h in held.values()], np.int64), length)
+        told = [(*h[2:], f) for h, f in zip(held.values(), firsts, strict=True) if (f < h[1]).any()]
+        columns = list(zip(*told, strict=True)) or [(), (), ()]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    found = contents.withColumn("shard", F.pmod("shard", F.lit(shards))).select("shard", "id", "id2", "doc", "last", "content").groupBy(
+        "shard").applyInArrow(search, "id long, id2 long, firsts array<long>")
+    places = F.expr("filter(transform(firsts, (first, i) -> if(first < doc, cast(start as int) + i, -1)), at -> at >= 0)")
     return (
-        passages.join(held, "content").select("doc", "mark", places.alias("places")).filter(F.size("places") > 0)
+        table.filter("content is null").select("doc", "mark", "start", "id", "id2").join(found, ["id", "id2"])
+        .select("doc", "mark", places.alias("places")).filter(F.size("places") > 0)
         .groupBy("doc", "mark").agg(F.collect_list("places").alias("places"))
     )
 
@@ -287,4 +339,28 @@ def drop_repeated_passages(
             arrays = [batch.column(c) if c != text else pa.array(left, pa.string()) for c in columns]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*columns, words, removed])
 
-    return rows.join(lost, ["repeat:doc", "repeat:mark"], "left").select(*columns, "repeat:places").mapInArrow(cut, schema)
+    # documents that have lost nothing need no shuffle: a filter of those that have tells them apart
+    def losers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        found = np.unique(_row_hashes(batch))
+        return iter([found, found])
+
+    lost = written(lost, "lost")
+    held = twice_seen(lost.select("repeat:doc", "repeat:mark"), losers, LOSERS)
+
+    def where(hit: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = may_repeat(held.value, _row_hashes(batch), LOSERS)
+                yield batch.filter(pa.array(found if hit else ~found))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    empty = F.lit(None).cast("array<int>").alias("repeat:places")
+    touched = where(True).join(lost, ["repeat:doc", "repeat:mark"], "left").select(*columns, "repeat:places")
+    return touched.unionByName(where(False).select(*columns, empty)).mapInArrow(cut, schema)
+
+
+def _row_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    """A hash of the document and the mark of each row."""
+    doc, mark = (batch.column(c).to_numpy().view(np.uint64) for c in ("repeat:doc", "repeat:mark"))
+    return _mixed(_mixed(doc * np.uint64(_ODD[2])) + mark)
