@@ -18,26 +18,31 @@ AT_ONCE = 65_536
 SEED = 42
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """SimHash of a text: A-Z in lower case, words cut at ASCII white space, shingles of so many words (all the
-    words if there are fewer) hashed by XXH64; a bit is set if it is set in over half of the hashes. A text
-    without words has 0."""
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles in order, in parts of bounded size: A-Z in lower case, words cut at ASCII white space, runs
+    of so many words (all the words if there are fewer). Nothing for a text without words."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     behind = np.cumsum([len(w) + 1 for w in words]) - 1
     k = min(shingle, len(words))
     ends = behind[k - 1 :].tolist()
     starts = [0, *(behind[: len(ends) - 1] + 1).tolist()]
-    counts = np.zeros(64, np.int64)
     for at in range(0, len(ends), AT_ONCE):
         cut = zip(starts[at : at + AT_ONCE], ends[at : at + AT_ONCE], strict=True)
-        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in cut], "<u8")
+        yield np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in cut], "<u8")
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """SimHash of a text's shingles: a bit is set if it is set in over half of their hashes. A text without words has 0."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(ends), bitorder="little").view("<i8")[0])
+        n += len(hashes)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
 def with_fingerprint(df: DataFrame, text: str, shingle: int = 3) -> DataFrame:
@@ -105,7 +110,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """The rows of `docs` with the least key of their component; where rows share that key, the one with the
     least text. Rows with a null key stay if no other key is in their component."""
-    found = near_duplicates(docs, key=key, text=text, shingle=shingle, radius=radius)
+    return least_rows(docs, near_duplicates(docs, key=key, text=text, shingle=shingle, radius=radius), key, text)
+
+
+def least_rows(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of `docs` whose key is that of their `component` in `found`; of rows that share it, the one with the least text."""
     stay = found.filter(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("stay:key")).distinct()
     columns = docs.columns
     kept = docs.join(stay, docs[key].eqNullSafe(F.col("stay:key")), "left_semi")
