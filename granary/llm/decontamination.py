@@ -1,10 +1,10 @@
-"""Documents that hold an item of a benchmark: SimHash of item-sized windows, searched by Hamming blocks."""
+"""Documents that hold an item of a benchmark: the rarest shingles of an item propose pairs, its windows are compared whole."""
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.store import written
@@ -21,20 +21,20 @@ def _words(text: str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _hashes(words: str) -> Column:
+def _hashes(words: str, run: int) -> Column:
     return F.when(
-        F.size(words) >= SHINGLE,
+        F.size(words) >= run,
         F.transform(
-            F.sequence(F.lit(0), F.size(words) - SHINGLE),
-            lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]),
+            F.sequence(F.lit(0), F.size(words) - run),
+            lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(run)]),
         ),
     )
 
 
-def with_shingles(df: DataFrame, text: str, to: str) -> DataFrame:
+def with_shingles(df: DataFrame, text: str, to: str, run: int = SHINGLE) -> DataFrame:
     """Add the hashes of a text's runs of five words, in order; null where there are none. A filter on the array, also
     one that `explode` implies, would move below it and compute the words anew for each element."""
-    return df.withColumn("_words", _words(text)).withColumn(to, _hashes("_words")).drop("_words")
+    return df.withColumn("_words", _words(text)).withColumn(to, _hashes("_words", run)).drop("_words")
 
 
 def with_simhash(df: DataFrame, hashes: str, to: str) -> DataFrame:
@@ -72,65 +72,94 @@ def hamming_pairs(windows: DataFrame, items: DataFrame, radius: int = RADIUS) ->
     return met.drop("block", "value").distinct()
 
 
+def _prefixes(items: DataFrame) -> DataFrame:
+    """(hash, item): of each item's shingles the rarest, one more than a hit may lack; a hit holds one of them."""
+    every = items.select("item", F.size("item_hashes").alias("n"), "need", F.explode("item_hashes").alias("hash"))
+    rarity = every.groupBy("hash").agg(F.countDistinct("item").alias("holders"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy("holders", "hash"))
+    return every.join(rarity, "hash").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.col("need") + 1).select("hash", "item").distinct()
+
+
+def _best_windows(pairs: DataFrame) -> DataFrame:
+    """(doc, item, similarity, start) of all windows that can be the best of a document (`hashes`) and an item (`item_hashes`),
+    if they can reach the similarity (`need` shingles shared).
+
+    A window can be moved until a shared shingle is its first one, or, where the document's start cuts it, its last one,
+    and shares no fewer; so only such windows are compared, and those that bring equal shingles together.
+    """
+    placed = pairs.withColumn("places", F.expr("filter(sequence(0, size(hashes) - 1), p -> array_contains(item_hashes, hashes[p]))"))
+    placed = placed.withColumn("starts", F.expr(
+        "array_distinct(concat(places, filter(transform(places, p -> p - size(item_hashes) + 1), s -> s < 0),"
+        " transform(places, p -> cast(p - array_position(item_hashes, hashes[p]) + 1 as int))))"
+    )).withColumn("starts", F.expr(
+        "filter(starts, s -> size(filter(places, p -> p >= s and p < s + size(item_hashes))) >= need)"
+    ))
+    cut = placed.select("doc", "item", "item_hashes", F.explode_outer(F.expr(
+        "transform(starts, s -> struct(greatest(s, 0) as start, slice(hashes, greatest(s, 0) + 1,"
+        " least(s + size(item_hashes), size(hashes)) - greatest(s, 0)) as hashes))"
+    )).alias("w")).select("doc", "item", "item_hashes", "w.*")
+    both = F.expr(
+        "aggregate(array_distinct(item_hashes), 0, (n, h) -> n + least(size(filter(hashes, x -> x = h)), size(filter(item_hashes, x -> x = h))))"
+    )
+    return cut.withColumn("both", both).select(
+        "doc", "item", "start", (F.col("both") / (F.size("hashes") + F.size("item_hashes") - F.col("both"))).alias("similarity")
+    )
+
+
+def _short_hits(rows: DataFrame, short: DataFrame, run: int) -> DataFrame:
+    """Where documents hold items of `run` words, fewer than a shingle has: all the words in order."""
+    wanted = with_shingles(short.filter(F.col("words") == run), "_text", "hashes", run).select("item", F.col("hashes")[0].alias("hash"))
+    held = with_shingles(rows, "_text", "hashes", run).select("doc", F.posexplode_outer("hashes").alias("start", "hash"))
+    return held.join(wanted, "hash").select("doc", "item", "start", F.lit(1.0).alias("similarity"))
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-    item_text: str = "text", least: float = 0.8, radius: int = RADIUS,
+    item_text: str = "text", least: float = 0.8,
 ) -> DataFrame:
     """(key, item_key, similarity, start, length): each document that holds a benchmark item, with the best window.
 
-    For each item a window of as many words is laid over every document wherever the two share a shingle of
-    five words (other windows have similarity 0), in the offset that brings the shingles together, cut at the ends of the
-    document. SimHash fingerprints of windows and items within `radius` bits are candidates; those whose shingles, counted
-    as often as they stand, have a weighted Jaccard similarity of `least` or more are hits. `start` counts words
-    from 0. Texts and items of fewer than five words, and null ones, hold no shingle and are never hits; rows that
-    repeat a key are judged one by one and reported together; null keys of
+    For each item a window of as many words is laid over a document, also cut at its ends; hits are the pairs whose
+    best window has a weighted Jaccard similarity of `least` or more, with shingles of five words counted as
+    often as they stand. A hit holds at least `least` of the item's shingles, so it holds one of the rarest that are
+    one more than the rest: only documents that do are compared, and no hit is passed over. `start` counts words
+    from 0. An item of fewer than five words is one shingle of all its words. Texts and items without words, and
+    null ones, are never hits; rows that repeat a key are judged one by one and reported together; null keys of
     documents and items are keys like any other.
     """
-    items = written(
-        with_simhash(with_shingles(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_key).alias("name"), F.col(item_text).alias("_text")), "_text", "item_hashes"), "item_hashes", "item_mark").drop("_text"),
-        "items",
-    ).filter("item_hashes is not null")
-    seeds = written(
-        items.select(F.posexplode("item_hashes").alias("offset", "hash"), F.size("item_hashes").alias("length")).distinct(), "seeds"
-    )
+    given = with_shingles(
+        benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_key).alias("name"), F.col(item_text).alias("_text")),
+        "_text", "item_hashes",
+    ).withColumn("words", F.size(_words("_text"))).withColumn(
+        "need", F.ceil(F.lit(least) * F.size("item_hashes") - 1e-9).cast("int"))
+    given = written(given, "items")
+    items = given.filter("item_hashes is not null").drop("_text")
+    seeds = written(_prefixes(items), "seeds")
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("_text"))
     every = with_shingles(rows, "_text", "hashes").select("doc", "version", F.posexplode_outer("hashes").alias("place", "hash"))
     known = F.broadcast(seeds) if seeds.count() <= BROADCAST_ROWS else seeds
-    laid = written(
-        every.join(known, "hash").select("doc", "version", (F.col("place") - F.col("offset")).alias("start"), "length").distinct()
-        .groupBy("doc", "version").agg(F.collect_list(F.struct("start", "length")).alias("laid")),
-        "laid",
+    held = written(
+        every.join(known, "hash").select("doc", "version", "item").distinct()
+        .groupBy("doc", "version").agg(F.collect_list("item").alias("held")),
+        "held",
     )
-    # only documents that share a shingle come this far; their windows are cut out once more
+    # only documents that hold such a shingle come this far; their shingles are made once more
     matched = rows.join(
-        laid.withColumnsRenamed({"doc": "_doc", "version": "_version"}),
+        held.withColumnsRenamed({"doc": "_doc", "version": "_version"}),
         F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("version") == F.col("_version")),
-    ).select("doc", "version", "_text", "laid")
-    cut = with_shingles(matched, "_text", "hashes").select(
-        "doc",
-        F.explode_outer(F.expr(
-            "transform(laid, w -> struct(greatest(w.start, 0) as start, w.length as length,"
-            " slice(hashes, greatest(w.start, 0) + 1, least(w.start + w.length, size(hashes)) - greatest(w.start, 0)) as hashes))"
-        )).alias("w"),
-    ).select("doc", "w.*")
-    windows = written(with_simhash(cut, "hashes", "mark").withColumn("window", F.monotonically_increasing_id()), "windows")
-    pairs = hamming_pairs(windows.select("window", "mark", F.size("hashes").alias("shingles")), items.select("item", "item_mark"), radius)
-    of_window = windows.select("window", F.explode("hashes").alias("hash")).groupBy("window", "hash").agg(F.count("*").alias("n"))
-    of_item = items.select("item", F.size("item_hashes").alias("item_shingles"), F.explode("item_hashes").alias("hash")).groupBy(
-        "item", "item_shingles", "hash").agg(F.count("*").alias("item_n"))
-    alike = (
-        pairs.select("window", "item", "shingles").join(of_window, "window").join(of_item, ["item", "hash"])
-        .groupBy("window", "item", "shingles", "item_shingles").agg(F.sum(F.least("n", "item_n")).alias("both"))
-        .withColumn("similarity", F.col("both") / (F.col("shingles") + F.col("item_shingles") - F.col("both")))
-        .filter(F.col("similarity") >= least)
-    )
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "length")).alias("best")
+    ).select("doc", "_text", "held")
+    matched = written(with_shingles(matched, "_text", "hashes").drop("_text"), "matched")
+    pairs = matched.select("doc", "hashes", F.explode("held").alias("item")).join(items.select("item", "item_hashes", "need"), "item")
+    found = written(_best_windows(pairs), "windows").filter(F.col("similarity") >= least)
+    short = given.filter(F.col("words").between(1, SHINGLE - 1))
+    for run in sorted(r["words"] for r in short.select("words").distinct().collect()):
+        found = found.unionByName(_short_hits(rows, short, run))
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "words")).alias("best")
     return (
-        alike.join(windows.select("window", "doc", "start", "length"), "window").join(items.select("item", "name"), "item")
-        .groupBy("doc", "name").agg(best)
+        found.join(given.select("item", "name", "words"), "item").groupBy("doc", "name").agg(best)
         .select(
             F.col("doc").alias(key), F.col("name").alias(item_key), F.round("best.similarity", 6).alias("similarity"),
-            (-F.col("best.start")).alias("start"), (F.col("best.length") + SHINGLE - 1).alias("length"),
+            (-F.col("best.start")).alias("start"), F.col("best.words").alias("length"),
         )
     )
 

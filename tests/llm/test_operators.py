@@ -165,6 +165,34 @@ def test_decontamination(spark, docs, rows, none):
     assert decontamination.contaminated(docs, benchmark.filter("false")).count() == 0
 
 
+def test_decontamination_finds_every_edited_item(spark):
+    draw = random.Random(21)
+    prose = lambda n: [f"w{draw.randint(0, 3000)}" for _ in range(n)]
+    texts, items = [], []
+    for i in range(60):
+        n = draw.choice([24, 40, 45, 49, 60])
+        words = prose(n)
+        items.append((i, " ".join(words)))
+        for changes in (1, 1, 1, 2):
+            own = list(words)
+            for at in draw.sample(range(n), changes):
+                own[at] = f"x{draw.random()}".replace(".", "")
+            texts.append(" ".join([*prose(draw.choice([0, 30])), *own, *prose(draw.choice([0, 30]))]))
+        texts.append(" ".join([*prose(20), *words[n // 2 :], *words[: n // 2], *prose(20)]))  # halves change places
+    given = list(enumerate(texts))
+    want = brute.hits(given, items)
+    found = decontamination.contaminated(spark.createDataFrame(given, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in found.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    assert sum(v < 0.83 for v in want.values()) > 60
+
+
+def test_decontamination_finds_items_of_few_words(spark):
+    docs = spark.createDataFrame([(1, "so it says: One, two three! and more"), (2, "one three two"), (3, "東京。大阪"), (4, "one two")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three"), (2, "東京 大阪"), (3, "!"), (4, "four")], "item_id long, text string")
+    got = {tuple(r) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(1, 1, 1.0, 3, 3), (3, 2, 1.0, 0, 2)}
+
+
 def test_hamming_blocks_find_all_within_the_radius(spark):
     draw = random.Random(8)
     items = [(i, draw.getrandbits(63)) for i in range(20)]

@@ -54,6 +54,11 @@ def test_op2(spark, given, items):
     assert all(found[k] == pytest.approx(want[k], abs=1e-6) for k in found) and exact <= set(found)
 
 
+def test_op2_finds_every_hit(spark, given, items):
+    found = {(r.doc_id, r.item_id): r.similarity for r in run(spark, "op2_decontamination").itertuples()}
+    assert found == pytest.approx(brute.hits(given, items), abs=1e-6)
+
+
 def test_op3(spark, given):
     got = run(spark, "op3_simhash_near_duplicates")
     assert sorted(got.itertuples(index=False, name=None)) == sorted(brute.components(given))
