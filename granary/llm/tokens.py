@@ -3,7 +3,7 @@
 The byte-level vocabulary always splits a text before a space that a visible character follows and
 never merges across that place. So texts are cut there, each distinct piece is encoded once by the
 library, and the ids of a text are those of its pieces in order. A text in which white space or
-nothing follows a space is encoded whole. Tests hold this against the encoding of whole texts.
+nothing follows a space, or that holds the string of an added token, is encoded whole. Tests hold this against the encoding of whole texts.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the library turns their strings in a text into their ids, wherever they stand
+        self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.remembered = remembered
         self.width = np.zeros(self.library.get_vocab_size(), np.int64)  # bytes of each id
         for token, number in self.library.get_vocab().items():
@@ -55,6 +56,8 @@ class Encoder:
         uncut = np.fromiter((not key or key[0].isspace() for key in spelled), bool, len(spelled))[codes]
         uncut[offsets[:-1]] = False  # what stands first in a text follows no space
         whole = np.add.reduceat(uncut, offsets[:-1]) > 0 if len(texts) else np.empty(0, bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         if whole.any():
             return self._with_whole(texts, whole)
         # a key that starts with a space stands for the first piece of a text

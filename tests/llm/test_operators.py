@@ -223,6 +223,18 @@ def test_encoder_equals_the_library(vocabulary, rows):
     assert [len(v) for v in own.encode(pa.array([], pa.string()))] == [0, 0]
 
 
+def test_added_tokens_in_a_text_are_encoded_as_the_library_does_by_default(vocabulary):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    texts = [f"{a}{t}{b}" for t in added for a in ("", "one ", "one", "  ") for b in ("", " two", "two", " ")] + ["plain text", "<|endof text|>", None, *added * 2]
+    own = Encoder(vocabulary)
+    ids, ends = own.encode(pa.array(texts, pa.string()))
+    want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert added and [part.tolist() for part in np.split(ids, ends[:-1])] == want
+
+
 def test_token_files(docs, rows, none, vocabulary):
     manifest = tokenfiles.write_tokens(docs, vocabulary, end_id=0)
     got = sorted(map(tuple, tokenfiles.read_tokens(manifest).collect()), key=lambda r: r[1])
