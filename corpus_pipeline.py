@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontamination, lines, nearcopies, packing, quality
+from granary.llm import decontamination, lines, neardup, packing, quality
 from granary.llm.queries import vocabulary
 from granary.session import fresh_dir
 
@@ -25,8 +25,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 5-word Jaccard similarity 0.8 or more connect, the one with the smallest doc_id stays."""
-    return nearcopies.one_of_each(docs)
+    """Of documents whose SimHash fingerprints of 3-word shingles are connected by links of at most 2 bits, the one with the
+    smallest doc_id stays."""
+    return neardup.one_of_each(docs, shingle=3, radius=2)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
