@@ -10,6 +10,7 @@ from granary.llm import (
     decontamination,
     lines,
     neardup,
+    ngramjoin,
     packing,
     pii,
     quality,
@@ -103,6 +104,10 @@ def op10_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngramjoin.similar_documents(documents(spark, folder), size=4, percent=85).withColumnRenamed("component", "component_id")
+
+
 QUERIES = {
     name: function for name, function in sorted(globals().items()) if name.startswith("op") and callable(function)
 }
