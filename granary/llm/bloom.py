@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 
 #: log2 of the bits of a filter: 32 MB, which keeps false repeats below 1 % up to about 60 million distinct hashes.
 BITS = 28
+#: Filters up to 8 MB.
+SMALL = 26
 SEGMENTS = 6
 PROBES = 4
 
@@ -87,6 +89,7 @@ def twice_seen(
     parts = dealt.repartition(1 << SEGMENTS, "segment").mapInArrow(build, "segment int, filter binary")
     second = np.zeros(1 << (bits - 3), np.uint8)
     width = 1 << (inner - 3)
-    for row in parts.toLocalIterator():
+    # a small filter comes at once; of a large one the driver holds a segment beside the whole, a job each
+    for row in parts.collect() if bits <= SMALL else parts.toLocalIterator():
         second[row["segment"] * width : (row["segment"] + 1) * width] = np.frombuffer(row["filter"], np.uint8)
     return spark.sparkContext.broadcast(second.tobytes())

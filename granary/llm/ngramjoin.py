@@ -6,8 +6,8 @@ compared. What a pair must pass before its sets are fetched: the length filter,
 behind the shared one) and the suffix filter (counts of grams by slice of the hash space that differ too much).
 
 A bucket that many near copies share holds far too many pairs, nearly all between sets that links already connect. So
-buckets are worked off in rounds: all members against the member whose shared gram comes first, then against four more,
-sixteen more and so on, each time only across components; a bucket is done when what is left of it is connected. Every
+buckets are worked off in rounds: all members against the member whose shared gram comes first, then against some 16 more,
+256 more and so on, each time only across components; a bucket is done when what is left of it is connected. Every
 pair of a bucket is compared or connected in the end, so no component is missed whatever the group's size.
 """
 
@@ -32,15 +32,16 @@ COUNTERS = 22
 #: log2 of the counters of a part that travels by itself.
 PART = 14
 #: Slices of the hash space in the suffix filter.
-SLICES = 64
+SLICES = 32
 #: Sets compared with one other in a task.
 TOGETHER = 64
 #: Nodes that a task remembers, so that it sends those that many documents share once.
 TOLD = 200_000
 #: Bytes of text looked at in one go.
 AT_ONCE = 2_000_000
-#: log2 of the bits of the filters of repeated grams and of wanted documents.
+#: log2 of the bits of the filter of repeated grams, and of those of wanted documents and sets.
 BITS = 26
+WANTED = 24
 
 
 def shingles(text: bytes, size: int, hashes: Hashes) -> np.ndarray:
@@ -132,8 +133,8 @@ def rare_first(own: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, classes: Broadcast) -> DataFrame:
-    """(node, n, slices, prefix) of each distinct set: its grams by slice, and the first of them in order. Sets so small that
-    only equal ones are similar need none."""
+    """(node, n, slices, prefix) of each distinct set, once for each task that meets it: its grams by slice, and the first of
+    them in order. Sets so small that only equal ones are similar need none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, told, order = Hashes(), set(), np.frombuffer(classes.value, np.uint8)
@@ -147,13 +148,12 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, clas
                 if len(told) >= TOLD:
                     told.clear()
                 told.add(node)
-                slices = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=SLICES)
+                slices = np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=SLICES)
                 rows.append((node, len(own), slices, rare_first(own, order)[: prefix_length(len(own), percent)].tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    found = docs.select(text).mapInArrow(run, "node long, n long, slices array<int>, prefix binary")
-    return found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "slices", "prefix")))
+    return docs.select(text).mapInArrow(run, "node long, n long, slices array<int>, prefix binary")
 
 
 def suspected(nodes: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def suspected(nodes: DataFrame) -> DataFrame:
                 ["token", "node", "pos", "n"],
             )
 
-    return nodes.select("node", "n", "prefix").mapInArrow(run, "token long, node long, pos long, n long")
+    return nodes.select("node", "n", "prefix").mapInArrow(run, "token long, node long, pos long, n long").distinct()
 
 
 def _spread(tokens: np.ndarray) -> np.ndarray:
@@ -199,44 +199,51 @@ def admissible(n: Column, pos: Column, m: Column, at: Column, percent: int) -> C
     return lengths & (F.least(n - pos, m - at) >= overlap(n, m, percent))
 
 
-def same_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the suffix filter: grams of one set only number at least as many as the slices differ."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("slices").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("slices").alias("y"))
-    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.abs(p - q)), F.lit(0), lambda total, d: total + d)
-    allowed = F.col("n") + F.col("m") - 2 * overlap(F.col("n"), F.col("m"), percent)
-    return pairs.join(left, "a").join(right, "b").filter(apart <= allowed).select("a", "b")
+def alike(n: Column, x: Column, m: Column, y: Column, percent: int) -> Column:
+    """The suffix filter: the grams that two sets do not share number at least as many as their slices differ."""
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p - q)), F.lit(0), lambda total, d: total + d)
+    return apart <= n + m - 2 * overlap(n, m, percent)
 
 
-def sets_of(docs: DataFrame, key: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
-    """(node, grams binary) of the documents whose key is in `wanted` (a filter passes a few others): once per task and node."""
+def wanted_only(df: DataFrame, mark: str, wanted: DataFrame) -> DataFrame:
+    """The rows of `df` whose `mark` (long) is in the one column of `wanted`, and a few others: cut by a filter of 2 MB before
+    anything is shuffled."""
 
-    def mark_of(batch: pa.RecordBatch) -> np.ndarray:
-        return _spread(batch.column("mark").to_numpy().view(np.uint64))
+    def mark_of(batch: pa.RecordBatch, column: str) -> np.ndarray:
+        return _spread(batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64))
 
     def twice(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        found = np.unique(mark_of(batch))
+        found = np.unique(mark_of(batch, "mark"))
         return iter([found, found])  # a hash given twice is held by the filter
 
-    held = twice_seen(wanted.select(F.xxhash64(key).alias("mark")), twice, BITS)
+    held = twice_seen(wanted.toDF("mark"), twice, WANTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_repeat(held.value, mark_of(batch, mark), WANTED)))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def sets_of(docs: DataFrame, key: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
+    """(node, grams binary) of the documents whose key is in `wanted` and a few others: once per task and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, told = Hashes(), set()
-        for whole in batches:
-            part = whole.filter(pa.array(may_repeat(held.value, mark_of(whole), BITS)))
-            for batch in bounded(iter([part]), text, AT_ONCE):
-                rows = []
-                for value in batch.column(text).cast(pa.binary()):
-                    own = shingles(value.as_py() or b"", size, hashes)
-                    if len(own) and (node := node_of(own)) not in told:
-                        if len(told) >= TOLD:
-                            told.clear()
-                        told.add(node)
-                        rows.append((node, own.tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["node", "grams"])
-
-    return docs.select(text, F.xxhash64(key).alias("mark")).mapInArrow(run, "node long, grams binary")
+        for batch in bounded(batches, "text", AT_ONCE):
+            rows = []
+            for value in batch.column("text").cast(pa.binary()):
+                own = shingles(value.as_py() or b"", size, hashes)
+                if len(own) and (node := node_of(own)) not in told:
+                    if len(told) >= TOLD:
+                        told.clear()
+                    told.add(node)
+                    rows.append((node, own.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["node", "grams"])
+
+    marked = docs.select(F.xxhash64(key).alias("mark"), F.col(text).alias("text"))
+    return wanted_only(marked, "mark", wanted.select(F.xxhash64(key))).mapInArrow(run, "node long, grams binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -247,7 +254,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     asked = dealt.select(F.col("a").alias("node"), "b", "salt", "a").unionByName(
         dealt.select(F.col("b").alias("node"), "b", "salt", F.lit(None).cast("long").alias("a")).distinct()
     )
-    sent = asked.join(sets, "node").select("b", "salt", "a", "grams").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+    sent = asked.join(wanted_only(sets, "node", asked.select("node")), "node").select("b", "salt", "a", "grams").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, other, before = None, np.empty(0, np.uint64), None
@@ -278,21 +285,29 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, own: DataFrame, classes: Broadcast, *, key: str, text: str, size: int, percent: int) -> DataFrame | None:
     """(node, root) of the nodes that links of similar sets connect; None if there are none."""
-    spark = docs.sparkSession
     nodes = written(prefixes(docs, key, text, size, percent, classes), "prefixes")
     entries = written(suspected(nodes), "entries")
     stats = entries.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("pos", "n", "node")).alias("first")).filter("many > 1")
-    # the share of a bucket that leads in a round grows fourfold; the first is the one whose shared gram comes first
+    # sixteen times as many members of a bucket lead in each round; the first is the one whose shared gram comes first
     place = F.expr("shiftrightunsigned(xxhash64(token, node), 11)") / float(1 << 53) * F.col("many")
-    level = F.when(F.col("node") == F.col("first.node"), 0).otherwise(F.greatest(F.lit(1), F.ceil(F.log2(place) / 2)).cast("int"))
+    level = F.when(F.col("node") == F.col("first.node"), 0).otherwise(F.greatest(F.lit(1), F.ceil(F.log2(place) / 4)).cast("int"))
     buckets = written(entries.join(stats, "token").withColumn("level", level), "buckets")
-    begun = buckets.filter(
+    active = written(buckets.groupBy("node").agg(F.first("n").alias("n")), "active")
+    shapes = written(
+        wanted_only(nodes.select("node", "slices"), "node", active.select("node")).join(active, "node")
+        .groupBy("node", "n").agg(F.first("slices").alias("slices")), "shapes")
+    begun = _pairs(buckets.filter(
         (F.col("level") > 0) & admissible(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos"), percent)
-    ).select(F.col("node").alias("a"), F.col("first.node").alias("b"))
-    begun = written(same_enough(_pairs(begun), nodes, percent), "begun")
-    if begun.isEmpty() and buckets.filter("many > 2").isEmpty():
+    ).select(F.col("node").alias("a"), F.col("first.node").alias("b")))
+    left_shapes = shapes.select(F.col("node").alias("a"), "n", F.col("slices").alias("x"))
+    right_shapes = shapes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("slices").alias("y"))
+    begun = written(
+        begun.join(left_shapes, "a").join(right_shapes, "b").filter(alike(F.col("n"), F.col("x"), F.col("m"), F.col("y"), percent)).select("a", "b"),
+        "begun",
+    )
+    rest = buckets.filter("many > 2 and level > 0").select("token", "node", "pos", "level").join(shapes, "node")
+    if begun.isEmpty() and rest.isEmpty():
         return None
-    active = buckets.select("node").distinct()
     keys = own.join(active, "node", "left_semi").groupBy("node").agg(F.min(key).alias(key)).select(key)
     sets = written(sets_of(docs, key, text, size, keys), "sets")
 
@@ -307,8 +322,9 @@ def linked(docs: DataFrame, own: DataFrame, classes: Broadcast, *, key: str, tex
             return
         found = written(verified(pairs, sets, percent), "similar")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            roots = components(links)
 
     def rooted(df: DataFrame, node: str, root: str) -> DataFrame:
         if roots is None:
@@ -329,21 +345,21 @@ def linked(docs: DataFrame, own: DataFrame, classes: Broadcast, *, key: str, tex
     test(open_pairs(begun))
     turn = 1
     while True:
-        left = written(rooted(buckets.filter(f"many > 2 and level >= {turn}").select("token", "node", "pos", "n", "level"), "node", "root"), "left")
-        spread = left.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
+        rest = written(rooted(rest.filter(F.col("level") >= turn).drop("root"), "node", "root"), "rest")
+        spread = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
         spread = written(spread, "spread")
         if spread.isEmpty():
-            break
-        left = left.join(spread, "token", "left_semi")
-        leads = left.filter(F.col("level") == turn).select(
-            "token", F.col("node").alias("lead"), F.col("pos").alias("at"), F.col("n").alias("m"), F.col("root").alias("other"))
-        met = left.join(leads, "token").filter(
+            return roots
+        rest = rest.join(spread, "token", "left_semi")
+        leads = rest.filter(F.col("level") == turn).select(
+            "token", F.col("node").alias("lead"), F.col("pos").alias("at"), F.col("n").alias("m"), F.col("slices").alias("y"), F.col("root").alias("other"))
+        met = rest.join(leads, "token").filter(
             (F.col("root") != F.col("other")) & ((F.col("level") > turn) | (F.col("node") > F.col("lead")))
             & admissible(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), percent)
+            & alike(F.col("n"), F.col("slices"), F.col("m"), F.col("y"), percent)
         ).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-        test(same_enough(open_pairs(_pairs(met)), nodes, percent))
+        test(open_pairs(_pairs(met)))
         turn += 1
-    return roots
 
 
 def similar_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
