@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,17 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found)[order], np.bincount(owners, minlength=len(words))
 
 
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts after one another, and where the words of each begin and the last ends. Null texts have none;
+    white space at the ends of a text makes no word."""
+    split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    words = split.flatten()
+    real = pc.not_equal(words, "")
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return words.filter(real), before[offsets - offsets[0]]
+
+
 def fit(texts: list[str], labels: np.ndarray, *, epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors of the buckets, softmax weights and biases of two classes, by stochastic gradient descent, a text a
     step, with a rate that falls to zero. Without rows of both labels all weights are zero."""
@@ -64,8 +76,9 @@ def fit(texts: list[str], labels: np.ndarray, *, epochs: int = EPOCHS, rate: flo
     if len(set(labels.tolist())) < 2:
         return vectors, weights, biases
     rows = []
-    for text in texts:
-        words = text.split()
+    spelled, first = cut(pa.array(texts, pa.string()))
+    for begin, end in itertools.pairwise(first.tolist()):
+        words = spelled.slice(begin, end - begin).to_pylist()
         ids, _ = features(words) if words else (np.empty(0, np.int64), None)
         each, times = np.unique(ids, return_counts=True)
         rows.append((each, (times / max(1, len(ids))).astype(np.float32)))
@@ -122,16 +135,14 @@ def with_score(docs: DataFrame, model: bytes, *, text: str = "text", score: str
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                split = pc.utf8_split_whitespace(pc.fill_null(batch.column(text), ""))
-                offsets = split.offsets.to_numpy().astype(np.int64)
-                coded = split.flatten().dictionary_encode()
+                spelled, first = cut(batch.column(text))
+                coded = spelled.dictionary_encode()
                 codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
                 total, count = np.zeros(len(words)), np.zeros(len(words))
                 if words:
                     ids, count = features(words)
                     total = np.add.reduceat(odds[ids], np.cumsum(count) - count)
                 sums, sizes = (np.concatenate([[0], np.cumsum(v[codes])]) for v in (total, count))
-                first = offsets - offsets[0]
                 size = sizes[first[1:]] - sizes[first[:-1]]
                 mean = np.divide(sums[first[1:]] - sums[first[:-1]], size, out=np.zeros(len(size)), where=size > 0)
                 result = 1 / (1 + np.exp(-np.clip(mean + odds[-1], -50, 50)))

@@ -1,4 +1,10 @@
-"""Documents that hold an item of a benchmark: the rarest shingles of an item propose pairs, its windows are compared whole."""
+"""Documents that hold an item of a benchmark, by SimHash fingerprints of windows of an item's size.
+
+Windows are laid where a document shares enough shingles with items of one size, fingerprinted, and found by blocks of the
+fingerprint near to an item's (multi-index Hamming search, complete within its radius). Exact weighted Jaccard similarity of
+the shingles decides. Everything is a row per place or window, so a very long or repetitive document costs in proportion to
+its words.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +16,11 @@ from pyspark.sql import functions as F
 from granary.llm.store import written
 
 SHINGLE = 5
-RADIUS = 15
-BLOCKS = 4
+#: Bits in which a window's fingerprint may differ from an item's. Two sets of similarity 0.8 differ in some 10 of 64 bits, with a
+#: deviation of 3; more than 23 have a chance below 1 in 10,000.
+RADIUS = 23
+#: One of the blocks then differs in at most RADIUS / BLOCKS bits: 2, so an item has 37 entries a block.
+BLOCKS = 8
 #: Rows of benchmark shingles up to which they are sent to every task (24 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -57,53 +66,68 @@ def _block(mark: str, block: str) -> str:
 
 
 def hamming_pairs(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs of a window (columns of `windows`, with `mark`) and an item (`item`, `item_mark`) whose fingerprints differ
-    in at most `radius` bits: all such pairs, as one of the blocks of both then differs in at most radius / BLOCKS
-    bits. Items, the small side, are entered under every value that near to each of their blocks."""
+    """Pairs of a window (columns of `windows`, with `mark` and `length`) and an item of that length (`item`, `item_mark`,
+    `length`) whose fingerprints differ in at most `radius` bits: all such pairs, as one of the blocks of both then differs
+    in at most radius / BLOCKS bits. Items, the small side, are entered under every value that near to each of their blocks."""
     width, near = 64 // BLOCKS, radius // BLOCKS
     masks = [sum(1 << b for b in bits) for n in range(near + 1) for bits in combinations(range(width), n)]
     blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
-    entered = items.select("item", "item_mark", blocks).withColumn("value", F.expr(_block("item_mark", "block"))).withColumn(
+    entered = items.select("item", "item_mark", "length", blocks).withColumn("value", F.expr(_block("item_mark", "block"))).withColumn(
         "value", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseXOR(F.col("value"))))
     )
     entered = written(entered, "entered")  # the planner does not see how much an explode adds; of a table it does
     asked = windows.select("*", blocks).withColumn("value", F.expr(_block("mark", "block")))
-    met = asked.join(entered, ["block", "value"]).filter(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= radius)
-    return met.drop("block", "value").distinct()
+    met = asked.join(entered, ["length", "block", "value"]).filter(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= radius)
+    return met.drop("block", "value", "length").distinct()
 
 
-def _prefixes(items: DataFrame) -> DataFrame:
-    """(hash, item): of each item's shingles the rarest, one more than a hit may lack; a hit holds one of them."""
-    every = items.select("item", F.size("item_hashes").alias("n"), "need", F.explode("item_hashes").alias("hash"))
-    rarity = every.groupBy("hash").agg(F.countDistinct("item").alias("holders"))
-    place = F.row_number().over(Window.partitionBy("item").orderBy("holders", "hash"))
-    return every.join(rarity, "hash").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.col("need") + 1).select("hash", "item").distinct()
+_WINDOW = ["doc", "version", "length", "start"]
 
 
-def _best_windows(pairs: DataFrame) -> DataFrame:
-    """(doc, item, similarity, start) of all windows that can be the best of a document (`hashes`) and an item (`item_hashes`),
-    if they can reach the similarity (`need` shingles shared).
+def _laid(met: DataFrame, least: float) -> DataFrame:
+    """(doc, version, length, start): the windows of `length` shingles that can be the best of a document and an item, out
+    of the places where they share one (doc, version, length, place, offset).
 
     A window can be moved until a shared shingle is its first one, or, where the document's start cuts it, its last one,
-    and shares no fewer; so only such windows are compared, and those that bring equal shingles together.
+    and shares no fewer; so only such windows are laid, and those that bring a shingle to its place in the item. They
+    stay if they hold at least as many shared places as a hit must. These are counted for all windows of a document in one
+    pass: its places, and the begins and ends of its windows, in order.
     """
-    placed = pairs.withColumn("places", F.expr("filter(sequence(0, size(hashes) - 1), p -> array_contains(item_hashes, hashes[p]))"))
-    placed = placed.withColumn("starts", F.expr(
-        "array_distinct(concat(places, filter(transform(places, p -> p - size(item_hashes) + 1), s -> s < 0),"
-        " transform(places, p -> cast(p - array_position(item_hashes, hashes[p]) + 1 as int))))"
-    )).withColumn("starts", F.expr(
-        "filter(starts, s -> size(filter(places, p -> p >= s and p < s + size(item_hashes))) >= need)"
-    ))
-    cut = placed.select("doc", "item", "item_hashes", F.explode_outer(F.expr(
-        "transform(starts, s -> struct(greatest(s, 0) as start, slice(hashes, greatest(s, 0) + 1,"
-        " least(s + size(item_hashes), size(hashes)) - greatest(s, 0)) as hashes))"
-    )).alias("w")).select("doc", "item", "item_hashes", "w.*")
-    both = F.expr(
-        "aggregate(array_distinct(item_hashes), 0, (n, h) -> n + least(size(filter(hashes, x -> x = h)), size(filter(item_hashes, x -> x = h))))"
-    )
-    return cut.withColumn("both", both).select(
-        "doc", "item", "start", (F.col("both") / (F.size("hashes") + F.size("item_hashes") - F.col("both"))).alias("similarity")
+    place, length = F.col("place"), F.col("length")
+    cut = place - length + 1
+    starts = F.array(place, place - F.col("offset"), F.when(cut < 0, cut).otherwise(place))
+    windows = met.select("doc", "version", "length", F.explode(starts).alias("start")).distinct()
+    none = F.lit(None).cast("int")
+    marks = (
+        met.select("doc", "version", "length", "place").distinct()
+        .select("doc", "version", "length", place.alias("at"), F.lit(1).alias("kind"), none.alias("start"))
+        .unionByName(windows.select("doc", "version", "length", F.col("start").alias("at"), F.lit(0).alias("kind"), "start"))
+        .unionByName(windows.select("doc", "version", "length", (F.col("start") + length - 1).alias("at"), F.lit(2).alias("kind"), "start"))
     )
+    order = Window.partitionBy("doc", "version", "length").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = marks.withColumn("seen", F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).over(order)).filter("kind <> 1")
+    held = so_far.groupBy(*_WINDOW).agg((F.max("seen") - F.min("seen")).alias("held"))
+    return held.filter(F.col("held") >= F.ceil(F.lit(least) * length - 1e-9)).drop("held")
+
+
+def _contents(windows: DataFrame, shingles: DataFrame) -> DataFrame:
+    """A row per shingle of each window (all columns of `windows`, hash), cut at the ends of the document."""
+    places = F.sequence(F.greatest("start", F.lit(0)), F.col("start") + F.col("length") - 1)
+    return windows.withColumn("place", F.explode(places)).join(shingles, ["row", "place"]).drop("place")
+
+
+def _fingerprints(windows: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(window, row, length, start, shingles, mark): one window of those of a document that hold the same shingles, the first."""
+    lanes = [F.sum(F.expr(f"shiftrightunsigned(hash, {k}) & 4294967297L")).alias(f"_b{k}") for k in range(32)]
+    counted = _contents(windows, shingles).groupBy("row", "length", "start").agg(
+        F.count("*").alias("shingles"), F.sum(F.expr("shiftrightunsigned(xxhash64(hash), 24)")).alias("content"), *lanes)
+    mark = F.expr(" | ".join(
+        f"shiftleft(if(2 * (_b{k} & 4294967295L) > shingles, 1L, 0L), {k}) | shiftleft(if(2 * shiftrightunsigned(_b{k}, 32) > shingles, 1L, 0L), {k + 32})"
+        for k in range(32)
+    ))
+    marked = counted.withColumn("mark", mark)
+    same = marked.groupBy("row", "length", "shingles", "content", "mark").agg(F.min("start").alias("start"))
+    return written(same.drop("content").withColumn("window", F.monotonically_increasing_id()), "windows")
 
 
 def _short_hits(rows: DataFrame, short: DataFrame, run: int) -> DataFrame:
@@ -115,42 +139,53 @@ def _short_hits(rows: DataFrame, short: DataFrame, run: int) -> DataFrame:
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-    item_text: str = "text", least: float = 0.8,
+    item_text: str = "text", least: float = 0.8, radius: int = RADIUS,
 ) -> DataFrame:
     """(key, item_key, similarity, start, length): each document that holds a benchmark item, with the best window.
 
     For each item a window of as many words is laid over a document, also cut at its ends; hits are the pairs whose
     best window has a weighted Jaccard similarity of `least` or more, with shingles of five words counted as
-    often as they stand. A hit holds at least `least` of the item's shingles, so it holds one of the rarest that are
-    one more than the rest: only documents that do are compared, and no hit is passed over. `start` counts words
-    from 0. An item of fewer than five words is one shingle of all its words. Texts and items without words, and
+    often as they stand. Windows are compared with the items whose SimHash fingerprint is within `radius` bits of theirs. `start`
+    counts words from 0. An item of fewer than five words is one shingle of all its words. Texts and items without words, and
     null ones, are never hits; rows that repeat a key are judged one by one and reported together; null keys of
     documents and items are keys like any other.
     """
     given = with_shingles(
         benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_key).alias("name"), F.col(item_text).alias("_text")),
         "_text", "item_hashes",
-    ).withColumn("words", F.size(_words("_text"))).withColumn(
-        "need", F.ceil(F.lit(least) * F.size("item_hashes") - 1e-9).cast("int"))
-    given = written(given, "items")
+    ).withColumn("words", F.size(_words("_text"))).withColumn("length", F.size("item_hashes"))
+    given = written(with_simhash(given, "item_hashes", "item_mark"), "items")
     items = given.filter("item_hashes is not null").drop("_text")
-    seeds = written(_prefixes(items), "seeds")
+    seeds = written(
+        items.select("length", F.posexplode("item_hashes").alias("offset", "hash"))
+        .groupBy("hash", "length").agg(F.min("offset").alias("offset")),
+        "seeds",
+    )
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("_text"))
     every = with_shingles(rows, "_text", "hashes").select("doc", "version", F.posexplode_outer("hashes").alias("place", "hash"))
     known = F.broadcast(seeds) if seeds.count() <= BROADCAST_ROWS else seeds
-    held = written(
-        every.join(known, "hash").select("doc", "version", "item").distinct()
-        .groupBy("doc", "version").agg(F.collect_list("item").alias("held")),
-        "held",
+    met = written(every.join(known, "hash").drop("hash"), "met")
+    laid = written(_laid(met, least), "laid")
+    # only documents with such a window come this far; their shingles are made once more
+    chosen = written(laid.select("doc", "version").distinct().withColumn("row", F.monotonically_increasing_id()), "chosen")
+    named = chosen.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), "row")
+    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("version") == F.col("_version"))
+    held = rows.join(named, same).groupBy("row").agg(F.first("_text").alias("_text"))  # equal rows are one
+    shingles = written(with_shingles(held, "_text", "hashes").select("row", F.posexplode_outer("hashes").alias("place", "hash")), "shingles")
+    windows = _fingerprints(laid.join(named, same).select("row", "length", "start"), shingles)
+    pairs = written(hamming_pairs(windows.select("window", "mark", "length", "shingles"), items.select("item", "item_mark", "length"), radius), "pairs")
+    asked = windows.join(pairs.select("window").distinct(), "window", "left_semi").select("window", "row", "length", "start")
+    of_window = _contents(asked, shingles).groupBy("window", "hash").agg(F.count("*").alias("n"))
+    of_item = items.select("item", F.col("length").alias("item_shingles"), F.explode("item_hashes").alias("hash")).groupBy(
+        "item", "item_shingles", "hash").agg(F.count("*").alias("item_n"))
+    alike = (
+        pairs.select("window", "item", "shingles").join(of_window, "window").join(of_item, ["item", "hash"])
+        .groupBy("window", "item", "shingles", "item_shingles").agg(F.sum(F.least("n", "item_n")).alias("both"))
+        .withColumn("similarity", F.col("both") / (F.col("shingles") + F.col("item_shingles") - F.col("both")))
+        .filter(F.col("similarity") >= least)
     )
-    # only documents that hold such a shingle come this far; their shingles are made once more
-    matched = rows.join(
-        held.withColumnsRenamed({"doc": "_doc", "version": "_version"}),
-        F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("version") == F.col("_version")),
-    ).select("doc", "_text", "held")
-    matched = written(with_shingles(matched, "_text", "hashes").drop("_text"), "matched")
-    pairs = matched.select("doc", "hashes", F.explode("held").alias("item")).join(items.select("item", "item_hashes", "need"), "item")
-    found = written(_best_windows(pairs), "windows").filter(F.col("similarity") >= least)
+    found = alike.join(windows.select("window", "row", "start"), "window").join(chosen, "row").select(
+        "doc", "item", F.greatest("start", F.lit(0)).alias("start"), "similarity")
     short = given.filter(F.col("words").between(1, SHINGLE - 1))
     for run in sorted(r["words"] for r in short.select("words").distinct().collect()):
         found = found.unionByName(_short_hits(rows, short, run))

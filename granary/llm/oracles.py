@@ -109,4 +109,50 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
 FROM split LEFT JOIN kept USING (doc_id)"""
 )
 
-SQL = {"op1_quality_rules": QUALITY, "op7_line_dedup": LINES, "op8_passage_dedup": PASSAGES}
+SIMILAR = (
+    rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_GAP}'), lambda x: x <> '') AS ws FROM documents
+), runs AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS own FROM split
+), each AS (
+  SELECT doc_id, CAST(len(own) AS BIGINT) AS n, unnest(own) AS run FROM runs
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON a.run = b.run AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT doc_id AS x, doc_id AS y FROM runs
+  UNION
+  SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+), least AS (
+  SELECT x, min(y) AS component_id FROM reached GROUP BY x
+)
+SELECT doc_id, CAST(len(own) AS BIGINT) AS n_shingles, component_id FROM runs JOIN least ON doc_id = x"""
+)
+
+NEGATIVES = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor, a.label = b.label AS alike, b.vec_id AS other, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM usable a, usable b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positive AS (
+  SELECT anchor, other, score FROM pairs WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor AS anchor_id, p.other AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other) AS INTEGER) AS rank,
+       n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN pairs n ON n.anchor = p.anchor AND NOT n.alike AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other) <= 10"""
+
+SQL = {
+    "op1_quality_rules": QUALITY, "op7_line_dedup": LINES, "op8_passage_dedup": PASSAGES,
+    "op11_ngram_jaccard_join": SIMILAR, "op12_hard_negatives": NEGATIVES,
+}

@@ -73,19 +73,20 @@ def pack(pieces: DataFrame, *, length: int = 2048, group: int = GROUP, seed: int
     """Add sequence_id and offset (long): pieces of at most `length` share sequences of at most `length`, each
     gapless from 0.
 
-    Pieces go at random, by a hash of all they hold, to groups of about `group`; each group is packed on its
+    Pieces go at random, equal ones as well, to groups of about `group`; each group is packed on its
     own, largest first, so work and memory of a task do not grow with the corpus. An empty table gives an empty table.
     """
-    pieces = written(pieces, "pieces")
-    groups = max(1, -(-pieces.count() // group))
     names = pieces.columns
+    # numbered before they are written, so that a repeated task deals them alike
+    pieces = written(pieces.withColumn("pack:row", F.monotonically_increasing_id()), "pieces")
+    groups = max(1, -(-pieces.count() // group))
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", *names], ascending=[False] + [True] * len(names), kind="stable")
         bins, offsets = first_fit(rows["length"].tolist(), length)
-        number = rows["_group"].iloc[0]
+        number = rows["pack:group"].iloc[0]
         return rows[names].assign(sequence_id=(int(number) << 32) + np.array(bins, np.int64), offset=np.array(offsets, np.int64))
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(groups)))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return dealt.groupBy("_group").applyInPandas(packed, schema)
+    schema = pieces.select(*names).schema.add("sequence_id", "long").add("offset", "long")
+    dealt = pieces.withColumn("pack:group", F.pmod(F.xxhash64(F.lit(seed), "pack:row"), F.lit(groups))).drop("pack:row")
+    return dealt.groupBy("pack:group").applyInPandas(packed, schema)

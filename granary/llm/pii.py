@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import calendar
 import datetime
+import functools
 import hashlib
+import ipaddress
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,10 +93,15 @@ def card(value: str, permute: Map) -> str | None:
     return _digits_into(value, body + check)
 
 
+#: What stands before the number itself: a country code up to a separator, or without one +1 or two digits, or the
+#: long-distance 1.
+_CODE = re.compile(r"\+\d{1,3}(?=[ .(-])|\+1(?=\d{10}$)|\+\d{2}(?=\d{7,12}$)|1[ .-](?=\(?[2-9]\d\d\)?[ .-]\d{3}[ .-]\d{4}$)")
+
+
 def phone(value: str, permute: Map) -> str | None:
     """A number with a country code, or with separators and 10 digits; code and punctuation stay, and a first
     digit of 2 to 9 stays in that range where the number of 10 digits needs it."""
-    head = re.match(r"\+\d{1,3}(?=[ .(-])", value)
+    head = _CODE.match(value)
     rest = value[head.end() :] if head else value
     digits = _only_digits(rest)
     if not 7 <= len(digits) <= 12 or (not head and (len(digits) != 10 or digits[0] in "01")):
@@ -120,6 +129,20 @@ def address(value: str, permute: Map) -> str | None:
     return ".".join(map(str, (first, new >> 16 & 255, new >> 8 & 255, new & 255)))
 
 
+def address6(value: str, permute: Map) -> str | None:
+    """An IPv6 address in any spelling; the first 16 bits, which tell its kind, stay. Unspecified, loopback and
+    link-local addresses name no one and stay."""
+    try:
+        own = ipaddress.IPv6Address(value)
+    except ValueError:
+        return None
+    if own.is_unspecified or own.is_loopback or own.is_link_local:
+        return None
+    kind, rest = divmod(int(own), 1 << 112)
+    new = str(ipaddress.IPv6Address(kind << 112 | permute(rest, 1 << 112, f"ip6{kind}")))
+    return new.upper() if value.isupper() else new
+
+
 def social(value: str, permute: Map) -> str | None:
     """A US social security number: areas 001 to 899 without 666, no group or serial of zeros."""
     area, group, serial = (int(p) for p in value.split("-"))
@@ -155,9 +178,22 @@ def _day(year: int, month: int, day: int, permute: Map) -> datetime.date | None:
     return datetime.date.fromordinal(permute(rank, _DAYS[1] - _DAYS[0] + 1, "date") + _DAYS[0])
 
 
+#: Days after the 12th before each month of 1900 to 2099, and after them.
+_LATE = [0, *accumulate(calendar.monthrange(1900 + m // 12, m % 12 + 1)[1] - 12 for m in range(2400))]
+
+
+def _late_day(year: int, month: int, day: int, permute: Map) -> datetime.date | None:
+    """The same for a day after the 12th, whose pseudonym is one too: written day first it can't be read another way."""
+    if not 1900 <= year <= 2099 or not 1 <= month <= 12 or not 13 <= day <= calendar.monthrange(year, month)[1]:
+        return None
+    rank = permute(_LATE[(year - 1900) * 12 + month - 1] + day - 13, _LATE[-1], "late")
+    at = bisect_right(_LATE, rank) - 1
+    return datetime.date(1900 + at // 12, at % 12 + 1, 13 + rank - _LATE[at])
+
+
 def date(value: str, permute: Map) -> str | None:
-    """A day from 1900 to 2099 as year-month-day, day.month.year or month/day/year; the order, separators and
-    padding stay, so one day has one pseudonym in every spelling of it."""
+    """A day from 1900 to 2099 as year-month-day, day.month.year, month/day/year or, where that is none, day/month/year; the
+    order, separators and padding stay, so one day has one pseudonym in every spelling of the first three."""
     parts = re.findall(r"\d+", value)
     marks = re.findall(r"\D", value)
     order = "ymd" if len(parts[0]) == 4 else "mdy" if marks[0] == "/" else "dmy"
@@ -165,6 +201,8 @@ def date(value: str, permute: Map) -> str | None:
         return None
     at = dict(zip(order, map(int, parts), strict=True))
     new = _day(at["y"], at["m"], at["d"], permute)
+    if new is None and order == "mdy":
+        order, new = "dmy", _late_day(at["y"], at["d"], at["m"], permute)
     if new is None:
         return None
     padded = any(len(p) == 2 and p[0] == "0" for p in parts) or order == "ymd"
@@ -216,27 +254,62 @@ KINDS: dict[str, tuple[str, Callable[[str, Map], str | None]]] = {
     ),
     "iban": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
     "ip": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", address),
+    "ip6": (r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:[0-9A-Fa-f]{1,4}|(?<=::))(?![\w:]|\.\d)", address6),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", social),
     "date": (r"(?<![\d./-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{4})(?![\d/-]|\.\d)", date),
     "card": (r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)", card),
-    "phone": (r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\d-]|\.\d)", phone),
+    "phone": (
+        r"(?<![\w.+-])(?:\+\d{9,15}|\+\d{1,3}[ .-]\d{7,12}|1[ .-]\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}"
+        r"|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]?\d{2,4}){1,3})(?![\d-]|\.\d)",
+        phone,
+    ),
+}
+#: Kinds whose match may take in a number or word behind the value or before it, and what a value inside a match that
+#: is none must look like.
+PARTS = {
+    "iban": re.compile(r"[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z]{2}\d{2}[A-Z0-9]{11,30}"),
+    "card": re.compile(r"[3-6]\d{3}([ -])\d{4}\1\d{4}\1\d{1,7}|3\d{3}([ -])\d{6}\2\d{5}|[3-6]\d{12,18}"),
+    "phone": re.compile(
+        r"\+\d{1,3}[ .-]\d{7,12}|(?:(?:\+\d{1,3}|1)[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){3,5}"),
 }
 #: Texts without any of these hold nothing to look at.
 _SIGNS = re.compile(r"\d|@|=|:")
 
 
+def _values(text: str, kind: str, permute: Map) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the valid values of a kind. Where a match is no value, what it has up to a border of its
+    groups is tried, longer parts first; then the search goes on behind its first group, but for phone numbers, which any
+    row of numbers would yield. Such parts must look like PARTS."""
+    pattern, change = KINDS[kind]
+    own, part, at, failed = _compiled(pattern), PARTS.get(kind), 0, 0
+    while match := own.search(text, at):
+        start, end = match.span()
+        whole = [] if part and start < failed and not part.fullmatch(match.group()) else [end]
+        borders = [start + m.start() for m in _BORDER.finditer(match.group())][::-1] if part else []
+        for stop in whole + [b for b in borders if part.fullmatch(text, start, b)]:
+            if (new := change(text[start:stop], permute)) is not None:
+                yield start, stop, new
+                at = stop
+                break
+        else:
+            border = _BORDER.search(text, start, end) if part and kind != "phone" else None
+            at = border.end() if border else max(end, at + 1)
+            failed = max(failed, end)
+
+
+_BORDER = re.compile(r"(?<=[\w)])[ .-]")
+_compiled = functools.lru_cache(re.compile)
+
+
 def pseudonymise(text: str, permutation: Permutation, kinds: tuple[str, ...] = tuple(KINDS)) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with every valid value replaced, and (kind, start, end) of each in the text before. Of values that
     overlap the one that starts first counts, then the one whose kind is named first."""
     if not _SIGNS.search(text):
         return text, []
-    hits = []
-    for rank, kind in enumerate(kinds):
-        pattern, change = KINDS[kind]
-        for match in re.finditer(pattern, text):
-            new = change(match.group(), permutation.forward)
-            if new is not None:
-                hits.append((match.start(), rank, match.end(), kind, new))
+    hits = [
+        (start, rank, end, kind, new)
+        for rank, kind in enumerate(kinds) for start, end, new in _values(text, kind, permutation.forward)
+    ]
     out, spans, done = [], [], 0
     for start, _, end, kind, new in sorted(hits):
         if start >= done:

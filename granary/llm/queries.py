@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import (
+    alignment,
     classifier,
     decontamination,
     lines,
     neardup,
+    negatives,
     ngramjoin,
     packing,
     pii,
@@ -46,11 +48,11 @@ def op3_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Where the public tokenizers lie on every machine; their path is a parameter of the operators."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,7 +85,7 @@ def op8_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     labels = spark.read.parquet(f"{folder}/labels.parquet").filter(~held_out)
     docs = documents(spark, folder).select("doc_id", "text")
     scored = classifier.with_score(docs, classifier.train(docs, labels))
@@ -108,6 +110,16 @@ def op11_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngramjoin.similar_documents(documents(spark, folder), size=4, percent=85).withColumnRenamed("component", "component_id")
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0, scale=256, low=30, high=90)
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned(documents(spark, folder), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     name: function for name, function in sorted(globals().items()) if name.startswith("op") and callable(function)
 }

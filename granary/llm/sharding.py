@@ -28,7 +28,7 @@ def interleave(
     that fraction and cut into shards whose counts differ by one at most. A stratum's rows in a shard are off
     from its share of the whole by less than two, and by its share of the number of strata.
 
-    The order within a stratum is that of a hash of seed and key, then of the key and of `ties`; rows equal in all of
+    The order within a stratum is that of a hash of seed, key and `ties`, then of these; rows equal in all of
     these are interchangeable. A null key counts like any other, null strata are one stratum, an empty table
     gives an empty table. Strata and the whole are ranked in about sqrt(rows) blocks, so that a stratum that
     holds most rows takes as many tasks as its rows need. Every column of `df` is shuffled: pass narrow rows.
@@ -37,7 +37,7 @@ def interleave(
     bits = max(1, math.ceil(math.log2(rows) / 2))
     drawn = df.withColumns({
         "at:stratum": F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")),
-        "at:draw": F.xxhash64(F.lit(seed), F.col(key)),
+        "at:draw": F.xxhash64(F.lit(seed), F.col(key), *map(F.col, ties)),
     }).withColumn("at:block", F.shiftrightunsigned("at:draw", 64 - bits))
     blocks = (
         drawn.groupBy("at:stratum", "at:block").agg(F.count("*").alias("n"))

@@ -58,21 +58,40 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
+class _Powers:
+    """Powers of an odd number modulo 2**64, and of its inverse."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = 1 << n.bit_length()
+            one = np.ones(1, np.uint64)
+            cls.up, cls.down = (
+                np.concatenate([one, np.cumprod(np.full(size - 1, base, np.uint64))]) for base in (_ODD[3], pow(_ODD[3], -1, 1 << 64))
+            )
+        return cls.up[:n], cls.down[:n]
+
+
+def run_hashes(hashes: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """For each size a hash of each run of so many hashes, in order: differences of the sums so far of hash times power,
+    divided by the power that the run begins with."""
+    n = len(hashes)
+    up, down = _Powers.of(n)
+    so_far = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up)])
+    return [_mixed((so_far[size:] - so_far[: n - size + 1]) * down[: n - size + 1]) if n >= size else np.empty(0, np.uint64) for size in sizes]
+
+
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of `size` hashes, in order."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for k in range(size):
-        total = _mixed(total + hashes[k : k + n] * np.uint64(_ODD[k % len(_ODD)]))
-    return total
+    return run_hashes(hashes, size)[0]
 
 
 def window_hashes(hashes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor and a hash of each window of `length` words: the grams that cover it give both."""
+    """The anchor and a hash of each window of `length` words. An anchor is the least hash of a window's grams."""
     size = min(GRAM, length)
-    own = grams(hashes, size)
+    own, whole = run_hashes(hashes, size, length)
     n = len(hashes) - length + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
@@ -80,9 +99,6 @@ def window_hashes(hashes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
     least, have = own, 1
     while 2 * have <= span:
         least, have = np.minimum(least[:-have], least[have:]), 2 * have
-    whole = np.zeros(n, np.uint64)
-    for k in (*range(0, span - 1, size), span - 1):
-        whole = _mixed(whole * np.uint64(_ODD[1]) + own[k : k + n])
     return np.minimum(least[:n], least[span - have : span - have + n]), whole
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import re
 from collections import Counter
 
@@ -122,3 +124,90 @@ def hits(docs: list[tuple], items: list[tuple], least: float = 0.8) -> dict[tupl
 
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def similar(rows: list[tuple[int | None, str | None]], size: int = 4, percent: int = 85) -> list[tuple]:
+    """(key, set size, least key reached) of every row, all pairs compared."""
+    sets = []
+    for _, text in rows:
+        own = words((text or "").translate(LOWER))
+        runs = zip(*(own[k:] for k in range(size)), strict=False) if len(own) >= size else [tuple(own)] * bool(own)
+        sets.append(frozenset(runs))
+    group = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                group[root(i)] = root(j)
+    least: dict[int, list[int]] = {}
+    for i, (key, _) in enumerate(rows):
+        least.setdefault(root(i), []).extend([key] if key is not None else [])
+    return [(key, len(sets[i]), min(least[root(i)], default=None) if sets[i] else key) for i, (key, _) in enumerate(rows)]
+
+
+def hard_negatives(rows: list[tuple], every: int = 100, scale: int = 256, positives: int = 5, negatives: int = 10) -> list[tuple]:
+    """All pairs of (id, label, vector) rows, sorted for each anchor; whole numbers of any size."""
+    usable = []
+    for key, label, vector in rows:
+        if key is not None and label is not None and vector is not None and all(x is not None and math.isfinite(x) for x in vector):
+            usable.append((key, label, [math.floor(scale * x) for x in vector]))
+    best: dict[int, tuple] = {}
+    for key, label, vector in usable:
+        best[key] = min(best.get(key, (label, vector)), (label, vector))
+    out = []
+    for anchor in sorted(k for k in best if k % every == 0):
+        kind, own = best[anchor]
+        scored = sorted((-sum(x * y for x, y in zip(own, v, strict=False)), k, c) for k, (c, v) in best.items() if k != anchor)
+        for s, positive, _ in [r for r in scored if r[2] == kind][:positives]:
+            inside = [(n, k) for n, k, c in scored if c != kind and 30 * -s <= 100 * -n <= 90 * -s]
+            out += [(anchor, positive, i + 1, k, -s, -n) for i, (n, k) in enumerate(inside[:negatives])]
+    return out
+
+
+def alignment(rows: list[tuple[int | None, str | None]], first: str, second: str) -> list[tuple]:
+    """Whole texts through both libraries, groups by sets of offsets, counts in one dictionary."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(first), SentencePieceProcessor(model_file=second)
+    a.encode_special_tokens = True
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [x for x in range(256) if x not in printable]
+    spelled = {chr(x): x for x in printable} | {chr(256 + k): x for k, x in enumerate(others)}
+
+    def b_bytes(i: int) -> bytes:
+        piece = b.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", piece) else piece.replace("▁", " ").encode()
+
+    found = []
+    for key, text in rows:
+        groups, links = [], []
+        ids_a = a.encode(" " + text, add_special_tokens=False).ids if text else []
+        ids_b = b.encode(text) if text else []
+        parts_a = [bytes(spelled[c] for c in a.id_to_token(i)) for i in ids_a]
+        parts_b = [b_bytes(i) for i in ids_b]
+        if not text or not b"".join(parts_a) == b"".join(parts_b) == (" " + text).encode():
+            found.append((key, [], [], groups, links))
+            continue
+        ends_a, ends_b = (list(itertools.accumulate(map(len, p))) for p in (parts_a, parts_b))
+        p = q = 0
+        for end in sorted(set(ends_a) & set(ends_b)):
+            x, y = ends_a.index(end) + 1, ends_b.index(end) + 1
+            groups.append(",".join(map(str, ids_a[p:x])) + "|" + ",".join(map(str, ids_b[q:y])))
+            links.append((ids_a[x - 1], ids_b[y - 1]))
+            p, q = x, y
+        found.append((key, ids_a, ids_b, groups, links))
+    times = Counter(link for *_, links in found for link in links)
+    best: dict[int, int] = {}
+    for (_, y), n in times.items():
+        best[y] = max(best.get(y, 0), n)
+    return [
+        (key, len(x), len(y), len(g), len(links), sum(times[k] == best[k[1]] for k in links), sum(times[k] for k in links),
+         sha(";".join(g)) if g else "")
+        for key, x, y, g, links in found
+    ]
