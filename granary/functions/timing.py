@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def at(moment: datetime) -> Column:
     """A zone-less timestamp literal; folds to a constant, so it reaches the scan."""
-    return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+    return F.lit(moment.isoformat(" ", "microseconds")).cast("timestamp_ntz")
 
 
 def on(day: date) -> Column:

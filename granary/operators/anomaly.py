@@ -13,6 +13,11 @@ HISTORY = 100
 HIGH_Z = 3.0
 CRITICAL_Z = 5.0
 
+ANOMALY = (
+    "id bigint, sku string, warehouse_id string, anomaly_type string, severity string, current_value double, "
+    "expected_value double, deviation double, timestamp timestamp_ntz, message string"
+)
+
 
 def severity(z: Column, *, critical: float = CRITICAL_Z) -> Column:
     return F.when(z > critical, "CRITICAL").otherwise("HIGH")
@@ -24,8 +29,8 @@ def volume_anomalies(
     threshold: float = HIGH_Z,
     critical: float = CRITICAL_Z,
     history: int = HISTORY,
-    grain: str = "hour",
     block: int = 50_000,
+    slices: int | None = None,
 ) -> DataFrame:
     """Movements further than `threshold` population deviations from the mean of the last
     `history` movements of their key, the movement itself included."""
@@ -35,8 +40,8 @@ def volume_anomalies(
         ["timestamp", "id"],
         F.col("quantity_change"),
         rows=history,
-        grain=grain,
         block=block,
+        slices=slices,
     )
     n, s1, s2 = F.col("_n"), F.col("_s1"), F.col("_s2")
     exact_s1 = s1.cast("decimal(19,0)")

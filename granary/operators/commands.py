@@ -1,10 +1,8 @@
 """Stock commands as a dataflow: accept or reject each one, and what follows from it.
 
-A command is accepted or rejected by the state its key has reached, so a key is replayed in
-order. Up to the first rejection that replay is a running sum, which `running_totals` does
-in slices of the history; only the rest of a key, from its first rejection on, needs the
-step-by-step replay. That one reads sorted rows as a stream of Arrow batches, so its
-memory does not grow with the key, and very long keys are cut into runs first (`settle`).
+A command is accepted or rejected by the state its key has reached, so a key is replayed in order. The commands
+are dealt to slices of even size (`ordered.cut`), the slices of all keys are folded side by side over sorted arrays, and
+settle on the levels that they start from (`ordered.settle`): one path for every key, whatever its length.
 
 Fixed values: the operations and the conditions under which they are accepted
     ADJUST   on_hand + q >= 0
@@ -17,34 +15,15 @@ Any command for a key without an item is rejected as not found.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import stock
-from granary.operators.ordered import (
-    FOUND,
-    RUN,
-    SLICE,
-    fold_in_order,
-    running_totals,
-    settle,
-    slice_of,
-)
+from granary.operators.ordered import FOUND, SLICE, cut, running_totals, settle
 from granary.schemas import KEY
 
-
-def _op() -> Column:
-    return F.col("op")
-
-
-def _q() -> Column:
-    return F.col("quantity")
-
-
 NOT_FOUND = "NOT_FOUND"
 MISSING = "MISSING_VALUE"
 NEGATIVE = "NEGATIVE_INVENTORY"
@@ -53,200 +32,149 @@ OVER_RELEASE = "RELEASE_EXCEEDS_RESERVED"
 NOT_POSITIVE = "QUANTITY_NOT_POSITIVE"
 UNKNOWN_OP = "UNKNOWN_OPERATION"
 
+JUDGED = (
+    "id bigint, sku string, warehouse_id string, op string, quantity int, timestamp timestamp_ntz, "
+    "rejection string, on_hand_after bigint, reserved_after bigint"
+)
+#: Outcomes appended one by one before they are put aside as a block: appending copies what is there.
+_NEAR = 200
+
+
+def _op() -> Column:
+    return F.col("op")
 
-def on_hand_change() -> Column:
-    return F.coalesce(  # a command without quantity changes nothing
-        F.when(_op().isin("ADJUST", "RECEIPT"), _q()).when(_op() == "SALE", -_q()).otherwise(F.lit(0)),
-        F.lit(0),
-    ).cast("bigint")
 
+def _q() -> Column:
+    return F.col("quantity")
 
-def reserved_change() -> Column:
-    return F.coalesce(  # a command without quantity changes nothing
-        F.when(_op() == "RESERVE", _q()).when(_op() == "RELEASE", -_q()).otherwise(F.lit(0)),
-        F.lit(0),
-    ).cast("bigint")
 
+def on_hand_change(op: Column, q: Column) -> Column:
+    """What an accepted command adds; one without quantity changes nothing."""
+    change = F.when(op.isin("ADJUST", "RECEIPT"), q).when(op == "SALE", -q)
+    return F.coalesce(change, F.lit(0)).cast("bigint")
 
-def rejection(on_hand: Column, reserved: Column) -> Column:
+
+def reserved_change(op: Column, q: Column) -> Column:
+    change = F.when(op == "RESERVE", q).when(op == "RELEASE", -q)
+    return F.coalesce(change, F.lit(0)).cast("bigint")
+
+
+def rejection(op: Column, q: Column, on_hand: Column, reserved: Column) -> Column:
     """Why a command fails in the given state before it; NULL when it is accepted."""
-    free = on_hand - reserved
     return (
-        F.when(_op().isNull() | _q().isNull(), MISSING)
-        .when((_op() == "ADJUST") & (on_hand + _q() < 0), NEGATIVE)
-        .when((_op() == "RESERVE") & (_q() <= 0), NOT_POSITIVE)
-        .when(_op().isin("RESERVE", "SALE") & (_q() > free), INSUFFICIENT)
-        .when((_op() == "RELEASE") & (_q() > reserved), OVER_RELEASE)
-        .when(~_op().isin("ADJUST", "RESERVE", "RELEASE", "SALE", "RECEIPT"), UNKNOWN_OP)
+        F.when(op.isNull() | q.isNull(), MISSING)
+        .when((op == "ADJUST") & (on_hand + q < 0), NEGATIVE)
+        .when((op == "RESERVE") & (q <= 0), NOT_POSITIVE)
+        .when(op.isin("RESERVE", "SALE") & (q > on_hand - reserved), INSUFFICIENT)
+        .when((op == "RELEASE") & (q > reserved), OVER_RELEASE)
+        .when(~op.isin("ADJUST", "RESERVE", "RELEASE", "SALE", "RECEIPT"), UNKNOWN_OP)
     )
 
 
-def step(op: str | None, q: float | None, on_hand: int, reserved: int) -> tuple[str | None, int, int]:
-    """One command: why it is rejected, or None, and the levels after it."""
-    if op is None or q is None or op != op or q != q:  # NULLs arrive as None or as NaN
-        return MISSING, on_hand, reserved
-    q = int(q)
-    if op == "RECEIPT":
-        return None, on_hand + q, reserved
-    if op == "ADJUST":
-        return (NEGATIVE, on_hand, reserved) if on_hand + q < 0 else (None, on_hand + q, reserved)
-    if op == "RELEASE":
-        return (OVER_RELEASE, on_hand, reserved) if q > reserved else (None, on_hand, reserved - q)
-    if op not in ("SALE", "RESERVE"):
-        return UNKNOWN_OP, on_hand, reserved
-    if op == "RESERVE" and q <= 0:
-        return NOT_POSITIVE, on_hand, reserved
-    if q > on_hand - reserved:
-        return INSUFFICIENT, on_hand, reserved
-    return (None, on_hand - q, reserved) if op == "SALE" else (None, on_hand, reserved + q)
-
-
-def judged_batch(batch: pd.DataFrame, outcomes: list[tuple[str | None, int, int]]) -> pd.DataFrame:
-    reasons, on_hand, reserved = zip(*outcomes, strict=True)
-    return batch[["id", *KEY, "op", "quantity", "timestamp"]].assign(
-        rejection=pd.Series(reasons, dtype="object", index=batch.index),
-        on_hand_after=pd.Series(on_hand, dtype="int64", index=batch.index),
-        reserved_after=pd.Series(reserved, dtype="int64", index=batch.index),
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _levels_after(state: Column, row: Column, why: Column) -> list[Column]:
+    op, q = row["op"], row["quantity"]
+    applied = lambda change: F.when(why.isNull(), change).otherwise(F.lit(0).cast("bigint"))
+    return [
+        (state["on_hand"] + applied(on_hand_change(op, q))).alias("on_hand"),
+        (state["reserved"] + applied(reserved_change(op, q))).alias("reserved"),
+    ]
+
+
+def _why(state: Column, row: Column) -> Column:
+    return rejection(row["op"], row["quantity"], state["on_hand"], state["reserved"])
+
+
+LEVELS = ["on_hand", "reserved"]
+
+
+def _levels(rows: Column, start: Column) -> Column:
+    """The levels after all commands of a slice."""
+    return F.aggregate(rows, start, lambda s, x: _let(_why(s, x), lambda why: F.struct(*_levels_after(s, x, why))))
+
+
+def _applied(rows: Column, start: Column) -> Column:
+    """The levels after all commands of a slice, and how many of them were accepted."""
+    begin = F.struct(*[start[n].alias(n) for n in LEVELS], F.lit(0).cast("bigint").alias("applied"))
+    return F.aggregate(rows, begin, lambda s, x: _let(_why(s, x), lambda why: F.struct(
+        *_levels_after(s, x, why), (s["applied"] + why.isNull().cast("bigint")).alias("applied"))))
+
+
+def _in_transit(rows: Column, start: Column) -> Column:
+    """What is left in transit after the receipts of a slice: one larger than what is left changes nothing."""
+    def receive(s: Column, x: Column) -> Column:
+        fits = (x["op"] == "RECEIPT") & (s["in_transit"] >= x["quantity"])
+        return F.struct((s["in_transit"] - F.when(fits, x["quantity"]).otherwise(F.lit(0))).cast("bigint").alias("in_transit"))
+
+    return F.aggregate(rows, start, receive)
+
+
+_OUTCOME = "struct<rejection:string,on_hand_after:bigint,reserved_after:bigint>"
+
+
+def _outcomes(rows: Column, start: Column) -> Column:
+    """Rejection and levels of each command of a slice, in order."""
+    begin = F.struct(
+        *[start[n].alias(n) for n in LEVELS],
+        F.array().cast(f"array<{_OUTCOME}>").alias("near"), F.array().cast(f"array<array<{_OUTCOME}>>").alias("done"),
     )
 
+    def judged(s: Column, x: Column) -> Column:
+        def noted(now: Column) -> Column:
+            one = F.struct(now["why"].alias("rejection"), now["on_hand"].alias("on_hand_after"), now["reserved"].alias("reserved_after"))
+            near, full = F.concat(s["near"], F.array(one.cast(_OUTCOME))), F.size(s["near"]) >= _NEAR - 1
+            return F.struct(
+                now["on_hand"].alias("on_hand"), now["reserved"].alias("reserved"),
+                F.when(full, F.array().cast(f"array<{_OUTCOME}>")).otherwise(near).alias("near"),
+                F.when(full, F.concat(s["done"], F.array(near))).otherwise(s["done"]).alias("done"),
+            )
 
-_HELD = ("_hand_before", "_reserved_before")
-
-
-def _ordered_rows(batch: pd.DataFrame, run: str, last: tuple, *columns: str):
-    """(run of a key, values) of each row, after a look at the order of the rows."""
-    for sku, warehouse, part, at, row_id, *values in zip(
-        *[batch[c] for c in (*KEY, run, "timestamp", "id", *columns)], strict=True
-    ):
-        here = (sku, warehouse, part, at, row_id)
-        if here < last:
-            raise ValueError(f"rows out of order at {here}")
-        last = here
-        yield here, values
-
-
-def _replay(group: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step through runs that lie one after another, each in order. Only the run at hand and
-    its two levels are kept, whatever the length of a run."""
-    run = on_hand = reserved = None
-    last = ()
-    for batch in batches:
-        if batch.empty:
-            continue
-        outcomes = []
-        for last, (op, q, hand0, reserved0) in _ordered_rows(batch, RUN, last, "op", "quantity", *_HELD):
-            if last[:3] != run:
-                run, on_hand, reserved = last[:3], hand0, reserved0
-            outcomes.append(step(op, q, on_hand, reserved))
-            _, on_hand, reserved = outcomes[-1]
-        yield judged_batch(batch, outcomes)
-
-
-def _levels_after(
-    group: tuple[Any, ...], batches: Iterator[pd.DataFrame]
-) -> Iterator[pd.DataFrame]:
-    """The two levels before and after each slice of a key."""
-    run = start = on_hand = reserved = None
-    last = ()
-    columns = [*KEY, SLICE, _HELD[0], f"_end_{_HELD[0]}", _HELD[1], f"_end_{_HELD[1]}"]
-    for batch in batches:
-        done = []
-        for last, (op, q, *before) in _ordered_rows(batch, SLICE, last, "op", "quantity", *_HELD):
-            if last[:3] != run:
-                if run is not None:
-                    done.append((*run, start[0], on_hand, start[1], reserved))
-                run, start = last[:3], before
-                on_hand, reserved = before
-            _, on_hand, reserved = step(op, q, on_hand, reserved)
-        yield pd.DataFrame(done, columns=columns)
-    if run is not None:
-        yield pd.DataFrame([(*run, start[0], on_hand, start[1], reserved)], columns=columns)
-
-
-_JUDGED = (
-    "id bigint, sku string, warehouse_id string, op string, quantity int, "
-    "timestamp timestamp_ntz, rejection string, on_hand_after bigint, reserved_after bigint"
-)
+        after = _let(_why(s, x), lambda why: F.struct(*_levels_after(s, x, why), why.alias("why")))
+        return _let(after, noted)
 
+    return F.aggregate(rows, begin, judged, lambda s: F.flatten(F.concat(s["done"], F.array(s["near"]))))
 
-def judge(
-    items: DataFrame,
-    commands: DataFrame,
-    *,
-    grain: str = "hour",
-    long_key: int = 5_000_000,
-    rounds: int | None = None,
-) -> DataFrame:
-    """Every command with its rejection (NULL when accepted) and the levels after it.
 
-    Commands are ordered by (timestamp, id) within a key; ids must be unique. The rest of a
-    key that has more than `long_key` commands is cut into slices which settle on
-    their starting levels round by round (in `rounds` at most, if given), and are then replayed side by side.
-    """
-    columns = ["id", *KEY, "op", "quantity", "timestamp"]
+def _slices(items: DataFrame, commands: DataFrame, slices: int | None) -> DataFrame:
+    """A row per key and slice: its commands in order, the key's levels before all of them, and what the slice changes if
+    nothing is rejected. `_found` tells whether there is such an item."""
+    level = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     levels = items.select(
-        *KEY,
-        F.col("quantity_on_hand").cast("bigint").alias("_hand_after"),
-        F.col("quantity_reserved").cast("bigint").alias("_reserved_after"),
-    )
-    replayed = running_totals(
-        commands.select(*columns),
-        KEY,
-        ["timestamp", "id"],
-        {"_hand_after": on_hand_change(), "_reserved_after": reserved_change()},
-        start=levels,
-        grain=grain,
-    )
-    linear = replayed.filter(FOUND).withColumns({
-        "_hand_before": F.col("_hand_after") - on_hand_change(),
-        "_reserved_before": F.col("_reserved_after") - reserved_change(),
-    })
-    broken = rejection(F.col("_hand_before"), F.col("_reserved_before")).isNotNull()
-    first_bad = linear.filter(broken).groupBy(*KEY).agg(
-        F.min(F.struct("timestamp", "id")).alias("_first_bad")
+        *KEY, level("quantity_on_hand").alias("on_hand"), level("quantity_reserved").alias("reserved"),
+        level("quantity_in_transit").alias("in_transit"), F.lit(True).alias(FOUND),
     )
-    placed = linear.join(first_bad, KEY, "left")
-    here = F.struct("timestamp", "id")
-    clean = F.col("_first_bad").isNull() | (here < F.col("_first_bad"))
-
-    accepted = placed.filter(clean).select(
-        *columns,
-        F.lit(None).cast("string").alias("rejection"),
-        F.col("_hand_after").alias("on_hand_after"),
-        F.col("_reserved_after").alias("reserved_after"),
+    dealt = cut(commands.select("id", *KEY, "op", "quantity", "timestamp"), KEY, ["timestamp", "id"], slices=slices)
+    received = F.when(_op() == "RECEIPT", _q())
+    table = dealt.groupBy(*KEY, SLICE).agg(
+        F.sort_array(F.collect_list(F.struct("timestamp", "id", "op", "quantity"))).alias("_rows"),
+        F.struct(
+            F.sum(on_hand_change(_op(), _q())).alias("on_hand"), F.sum(reserved_change(_op(), _q())).alias("reserved"),
+            (-F.coalesce(F.sum(received), F.lit(0))).cast("bigint").alias("in_transit"),
+        ).alias("_guess"),
     )
-    rest = placed.filter(~clean).select(*columns, *_HELD)
-    order = ["timestamp", "id"]
-    long = commands.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > long_key)
-    if long.isEmpty():
-        runs = rest.withColumn(RUN, F.lit(0))
-        stepped = fold_in_order(runs, [*KEY, RUN], order, _replay, _JUDGED)
-    else:
-        short_rest = rest.join(long.select(*KEY), KEY, "left_anti").withColumn(RUN, F.lit(0))
-        long_rest = rest.join(long.select(*KEY), KEY, "left_semi")
-        settled = settle(
-            long_rest, KEY, order, dict.fromkeys(_HELD, "bigint"), _levels_after,
-            grain=grain, rounds=rounds,
-        )
-        here = slice_of("timestamp", grain)
-        open_from = settled.groupBy(*KEY).agg(F.first("_open").alias("_open"))
-        cut = (
-            long_rest.drop(*_HELD)
-            .join(open_from, KEY, "left")
-            .withColumn(RUN, F.least(here, F.coalesce("_open", here)))
-            .drop("_open")
-            .join(settled.drop("_open"), [*KEY, RUN], "inner")
-        )
-        stepped = fold_in_order(short_rest, [*KEY, RUN], order, _replay, _JUDGED).unionByName(
-            fold_in_order(cut, [*KEY, RUN], order, _replay, _JUDGED)
-        )
-    unknown = replayed.filter(~F.col(FOUND)).select(
-        *columns,
-        F.lit(NOT_FOUND).alias("rejection"),
-        F.lit(None).cast("bigint").alias("on_hand_after"),
-        F.lit(None).cast("bigint").alias("reserved_after"),
-    )
-    return accepted.unionByName(stepped).unionByName(unknown)
+    return table.join(levels, KEY, "left").withColumn(FOUND, F.coalesce(FOUND, F.lit(False))).checkpoint()
+
+
+def judge(items: DataFrame, commands: DataFrame, *, slices: int | None = None) -> DataFrame:
+    """Every command with its rejection (NULL when accepted) and the levels after it.
+
+    Commands are ordered by (timestamp, id) within a key, those without a time first; ids must be unique. `slices` is as
+    for `ordered.cut`.
+    """
+    table = _slices(items, commands, slices)
+    starts = settle(table.filter(FOUND), KEY, LEVELS, _levels)
+    unknown = F.transform("_rows", lambda _: F.struct(
+        F.lit(NOT_FOUND).alias("rejection"), F.lit(None).cast("bigint").alias("on_hand_after"), F.lit(None).cast("bigint").alias("reserved_after"),
+    ).cast(_OUTCOME))
+    outcomes = F.when(F.col("_at").isNotNull(), _outcomes(F.col("_rows"), F.col("_at"))).otherwise(unknown)
+    each = table.select(*KEY, SLICE, "_rows").join(starts, [*KEY, SLICE], "left").select(
+        *KEY, F.explode(F.zip_with("_rows", outcomes, lambda row, out: F.struct(row.alias("row"), out.alias("outcome")))).alias("_one"))
+    return each.select(
+        "_one.row.id", *KEY, "_one.row.op", "_one.row.quantity", "_one.row.timestamp", "_one.outcome.*")
 
 
 def accepted(judged: DataFrame) -> DataFrame:
@@ -288,120 +216,58 @@ def events_from_commands(commands: DataFrame) -> DataFrame:
     )
 
 
-def _receive(group: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What each key has left in transit; keys lie one after another, each in order."""
-    key = left = None
-    last = ()
-    for batch in batches:
-        done = []
-        for last, (q, start) in _ordered_rows(batch, RUN, last, "quantity", "_start"):
-            if last[:2] != key:
-                if key is not None:
-                    done.append((*key, left))
-                key, left = last[:2], start
-            if left >= q:
-                left -= q
-        yield pd.DataFrame(done, columns=[*KEY, "_transit"])
-    if key is not None:
-        yield pd.DataFrame([(*key, left)], columns=[*KEY, "_transit"])
-
-
-def _left_after(
-    group: tuple[Any, ...], batches: Iterator[pd.DataFrame]
-) -> Iterator[pd.DataFrame]:
-    """What is left before and after each slice of a key."""
-    run = before = left = None
-    last = ()
-    columns = [*KEY, SLICE, "_start", "_end__start"]
-    for batch in batches:
-        done = []
-        for last, (q, start) in _ordered_rows(batch, SLICE, last, "quantity", "_start"):
-            if last[:3] != run:
-                if run is not None:
-                    done.append((*run, before, left))
-                run, before, left = last[:3], start, start
-            if left >= q:
-                left -= q
-        yield pd.DataFrame(done, columns=columns)
-    if run is not None:
-        yield pd.DataFrame([(*run, before, left)], columns=columns)
-
-
-def in_transit_after(
-    items: DataFrame,
-    receipts: DataFrame,
-    *,
-    grain: str = "hour",
-    long_key: int = 5_000_000,
-    rounds: int | None = None,
-) -> DataFrame:
-    """What is still in transit per key after its receipts, taken in order.
-
-    A receipt larger than what is left changes nothing. While all receipts fit in total the
-    result is a plain difference, and where not even the least fits nothing changes; only the
-    other keys are stepped through, and long ones of these in slices (see `judge`).
-    """
-    order = ["timestamp", "id"]
-    schema = "sku string, warehouse_id string, _transit bigint"
-    start = items.select(*KEY, F.col("quantity_in_transit").cast("bigint").alias("_start"))
-    totals = receipts.groupBy(*KEY).agg(
-        F.sum(_q()).alias("_total"), F.min(_q()).alias("_least"), F.count(F.lit(1)).alias("_n")
-    )
-    sized = start.join(totals, KEY, "inner")
-    fits = (F.col("_least") >= 0) & (F.col("_total") <= F.col("_start"))
-    none_fit = F.col("_least") > F.col("_start")
-    quick = sized.filter(fits | none_fit).select(
-        *KEY, F.when(fits, F.col("_start") - F.col("_total")).otherwise(F.col("_start")).alias("_transit")
-    )
-    # of receipts that are never negative, one larger than the starting level cannot fit later
-    fitting = (
-        receipts.join(sized.filter(~(fits | none_fit)), KEY, "inner")
-        .filter((_q() <= F.col("_start")) | (F.col("_least") < 0))
-        .select(*KEY, *order, "quantity", "_start", "_n")
-    )
-    short_rows = fitting.filter(F.col("_n") <= long_key).drop("_n").withColumn(RUN, F.lit(0))
-    result = quick.unionByName(fold_in_order(short_rows, [*KEY, RUN], order, _receive, schema))
-    if totals.filter(F.col("_n") > long_key).isEmpty():
-        return result
-    long_rows = fitting.filter(F.col("_n") > long_key).drop("_n")
-    settled = settle(long_rows, KEY, order, {"_start": "bigint"}, _left_after, grain=grain, rounds=rounds)
-    # only the last run of a key decides what is left in the end
-    final = settled.groupBy(*KEY).agg(
-        F.max(RUN).alias(RUN), F.max_by("_start", RUN).alias("_start")
-    )
-    tail = long_rows.drop("_start").join(final, KEY, "inner").filter(
-        slice_of("timestamp", grain) >= F.col(RUN)
+def _final(table: DataFrame, state: list[str], fold: Callable, end: Callable) -> DataFrame:
+    """(key, `_last`, `_ends`): what `end` gives for the last slice of each key, and for all of them."""
+    starts = settle(table.filter(FOUND), KEY, state, fold)
+    ended = table.join(starts, [*KEY, SLICE]).withColumn("_end", end(F.col("_rows"), F.col("_at")))
+    return ended.groupBy(*KEY).agg(F.max_by("_end", SLICE).alias("_last"), F.collect_list("_end").alias("_ends"))
+
+
+def levels_after(items: DataFrame, commands: DataFrame, *, slices: int | None = None) -> DataFrame:
+    """(key, on_hand, reserved, in_transit, applied) of the items that commands name: their levels after all
+    that are accepted, and how many those are."""
+    table = _slices(items, commands, slices)
+    done = _final(table, LEVELS, _levels, _applied).select(
+        *KEY, "_last.on_hand", "_last.reserved",
+        F.aggregate("_ends", F.lit(0).cast("bigint"), lambda n, e: n + e["applied"]).alias("applied"),
     )
-    return result.unionByName(fold_in_order(tail, [*KEY, RUN], order, _receive, schema))
+    # a receipt for a known item is never rejected, so these need not wait for the judgement
+    transit = _final(table, ["in_transit"], _in_transit, _in_transit).select(*KEY, "_last.in_transit")
+    return done.join(transit, KEY)
+
+
+def in_transit_after(items: DataFrame, receipts: DataFrame, *, slices: int | None = None) -> DataFrame:
+    """What is still in transit per key after its receipts, taken in order, as `_transit`. A receipt larger than what is
+    left changes nothing."""
+    table = _slices(items, receipts, slices)
+    return _final(table, ["in_transit"], _in_transit, _in_transit).select(*KEY, F.col("_last.in_transit").alias("_transit"))
 
 
-def items_after(items: DataFrame, commands: DataFrame, **cut) -> DataFrame:
+def items_after(items: DataFrame, commands: DataFrame, *, slices: int | None = None) -> DataFrame:
     """The items once all commands that are accepted have been applied.
 
     Every touched item gets a status derived from its new levels, so DISCONTINUED is lost,
-    and its version goes up by the number of accepted commands. `cut` is as for `judge`.
+    and its version goes up by the number of accepted commands.
     """
-    done = accepted(judge(items, commands, **cut))
-    last = done.groupBy(*KEY).agg(
-        F.max_by(F.struct("on_hand_after", "reserved_after"), F.struct("timestamp", "id")).alias("_last"),
-        F.count(F.lit(1)).alias("_applied"),
-    )
-    # a receipt for a known item is never rejected, so these need not wait for the judgement
-    transit = in_transit_after(items, commands.filter(_op() == "RECEIPT"), **cut)
-    touched = F.col("_applied").isNotNull()
-    merged = items.join(last, KEY, "left").join(transit, KEY, "left").withColumns({
-        "quantity_on_hand": F.coalesce("_last.on_hand_after", "quantity_on_hand").cast("int"),
-        "quantity_reserved": F.coalesce("_last.reserved_after", "quantity_reserved").cast("int"),
-        "quantity_in_transit": F.coalesce("_transit", "quantity_in_transit").cast("int"),
+    return with_levels(items, levels_after(items, commands, slices=slices))
+
+
+def with_levels(items: DataFrame, after: DataFrame) -> DataFrame:
+    """`items` with the levels of `after` (key, on_hand, reserved, in_transit, applied)."""
+    own = after.select(*KEY, F.struct("on_hand", "reserved", "in_transit", "applied").alias("_after"))
+    applied = F.coalesce("_after.applied", F.lit(0))
+    merged = items.join(own, KEY, "left").withColumns({
+        "quantity_on_hand": F.when(applied > 0, F.col("_after.on_hand")).otherwise(F.col("quantity_on_hand")).cast("int"),
+        "quantity_reserved": F.when(applied > 0, F.col("_after.reserved")).otherwise(F.col("quantity_reserved")).cast("int"),
+        "quantity_in_transit": F.coalesce("_after.in_transit", "quantity_in_transit").cast("int"),
     })
     return merged.withColumns({
-        "inventory_status": F.when(touched, stock.derived_status()).otherwise(F.col("inventory_status")),
-        "version": (F.coalesce("version", F.lit(0)) if "version" in items.columns else F.lit(0))
-        + F.coalesce("_applied", F.lit(0)),
-    }).drop("_last", "_applied", "_transit")
+        "inventory_status": F.when(applied > 0, stock.derived_status()).otherwise(F.col("inventory_status")),
+        "version": (F.coalesce("version", F.lit(0)) if "version" in items.columns else F.lit(0)) + applied,
+    }).drop("_after")
 
 
-def replay_ledger(items: DataFrame, ledger: DataFrame, *, grain: str = "hour") -> DataFrame:
+def replay_ledger(items: DataFrame, ledger: DataFrame, *, slices: int | None = None) -> DataFrame:
     """Stock level after every movement of a known item: its level and all changes so far."""
     start = items.select(*KEY, F.col("quantity_on_hand").cast("bigint").alias("stock_after"))
     moves = running_totals(
@@ -410,6 +276,6 @@ def replay_ledger(items: DataFrame, ledger: DataFrame, *, grain: str = "hour") -
         ["timestamp", "id"],
         {"stock_after": F.col("quantity_change").cast("bigint")},
         start=start,
-        grain=grain,
+        slices=slices,
     )
     return moves.filter(FOUND).select("id", *KEY, "timestamp", "quantity_change", "stock_after")

@@ -1,17 +1,16 @@
-"""Running totals and positions along one key's history, safe for very large keys.
+"""Running totals, positions and replays along one key's history, safe for very large keys.
 
-A window over (sku, warehouse) puts a whole key into one task. Here a key's history is cut
-at time boundaries. The slices are totalled (with map-side combine) and summed up on a table
-with one row per (key, slice); each slice then gets what came before it as one extra row
-ahead of its own, so a window over (key, slice) yields the running total of the key. Rows
-are shuffled once, are never joined, and no task sees more than one slice of one key.
+A window over (sku, warehouse) puts a whole key into one task. Here all rows are dealt once to ranges of (key, order) of
+even size, so a long key, a burst of rows of one moment and rows without a time are cut into several slices like
+anything else. The slices are totalled and summed up on a table with one row per (key, slice); each slice then
+gets what came before it as one extra row ahead of its own, so a window over (key, slice) yields the running total of
+the key. No task sees more than one slice of one key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,6 +23,17 @@ FOUND = "_found"
 _OWN = "_own_row"
 
 
+def cut(df: DataFrame, keys: list[str], order: list[str], *, slices: int | None = None) -> DataFrame:
+    """The rows with the number of their range of (key, order), ascending, as `_slice`; nulls come first.
+
+    There are as many ranges as the session has shuffle partitions, or `slices`; adaptive execution joins small ones. The
+    limits come from a sample, so the rows are checkpointed: each reader must see the same ranges.
+    """
+    enable_checkpoints(df.sparkSession)
+    number = [] if slices is None else [slices]
+    return df.repartitionByRange(*number, *keys, *order).withColumn(SLICE, F.spark_partition_id()).checkpoint()
+
+
 def running_totals(
     df: DataFrame,
     keys: list[str],
@@ -31,19 +41,18 @@ def running_totals(
     totals: dict[str, Column],
     *,
     start: DataFrame | None = None,
-    grain: str = "hour",
+    slices: int | None = None,
 ) -> DataFrame:
     """Add each named running sum, from the start of the key up to and with the row.
 
-    `order` starts with a timestamp and must be unique within a key. `grain` is the length
-    of a slice; choose it so that one key's rows of that length fit a task's sort.
+    `order` must be unique within a key; `slices` is as for `cut`.
 
     `start` has the keys and, under the names of `totals`, the level each sum starts from.
     `_found` then tells whether the row's key is in it; without a level the sum starts at 0.
     """
     names = list(totals)
     place = [*keys, SLICE]
-    sliced = df.withColumns({**totals, SLICE: slice_of(order[0], grain)})
+    sliced = cut(df.withColumns(totals), keys, order, slices=slices)
 
     earlier = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     ahead = sliced.groupBy(*place).agg(*[F.sum(n).alias(n) for n in names]).withColumns(
@@ -67,10 +76,10 @@ def running_totals(
 
 
 def with_position(
-    df: DataFrame, keys: list[str], order: list[str], *, name: str = "_position", grain: str = "hour"
+    df: DataFrame, keys: list[str], order: list[str], *, name: str = "_position", slices: int | None = None
 ) -> DataFrame:
     """1, 2, 3 … along each key."""
-    return running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, grain=grain)
+    return running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, slices=slices)
 
 
 def with_trailing(
@@ -80,8 +89,8 @@ def with_trailing(
     value: Column,
     *,
     rows: int,
-    grain: str = "hour",
     block: int = 50_000,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add _n, _s1 and _s2: count, sum and sum of squares of the last `rows` values.
 
@@ -97,7 +106,7 @@ def with_trailing(
     seen_by = F.when(offset >= block - rows + 1, F.array(home, home + 1)).otherwise(F.array(home))
 
     spread = (
-        with_position(df.withColumn("_v", value.cast("bigint")), keys, order, grain=grain)
+        with_position(df.withColumn("_v", value.cast("bigint")), keys, order, slices=slices)
         .withColumns({"_home": home, "_block": F.explode(seen_by)})
     )
     along = W.partitionBy(*keys, "_block").orderBy("_position")
@@ -116,102 +125,40 @@ def with_trailing(
     )
 
 
-def slice_of(time: str, grain: str) -> Column:
-    """The time slice a row belongs to; rows without a time share one before all others."""
-    return F.coalesce(
-        F.date_trunc(grain, F.col(time)).cast("timestamp_ntz"),
-        F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"),
-    )
-
+def settle(slices: DataFrame, keys: list[str], state: list[str], fold: Callable[[Column, Column], Column]) -> DataFrame:
+    """The state that each slice of a key starts from, for a history whose steps depend on the state before them.
 
-def fold_in_order(
-    df: DataFrame, keys: list[str], order: list[str], fold: Callable, schema: str
-) -> DataFrame:
-    """Hand every key's rows, in order, to a Python function as a stream of batches.
-
-    `fold` takes (group, iterator of pandas frames): whole keys one after another, sorted by
-    key and order, many keys in a group, so neither the number nor the length of keys
-    costs memory. The grouping states the clustering it needs; a bare repartition would not,
-    and adaptive execution may then read it in another layout. It also keeps the sort that
-    it finds, because that begins with its own column.
+    `slices` has a row per key and `_slice`: under the names of `state` the numbers that the key starts from, in `_guess` by how
+    much the slice changes them if nothing unforeseen happens, and `_rows`, its steps in order. `fold` gives the state
+    after the steps from the state before them. Slices are folded side by side from guessed states; the changes found are
+    added up along the key and give new guesses, and slices whose guess is new are folded again. A key's first
+    slice starts from a known state, so each round makes at least one more slice exact; when no guess changes
+    all are, and rounds go on until then. The result has the state as struct `_at`. Each round is checkpointed.
     """
-    groups = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        df.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups)))
-        .repartition("_group")
-        .sortWithinPartitions("_group", *keys, *order)
-        .groupBy("_group")
-        .applyInPandas(fold, schema)
-    )
-
-
-RUN = "_run"
-
+    enable_checkpoints(slices.sparkSession)
+    place = [*keys, SLICE]
+    before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    at = F.struct(*[F.col(f"_next_{n}").alias(n) for n in state]).alias("_at")
 
-def settle(
-    rows: DataFrame,
-    keys: list[str],
-    order: list[str],
-    state: dict[str, str],
-    ends: Callable,
-    *,
-    grain: str,
-    rounds: int | None = None,
-) -> DataFrame:
-    """Cut long keys into runs that can be folded side by side, each from its exact state.
-
-    `rows` carry, under the names of `state`, the state their key would have before them if
-    nothing unforeseen happened; only the first row of a slice is asked for it, as a guess.
-    Each round folds the slices whose guess is new (`ends` yields the state after each), adds
-    up the changes along the key, and takes the sums as new guesses. A key's first slice
-    starts from a known state, so each round makes at least one more slice exact, and
-    when no guess changes all are. Rounds go on until then; a caller may end them after `rounds`, and
-    whatever has not settled becomes one last run of its key. The result has one row per key and run: the
-    run and its state.
-
-    `state` maps names to SQL types. The tables of all rounds are checkpointed.
-    """
-    enable_checkpoints(rows.sparkSession)
-    names, place = list(state), [*keys, SLICE]
-    sliced = rows.withColumn(SLICE, slice_of(order[0], grain)).checkpoint()
-    guesses = sliced.groupBy(*place).agg(
-        F.min_by(F.struct(*names), F.struct(*order)).alias("_guess")
-    )
-    todo = guesses.select(*place, *[F.col(f"_guess.{n}").alias(n) for n in names])
-    known: DataFrame | None = None
-    schema = ", ".join(
-        [f"{c} {t}" for c, t in rows.select(*keys).dtypes]
-        + [f"{SLICE} timestamp_ntz"]
-        + [f"{n} {t}, _end_{n} {t}" for n, t in state.items()]
-    )
-    along = W.partitionBy(*keys).orderBy(SLICE)
-    before = along.rowsBetween(W.unboundedPreceding, -1)
-    for _ in count() if rounds is None else range(rounds):
-        folded = fold_in_order(
-            sliced.drop(*names).join(todo, place, "inner"), place, order, ends, schema
-        )
-        if known is not None:
-            folded = folded.unionByName(
-                known.select(*folded.columns).join(todo.select(*place), place, "left_anti")
-            )
-        known = folded.withColumns({
-            f"_next_{n}": F.first(n).over(along)
-            + F.coalesce(F.sum(F.col(f"_end_{n}") - F.col(n)).over(before), F.lit(0))
-            for n in names
+    def guessed(known: DataFrame) -> DataFrame:
+        return known.withColumns({
+            f"_next_{n}": F.col(n) + F.coalesce(F.sum(f"_by_{n}").over(before), F.lit(0).cast("bigint")) for n in state
         }).checkpoint()
-        todo = known.filter(_any([F.col(f"_next_{n}") != F.col(n) for n in names])).select(
-            *place, *[F.col(f"_next_{n}").alias(n) for n in names]
-        )
+
+    known = guessed(slices.select(*place, *state, *[F.col(f"_guess.{n}").alias(f"_by_{n}") for n in state]))
+    todo = known
+    while True:
+        ended = todo.select(*place, at).join(slices.select(*place, "_rows"), place).select(
+            *place, "_at", fold(F.col("_rows"), F.col("_at")).alias("_end"))
+        found = ended.select(*place, *[(F.col(f"_end.{n}") - F.col(f"_at.{n}")).alias(f"_found_{n}") for n in state])
+        known = guessed(known.join(found, place, "left").select(
+            *place, *state,
+            *[F.coalesce(f"_found_{n}", f"_by_{n}").alias(f"_by_{n}") for n in state],
+            *[F.col(f"_next_{n}").alias(f"_was_{n}") for n in state],
+        ))
+        todo = known.filter(_any([F.col(f"_next_{n}") != F.col(f"_was_{n}") for n in state]))
         if todo.isEmpty():
-            break
-    # slices before the first unsettled one are exact, and so is that one's start
-    unsettled = _any([F.col(f"_next_{n}") != F.col(n) for n in names])
-    open_from = F.min(F.when(unsettled, F.col(SLICE))).over(W.partitionBy(*keys))
-    return known.withColumn("_open", open_from).filter(
-        F.col("_open").isNull() | (F.col(SLICE) <= F.col("_open"))
-    ).select(
-        *keys, F.col(SLICE).alias(RUN), "_open", *[F.col(f"_next_{n}").alias(n) for n in names]
-    )
+            return known.select(*place, at)
 
 
 def _any(conditions: list[Column]) -> Column:

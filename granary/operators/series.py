@@ -100,8 +100,12 @@ def processed_metrics(
 
     The ledger is summed to days before it meets the keys, so no key brings its movements to the join.
     """
-    keys = touched.select(*KEY).distinct()
-    features = demand_features(keys.join(daily_sales(ledger, as_of=as_of, days=days), KEY, "left"))
+    return metrics_from_days(touched, daily_sales(ledger, as_of=as_of, days=days))
+
+
+def metrics_from_days(touched: DataFrame, daily: DataFrame) -> DataFrame:
+    """`processed_metrics` out of the days of `daily_sales`."""
+    features = demand_features(touched.select(*KEY).distinct().join(daily, KEY, "left"))
     filled = features.fillna(
         {"velocity_7d": 0.0, "velocity_30d": 0.0, "volatility": 0.0, "trend": 0.0,
          "seasonality_index": 1.0}

@@ -10,34 +10,29 @@ from granary.operators import catalog, snapshot
 from granary.plans.registry import query
 from granary.plans.views import EVENTS_AS_OF, Tables
 from granary.schemas import KEY
-from granary.streaming.metrics import enrich
 
 # Units sold and the last movement of each key since the first day of January.
 SUMMARY = """
-SELECT sku, warehouse_id, count(sold) AS sales_count_30d, coalesce(sum(sold), 0) AS total_sales_30d,
-       avg(sold) AS avg_sale_quantity, stddev_samp(sold) AS stddev_sale_quantity, max(moved) AS last_transaction_date
-FROM (SELECT sku, warehouse_id, timestamp AS moved,
-             CASE transaction_type WHEN 'SALE' THEN greatest(quantity_change, -quantity_change) END AS sold
-      FROM tx WHERE date_diff('second', TIMESTAMP '2024-01-01', timestamp) >= 0) moves
-GROUP BY ALL"""
-
-# The first rule that holds names the action; a key without movements has no sales to be zero.
-ACTION = """coalesce(
-  CASE WHEN 0 = quantity_on_hand THEN 'STOCKOUT' END,
-  CASE WHEN reorder_point + quantity_reserved >= quantity_on_hand THEN 'NEEDS_REORDER' END,
-  CASE WHEN 0 = s.total_sales_30d THEN 'NO_MOVEMENT' END,
-  'NORMAL')"""
+SELECT sku, warehouse_id, count(*) FILTER (transaction_type = 'SALE') AS sales_count_30d,
+       coalesce(sum(abs(quantity_change)) FILTER (transaction_type = 'SALE'), 0) AS total_sales_30d,
+       avg(abs(quantity_change)) FILTER (transaction_type = 'SALE') AS avg_sale_quantity,
+       stddev_samp(abs(quantity_change)) FILTER (transaction_type = 'SALE') AS stddev_sale_quantity,
+       max(timestamp) AS last_transaction_date
+FROM tx WHERE timestamp >= TIMESTAMP '2024-01-01' GROUP BY sku, warehouse_id"""
 
 SNAPSHOT = f"""
-SELECT sku, warehouse_id, {ACTION} AS action_required, status, last_reorder_date, last_transaction_date,
-       quantity_on_hand, quantity_reserved, reorder_point, reorder_quantity, unit_cost,
-       coalesce(unit_cost, 0) * quantity_on_hand AS inventory_value,
-       ifnull(sales_count_30d, 0) AS sales_count_30d, CAST(ifnull(s.total_sales_30d, 0) AS BIGINT) AS total_sales_30d,
-       ifnull(avg_sale_quantity, 0) AS avg_sale_quantity, ifnull(stddev_sale_quantity, 0) AS stddev_sale_quantity,
-       ifnull(s.total_sales_30d, 0) / 30.0E0 AS daily_velocity
-FROM (SELECT * EXCLUDE (unit_cost, inventory_status), CAST(unit_cost AS DOUBLE) AS unit_cost, inventory_status AS status
-      FROM ordered_items WHERE NOT inventory_status = 'DISCONTINUED') held
-LEFT JOIN ({SUMMARY}) s USING (sku, warehouse_id)"""
+SELECT i.sku, i.warehouse_id,
+       CASE WHEN i.quantity_on_hand = 0 THEN 'STOCKOUT'
+            WHEN i.quantity_on_hand - i.quantity_reserved <= i.reorder_point THEN 'NEEDS_REORDER'
+            WHEN s.total_sales_30d = 0 THEN 'NO_MOVEMENT' ELSE 'NORMAL' END AS action_required,
+       i.inventory_status AS status, i.last_reorder_date, s.last_transaction_date,
+       i.quantity_on_hand, i.quantity_reserved, i.reorder_point, i.reorder_quantity, CAST(i.unit_cost AS DOUBLE) AS unit_cost,
+       i.quantity_on_hand * coalesce(CAST(i.unit_cost AS DOUBLE), 0) AS inventory_value,
+       coalesce(s.sales_count_30d, 0) AS sales_count_30d, CAST(coalesce(s.total_sales_30d, 0) AS BIGINT) AS total_sales_30d,
+       coalesce(s.avg_sale_quantity, 0) AS avg_sale_quantity, coalesce(s.stddev_sale_quantity, 0) AS stddev_sale_quantity,
+       CAST(coalesce(s.total_sales_30d, 0) AS DOUBLE) / 30 AS daily_velocity
+FROM ordered_items i LEFT JOIN ({SUMMARY}) s ON i.sku = s.sku AND i.warehouse_id = s.warehouse_id
+WHERE i.inventory_status <> 'DISCONTINUED'"""
 
 
 def snapshot_of(t: Tables):
@@ -70,20 +65,18 @@ SELECT action_required, count(*) AS items FROM ({SNAPSHOT}) GROUP BY action_requ
 )
 
 query("snapshot_counts", f"""
-SELECT len(list_distinct(list(sku))) AS total_skus, len(list_distinct(list(warehouse_id))) AS total_warehouses,
+SELECT count(DISTINCT sku) AS total_skus, count(DISTINCT warehouse_id) AS total_warehouses,
        count(*) FILTER (action_required = 'STOCKOUT') AS stockout_count,
        count(*) FILTER (action_required = 'NEEDS_REORDER') AS reorder_count
 FROM ({SNAPSHOT})""", views="ordered_items tx")(lambda t: snapshot.snapshot_counts(snapshot_of(t)))
 
 query("warehouse_metrics", f"""
-SELECT w.warehouse_id, w.total_skus, coalesce(a.stockout, 0) AS stockout_count, coalesce(a.reorder, 0) AS reorder_count,
-       w.total_inventory_value, w.avg_velocity
-FROM (SELECT warehouse_id, count(DISTINCT sku) AS total_skus, round(sum(inventory_value), 6) AS total_inventory_value,
-             round(avg(CAST(CAST(daily_velocity AS DECIMAL(10,2)) AS DOUBLE)), 6) AS avg_velocity
-      FROM ({SNAPSHOT}) GROUP BY warehouse_id) w
-JOIN (SELECT warehouse_id, count(*) FILTER (action_required = 'STOCKOUT') AS stockout,
-             count(*) FILTER (action_required = 'NEEDS_REORDER') AS reorder
-      FROM ({SNAPSHOT}) GROUP BY warehouse_id) a USING (warehouse_id)""", views="ordered_items tx")(
+SELECT warehouse_id, count(DISTINCT sku) AS total_skus,
+       count(*) FILTER (action_required = 'STOCKOUT') AS stockout_count,
+       count(*) FILTER (action_required = 'NEEDS_REORDER') AS reorder_count,
+       round(sum(inventory_value), 6) AS total_inventory_value,
+       round(avg(CAST(CAST(daily_velocity AS DECIMAL(10,2)) AS DOUBLE)), 6) AS avg_velocity
+FROM ({SNAPSHOT}) GROUP BY warehouse_id""", views="ordered_items tx")(
     lambda t: snapshot.warehouse_metrics(daily_rows(t), snapshot_date=EVENTS_AS_OF.date())
 )
 
@@ -104,10 +97,9 @@ SELECT sku, warehouse_id, 0, 0, 0.0 FROM items ANTI JOIN tx USING (sku, warehous
 query("dead_stock", """
 SELECT sku, warehouse_id, quantity_on_hand, quantity_reserved, quantity_in_transit, reorder_point, reorder_quantity,
        round(CAST(unit_cost AS DOUBLE), 6) AS unit_cost, inventory_status, CAST(last_stock_check AS VARCHAR) AS last_stock_check
-FROM (FROM items UNION FROM items) held
-LEFT JOIN (SELECT sku, warehouse_id, max(timestamp) AS moved FROM tx GROUP BY ALL) m USING (sku, warehouse_id)
-WHERE quantity_on_hand >= 1 AND inventory_status NOT IN ('DISCONTINUED')
-  AND ifnull(moved < TIMESTAMP '2024-01-28', TRUE)""", views="items tx")(
+FROM items LEFT JOIN (SELECT sku, warehouse_id, max(timestamp) AS moved FROM tx GROUP BY sku, warehouse_id) m USING (sku, warehouse_id)
+WHERE quantity_on_hand > 0 AND inventory_status <> 'DISCONTINUED'
+  AND (moved IS NULL OR moved < TIMESTAMP '2024-01-28')""", views="items tx")(
     lambda t: snapshot.dead_stock(t.items, t.tx, cutoff=datetime(2024, 1, 28))
 )
 
@@ -186,14 +178,3 @@ UNION ALL SELECT 'active_warehouses', '', count(*) FROM warehouses WHERE is_acti
       views="catalog categories warehouses")(
     lambda t: catalog.dimension_counts(t.catalog, t.categories, t.warehouses)
 )
-
-
-@query("stream_enrich", f"""
-SELECT e.event_id, e.sku, e.warehouse_id, h.sales_count_30d, CAST(h.total_sales_30d AS BIGINT) AS total_sales_30d
-FROM stock_events e LEFT JOIN ({SUMMARY}) h ON e.sku = h.sku AND e.warehouse_id = h.warehouse_id
-""", views="stock_events tx")
-def _(t: Tables):
-    history = snapshot.sales_summary(t.tx, as_of=EVENTS_AS_OF)
-    return enrich(t.stock_events, history).select(
-        "event_id", *KEY, "sales_count_30d", "total_sales_30d"
-    )

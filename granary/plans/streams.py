@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+from itertools import pairwise
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.operators import anomaly
+from granary.functions.timing import at
+from granary.operators import anomaly, snapshot
 from granary.operators import commands as cmd
 from granary.plans.commands import REPLAY
 from granary.plans.flows import _EVENT
+from granary.plans.joins import SUMMARY
 from granary.plans.registry import query
 from granary.plans.series import ANOMALIES, METRICS, SCORED
-from granary.plans.views import DENSE_AS_OF, VIEWS, Tables
+from granary.plans.views import DENSE_AS_OF, EVENTS_AS_OF, VIEWS, Tables
 from granary.schemas import KEY
-from granary.session import fresh_dir
+from granary.session import fresh_dir, materialized
 from granary.sources import streams as src
 from granary.streaming import commands as stream_cmd
 from granary.streaming import state, windows
-from granary.streaming.anomaly import stream_anomalies
-from granary.streaming.metrics import run_metrics
-from granary.streaming.tables import BATCH, current_rows, to_table
+from granary.streaming.anomaly import run_anomalies as run_detector
+from granary.streaming.metrics import run_days, run_enriched, run_metrics
+from granary.streaming.tables import BATCH, to_newest
 
 
 def event_stream(t: Tables) -> DataFrame:
@@ -37,9 +42,7 @@ def stock_event_stream(t: Tables) -> DataFrame:
 
 def _updated(t: Tables, stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
     path = fresh_dir(t.spark, label)
-    return current_rows(
-        to_table(stream, path, checkpoint=f"{path}-checkpoint", mode="update"), keys
-    )
+    return to_newest(stream, path, keys, checkpoint=f"{path}-checkpoint")
 
 
 _WINDOW = ["window_start", "window_end", *KEY]
@@ -60,8 +63,7 @@ FROM ({_HOUR})""", views="tx")(
 
 def run_anomalies(t: Tables, threshold: float = 3.0, critical: float = 5.0) -> DataFrame:
     path = fresh_dir(t.spark, "anomalies")
-    found = stream_anomalies(tx_stream(t), threshold=threshold, critical=critical)
-    return to_table(found, path, checkpoint=f"{path}-checkpoint").drop(BATCH)
+    return run_detector(tx_stream(t), path, checkpoint=f"{path}-checkpoint", threshold=threshold, critical=critical)
 
 
 query("stream_anomaly", ANOMALIES.format(threshold=3, critical=5), views="tx")(run_anomalies)
@@ -131,7 +133,7 @@ SELECT sku, warehouse_id, round(velocity_7d, 6) AS velocity_7d, round(velocity_3
        round(seasonality_index, 6) AS seasonality_index, stockout_risk, reorder_recommendation
 FROM ({METRICS})""", views="tx_dense")
 def _(t: Tables):
-    """Every key's latest movement arrives as a JSON event; the ledger is the whole table."""
+    """Movements arrive as JSON events; the ledger is a stream of its own, which keeps the table of days."""
     base = fresh_dir(t.spark, "metrics-etl")
     event = F.struct(
         "sku", F.col("warehouse_id").alias("warehouse"), F.col("quantity_change").alias("quantityChange"),
@@ -139,13 +141,25 @@ def _(t: Tables):
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
     )
     t.tx_dense.select(F.to_json(event).alias("value")).write.text(f"{base}/topic")
-    run_metrics(
-        src.read_json_lines(t.spark, f"{base}/topic"), t.tx_dense, as_of=DENSE_AS_OF,
-        metrics_path=f"{base}/metrics", alerts_path=f"{base}/alerts",
-        quarantine_path=f"{base}/quarantine", checkpoint=f"{base}/checkpoint",
+    lines = src.read_table_files(t.spark, t.folder, t.lineitem.schema, only="lineitem.parquet")
+    ledger = t.spark.sql(VIEWS["tx_dense"], lineitem=lines, **{n: getattr(t, n) for n in ("part", "supplier", "nation")})
+    sold = run_days(ledger, f"{base}/days", checkpoint=f"{base}/days-checkpoint")
+    newest = run_metrics(
+        src.read_json_lines(t.spark, f"{base}/topic"), sold, as_of=DENSE_AS_OF, path=base, checkpoint=f"{base}/checkpoint",
+    )
+    return newest.read().drop("processed_at", BATCH)
+
+
+@query("stream_enrich", f"""
+SELECT e.event_id, e.sku, e.warehouse_id, h.sales_count_30d, CAST(h.total_sales_30d AS BIGINT) AS total_sales_30d
+FROM stock_events e LEFT JOIN ({SUMMARY}) h ON e.sku = h.sku AND e.warehouse_id = h.warehouse_id
+""", views="stock_events tx")
+def _(t: Tables):
+    path = fresh_dir(t.spark, "enriched")
+    history = snapshot.sales_summary(t.tx, as_of=EVENTS_AS_OF)
+    return run_enriched(stock_event_stream(t), history, path, checkpoint=f"{path}-checkpoint").select(
+        "event_id", *KEY, "sales_count_30d", "total_sales_30d"
     )
-    written = t.spark.read.parquet(f"{base}/metrics")
-    return current_rows(written, KEY).drop("processed_at")
 
 
 # -- rates ----------------------------------------------------------------------------------
@@ -191,10 +205,19 @@ FROM (SELECT sku, warehouse_id, min(m) AS low_since, max(coalesce(next, m + INTE
              max(highest) AS highest FROM runs WHERE low GROUP BY sku, warehouse_id, run)
 WHERE until - low_since >= INTERVAL 5 MINUTE""", views="tx items")
 def _(t: Tables):
-    """Levels by replaying the ledger, then the rule on the highest level of each minute."""
-    levels = cmd.replay_ledger(t.items, t.tx)
-    minutes = windows.minute_levels(levels, by=KEY, value="stock_after")
-    return windows.sustained_low(minutes, by=KEY)
+    """Levels by replaying the ledger, published a week at a time, and the rule on the stream of them."""
+    path = fresh_dir(t.spark, "levels")
+    levels = materialized(
+        cmd.replay_ledger(t.items, t.tx).select(*KEY, F.col("stock_after").cast("bigint").alias("stock_after"), "timestamp")
+    )
+    weeks = [EVENTS_AS_OF - timedelta(days=d) for d in (10_000, 21, 14, 7, -10_000)]
+    for first, after in pairwise(weeks):
+        week = levels.filter((F.col("timestamp") >= at(first)) & (F.col("timestamp") < at(after)))
+        week.write.mode("append").parquet(f"{path}/published")
+    stream = src.read_table_files(t.spark, f"{path}/published", levels.schema, only="*.parquet", files_per_trigger=2)
+    return windows.run_sustained_low(
+        stream, f"{path}/rule", by=KEY, value="stock_after", checkpoint=f"{path}/checkpoint", delay=timedelta(days=12)
+    )
 
 
 @query("stream_apply_commands", f"""
@@ -204,9 +227,5 @@ FROM steps s WHERE s.rn > 0""", views="commands items")
 def _(t: Tables):
     path = fresh_dir(t.spark, "judged")
     stream = t.spark.sql(VIEWS["commands"], tx=tx_stream(t))
-    judged = to_table(
-        stream_cmd.stream_judge(t.items, stream), path, checkpoint=f"{path}-checkpoint"
-    )
+    judged = stream_cmd.run_judge(t.items, stream, path, checkpoint=f"{path}-checkpoint")
     return judged.select("id", *KEY, "rejection", "on_hand_after", "reserved_after")
-
-

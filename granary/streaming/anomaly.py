@@ -2,86 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+from datetime import timedelta
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from granary.operators.anomaly import CRITICAL_Z, HIGH_Z, HISTORY
+from granary.functions.timing import at
+from granary.operators.anomaly import ANOMALY, CRITICAL_Z, HIGH_Z, HISTORY, volume_anomalies
 from granary.schemas import KEY
+from granary.streaming.ordered import DELAY, Waiting
+from granary.streaming.tables import BATCH, Tiers, read_table, write_batch
 
-_OUTPUT = (
-    "id bigint, sku string, warehouse_id string, anomaly_type string, severity string, "
-    "current_value double, expected_value double, deviation double, "
-    "timestamp timestamp_ntz, message string"
-)
 
+def last_rows(count: int):
+    """Keeps the last rows of each key by (timestamp, id)."""
 
-def _score(values: np.ndarray, history: int, known: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and z-score of each value after the first `known`, over the `history` values up to it."""
-    s1 = np.concatenate([[0.0], np.cumsum(values)])
-    s2 = np.concatenate([[0.0], np.cumsum(values * values)])
-    end = np.arange(known + 1, len(values) + 1)
-    start = np.maximum(end - history, 0)
-    n = end - start
-    total, squares = s1[end] - s1[start], s2[end] - s2[start]
-    spread = np.sqrt(np.maximum(n * squares - total * total, 0.0))
-    distance = np.abs(n * values[known:] - total)
-    return total / n, np.divide(distance, spread, out=np.zeros(len(n)), where=spread > 0)
+    def fold(rows: DataFrame) -> DataFrame:
+        back = W.partitionBy(*KEY).orderBy(F.desc("timestamp"), F.desc("id"))
+        return rows.withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= count).drop("_back")
 
+    return fold
 
-def detector(threshold: float = HIGH_Z, critical: float = CRITICAL_Z, history: int = HISTORY):
-    def step(
-        key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        # a micro-batch is bounded by the source's trigger options, and so is this
-        rows = pd.concat(list(batches))
-        rows = rows.iloc[np.lexsort((rows["id"].to_numpy(), rows["timestamp"].to_numpy()))]
-        before = state.get[0] if state.exists else []
-        values = np.concatenate([before, rows["quantity_change"].to_numpy(dtype="float64")])
-        state.update((values[-history:].tolist(),))
-        mean, z = _score(values, history, len(before))
-        odd = z > threshold
-        if not odd.any():
-            return
-        hits = rows[odd]
-        change = hits["quantity_change"].astype("int64")
-        yield pd.DataFrame({
-            "id": hits["id"],
-            "sku": key[0],
-            "warehouse_id": key[1],
-            "anomaly_type": "VOLUME_ANOMALY",
-            "severity": np.where(z[odd] > critical, "CRITICAL", "HIGH"),
-            "current_value": change.astype("float64"),
-            "expected_value": mean[odd],
-            "deviation": z[odd],
-            "timestamp": hits["timestamp"],
-            "message": "Unusual inventory change detected: " + change.astype("str"),
-        })
 
-    return step
-
-
-def stream_anomalies(
+def run_anomalies(
     events: DataFrame,
+    path: str,
     *,
+    checkpoint: str,
     threshold: float = HIGH_Z,
     critical: float = CRITICAL_Z,
     history: int = HISTORY,
+    delay: timedelta = DELAY,
+    ended: bool = True,
 ) -> DataFrame:
-    """Anomalies as they arrive. Rows are ordered by (timestamp, id) inside a micro-batch;
-    across micro-batches they count in the order of arrival."""
-    return (
-        events.select("id", *KEY, "quantity_change", "timestamp")
-        .groupBy(*KEY)
-        .applyInPandasWithState(
-            detector(threshold, critical, history),
-            _OUTPUT,
-            "history array<double>",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
-    )
+    """Anomalies in the order of (timestamp, id), as rows get ready; the same as of all rows at once, but for those that come
+    later than the delay allows and are quarantined under `path`. Ready rows are judged by the batch operator, behind the last
+    `history - 1` rows of their keys, so a key with many rows is as many tasks as in a batch."""
+    rows = events.select("id", *KEY, "quantity_change", "timestamp")
+    waiting = Waiting(rows, f"{path}/rows", delay=delay)
+    tail = Tiers(rows.sparkSession, f"{path}/tail", rows.schema, last_rows(history - 1))
+
+    def step(ready: DataFrame, done, batch_id: int) -> None:
+        known = tail.read(before=batch_id).join(ready.select(*KEY).distinct(), KEY, "left_semi").select(*ready.columns)
+        found = volume_anomalies(known.unionByName(ready), threshold=threshold, critical=critical, history=history)
+        write_batch(found if done is None else found.filter(F.col("timestamp") > at(done)), batch_id, f"{path}/found")
+        tail.commit(ready, batch_id)
+
+    waiting.run(rows, step, checkpoint=checkpoint, ended=ended)
+    return read_table(rows.sparkSession, f"{path}/found", rows.sparkSession.createDataFrame([], ANOMALY)).drop(BATCH)

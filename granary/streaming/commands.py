@@ -2,64 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from granary.operators.commands import NOT_FOUND, judged_batch, step
+from granary.operators.commands import JUDGED, judge
 from granary.schemas import KEY
+from granary.streaming.ordered import DELAY, Waiting
+from granary.streaming.tables import BATCH, Tiers, newest, read_table, write_batch
 
-_JUDGED = (
-    "id bigint, sku string, warehouse_id string, op string, quantity int, "
-    "timestamp timestamp_ntz, rejection string, on_hand_after bigint, reserved_after bigint"
-)
+_LEVELS = ["quantity_on_hand", "quantity_reserved"]
 
 
-def _step(
-    key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    # a micro-batch is bounded by the source's trigger options, and so is this
-    rows = pd.concat(list(batches)).sort_values(["timestamp", "id"])
-    if state.exists:
-        on_hand, reserved = state.get
-    else:
-        on_hand, reserved = rows["_quantity_on_hand"].iloc[0], rows["_quantity_reserved"].iloc[0]
-    if pd.isna(on_hand):
-        yield rows[["id", *KEY, "op", "quantity", "timestamp"]].assign(
-            rejection=NOT_FOUND,
-            on_hand_after=pd.Series(pd.NA, index=rows.index, dtype="Int64"),
-            reserved_after=pd.Series(pd.NA, index=rows.index, dtype="Int64"),
-        )
-        return
-    on_hand, reserved = int(on_hand), int(reserved)
-    outcomes = []
-    for op, q in zip(rows["op"], rows["quantity"], strict=True):
-        outcomes.append(step(op, q, on_hand, reserved))
-        _, on_hand, reserved = outcomes[-1]
-    state.update((on_hand, reserved))
-    yield judged_batch(rows, outcomes)
+def run_judge(
+    items: DataFrame, commands: DataFrame, path: str, *, checkpoint: str, delay: timedelta = DELAY, ended: bool = True
+) -> DataFrame:
+    """Streaming twin of `operators.commands.judge`: the same rows as for all commands at once, but for those that come later
+    than the delay allows and are quarantined under `path`.
 
-
-def stream_judge(items: DataFrame, commands: DataFrame) -> DataFrame:
-    """Streaming twin of `operators.commands.judge`.
-
-    The starting levels come from `items` when a key is first seen; from then on its state
-    holds them. Commands are ordered by (timestamp, id) inside a micro-batch.
+    Commands are taken in the order of (timestamp, id) once they are ready. A key's levels are those of `items` until its
+    first command, and from then on those after its last one.
     """
-    levels = items.select(
-        *KEY,
-        F.col("quantity_on_hand").cast("bigint").alias("_quantity_on_hand"),
-        F.col("quantity_reserved").cast("bigint").alias("_quantity_reserved"),
-    )
-    return (
-        commands.select("id", *KEY, "op", "quantity", "timestamp")
-        .join(levels, KEY, "left")
-        .groupBy(*KEY)
-        .applyInPandasWithState(
-            _step, _JUDGED, "on_hand bigint, reserved bigint", "append", GroupStateTimeout.NoTimeout
-        )
-    )
+    asked = commands.select("id", *KEY, "op", "quantity", "timestamp")
+    spark = asked.sparkSession
+    levels = items.select(*KEY, *_LEVELS, "quantity_in_transit").schema.add(BATCH, "long")
+    state = Tiers(spark, f"{path}/levels", levels, newest(KEY))
+    waiting = Waiting(asked, f"{path}/rows", delay=delay)
+    out = f"{path}/judged"
+    like = spark.createDataFrame([], JUDGED)
+
+    def step(ready: DataFrame, done, batch_id: int) -> None:
+        now = state.read(before=batch_id).select(*KEY, F.struct(*_LEVELS).alias("_now"))
+        touched = items.select(*KEY, *_LEVELS, "quantity_in_transit").join(ready.select(*KEY).distinct(), KEY, "left_semi")
+        current = touched.join(now, KEY, "left").withColumns({c: F.coalesce(f"_now.{c}", c) for c in _LEVELS}).drop("_now")
+        write_batch(judge(current, ready), batch_id, out)
+        # read back what was written: the state then agrees with it and nothing is judged twice
+        judged = spark.read.schema(like.schema).parquet(f"{out}/{BATCH}={batch_id}").filter("on_hand_after is not null")
+        last = judged.groupBy(*KEY).agg(F.max_by(F.struct("on_hand_after", "reserved_after"), F.struct("timestamp", "id")).alias("_last"))
+        state.commit(last.select(
+            *KEY, F.col("_last.on_hand_after").cast("int").alias("quantity_on_hand"),
+            F.col("_last.reserved_after").cast("int").alias("quantity_reserved"),
+            F.lit(None).cast("int").alias("quantity_in_transit"), F.lit(batch_id).cast("bigint").alias(BATCH),
+        ), batch_id)
+
+    waiting.run(asked, step, checkpoint=checkpoint, ended=ended)
+    return read_table(spark, out, like).drop(BATCH)

@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from granary.operators.events import event_totals, stock_alerts, with_index_name
 from granary.schemas import KEY
 from granary.sources.sinks import JSON_TIME
-from granary.streaming.tables import BATCH, current_rows, run_available, to_table, write_batch
+from granary.streaming.tables import BATCH, Tiers, run_available, to_table
 
 
-def run_event_totals(events: DataFrame, path: str, *, checkpoint: str) -> DataFrame:
-    """Running count and total per key; each micro-batch writes the keys it changed."""
-    return current_rows(
-        to_table(event_totals(events), path, checkpoint=checkpoint, mode="update"), KEY
+def added_totals(totals: DataFrame) -> DataFrame:
+    """Totals per key out of totals of parts."""
+    return totals.groupBy(*KEY).agg(
+        F.sum("event_count").alias("event_count"), F.sum("quantity_changed").alias("quantity_changed")
     )
 
 
+def run_event_totals(events: DataFrame, path: str, *, checkpoint: str) -> DataFrame:
+    """Running count and total per key; each micro-batch adds the totals of the keys it touches."""
+    spark = events.sparkSession
+    table = Tiers(spark, path, event_totals(spark.createDataFrame([], events.schema)).schema, added_totals)
+    run_available(events, lambda df, n: table.commit(event_totals(df), n), checkpoint=checkpoint)
+    return table.read()
+
+
 def run_stock_alerts(events: DataFrame, path: str, *, checkpoint: str) -> DataFrame:
     return to_table(stock_alerts(events), path, checkpoint=checkpoint).drop(BATCH)
 
@@ -57,15 +65,19 @@ def batch_state(events: DataFrame) -> DataFrame:
     )
 
 
-def fold_state(contributions: DataFrame) -> DataFrame:
-    """State per key out of the contributions of all micro-batches."""
-    folded = contributions.groupBy(*KEY).agg(
+def merged_state(contributions: DataFrame) -> DataFrame:
+    """The contributions of many micro-batches as those of one."""
+    return contributions.groupBy(*KEY).agg(
         F.max("last_event").alias("last_event"),
         F.max("last_update").alias("last_update"),
         F.sum("reserved").alias("reserved"),
         F.sum("low_stock_alerts").alias("low_stock_alerts"),
     )
-    return folded.select(
+
+
+def fold_state(contributions: DataFrame) -> DataFrame:
+    """State per key out of the contributions of all micro-batches."""
+    return merged_state(contributions).select(
         *KEY,
         F.col("last_event.event_type").alias("last_event_type"),
         F.col("last_event.timestamp").alias("last_event_at"),
@@ -78,10 +90,9 @@ def fold_state(contributions: DataFrame) -> DataFrame:
 def run_event_state(events: DataFrame, path: str, *, checkpoint: str) -> DataFrame:
     """Last value, reserved counter and low-stock flag per key.
 
-    Each micro-batch is reduced to one row per key it touches and written under its id, so a
-    retried batch replaces itself instead of being counted twice.
+    Each micro-batch is reduced to one row per key it touches, and adds these to the table.
     """
-    run_available(
-        events, lambda df, n: write_batch(batch_state(df), n, path), checkpoint=checkpoint
-    )
-    return fold_state(events.sparkSession.read.parquet(path))
+    spark = events.sparkSession
+    table = Tiers(spark, path, batch_state(spark.createDataFrame([], events.schema)).schema, merged_state)
+    run_available(events, lambda df, n: table.commit(batch_state(df), n), checkpoint=checkpoint)
+    return fold_state(table.read())

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
 from datetime import datetime, timedelta
-from typing import Any
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,8 +14,7 @@ from granary.operators.anomaly import volume_anomalies
 from granary.schemas import COMMANDS
 from granary.session import fresh_dir
 from granary.sources.streams import read_table_files
-from granary.streaming.commands import stream_judge
-from granary.streaming.tables import to_table
+from granary.streaming.commands import run_judge
 
 START = datetime(2024, 1, 1)
 
@@ -80,7 +76,7 @@ def test_missing_values_are_rejected_before_and_after_a_rejection(spark, items):
     judged = c.judge(items({}), log).orderBy("id").collect()
     assert [r.rejection for r in judged] == MIXED_REASONS
     assert judged[-1].on_hand_after == 90
-    sliced = c.judge(items({}), log, long_key=2).orderBy("id").collect()
+    sliced = c.judge(items({}), log, slices=3).orderBy("id").collect()
     assert [r.rejection for r in sliced] == MIXED_REASONS
 
 
@@ -89,7 +85,7 @@ def test_missing_values_are_rejected_on_a_stream(spark, items):
     path, out = fresh_dir(spark, "mixed"), fresh_dir(spark, "judged")
     log.coalesce(1).write.parquet(path)
     stream = read_table_files(spark, path, COMMANDS, only="*.parquet")
-    table = to_table(stream_judge(items({}), stream), out, checkpoint=out + "-checkpoint")
+    table = run_judge(items({}), stream, out, checkpoint=out + "-checkpoint")
     assert [r.rejection for r in table.orderBy("id").collect()] == MIXED_REASONS
 
 
@@ -151,25 +147,27 @@ def test_judge_equals_brute_force(spark, items, seed):
     assert got == brute_force(dict.fromkeys(keys, (100, 10)), log)
 
 
-def test_key_without_rejections_never_reaches_python(spark, items):
+def test_key_without_rejections(spark, items):
     log = commands(spark, [(i, "AAA", "W1", "RECEIPT", 1, i) for i in range(500)])
     judged = c.judge(items({}), log)
     assert judged.agg(F.max("on_hand_after")).first()[0] == 600
     assert judged.filter("rejection IS NOT NULL").count() == 0
 
 
-def test_stream_equals_batch_over_many_micro_batches(spark, items):
-    log = sorted(random_log(3, 600), key=lambda r: (r[5], r[0]))
+@pytest.mark.parametrize("per_trigger", [1, 2, 100])
+def test_stream_equals_batch_however_its_input_is_cut(spark, items, per_trigger):
+    """Files whose times overlap, taken one, two or all at a time: rows wait for their turn."""
+    log = random_log(3, 600)  # in no order
     keys = [(s, w) for s in ("AAA", "BBB", "CCC", "DDD") for w in ("W1", "W2")]
     stock = items(*[{"sku": s, "warehouse_id": w} for s, w in keys])
     folder = fresh_dir(spark, "test-commands")
-    for n in range(3):
-        part = commands(spark, log[n * 200 : (n + 1) * 200])
+    near = sorted(log, key=lambda r: r[5] // 700)  # order within a file is random, files are 700 minutes apart
+    for n in range(5):
+        part = commands(spark, near[n * 120 : (n + 1) * 120])
         part.coalesce(1).write.mode("append").parquet(folder)
-    stream = read_table_files(spark, folder, COMMANDS, only="*.parquet", files_per_trigger=1)
+    stream = read_table_files(spark, folder, COMMANDS, only="*.parquet", files_per_trigger=per_trigger)
     out = fresh_dir(spark, "test-judged")
-    table = to_table(stream_judge(stock, stream), out, checkpoint=out + "-checkpoint")
-    assert table.select("batch_id").distinct().count() == 3
+    table = run_judge(stock, stream, out, checkpoint=out + "-checkpoint", delay=timedelta(minutes=1500))
     got = {r.id: (r.rejection, r.on_hand_after, r.reserved_after) for r in table.collect()}
     assert got == brute_force(dict.fromkeys(keys, (100, 10)), log)
 
@@ -189,14 +187,14 @@ def moves(spark, n=4000, seed=5):
     return rows, spark.createDataFrame(rows, schema)
 
 
-@pytest.mark.parametrize("grain", ["minute", "hour", "day"])
-def test_running_totals_equal_brute_force(spark, grain):
+@pytest.mark.parametrize("slices", [None, 1, 16])
+def test_running_totals_equal_brute_force(spark, slices):
     rows, df = moves(spark)
     got = {
         r.id: (r.total, r.n)
         for r in ordered.running_totals(
             df, ["sku", "warehouse_id"], ["timestamp", "id"],
-            {"total": F.col("quantity_change").cast("bigint"), "n": F.lit(1).cast("bigint")}, grain=grain,
+            {"total": F.col("quantity_change").cast("bigint"), "n": F.lit(1).cast("bigint")}, slices=slices,
         ).collect()
     }
     want, sums = {}, {}
@@ -206,6 +204,18 @@ def test_running_totals_equal_brute_force(spark, grain):
     assert got == want
 
 
+@pytest.mark.parametrize("time", [None, START])
+def test_a_burst_of_one_moment_is_many_slices(spark, time):
+    """Rows of one key with equal or missing times are cut by id."""
+    rows = [(i, "HOT", "W1", 1, time) for i in random.Random(2).sample(range(100_000), 4000)]
+    df = spark.createDataFrame(rows, "id long, sku string, warehouse_id string, quantity_change int, timestamp timestamp_ntz")
+    sizes = [r["count"] for r in ordered.cut(df, ["sku", "warehouse_id"], ["timestamp", "id"], slices=8).groupBy(ordered.SLICE).count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 1500
+    total = {"n": F.lit(1).cast("bigint")}
+    got = ordered.running_totals(df, ["sku", "warehouse_id"], ["timestamp", "id"], total, slices=8).orderBy("id").collect()
+    assert [r.n for r in got] == list(range(1, 4001))
+
+
 def test_trailing_frames_cross_blocks(spark):
     rows, df = moves(spark, seed=6)
     got = {
@@ -254,36 +264,38 @@ def test_judge_keeps_keys_whole_under_adaptive_layouts(spark, items):
     assert got == brute_force(dict.fromkeys(keys, (100, 10)), log)
 
 
-def test_fold_in_order_sees_sorted_whole_keys(spark):
-    rows, df = moves(spark, 3000, seed=8)
-
-    def note(group: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"sku": batch["sku"], "id": batch["id"], "grp": group[0]})
-
-    out = ordered.fold_in_order(
-        df.repartition(5), ["sku", "warehouse_id"], ["timestamp", "id"], note, "sku string, id long, grp long"
-    )
-    groups = out.groupBy("sku").agg(F.countDistinct("grp").alias("n"))
-    assert groups.filter("n > 1").count() == 0
-    assert out.count() == len(rows)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("FlatMapGroups") < plan.index("Sort [_group") < plan.index("Exchange")
-
-
-@pytest.mark.parametrize(("grain", "rounds"), [("day", None), ("hour", 2)])
-def test_long_keys_settle_to_the_same(spark, items, grain, rounds):
-    """Slices replayed side by side, whether or not all of them settle in the rounds given."""
-    log = random_log(11, 600, hot=0.5)
+@pytest.mark.parametrize("slices", [1, 7, 60])
+def test_slices_settle_to_the_same(spark, items, slices):
+    log = random_log(11, 900, hot=0.6)
     keys = [(s, w) for s in ("AAA", "BBB", "CCC", "DDD") for w in ("W1", "W2")]
     stock = items(*[{"sku": s, "warehouse_id": w} for s, w in keys])
-    judged = c.judge(stock, commands(spark, log), grain=grain, long_key=100, rounds=rounds)
+    judged = c.judge(stock, commands(spark, log), slices=slices)
     got = {r.id: (r.rejection, r.on_hand_after, r.reserved_after) for r in judged.collect()}
     assert got == brute_force(dict.fromkeys(keys, (100, 10)), log)
 
 
-@pytest.mark.parametrize("cut", [{}, {"grain": "day", "long_key": 20}, {"long_key": 20, "rounds": 1}])
-def test_in_transit_equals_brute_force(spark, items, cut):
+def test_a_hot_key_with_a_rejection_in_every_slice(spark, items):
+    """Every slice rejects, and what it rejects depends on the slices before it."""
+    rng = random.Random(21)
+    log = []
+    for n in range(1200):
+        op = rng.choice(["SALE", "SALE", "RECEIPT", "ADJUST", "RESERVE", "RELEASE"])
+        q = -rng.randint(1, 200) if op == "ADJUST" else rng.randint(1, 120) if op != "RECEIPT" else rng.randint(1, 90)
+        log.append((n, "AAA", "W1", op, q, n // 400))  # bursts of 400 at one moment
+    want = brute_force({("AAA", "W1"): (100, 10)}, log)
+    judged = c.judge(items({}), commands(spark, log), slices=12)
+    assert {r.id: (r.rejection, r.on_hand_after, r.reserved_after) for r in judged.collect()} == want
+    slices = ordered.cut(commands(spark, log), ["sku", "warehouse_id"], ["timestamp", "id"], slices=12).select("id", ordered.SLICE).collect()
+    rejected = {r[ordered.SLICE] for r in slices if want[r.id][0]}
+    assert len(rejected) == len({r[ordered.SLICE] for r in slices}) >= 8
+    after = c.items_after(items({}), commands(spark, log), slices=12).first()
+    last = want[1199]
+    assert (after.quantity_on_hand, after.quantity_reserved) == last[1:]
+    assert after.version == sum(reason is None for reason, *_ in want.values())
+
+
+@pytest.mark.parametrize("slices", [None, 5, 40])
+def test_in_transit_equals_brute_force(spark, items, slices):
     rng = random.Random(13)
     start = {"AAA": 200, "BBB": 40, "CCC": 3, "DDD": 10_000, "EEE": 7}
     least = {"CCC": 4, "EEE": -2}
@@ -296,7 +308,7 @@ def test_in_transit_equals_brute_force(spark, items, cut):
     for _, s, _, _, q, _ in sorted(log, key=lambda r: (r[5], r[0])):
         if want[s] >= q:
             want[s] -= q
-    got = c.in_transit_after(stock, commands(spark, log), **cut)
+    got = c.in_transit_after(stock, commands(spark, log), slices=slices)
     assert dict(got.select("sku", "_transit").collect()) == want
 
 

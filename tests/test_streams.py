@@ -13,9 +13,11 @@ from granary.schemas import EVENTS, KEY
 from granary.session import fresh_dir
 from granary.sources import streams as src
 from granary.streaming import state, windows
-from granary.streaming.anomaly import stream_anomalies
-from granary.streaming.metrics import run_metrics
-from granary.streaming.tables import current_rows, run_available, to_table, write_batch
+from granary.streaming.anomaly import run_anomalies
+from granary.streaming.files import _at
+from granary.streaming.metrics import run_days, run_enriched, run_metrics
+from granary.streaming.ordered import Waiting
+from granary.streaming.tables import BATCH, Tiers, newest, run_available, to_newest, to_table
 from tests.conftest import as_set
 
 START = datetime(2024, 1, 1)
@@ -62,14 +64,48 @@ def test_window_sum_in_update_mode_equals_batch(spark):
     for part in split(rows, 3):
         feed.add(part)
     path, checkpoint = target(spark)
-    table = to_table(
-        windows.window_sum(feed.stream(), size="30 minutes"), path, checkpoint=checkpoint, mode="update"
+    got = to_newest(
+        windows.window_sum(feed.stream(), size="30 minutes"), path, ["window_start", "window_end", *KEY], checkpoint=checkpoint
     )
-    got = current_rows(table, ["window_start", "window_end", *KEY])
     batch = windows.window_sum(spark.createDataFrame(rows, EVENTS), size="30 minutes")
     columns = ["window_start", *KEY, "quantity_change"]
     assert as_set(got, *columns) == as_set(batch, *columns)
-    assert table.select("batch_id").distinct().count() == 3
+
+
+def entries(spark, path):
+    store, place = _at(spark, path)
+    return [s.getPath().getName() for s in store.listStatus(place)]
+
+
+def test_a_tiered_table_stays_small_over_many_batches(spark):
+    path, _ = target(spark)
+    schema = "k long, v long, batch_id long"
+    table = Tiers(spark, path, spark.createDataFrame([], schema).schema, newest(["k"]), width=4)
+    want = {}
+    for n in range(50):
+        rows = [(k, 100 * n + k, n) for k in range(n % 7, 20, 3)]
+        want |= {k: v for k, v, _ in rows}
+        table.commit(spark.createDataFrame(rows, schema).coalesce(1), n)
+        if n == 30:  # run again after a crash behind its end, with other files
+            table.commit(spark.createDataFrame(rows, schema).coalesce(1), n)
+    assert dict(tuple(r) for r in table.read().select("k", "v").collect()) == want
+    assert len(table.runs()) <= 4 * 3  # a few of each size: 50 batches are three powers of 4
+    assert len(entries(spark, path)) <= 4 * 3 + 5 + 4 and len(entries(spark, f"{path}/manifest")) <= 3
+
+
+def test_a_batch_that_did_not_end_leaves_nothing(spark):
+    path, _ = target(spark)
+    schema = "k long, v long, batch_id long"
+    table = Tiers(spark, path, spark.createDataFrame([], schema).schema, newest(["k"]))
+    table.commit(spark.createDataFrame([(1, 1, 0)], schema), 0)
+    table._write(spark.createDataFrame([(1, 9, 1)], schema), "1-0")  # no manifest names it
+    store, place = _at(spark, f"{path}/manifest/{1:012d}.json")
+    out = store.create(place, True)
+    out.write(bytearray(b'{"batch": 1, "ru'))  # torn
+    out.close()
+    assert [r.v for r in table.read().collect()] == [1]
+    table.commit(spark.createDataFrame([(1, 2, 1)], schema), 1)
+    assert [r.v for r in table.read().collect()] == [2]
 
 
 def test_append_mode_emits_closed_windows_once_and_drops_late_rows(spark):
@@ -95,30 +131,66 @@ def test_velocity_is_per_minute(spark):
     assert (row.sku, row.velocity, row.period) == ("A_B", -2.0, 15)
 
 
-def test_anomalies_equal_batch_over_micro_batches(spark):
-    schema = "id long, sku string, warehouse_id string, quantity_change int, timestamp timestamp_ntz"
-    rng = random.Random(4)
-    rows = [
+MOVES = "id long, sku string, warehouse_id string, quantity_change int, timestamp timestamp_ntz"
+FOUND = ["id", *KEY, "severity", "current_value", "message"]
+
+
+def shuffled_moves(n=1500, seed=4):
+    rng = random.Random(seed)
+    return [
         (i, "HOT" if rng.random() < 0.5 else f"S{rng.randint(0, 3)}", "W1",
-         rng.choice([1, 2, 3, 2, 1] * 12 + [90, -300]), START + timedelta(seconds=i))
-        for i in range(1500)
+         rng.choice([1, 2, 3, 2, 1] * 12 + [90, -300]), START + timedelta(seconds=i // 3))
+        for i in range(n)
     ]
-    feed = Feed(spark, spark.createDataFrame([], schema).schema)
-    for part in split(rows, 4):
-        rng.shuffle(part)  # order inside a micro-batch does not matter
+
+
+@pytest.mark.parametrize("per_trigger", [1, 3, 100])
+def test_anomalies_equal_batch_however_the_input_is_cut(spark, per_trigger):
+    """Files out of order, taken one, three or all at a time."""
+    rows, rng = shuffled_moves(), random.Random(9)
+    schema = spark.createDataFrame([], MOVES).schema
+    feed = Feed(spark, schema)
+    parts = split(rng.sample(rows, len(rows)), 5)
+    for part in parts:
         feed.add(part)
+    stream = src.read_table_files(spark, feed.path, schema, only="*.parquet", files_per_trigger=per_trigger)
     path, checkpoint = target(spark)
-    got = to_table(stream_anomalies(feed.stream()), path, checkpoint=checkpoint)
-    want = anomaly.volume_anomalies(spark.createDataFrame(rows, schema), block=150)
-    columns = ["id", *KEY, "severity", "current_value", "message"]
-    assert as_set(got, *columns) == as_set(want, *columns)
+    got = run_anomalies(stream, path, checkpoint=checkpoint, delay=timedelta(hours=1))
+    want = anomaly.volume_anomalies(spark.createDataFrame(rows, MOVES), block=150)
+    assert as_set(got, *FOUND) == as_set(want, *FOUND)
     assert got.filter("severity = 'CRITICAL'").count() > 0
-    pairs = got.select("id", F.col("deviation").alias("a")).join(
-        want.select("id", F.col("deviation").alias("b")), "id"
-    )
+    pairs = got.select("id", F.col("deviation").alias("a")).join(want.select("id", F.col("deviation").alias("b")), "id")
     assert pairs.filter("abs(a - b) > 1e-9").count() == 0
 
 
+def test_late_movements_are_counted_and_kept_apart(spark):
+    rows = shuffled_moves(1200)
+    late = [rows[k] for k in (50, 60)]
+    schema = spark.createDataFrame([], MOVES).schema
+    feed = Feed(spark, schema)
+    on_time = [r for r in rows if r not in late]
+    for part in (on_time[:400], on_time[400:800], late + [(9999, "HOT", "W1", 5, None)], on_time[800:]):
+        feed.add(part)
+    path, checkpoint = target(spark)
+    got = run_anomalies(feed.stream(), path, checkpoint=checkpoint, delay=timedelta(seconds=30))
+    want = anomaly.volume_anomalies(spark.createDataFrame(on_time, MOVES), block=150)
+    assert as_set(got, *FOUND) == as_set(want, *FOUND)
+    waiting = Waiting(spark.createDataFrame([], schema), f"{path}/rows")
+    assert as_set(waiting.late(), "id") == {(50,), (60,), (9999,)} and waiting.manifests.before()["late"] == 3
+
+
+def test_a_stream_that_goes_on_after_its_end(spark):
+    """What waited at the end was handed out, and is handed out again with what came after."""
+    rows = shuffled_moves(900)
+    feed = Feed(spark, spark.createDataFrame([], MOVES).schema).add(rows[:300]).add(rows[300:600])
+    path, checkpoint = target(spark)
+    run_anomalies(feed.stream(), path, checkpoint=checkpoint, delay=timedelta(minutes=2))
+    feed.add(rows[600:])
+    got = run_anomalies(feed.stream(), path, checkpoint=checkpoint, delay=timedelta(minutes=2))
+    want = anomaly.volume_anomalies(spark.createDataFrame(rows, MOVES), block=150)
+    assert as_set(got, *FOUND) == as_set(want, *FOUND)
+
+
 def test_totals_go_on_after_a_restart(spark):
     rows = event_rows(400, seed=2)
     feed = Feed(spark).add(rows[:150])
@@ -136,14 +208,13 @@ def test_totals_go_on_after_a_restart(spark):
 
 def test_a_retried_batch_replaces_itself(spark):
     path, _ = target(spark)
-    df = spark.createDataFrame(event_rows(50), EVENTS)
-    for _ in range(2):
-        write_batch(state.batch_state(df), 0, path)
-    write_batch(state.batch_state(spark.createDataFrame(event_rows(50, seed=9), EVENTS)), 1, path)
-    both = spark.createDataFrame(event_rows(50) + event_rows(50, seed=9), EVENTS)
+    parts = [state.batch_state(spark.createDataFrame(event_rows(50, seed=n), EVENTS)) for n in (1, 9)]
+    table = Tiers(spark, path, parts[0].schema, state.merged_state)
+    for part, number in ((parts[0], 0), (parts[0], 0), (parts[1], 1), (parts[1], 1)):
+        table.commit(part, number)
+    both = spark.createDataFrame(event_rows(50, seed=1) + event_rows(50, seed=9), EVENTS)
     columns = [*KEY, "reserved", "low_stock"]
-    folded = state.fold_state(spark.read.parquet(path))
-    assert as_set(folded, *columns) == as_set(state.fold_state(state.batch_state(both)), *columns)
+    assert as_set(state.fold_state(table.read()), *columns) == as_set(state.fold_state(state.batch_state(both)), *columns)
 
 
 def test_event_state_over_micro_batches(spark):
@@ -169,16 +240,29 @@ def test_metrics_job_quarantines_and_alerts(spark, ledger):
         (n, "A", "W", -q, "SALE", (now - timedelta(days=n)).isoformat())
         for n, q in enumerate([900, 1, 1, 1, 300, 1, 1, 1, 1, 1, 500] + [1] * 25)
     ])
-    run_metrics(
-        src.read_json_lines(spark, f"{base}/topic"), log, as_of=now, metrics_path=f"{base}/metrics",
-        alerts_path=f"{base}/alerts", quarantine_path=f"{base}/quarantine", checkpoint=f"{base}/checkpoint",
-    )
-    metrics = spark.read.parquet(f"{base}/metrics")
+    log.repartition(3).write.parquet(f"{base}/ledger")
+    moves = src.read_table_files(spark, f"{base}/ledger", log.schema, only="*.parquet", files_per_trigger=1)
+    sold = run_days(moves, f"{base}/days", checkpoint=f"{base}/days-checkpoint")
+    assert sold.read().agg(F.sum("transaction_count")).first()[0] == log.count()
+    got = run_metrics(src.read_json_lines(spark, f"{base}/topic"), sold, as_of=now, path=base, checkpoint=f"{base}/checkpoint")
+    metrics = got.read()
     assert as_set(metrics, "sku") == {("A",), ("B",)} and metrics.count() == 2
     assert as_set(spark.read.parquet(f"{base}/quarantine"), "value") == {("{broken",)}
     assert as_set(spark.read.parquet(f"{base}/alerts"), "sku", "risk_score") == {("A", 0.8)}
 
 
+def test_enriched_stream_equals_batch(spark):
+    rows = event_rows(300)
+    feed = Feed(spark)
+    for part in split(rows, 3):
+        feed.add(part)
+    history = spark.createDataFrame([("HOT", "W1", 7), ("S1", "W1", 2)], "sku string, warehouse_id string, sales long")
+    path, checkpoint = target(spark)
+    got = run_enriched(feed.stream(), history, path, checkpoint=checkpoint)
+    known = {"HOT": 7, "S1": 2}
+    assert as_set(got, "event_id", "sku", "sales") == {(r[0], r[1], known.get(r[1])) for r in rows}
+
+
 def test_routed_folders(spark):
     feed = Feed(spark).add(event_rows(100))
     path, checkpoint = target(spark)
@@ -213,6 +297,30 @@ def test_sustained_low_stock(spark, levels, want):
     }
 
 
+@pytest.mark.parametrize("per_trigger", [1, 2, 100])
+def test_sustained_low_stock_on_a_stream(spark, per_trigger):
+    """Low runs that last over many micro-batches, in files whose order is not that of time."""
+    rng = random.Random(5)
+    rows, schema = [], "sku string, warehouse_id string, timestamp timestamp_ntz, quantity int"
+    for sku in ("A", "B", "C"):
+        level = 20
+        for minute in range(0, 300):
+            level = max(0, min(30, level + rng.randint(-6, 6)))
+            if rng.random() < 0.6:
+                rows.append((sku, "W1", START + timedelta(minutes=minute, seconds=rng.randint(0, 59)), level))
+    rows.sort(key=lambda r: r[2])
+    feed = Feed(spark, spark.createDataFrame([], schema).schema)
+    for part in split(rows, 6):
+        feed.add(rng.sample(part, len(part)))
+    stream = src.read_table_files(spark, feed.path, feed.schema, only="*.parquet", files_per_trigger=per_trigger)
+    path, checkpoint = target(spark)
+    got = windows.run_sustained_low(stream, path, by=KEY, value="quantity", checkpoint=checkpoint, delay=timedelta(minutes=7))
+    minutes = windows.minute_levels(spark.createDataFrame(rows, schema), by=KEY, value="quantity")
+    columns = [*KEY, "low_since", "until", "highest", "severity"]
+    want = as_set(windows.sustained_low(minutes, by=KEY), *columns)
+    assert as_set(got, *columns) == want and len(want) > 5
+
+
 def test_rates_over_sliding_windows(spark):
     df = spark.createDataFrame([(START + timedelta(minutes=2), "error")] * 60, "ts timestamp_ntz, event_type string")
     rates = windows.request_rate(df, by=["event_type"])
