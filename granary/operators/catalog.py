@@ -6,10 +6,12 @@ them here, so the choice is left to the optimizer and its size estimate.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.operators.lookups import active
+from granary.session import enable_checkpoints
 
 
 def product_with_category(products: DataFrame, categories: DataFrame) -> DataFrame:
@@ -66,49 +68,71 @@ def judge_changes(
     """Each create or update request with the reason it is rejected, NULL when accepted.
 
     `requests` has the table's columns and `request_id`; a NULL `id` asks for a new row, any
-    other for an update. `unique` must not belong to another row, and `parent`, when given,
-    must be the id of a row of `parents`. Of several requests in a batch for one value or
-    one row the lowest request_id wins.
+    other for an update. `parent`, when given, must be the id of a row of `parents`, and `unique` must not belong to
+    another row at that time: requests are taken in the order of request_id, each sees what those accepted before
+    it have left. So an update may follow an update, and a value that a row gives up is free again.
+
+    Whether a request is accepted depends on those before it that share its value or its row. All are judged side by side from a
+    guess, that every value is free, and again from what that gave, until no verdict
+    changes; each round makes at least one more request of every chain exact. Rounds are checkpointed.
     """
-    owner = table.select(F.col(unique).alias("_value"), F.col("id").alias("_owner"))
-    judged = requests.join(owner, requests[unique] == F.col("_value"), "left").drop("_value")
-    ids = table.select(F.col("id").alias("_known"))
-    judged = judged.join(ids, F.col("id") == F.col("_known"), "left")
-    reason = (
-        F.when(F.col("id").isNotNull() & F.col("_known").isNull(), "NOT_FOUND")
-        .when(F.col("_owner").isNotNull() & ~F.col("_owner").eqNullSafe(F.col("id")), "DUPLICATE")
-    )
+    enable_checkpoints(table.sparkSession)
+    known = table.select(F.col("id").alias("_known"))
+    judged = requests.join(known, F.col("id") == F.col("_known"), "left").withColumn(
+        "_missing", F.col("id").isNotNull() & F.col("_known").isNull())
     if parent is not None and parents is not None:
         pid = parents.select(F.col("id").alias("_parent"))
-        judged = judged.join(pid, F.col(parent) == F.col("_parent"), "left")
-        reason = reason.when(F.col(parent).isNotNull() & F.col("_parent").isNull(), "PARENT_NOT_FOUND")
-    judged = judged.withColumn("rejection", reason)
-
-    # requests that compete for one value or one row: first come, first served
-    fine = judged.filter(F.col("rejection").isNull())
-    by_value = fine.groupBy(unique).agg(F.min("request_id").alias("_first_value"))
-    by_row = fine.filter(F.col("id").isNotNull()).groupBy("id").agg(
-        F.min("request_id").alias("_first_row")
-    )
-    late = (F.col("_first_value") < F.col("request_id")) | (
-        F.coalesce("_first_row", F.col("request_id")) < F.col("request_id")
+        judged = judged.join(pid, F.col(parent) == F.col("_parent"), "left").withColumn(
+            "_orphan", F.col(parent).isNotNull() & F.col("_parent").isNull())
+    else:
+        judged = judged.withColumn("_orphan", F.lit(False))
+    judged = judged.select(*requests.columns, "_missing", "_orphan").checkpoint()
+
+    def row(kind: int, number: str) -> Column:
+        """A row of the table (0), or the one that a request makes (1)."""
+        return F.struct(F.lit(kind).alias("kind"), F.col(number).cast("bigint").alias("id")).alias("_row")
+
+    asked = judged.filter(~F.col("_missing")).select(
+        F.col("request_id").cast("bigint").alias("_at"),
+        F.when(F.col("id").isNull(), row(1, "request_id")).otherwise(row(0, "id")).alias("_row"),
+        F.col(unique).alias("_value"), "_orphan",
     )
-    return (
-        judged.join(by_value, unique, "left")
-        .join(by_row, "id", "left")
-        .withColumn(
-            "rejection",
-            F.when(F.col("rejection").isNull() & late, "DUPLICATE").otherwise(F.col("rejection")),
-        )
-        .select(*requests.columns, "rejection")
+    rows = table.select(row(0, "id"), F.col(unique).alias("_value"))
+    concerned = rows.join(asked.select("_row").distinct(), "_row", "left_semi").unionByName(
+        rows.join(asked.select("_value").distinct(), "_value", "left_semi").select(*rows.columns)).distinct()
+    verdicts = asked.withColumn("_free", F.lit(True)).checkpoint()
+    along = W.partitionBy("_value").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, -1)
+    while True:
+        # the values that each row holds in turn
+        held = verdicts.filter("_free and not _orphan").select("_at", "_row", "_value").unionByName(
+            concerned.select(F.lit(-1).cast("bigint").alias("_at"), "_row", "_value"))
+        held = held.withColumn("_before", F.lag("_value").over(W.partitionBy("_row").orderBy("_at")))
+        # each time a value is taken (by its new owner) or given up (by no one), and each time it is asked for
+        taken = held.select("_at", "_value", F.lit(1).alias("_kind"), F.struct(F.col("_row").alias("owner")).alias("_change"))
+        given = held.filter("_before is not null and not _before <=> _value").select(
+            "_at", F.col("_before").alias("_value"), F.lit(0).alias("_kind"),
+            F.struct(F.lit(None).cast("struct<kind:int,id:bigint>").alias("owner")).alias("_change"))
+        asks = verdicts.withColumn("_kind", F.lit(-1))
+        events = asks.unionByName(taken.unionByName(given), allowMissingColumns=True)
+        owner = F.last("_change", ignorenulls=True).over(along)["owner"]
+        free = F.col("_value").isNull() | F.col("_owner").isNull() | (F.col("_owner") == F.col("_row"))
+        found = events.withColumn("_owner", owner).filter("_kind = -1").withColumn("_now", free).select(
+            *asked.columns, F.col("_free").alias("_was"), F.col("_now").alias("_free")).checkpoint()
+        verdicts = found.drop("_was")
+        if found.filter("_was <> _free").isEmpty():
+            break
+    late = verdicts.filter(~F.col("_free")).select(F.col("_at").alias("request_id"), F.lit(True).alias("_late"))
+    reason = (
+        F.when(F.col("_missing"), "NOT_FOUND").when(F.col("_late"), "DUPLICATE").when(F.col("_orphan"), "PARENT_NOT_FOUND")
     )
+    return judged.join(late, "request_id", "left").withColumn("rejection", reason).select(*requests.columns, "rejection")
 
 
 def apply_changes(table: DataFrame, judged: DataFrame) -> DataFrame:
-    """The table after the accepted requests.
+    """The table after the accepted requests; of several for one row the last one wins.
 
     A new row takes the id `max id + request_id`; a NULL is_active means TRUE on a new row and
-    no change on an old one.
+    no change on an old one, where the last that is not NULL counts.
     """
     good = judged.filter(F.col("rejection").isNull())
     columns = table.columns
@@ -117,9 +141,10 @@ def apply_changes(table: DataFrame, judged: DataFrame) -> DataFrame:
         "id": (top + F.col("request_id")).cast("bigint"),
         "is_active": F.coalesce("is_active", F.lit(True)),
     }).select(*columns)
-    edits = good.filter(F.col("id").isNotNull()).select(
-        "id", F.struct(*[c for c in columns if c != "id"]).alias("_set")
-    )
+    edits = good.filter(F.col("id").isNotNull()).groupBy("id").agg(
+        F.max_by(F.struct(*[c for c in columns if c not in ("id", "is_active")]), "request_id").alias("_last"),
+        F.max_by("is_active", F.when(F.col("is_active").isNotNull(), F.col("request_id"))).alias("_active"),
+    ).select("id", F.struct("_last.*", F.col("_active").alias("is_active")).alias("_set"))
     hit = F.col("_set").isNotNull()
     kept = table.join(edits, "id", "left").select(*[
         F.col("id") if c == "id"

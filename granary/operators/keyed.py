@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions import stock
@@ -88,26 +89,53 @@ def velocity_rankings(scores: DataFrame, *, k: int, per_warehouse: bool = False)
     """
     if not per_warehouse:
         return scores.orderBy(F.col("score").desc(), *KEY).limit(k)
-    from pyspark.sql import Window as W
-
     rank = F.row_number().over(
         W.partitionBy("warehouse_id").orderBy(F.col("score").desc(), F.col("sku"))
     )
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def distinct_hot_items(touched: DataFrame, *, error: float = 0.01) -> DataFrame:
-    """Estimated number of distinct skus, by a HyperLogLog sketch."""
-    return touched.agg(F.approx_count_distinct("sku", error).alias("hot_items"))
+#: Least hashes that a sketch keeps: a standard error of 1 / sqrt(SKETCH - 2).
+SKETCH = 1024
+#: Hashes lie below 2 ** 60.
+_SPAN = float(1 << 60)
+
+
+def _least(hashes: DataFrame, by: list[str], size: int) -> DataFrame:
+    """One sorted array `sketch` per group of its `size` least distinct hashes. Tasks cut to that size before the shuffle."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy("hash"))
+    few = hashes.select(*by, "hash").distinct().withColumn("_place", place).filter(F.col("_place") <= size)
+    return few.groupBy(*by).agg(F.sort_array(F.collect_list("hash")).alias("sketch"))
+
+
+def hot_item_sketches(touched: DataFrame, *, by: str, size: int = SKETCH) -> DataFrame:
+    """(by, sketch): the least hashes of each group's skus, to keep and to merge later. The union of sketches, cut to the
+    size again, is the sketch of the union."""
+    value = F.conv(F.substring(F.md5("sku"), 1, 15), 16, 10).cast("bigint")
+    return _least(touched.filter("sku is not null").select(by, value.alias("hash")), [by], size)
+
+
+def merge_hot_items(sketches: DataFrame, *, size: int = SKETCH) -> DataFrame:
+    """One sketch out of many."""
+    every = sketches.select(F.lit(0).alias("_all"), F.explode("sketch").alias("hash"))
+    return _least(every, ["_all"], size).select("sketch")
 
 
-def hot_item_sketches(touched: DataFrame, *, by: str) -> DataFrame:
-    """One mergeable sketch per group, to keep and to merge later."""
-    return touched.groupBy(by).agg(F.hll_sketch_agg("sku", F.lit(14)).alias("sketch"))
+def with_estimate(sketches: DataFrame, *, size: int = SKETCH) -> DataFrame:
+    """Add `hot_items`, the estimated number of distinct skus, exact below the sketch's size, and `standard_error`, as a
+    share of it."""
+    full = F.size("sketch") >= size
+    estimate = F.lit(float(size - 1)) / (F.element_at("sketch", -1).cast("double") / F.lit(_SPAN))
+    return sketches.withColumns({
+        "hot_items": F.when(full, estimate).otherwise(F.size("sketch").cast("double")),
+        "standard_error": F.when(full, F.lit(1 / (size - 2) ** 0.5)).otherwise(F.lit(0.0)),
+    })
 
 
-def merge_hot_items(sketches: DataFrame) -> DataFrame:
-    return sketches.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("hot_items"))
+def distinct_hot_items(touched: DataFrame, *, size: int = SKETCH) -> DataFrame:
+    """(hot_items, standard_error) of all rows, by way of one sketch per warehouse."""
+    parts = hot_item_sketches(touched, by="warehouse_id", size=size)
+    return with_estimate(merge_hot_items(parts, size=size), size=size).drop("sketch")
 
 
 def access_counts(

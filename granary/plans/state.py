@@ -10,6 +10,7 @@ from granary.operators import keyed, reports
 from granary.plans.registry import query
 from granary.plans.views import EVENTS_AS_OF, Tables
 from granary.schemas import KEY
+from granary.session import fresh_dir
 
 query("latest_inventory", """
 SELECT sku, warehouse_id, CAST(updated_at AS VARCHAR) AS updated_at, version, quantity_on_hand, quantity_reserved,
@@ -47,26 +48,33 @@ SELECT sku, warehouse_id, score, CAST(r AS INT) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY warehouse_id ORDER BY score DESC, sku) AS r FROM ({_SCORES}))
 WHERE r <= 5""", views="tx")(lambda t: keyed.velocity_rankings(scores(t), k=5, per_warehouse=True))
 
-_DISTINCT = "SELECT count(DISTINCT sku) AS skus, TRUE AS estimate_within_3_percent FROM tx"
+# Estimates from the 64 least hashes; a small sketch, so that the given tables fill it.
+_SKETCH = 64
+_HASHED = "SELECT DISTINCT {by}CAST('0x' || substr(md5(sku), 1, 15) AS BIGINT) AS h FROM tx"
+_ESTIMATE = f"""round(CASE WHEN count(*) >= {_SKETCH} THEN {_SKETCH - 1} / (CAST(max(h) AS DOUBLE) / pow(2, 60)) ELSE count(*) END, 6) AS hot_items,
+       round(CASE WHEN count(*) >= {_SKETCH} THEN 1 / sqrt({_SKETCH - 2}) ELSE 0 END, 6) AS standard_error"""
+_DISTINCT = f"SELECT {_ESTIMATE} FROM (SELECT h FROM ({_HASHED.format(by='')}) ORDER BY h LIMIT {_SKETCH})"
 
 
-def beside_exact(t: Tables, estimate):
-    """An estimate held against the exact number, for a table that can be counted exactly."""
-    exact = t.tx.agg(F.count_distinct("sku").alias("skus"))
-    return exact.withColumn("estimate", estimate.select("hot_items").scalar()).select(
-        "skus", (F.abs(F.col("estimate") - F.col("skus")) <= 0.03 * F.col("skus")).alias("estimate_within_3_percent")
-    )
-
-
-query("hot_items_distinct", _DISTINCT, views="tx")(lambda t: beside_exact(t, keyed.distinct_hot_items(t.tx)))
-
-
-@query("hot_items_merged", _DISTINCT, views="tx")
-def _(t: Tables):
+def daily_sketches(t: Tables):
+    """One stored sketch per day."""
+    path = fresh_dir(t.spark, "sketches")
     daily = t.tx.withColumn("day", F.to_date("timestamp"))
-    return beside_exact(t, keyed.merge_hot_items(keyed.hot_item_sketches(daily, by="day")))
+    keyed.hot_item_sketches(daily, by="day", size=_SKETCH).write.parquet(path)
+    return t.spark.read.parquet(path)
 
 
+query("hot_items_distinct", _DISTINCT, views="tx")(lambda t: keyed.distinct_hot_items(t.tx, size=_SKETCH))
+query("hot_items_merged", _DISTINCT, views="tx")(
+    lambda t: keyed.with_estimate(keyed.merge_hot_items(daily_sketches(t), size=_SKETCH), size=_SKETCH).drop("sketch")
+)
+query("hot_items_daily", f"""
+SELECT CAST(day AS VARCHAR) AS day, {_ESTIMATE}
+FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY h) AS r FROM ({_HASHED.format(by="CAST(timestamp AS DATE) AS day, ")}))
+WHERE r <= {_SKETCH} GROUP BY day""", views="tx")(
+    lambda t: keyed.with_estimate(daily_sketches(t), size=_SKETCH).drop("sketch")
+)
+
 query("access_counts", """
 SELECT sku, count(*) AS access_count FROM tx WHERE timestamp > TIMESTAMP '2024-01-30 00:00:00' GROUP BY sku""",
       views="tx")(lambda t: keyed.access_counts(t.tx, as_of=EVENTS_AS_OF))

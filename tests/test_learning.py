@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +108,64 @@ def test_forecast_follows_trend_and_week(spark):
     assert all(r.yhat_lower <= r.yhat <= r.yhat_upper for r in ahead)
 
 
+def solved(days, values, seen, multiplicative):
+    """The model from its rules: least squares for the line, then one ridge regression per block, normal equations solved."""
+    x = np.array([(d - days[0]).days for d in days], float)
+    y = np.array(values, float)
+    line = np.stack([np.ones(len(x)), x], axis=1)
+    level, slope = np.linalg.lstsq(line[seen], y[seen], rcond=None)[0]
+    base = level + slope * x
+    floor = max(np.abs(y[seen]).mean() * 0.01, 1e-9)
+    rest = y / np.maximum(base, floor) - 1 if multiplicative else y - base
+    groups = [
+        np.array([d.weekday() for d in days]), np.array([d.month - 1 for d in days]),
+        np.floor(np.mod(x, 30.5) * 10 / 30.5).astype(int),
+    ]
+    effects, total = [], np.zeros(len(x))
+    for group, size in zip(groups, (7, 12, 10), strict=True):
+        inputs = np.eye(size)[group]
+        own = np.linalg.solve(inputs[seen].T @ inputs[seen] + np.eye(size), inputs[seen].T @ rest[seen])
+        effects.append(own)
+        rest, total = rest - inputs @ own, total + inputs @ own
+    return (level, slope), effects, base * (1 + total) if multiplicative else base + total
+
+
+@pytest.mark.parametrize("multiplicative", [True, False])
+def test_models_equal_the_solved_normal_equations(spark, multiplicative):
+    rng = random.Random(8)
+    rows = []
+    for sku, count in (("A", 400), ("B", 47), ("C", 31)):
+        days = sorted(date(2022, 11, 3) + timedelta(days=d) for d in rng.sample(range(2 * count), count))
+        rows += [(sku, "W", d, float(rng.randint(0, 60) + 10 * (d.weekday() == 2) + d.month)) for d in days]
+    daily = spark.createDataFrame(rng.sample(rows, len(rows)), "sku string, warehouse_id string, date date, demand double")
+    models = forecast.fit_models(daily, multiplicative=multiplicative)
+    got = {r.sku: r for r in models.collect()}
+    ahead = {(r.sku, r.date): r for r in forecast.forecast(models, horizon=40).collect()}
+    for sku, row in got.items():
+        days, values = zip(*[(d, v) for s, _, d, v in rows if s == sku], strict=True)
+        everything = np.ones(len(days), bool)
+        line, effects, fit = solved(days, values, everything, multiplicative)
+        assert row.trend == pytest.approx(line, abs=1e-6)
+        for block, own in zip(("weekly", "yearly", "monthly"), effects, strict=True):
+            assert row[block] == pytest.approx(own, abs=1e-6)
+        assert row.deviation == pytest.approx(np.std(np.array(values) - fit), abs=1e-6)
+        n = len(days) * 8 // 10
+        seen = np.arange(len(days)) < n
+        part = solved(days, values, seen, False)[2]
+        y = np.array(values)[~seen]
+        share = np.abs(y - part[~seen]) / np.maximum(np.abs(y), np.finfo(float).eps)
+        assert row.mape == pytest.approx(share.mean(), rel=1e-6)
+        for step in range(1, 41):
+            day = days[-1] + timedelta(days=step)
+            x = (day - days[0]).days
+            base = line[0] + line[1] * x
+            three = (effects[0][day.weekday()], effects[1][day.month - 1], effects[2][int((x % 30.5) * 10 / 30.5)])
+            yhat = base * (1 + sum(three)) if multiplicative else base + sum(three)
+            out = ahead[sku, day]
+            assert (out.yhat, out.trend, out.seasonality) == pytest.approx((yhat, base, three[0] + three[1]), abs=1e-6)
+            assert out.yhat_upper - out.yhat == pytest.approx(forecast.Z_95 * row.deviation, abs=1e-6)
+
+
 def test_short_and_broken_series_are_reported(spark):
     daily = series(spark, lambda i, d: 5, days=29).unionByName(series(spark, lambda i, d: 5, days=30, sku="B"))
     models = forecast.fit_models(daily)
@@ -137,3 +197,9 @@ def test_registry_serves_the_newest_version_of_each_key(spark):
     assert forecast.forecast(got, horizon=2).count() == 4
     gone = spark.createDataFrame([("A", "W")], "sku string, warehouse_id string")
     assert as_set(registry.without_models(got, gone), *KEY) == {("B", "W")}
+    listed = registry.list_models(spark, path)
+    assert as_set(listed, "sku", "version", "is_newest") == {
+        ("A", "20240101_000000", False), ("A", "20240102_000000", True), ("B", "20240101_000000", True),
+    }
+    registry.delete_models(spark, path, gone)  # the second version held nothing else
+    assert as_set(registry.load_models(spark, path, newest=False), "sku", "version") == {("B", "20240101_000000")}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -263,11 +264,13 @@ def test_expiry_is_open_at_the_old_end(spark):
 
 def test_distinct_estimates_are_close_and_merge(spark):
     df = spark.range(100_000).select(
-        F.concat(F.lit("S"), F.col("id") % 20_000).alias("sku"), (F.col("id") % 7).alias("day")
+        F.concat(F.lit("S"), F.col("id") % 20_000).alias("sku"), (F.col("id") % 7).alias("day"),
+        F.concat(F.lit("W"), F.col("id") % 3).alias("warehouse_id"),
     )
-    assert keyed.distinct_hot_items(df).first()[0] == pytest.approx(20_000, rel=0.03)
-    merged = keyed.merge_hot_items(keyed.hot_item_sketches(df, by="day")).first()[0]
-    assert merged == pytest.approx(20_000, rel=0.03)
+    got = keyed.distinct_hot_items(df).first()
+    assert got.hot_items == pytest.approx(20_000, rel=3 * got.standard_error) and got.standard_error < 0.04
+    merged = keyed.with_estimate(keyed.merge_hot_items(keyed.hot_item_sketches(df, by="day"))).first()
+    assert merged.hot_items == got.hot_items
 
 
 # -- upserts --------------------------------------------------------------------------------
@@ -343,6 +346,57 @@ def test_catalog_requests(spark):
     }
 
 
+def test_catalog_requests_in_order(spark):
+    """Each request sees what those before it have left; a plain replay is the measure."""
+    rng = random.Random(4)
+    values = ["AAA", "BBB", "CCC", "DDD", "EEE"]
+    for seed in range(4):
+        rng = random.Random(seed)
+        table = [(i, v, f"n{i}", rng.choice([7, None]), True) for i, v in enumerate(values[:3], 1)]
+        asked = [
+            (n, rng.choice([None, 1, 2, 3, 9]), rng.choice(values), f"r{n}", rng.choice([7, 7, None, 8]), rng.choice([True, False, None]))
+            for n in range(1, 40)
+        ]
+        owner, rows, want = {r[1]: r[0] for r in table}, {r[0]: list(r) for r in table}, {}
+        for n, i, value, name, category, active in asked:
+            if i is not None and i not in rows:
+                want[n] = "NOT_FOUND"
+            elif value in owner and owner[value] != i:
+                want[n] = "DUPLICATE"
+            elif category == 8:
+                want[n] = "PARENT_NOT_FOUND"
+            else:
+                want[n] = None
+                key = i if i is not None else 3 + n
+                if i is not None:
+                    owner.pop(rows[i][1])
+                owner[value] = key
+                kept = active if active is not None else rows[i][4] if i is not None else True
+                if i is None:
+                    rows[-key] = [key, value, name, category, kept]  # cannot be named by a request of this batch
+                else:
+                    rows[i] = [key, value, name, category, kept]
+        products, categories = spark.createDataFrame(table, PRODUCT), spark.createDataFrame([(7,)], "id long")
+        requests = spark.createDataFrame(rng.sample(asked, len(asked)), "request_id long, " + PRODUCT)
+        judged = catalog.judge_changes(products, requests, unique="sku", parent="category_id", parents=categories).cache()
+        assert dict(judged.select("request_id", "rejection").collect()) == want
+        assert as_set(catalog.apply_changes(products, judged), "id", "sku", "name", "category_id", "is_active") == {tuple(r) for r in rows.values()}
+
+
+def test_sketches_of_parts_merge_to_that_of_the_whole(spark):
+    rng = random.Random(3)
+    rows = [(f"S{rng.randint(0, 3000)}", rng.randint(0, 6)) for _ in range(20_000)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "sku string, day int").repartition(5)
+    merged = keyed.merge_hot_items(keyed.hot_item_sketches(df, by="day", size=256), size=256)
+    whole = keyed.hot_item_sketches(df.withColumn("all", F.lit(1)), by="all", size=256).select("sketch")
+    assert merged.collect() == whole.collect()
+    got = keyed.with_estimate(merged, size=256).first()
+    exact = len({s for s, _ in rows if s})
+    assert abs(got.hot_items - exact) < 3 * got.standard_error * exact
+    few = keyed.with_estimate(keyed.hot_item_sketches(df.filter("day = 2").limit(100), by="day", size=256), size=256).first()
+    assert few.hot_items == few.hot_items // 1 and few.standard_error == 0
+
+
 def test_pages_do_not_overlap(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(25)], "id long, v int")
     seen = [r.id for n in range(3) for r in lookups.page(df, sort_by="v", descending=True, number=n).collect()]
