@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 
 #: log2 of the bits of a filter: 32 MB, which keeps false repeats below 1 % up to about 60 million distinct hashes.
 BITS = 28
-#: Filters up to 8 MB.
-SMALL = 26
+#: Filters up to 32 MB.
+SMALL = 28
 SEGMENTS = 6
 PROBES = 4
+#: Hashes that a task hands over at once.
+AT_ONCE = 1 << 20
 
 
 def _keys(hashes: np.ndarray) -> np.ndarray:
@@ -53,19 +55,28 @@ def twice_seen(
     spark = df.sparkSession
     inner = bits - SEGMENTS
 
+    def handed(each: list[np.ndarray]) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(each), return_counts=True)
+        cuts = np.searchsorted(found, np.arange(1, 1 << SEGMENTS, dtype=np.uint64) << np.uint64(64 - SEGMENTS))
+        rows = [
+            (segment, _keys(part).tobytes(), _keys(part[n > 1]).tobytes())
+            for segment, (part, n) in enumerate(zip(np.split(found, cuts), np.split(times, cuts), strict=True))
+            if part.size
+        ]
+        return pa.RecordBatch.from_pylist([dict(zip(("segment", "all", "again"), r, strict=True)) for r in rows], schema)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            each = list(hashes_of(batch))
-            if not sum(map(len, each)):
-                continue
-            found, times = np.unique(np.concatenate(each), return_counts=True)
-            cuts = np.searchsorted(found, np.arange(1, 1 << SEGMENTS, dtype=np.uint64) << np.uint64(64 - SEGMENTS))
-            rows = [
-                (segment, _keys(part).tobytes(), _keys(part[n > 1]).tobytes())
-                for segment, (part, n) in enumerate(zip(np.split(found, cuts), np.split(times, cuts), strict=True))
-                if part.size
-            ]
-            yield pa.RecordBatch.from_pylist([dict(zip(("segment", "all", "again"), r, strict=True)) for r in rows], schema)
+            for own in hashes_of(batch):
+                each.append(own)
+                held += len(own)
+                if held > AT_ONCE:  # what comes again later is found where the segments are built
+                    yield handed(each)
+                    each, held = [], 0
+        if held:
+            yield handed(each)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -13,6 +13,7 @@ pair of a bucket is compared or connected in the end, so no component is missed
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,10 @@ TOLD = 200_000
 #: Bytes of text looked at in one go.
 AT_ONCE = 2_000_000
 #: log2 of the bits of the filter of repeated grams, and of those of wanted documents and sets.
-BITS = 26
+BITS = 28
 WANTED = 24
+#: Rows of ids (24 bytes each) up to which a table is sent to every task; beyond, both sides of a join are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles(text: bytes, size: int, hashes: Hashes) -> np.ndarray:
@@ -67,38 +70,47 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def counted(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """A row (key, node, n) per document; per task, rows (part, counts) with how often its grams fell to each counter."""
+def counted(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """A row (key, node, n, grams) per document, the grams once for each task that meets the set, if sets of that size can be
+    similar to others at all; per task, rows (part, counts) with how often its grams fell to each counter."""
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, node long, n long, part int, counts binary"
+    schema = f"`{key}` {kind}, node long, n long, held boolean, grams binary, part int, counts binary"
+    names = [key, "node", "n", "held", "grams", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counters = Hashes(), np.zeros(1 << COUNTERS, np.uint32)
+        hashes, counters, told = Hashes(), np.zeros(1 << COUNTERS, np.uint32), set()
         types = None
         for batch in bounded(batches, text, AT_ONCE):
             types = batch.schema.field(key).type
-            nodes, sizes, every = [], [], []
+            nodes, sizes, sets, every = [], [], [], []
             for value in batch.column(text).cast(pa.binary()):
                 own = shingles(value.as_py() or b"", size, hashes)
-                nodes.append(node_of(own) if len(own) else None)
+                node = node_of(own) if len(own) else None
+                known = node in told or 100 * len(own) < percent * (len(own) + 1)
+                if not known:
+                    if len(told) >= TOLD:
+                        told.clear()
+                    told.add(node)
+                nodes.append(node)
                 sizes.append(len(own))
+                sets.append(None if known else own.tobytes())
                 every.append(own)
             np.add.at(counters, (np.concatenate(every) >> np.uint64(64 - COUNTERS)).astype(np.int64), np.uint32(1))
             empty = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary())],
-                [key, "node", "n", "part", "counts"],
-            )
+            yield pa.RecordBatch.from_arrays([
+                batch.column(key), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+                pa.array([s is not None for s in sets]), pa.array(sets, pa.binary()),
+                empty.cast(pa.int32()), empty.cast(pa.binary()),
+            ], names)
         if types is None:
             return
         for part, own in enumerate(counters.reshape(-1, 1 << PART)):
-            at = np.flatnonzero(own)
-            if len(at):
-                data = np.stack([at.astype(np.uint32), own[at]]).tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, types), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([data])],
-                    [key, "node", "n", "part", "counts"],
-                )
+            if own.any():
+                data = zlib.compress(np.minimum(own, 65_535).astype("<u2").tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([
+                    pa.nulls(1, types), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()),
+                    pa.array([part], pa.int32()), pa.array([data]),
+                ], names)
 
     return docs.select(key, text).mapInArrow(run, schema)
 
@@ -110,10 +122,8 @@ def frequency_classes(parts: DataFrame) -> Broadcast:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                at, times = np.frombuffer(data.as_py(), np.uint32).reshape(2, -1)
-                if part not in held:
-                    held[part] = np.zeros(1 << PART, np.uint64)
-                held[part][at] += times
+                own = np.frombuffer(zlib.decompress(data.as_py()), "<u2")
+                held[part] = held[part] + own if part in held else own.astype(np.uint64)
         for part, times in held.items():
             classes = np.floor(4 * np.log2(np.maximum(times, 1))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([classes.tobytes()])], ["part", "classes"])
@@ -132,28 +142,23 @@ def rare_first(own: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.sort((kind << np.uint64(56)) | (own >> np.uint64(8)))
 
 
-def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, classes: Broadcast) -> DataFrame:
-    """(node, n, slices, prefix) of each distinct set, once for each task that meets it: its grams by slice, and the first of
-    them in order. Sets so small that only equal ones are similar need none."""
+def prefixes(sets: DataFrame, percent: int, classes: Broadcast) -> DataFrame:
+    """(node, n, slices, prefix) of sets (node, n, grams): their grams by slice, and the first of them in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, told, order = Hashes(), set(), np.frombuffer(classes.value, np.uint8)
-        schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("slices", pa.list_(pa.int32())), ("prefix", pa.binary())])
-        for batch in bounded(batches, text, AT_ONCE):
-            rows = []
-            for value in batch.column(text).cast(pa.binary()):
-                own = shingles(value.as_py() or b"", size, hashes)
-                if 100 * len(own) < percent * (len(own) + 1) or (node := node_of(own)) in told:
-                    continue
-                if len(told) >= TOLD:
-                    told.clear()
-                told.add(node)
-                slices = np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=SLICES)
-                rows.append((node, len(own), slices, rare_first(own, order)[: prefix_length(len(own), percent)].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        order = np.frombuffer(classes.value, np.uint8)
+        for batch in batches:
+            slices, prefix = [], []
+            for value in batch.column("grams"):
+                own = np.frombuffer(value.as_py(), np.uint64)
+                slices.append(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=SLICES))
+                prefix.append(rare_first(own, order)[: prefix_length(len(own), percent)].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("n"), pa.array(slices, pa.list_(pa.int32())), pa.array(prefix, pa.binary())],
+                ["node", "n", "slices", "prefix"],
+            )
 
-    return docs.select(text).mapInArrow(run, "node long, n long, slices array<int>, prefix binary")
+    return sets.mapInArrow(run, "node long, n long, slices array<int>, prefix binary")
 
 
 def suspected(nodes: DataFrame) -> DataFrame:
@@ -225,36 +230,20 @@ def wanted_only(df: DataFrame, mark: str, wanted: DataFrame) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def sets_of(docs: DataFrame, key: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
-    """(node, grams binary) of the documents whose key is in `wanted` and a few others: once per task and node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, told = Hashes(), set()
-        for batch in bounded(batches, "text", AT_ONCE):
-            rows = []
-            for value in batch.column("text").cast(pa.binary()):
-                own = shingles(value.as_py() or b"", size, hashes)
-                if len(own) and (node := node_of(own)) not in told:
-                    if len(told) >= TOLD:
-                        told.clear()
-                    told.add(node)
-                    rows.append((node, own.tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["node", "grams"])
-
-    marked = docs.select(F.xxhash64(key).alias("mark"), F.col(text).alias("text"))
-    return wanted_only(marked, "mark", wanted.select(F.xxhash64(key))).mapInArrow(run, "node long, grams binary")
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a few columns, sent to all tasks if it has no more rows than BROADCAST_ROWS; the rows it is joined
+    with are then not shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. The set of b travels once for every few sets compared with it."""
     many = pairs.groupBy("b").agg(F.count("*").alias("many"))
     dealt = pairs.join(many, "b").select("a", "b", F.expr(f"pmod(xxhash64(a), 1 + many div {TOGETHER})").alias("salt"))
-    dealt = written(dealt, "candidates")
-    asked = dealt.select(F.col("a").alias("node"), "b", "salt", "a").unionByName(
+    asked = written(dealt.select(F.col("a").alias("node"), "b", "salt", "a").unionByName(
         dealt.select(F.col("b").alias("node"), "b", "salt", F.lit(None).cast("long").alias("a")).distinct()
-    )
-    sent = asked.join(wanted_only(sets, "node", asked.select("node")), "node").select("b", "salt", "a", "grams").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+    ), "asked")
+    sent = wanted_only(sets, "node", asked.select("node")).join(small(asked), "node").select("b", "salt", "a", "grams").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, other, before = None, np.empty(0, np.uint64), None
@@ -283,9 +272,12 @@ def _pairs(found: DataFrame) -> DataFrame:
         F.min(F.struct("b", "a")).alias("one")).select(F.col("one.a").alias("a"), F.col("one.b").alias("b"))
 
 
-def linked(docs: DataFrame, own: DataFrame, classes: Broadcast, *, key: str, text: str, size: int, percent: int) -> DataFrame | None:
-    """(node, root) of the nodes that links of similar sets connect; None if there are none."""
-    nodes = written(prefixes(docs, key, text, size, percent, classes), "prefixes")
+def linked(rows: DataFrame, classes: Broadcast, *, key: str, percent: int) -> DataFrame | None:
+    """(node, root) of the nodes that links of similar sets connect, given `counted` rows; None if there are none."""
+    sets = rows.filter("held").select(F.xxhash64(key).alias("mark"), "node", "n", "grams")
+    # of documents with equal sets one is enough; others that hold the set in another task are cut by their key
+    first = rows.filter("held").groupBy("node").agg(F.min(key).alias(key)).select(F.xxhash64(key))
+    nodes = written(prefixes(wanted_only(sets, "mark", first).drop("mark"), percent, classes), "prefixes")
     entries = written(suspected(nodes), "entries")
     stats = entries.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("pos", "n", "node")).alias("first")).filter("many > 1")
     # sixteen times as many members of a bucket lead in each round; the first is the one whose shared gram comes first
@@ -308,8 +300,7 @@ def linked(docs: DataFrame, own: DataFrame, classes: Broadcast, *, key: str, tex
     rest = buckets.filter("many > 2 and level > 0").select("token", "node", "pos", "level").join(shapes, "node")
     if begun.isEmpty() and rest.isEmpty():
         return None
-    keys = own.join(active, "node", "left_semi").groupBy("node").agg(F.min(key).alias(key)).select(key)
-    sets = written(sets_of(docs, key, text, size, keys), "sets")
+    sets = sets.select("node", "grams")
 
     links: DataFrame | None = None
     tested: DataFrame | None = None
@@ -329,7 +320,7 @@ def linked(docs: DataFrame, own: DataFrame, classes: Broadcast, *, key: str, tex
     def rooted(df: DataFrame, node: str, root: str) -> DataFrame:
         if roots is None:
             return df.withColumn(root, F.col(node))
-        known = roots.select(F.col("node").alias(node), F.col("root").alias(root))
+        known = small(roots).select(F.col("node").alias(node), F.col("root").alias(root))
         return df.join(known, node, "left").withColumn(root, F.coalesce(root, node))
 
     def open_pairs(pairs: DataFrame) -> DataFrame:
@@ -350,7 +341,7 @@ def linked(docs: DataFrame, own: DataFrame, classes: Broadcast, *, key: str, tex
         spread = written(spread, "spread")
         if spread.isEmpty():
             return roots
-        rest = rest.join(spread, "token", "left_semi")
+        rest = rest.join(small(spread), "token", "left_semi")
         leads = rest.filter(F.col("level") == turn).select(
             "token", F.col("node").alias("lead"), F.col("pos").alias("at"), F.col("n").alias("m"), F.col("slices").alias("y"), F.col("root").alias("other"))
         met = rest.join(leads, "token").filter(
@@ -371,11 +362,11 @@ def similar_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     of null keys alone has a null one. Rows that repeat a key are documents of their own. Sets and grams are
     told apart by 64-bit hashes.
     """
-    rows = docs.select(key, text)
-    first = written(counted(rows, key, text, size), "sets-counted")
-    own = first.filter("part is null").select(key, "node", "n")
-    classes = frequency_classes(first.filter("part is not null").select("part", "counts"))
-    roots = linked(rows, own, classes, key=key, text=text, size=size, percent=percent)
+    rows = written(counted(docs.select(key, text), key, text, size, percent), "counted")
+    classes = frequency_classes(rows.filter("part is not null").select("part", "counts"))
+    rows = rows.filter("part is null").drop("part", "counts")
+    roots = linked(rows, classes, key=key, percent=percent)
+    own = rows.select(key, "node", "n")
     # copies are added up before anything is joined with them
     least = own.filter("node is not null").groupBy("node").agg(F.min(key).alias("least"))
     if roots is None:

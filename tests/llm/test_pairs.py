@@ -50,6 +50,7 @@ def test_similar_documents_in_large_groups(spark, size, percent):
     texts += copies(draw, prose(8), 30, 2) + [" ".join(prose(draw.randint(5, 60)) + passage) for _ in range(60)]
     texts += [" ".join(prose(6000))] + copies(draw, prose(700), 8, 12)
     rows = list(enumerate(texts)) + [(None, texts[0]), (3, texts[3]), (3, None)]
+    rows = [(900 - i, t) for i, t in enumerate(texts[::5])] + rows  # copies before the least key of their set
     got = rows_of(ngramjoin.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=size, percent=percent))
     assert got == order(brute.similar(rows, size, percent))
 
