@@ -2,9 +2,11 @@
 
 A window is `length` consecutive words. Each window has an anchor, the least hash among its five-word grams, so
 equal windows have equal anchors wherever they stand. Anchors, then windows, that a Bloom filter has seen only once
-can't be shared and go no further; runs of the others that have one anchor are passages, dealt by anchor to shards.
-Each shard is a compressed index of its distinct passages; their windows are
-searched backwards in it, and the documents of the rows found tell where a window stands first.
+can't be shared and go no further; runs of the others that have one anchor are passages, dealt by anchor to shards. Passages
+of an anchor that has too many for a task are cut further, by their windows' second-least gram, third-least and so on.
+Each shard is a compressed index of its distinct passages, the Burrows-Wheeler transform in a wavelet tree. Its passages are
+streamed through it: backward search gives the matching statistic of each word, the length of the longest run up to it that stands
+elsewhere in the shard, and where that reaches a window's length, the documents of the rows found tell where it stands first.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ GRAM = 5
 LAST = (1 << 63) - 1
 #: Bytes of distinct passages in a shard.
 SHARD = 1_000_000
+#: Bytes of distinct passages of one key that are still left to one task.
+LIMIT = 4_000_000
 #: Distinct passages that a task remembers, so that it sends those that many documents share once.
 TOLD = 20_000
 #: log2 of the bits of the filter of documents that lose words: 2 MB.
@@ -155,66 +159,129 @@ class Wavelet:
 
 
 class Index:
-    """FM-index of texts of symbols 1 …: rows sorted by at least `depth` symbols, so patterns up to that are found."""
+    """FM-index of texts of symbols 1 …: rows sorted by at least `depth` symbols, so patterns up to that are found. It holds
+    the symbol before each row in a wavelet tree and, 4 bytes a row, the text's holder by rank; not the places themselves."""
 
-    def __init__(self, sequence: np.ndarray, depth: int):
+    def __init__(self, sequence: np.ndarray, holders: np.ndarray, depth: int):
         symbols = int(sequence.max(initial=0)) + 1
         rank, sorted_by = sequence.astype(np.int64), 1
-        self.rows = np.argsort(rank, kind="stable")
+        rows = np.argsort(rank, kind="stable")
         while sorted_by < depth:
             behind = np.zeros(len(rank), np.int64)
             behind[:-sorted_by] = rank[sorted_by:] + 1
             joined = rank * (int(rank.max(initial=0)) + 2) + behind
-            self.rows = np.argsort(joined, kind="stable")
-            ordered = joined[self.rows]
+            rows = np.argsort(joined, kind="stable")
+            ordered = joined[rows]
             rank = np.empty(len(ordered), np.int64)
-            rank[self.rows] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+            rank[rows] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
             sorted_by *= 2
+        self.size = len(rows)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(sequence, minlength=symbols))])
-        self.tree = Wavelet(sequence[self.rows - 1], symbols)  # the symbol before each row, round at the first
-
-    def search(self, sequence: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [low, high) that start with the `length` symbols up to each end, taken from last to first; for symbols
-        that only the sequence at that end has, one row, which stands for a later start in the same text."""
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.rows), np.int64)
-        open_ = np.arange(len(ends))  # a window that only one row has is found: its own
-        for back in range(length):
+        self.tree = Wavelet(sequence[rows - 1], symbols)  # the symbol before each row, round at the first
+        self.holders, codes = np.unique(holders, return_inverse=True)
+        self.holder_of_row = codes.astype(np.uint32)[rows]
+
+    def statistics(self, sequence: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each end the matching statistic, up to `depth`: how many symbols up to it, taken from last to first, stand in
+        more than one row, and the rows [low, high) that start with them."""
+        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
+        length = np.zeros(len(ends), np.int64)
+        open_ = np.arange(len(ends))
+        for back in range(depth):
             symbol = sequence[ends[open_] - back].astype(np.int64)
-            low[open_] = self.before[symbol] + self.tree.rank(symbol, low[open_])
-            high[open_] = self.before[symbol] + self.tree.rank(symbol, high[open_])
-            open_ = open_[high[open_] - low[open_] > 1]
-        return low, high
+            first = self.before[symbol] + self.tree.rank(symbol, low[open_])
+            behind = self.before[symbol] + self.tree.rank(symbol, high[open_])
+            more = behind - first > 1  # one row is the place itself
+            open_ = open_[more]
+            low[open_], high[open_] = first[more], behind[more]
+            length[open_] += 1
+        return length, low, high
+
+    def least_holder(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least holder of each range of rows."""
+        each, where = np.unique(low, return_inverse=True)
+        stop = np.zeros(len(each), np.int64)
+        stop[where] = high
+        bounds = np.stack([each, stop], axis=1).ravel()
+        ranked = np.append(self.holder_of_row, np.uint32(len(self.holders)))
+        return self.holders[np.minimum.reduceat(ranked, bounds)[::2][where]]
 
 
 def first_holders(contents: list[bytes], holders: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each window of each content, the least holder of a content that has the window."""
-    words = [c.split(b" ") for c in contents]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    spelled = np.array([w for own in words for w in own], object)
-    _, codes = np.unique(Hashes().of(spelled.tolist()), return_inverse=True)
+    sizes = np.fromiter((c.count(b" ") + 1 for c in contents), np.int64, len(contents))
+    _, codes = np.unique(Hashes().of(b" ".join(contents).split(b" ")), return_inverse=True)
     # a text of all contents, each ended by symbol 0
     ends = np.cumsum(sizes + 1) - 1
     sequence = np.zeros(int(ends[-1]) + 1, np.int64)
     inside = np.ones(len(sequence), bool)
     inside[ends] = False
     sequence[inside] = codes + 1
-    index = Index(sequence, length)
-    holder_of_row = np.repeat(holders, sizes + 1)[index.rows]
+    index = Index(sequence, np.repeat(holders, sizes + 1), length)
     windows = sizes - length + 1
     starts = np.repeat(ends - sizes, windows) + np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    found = np.empty(len(starts), np.int64)
+    found = np.repeat(holders, windows)  # its own, where a window stands nowhere else
     for at in range(0, len(starts), 100_000):
-        part = slice(at, at + 100_000)
-        low, high = index.search(sequence, starts[part] + length - 1, length)
-        each, where = np.unique(low, return_inverse=True)
-        stop = np.zeros(len(each), np.int64)
-        stop[where] = high
-        bounds = np.stack([each, stop], axis=1).ravel()
-        least = np.minimum.reduceat(np.append(holder_of_row, LAST), bounds)[::2]
-        found[part] = least[where]
+        part = np.arange(at, min(at + 100_000, len(starts)))
+        reach, low, high = index.statistics(sequence, starts[part] + length - 1, length)
+        whole = reach >= length
+        if whole.any():
+            found[part[whole]] = index.least_holder(low[whole], high[whole])
     return np.split(found, np.cumsum(windows)[:-1])
 
 
+def cut_further(content: bytes, level: int, length: int = LENGTH) -> list[tuple[int, bytes, int]]:
+    """The parts of a passage whose windows have the same `level` least grams: (window that a part begins with, content, key).
+    Equal windows have equal grams, so they meet under one key."""
+    words = content.split(b" ")
+    size = min(GRAM, length)
+    own = grams(Hashes().of(words), size)
+    span = length - size + 1
+    least = np.sort(np.lib.stride_tricks.sliding_window_view(own, span), axis=1)[:, :level]
+    key = np.zeros(len(least), np.uint64)
+    for column in least.T:
+        key = _mixed(key * np.uint64(_ODD[1]) + column)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    last = np.append(first[1:], len(key)) - 1
+    return [
+        (a, b" ".join(words[a : b + length]), int(key[a] >> np.uint64(1)))
+        for a, b in zip(first.tolist(), last.tolist(), strict=True)
+    ]
+
+
+CONTENTS = "shard long, part long, part2 long, doc long, last long, id long, id2 long, offset int, content binary"
+
+
+def bounded_groups(contents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """`contents` (CONTENTS; id names a passage, part what of it is in the row) with the passages of keys that have too many
+    for one task cut by further grams of their windows, until none has or all grams are used."""
+
+    def recut(level: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from xxhash import xxh3_128_digest
+
+            for batch in batches:
+                rows = []
+                for r in batch.to_pylist():
+                    for at, content, key in cut_further(r["content"], level, length):
+                        digest = xxh3_128_digest(content)
+                        ids = [int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8)]
+                        rows.append(r | {"shard": key, "part": ids[0], "part2": ids[1], "offset": r["offset"] + at, "content": content})
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, batch.schema)
+
+        return run
+
+    for level in range(2, length - min(GRAM, length) + 2):
+        distinct = contents.groupBy("shard", "part", "part2").agg(F.max(F.octet_length("content")).alias("bytes"))
+        hot = written(distinct.groupBy("shard").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") > LIMIT).select("shard"), "hot")
+        if hot.isEmpty():
+            break
+        again = contents.join(hot, "shard", "left_semi").select(*contents.columns).mapInArrow(recut(level), contents.schema)
+        contents = written(contents.join(hot, "shard", "left_anti").select(*contents.columns).unionByName(again), "contents")
+    return contents
+
+
 def repeated_windows(docs: DataFrame, *, length: int = LENGTH, bits: int = BITS) -> DataFrame:
     """(doc, mark, places array<array<int>>): where windows start that also start in a smaller doc. `docs` has doc
     (long), mark (long, tells rows of one doc apart) and text."""
@@ -293,24 +360,27 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, bits: int = BITS)
             yield contents()
 
     table = written(docs.mapInArrow(passages_of, "doc long, mark long, start long, shard long, id long, id2 long, last long, content binary"), "passages")
-    contents = table.filter("content is not null")
+    contents = bounded_groups(table.filter("content is not null").select(
+        "shard", F.col("id").alias("part"), F.col("id2").alias("part2"), "doc", "last", "id", "id2", F.lit(0).alias("offset"), "content"), length)
     size = contents.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     shards = max(1, -(-size // SHARD))
-    out = pa.schema([("id", pa.int64()), ("id2", pa.int64()), ("firsts", pa.list_(pa.int64()))])
+    out = pa.schema([("id", pa.int64()), ("id2", pa.int64()), ("offset", pa.int32()), ("firsts", pa.list_(pa.int64()))])
 
     def search(shard: pa.Table) -> pa.Table:
-        held: dict[bytes, list[int]] = {}
-        for content, first, last, *ids in zip(*(shard.column(c).to_pylist() for c in ("content", "doc", "last", "id", "id2")), strict=True):
-            seen = held.setdefault(content, [first, last, *ids])
+        held: dict[bytes, list] = {}
+        names = [c for c in ("content", "doc", "last", "id", "id2", "offset")]
+        for content, first, last, *place in zip(*(shard.column(c).to_pylist() for c in names), strict=True):
+            seen = held.setdefault(content, [first, last, set()])
             seen[0], seen[1] = min(seen[0], first), max(seen[1], last)
+            seen[2].add(tuple(place))
         firsts = first_holders(list(held), np.array([h[0] for h in held.values()], np.int64), length)
-        told = [(*h[2:], f) for h, f in zip(held.values(), firsts, strict=True) if (f < h[1]).any()]
-        columns = list(zip(*told, strict=True)) or [(), (), ()]
+        told = [(*place, f) for h, f in zip(held.values(), firsts, strict=True) if (f < h[1]).any() for place in h[2]]
+        columns = list(zip(*told, strict=True)) or [(), (), (), ()]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
-    found = contents.withColumn("shard", F.pmod("shard", F.lit(shards))).select("shard", "id", "id2", "doc", "last", "content").groupBy(
-        "shard").applyInArrow(search, "id long, id2 long, firsts array<long>")
-    places = F.expr("filter(transform(firsts, (first, i) -> if(first < doc, cast(start as int) + i, -1)), at -> at >= 0)")
+    found = contents.withColumn("shard", F.pmod("shard", F.lit(shards))).select("shard", "id", "id2", "offset", "doc", "last", "content").groupBy(
+        "shard").applyInArrow(search, "id long, id2 long, offset int, firsts array<long>")
+    places = F.expr("filter(transform(firsts, (first, i) -> if(first < doc, cast(start as int) + offset + i, -1)), at -> at >= 0)")
     return (
         table.filter("content is null").select("doc", "mark", "start", "id", "id2").join(found, ["id", "id2"])
         .select("doc", "mark", places.alias("places")).filter(F.size("places") > 0)

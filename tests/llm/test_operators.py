@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import io
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -135,6 +136,50 @@ def test_passage_dedup(docs, rows, none):
     assert substrings.drop_repeated_passages(none, bits=18).count() == 0
 
 
+def test_passages_of_one_anchor_are_cut_until_groups_are_small(spark, monkeypatch):
+    """Many texts around one short run of words, so that most windows have the same anchor."""
+    monkeypatch.setattr(substrings, "LIMIT", 300)
+    monkeypatch.setattr(substrings, "SHARD", 400)
+    draw = random.Random(6)
+    prose = lambda n: [f"w{draw.randint(0, 60)}" for _ in range(n)]
+    core, parts = prose(5), [prose(12) for _ in range(6)]
+    rows = [(i, " ".join([*draw.choice(parts), *core, *draw.choice(parts), *prose(draw.randint(0, 6))])) for i in range(120)]
+    df = spark.createDataFrame(draw.sample(rows, len(rows)), "doc_id long, text string").repartition(4)
+    got = substrings.drop_repeated_passages(df, bits=18).select("doc_id", "n_words", "n_removed", "text").collect()
+    assert order(tuple(r) for r in got) == order(brute.left_words(rows))
+
+
+@pytest.mark.parametrize("level", [2, 5, 9])
+def test_parts_of_a_passage_cover_its_windows_once(level):
+    draw = random.Random(level)
+    seen = {}
+    for _ in range(60):
+        words = [f"w{draw.randint(0, 4)}" for _ in range(draw.randint(13, 40))]
+        windows = []
+        for at, content, key in substrings.cut_further(" ".join(words).encode(), level):
+            own = content.decode().split()
+            assert own == words[at : at + len(own)]
+            for k in range(len(own) - 12):
+                windows.append(at + k)
+                assert seen.setdefault(tuple(own[k : k + 13]), key) == key  # equal windows meet
+        assert windows == list(range(len(words) - 12))
+
+
+@pytest.mark.parametrize("length", [2, 3, 5, 13])
+def test_matching_statistics(length):
+    draw = random.Random(length)
+    for _ in range(40):
+        text = [draw.randint(1, 3) for _ in range(draw.randint(length, 60))] + [0]
+        sequence = np.array(text, np.int64)
+        index = substrings.Index(sequence, np.zeros(len(text), np.int64), length)
+        ends = np.arange(length - 1, len(text) - 1)
+        reach, low, high = index.statistics(sequence, ends, length)
+        for end, got, rows in zip(ends.tolist(), reach.tolist(), (high - low).tolist(), strict=True):
+            times = lambda k: sum(text[i : i + k] == text[end - k + 1 : end + 1] for i in range(len(text) - k + 1))  # noqa: E731, B023
+            want = max((k for k in range(1, length + 1) if times(k) > 1), default=0)
+            assert got == want and (not want or rows == times(want))
+
+
 @pytest.mark.parametrize("length", [2, 3, 5, 13])
 def test_fm_index_finds_first_holders(length):
     draw = random.Random(length)
@@ -198,18 +243,29 @@ def test_hamming_blocks_find_all_within_the_radius(spark):
     items = [(i, draw.getrandbits(63)) for i in range(20)]
     windows = []
     for _, mark in items:
-        for n in (0, 5, 12, 15, 16, 20):
+        for n in (0, 5, 12, 19, 23, 24, 30):
             other = mark
             for bit in draw.sample(range(63), n):
                 other ^= 1 << bit
             windows.append((len(windows), other))
     got = decontamination.hamming_pairs(
-        spark.createDataFrame(windows, "window long, mark long"), spark.createDataFrame(items, "item long, item_mark long")
+        spark.createDataFrame([(w, m, w % 2) for w, m in windows], "window long, mark long, length int"),
+        spark.createDataFrame([(i, m, i % 2) for i, m in items], "item long, item_mark long, length int"),
     )
-    want = {(w, i) for w, a in windows for i, b in items if (a ^ b).bit_count() <= decontamination.RADIUS}
+    want = {(w, i) for w, a in windows for i, b in items if (a ^ b).bit_count() <= decontamination.RADIUS and w % 2 == i % 2}
     assert {(r["window"], r["item"]) for r in got.collect()} == want
 
 
+def test_a_very_long_repetitive_text_costs_in_proportion(spark):
+    """Five words over and over, as an item has them: a hundred thousand windows hold enough of it."""
+    five = "alpha beta gamma delta epsilon"
+    items = spark.createDataFrame([(1, " ".join([five] * 9)), (2, " ".join([five] * 4 + ["other words end it"]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join([five] * 20_000)), (2, "nothing of it")], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(1, 1): (1.0, 0)} and time.perf_counter() - start < 120
+
+
 def test_encoder_equals_the_library(vocabulary, rows):
     own = Encoder(vocabulary, remembered=3000)
     odd = ["", None, "a  b", "  lead", " \n x", "foo\n bar", "<|endoftext|> x", "it's   y  z", "tab\t x", "x ", "  ", " é ", "a b  ", " x  y"]
@@ -285,6 +341,13 @@ def test_packing(docs, rows, none, vocabulary):
     assert packing.pack(packing.token_pieces(none, vocabulary)).count() == 0
 
 
+def test_equal_pieces_are_dealt_to_many_groups(spark, monkeypatch):
+    pieces = spark.createDataFrame([(None, 0, 5, 1, 5)] * 3000, packing.PIECES).repartition(3)
+    got = packing.pack(pieces, length=64, group=100).toPandas()
+    groups = (got["sequence_id"] // (1 << 32)).value_counts()
+    assert len(got) == 3000 and len(groups) == 30 and groups.max() < 200
+
+
 def test_first_fit_is_that_of_a_scan():
     draw = random.Random(2)
     for n in (0, 1, 2, 7, 64, 300):
@@ -316,6 +379,28 @@ def test_interleave(docs, rows, none):
     assert sharding.interleave(none.select("doc_id", "source"), shards=4).count() == 0
 
 
+def test_interleave_equals_a_plain_ranking(docs):
+    """Fractional ranks worked out in lists: where each row of a source stands in [0, 1), all sorted, cut by count."""
+    draws = docs.select("doc_id", "source", "n_chars", F.xxhash64(F.lit(17), "doc_id", "n_chars").alias("draw")).collect()
+    strata = {}
+    for r in draws:
+        strata.setdefault(r["source"], []).append((r["draw"] % (1 << 64), r["doc_id"], r["n_chars"]))
+    spread = []
+    for source, own in strata.items():
+        own.sort(key=lambda v: (v[0], v[1] is not None, v[1] or 0, v[2] is not None, v[2] or 0))
+        spread += [((2 * k + 1) / (2 * len(own)), "" if source is None else f"={source}", v[0] - (v[0] >> 63 << 64), v[1:]) for k, v in enumerate(own)]
+    spread.sort(key=lambda v: v[:3])
+    want = Counter((v[3], k * 4 // len(spread)) for k, v in enumerate(spread))
+    got = sharding.interleave(docs.select("doc_id", "source", "n_chars"), shards=4, ties=("n_chars",)).collect()
+    assert Counter(((r["doc_id"], r["n_chars"]), r["shard"]) for r in got) == want
+
+
+def test_rows_without_a_key_are_drawn_apart(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.col("id").alias("n"))
+    got = sharding.interleave(rows, shards=4, ties=("n",)).groupBy("shard").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high")).collect()
+    assert all(r["rows"] == 1000 and r["high"] - r["low"] > 3000 for r in got)
+
+
 KEY = b"test"
 VALUES = {
     "mail": "bosbt.42@mail8.example.com", "card": "4041894974608795", "ip": "42.144.35.254", "phone": "+1 (988) 555-2485",
@@ -337,6 +422,46 @@ def test_pseudonyms_keep_format_and_validity(kind):
     assert pii.pseudonymise(value, pii.Permutation(b"other"))[0] != found
 
 
+#: A value, what stands around it, and its kind.
+PLANTED = [
+    ("4111 1111 1111 1111", "card {} 12/27", "card"), ("4111-1111-1111-1111", "{} 123", "card"), ("4111 1111 1111 1111", "2 {} 99", "card"),
+    ("3782 822463 10005", "no {} 04", "card"), ("5555555555554444", "pay {}, thanks", "card"),
+    ("AT61 1904 3002 3457 3201", "{} EUR 50", "iban"), ("DE89370400440532013000", "({})", "iban"), ("GB29 NWBK 6016 1331 9268 19", "to {} NOW", "iban"),
+    ("(974) 555-3436", "{} 2024", "phone"), ("+14155552671", "call {}.", "phone"), ("+1 4155552671", "{}", "phone"),
+    ("1-800-555-0199", "or {} free", "phone"), ("+43 660 1234567", "tel {} 9", "phone"), ("+442071838750", "{}", "phone"),
+    ("25/12/1990", "born {}", "date"), ("12/25/1990", "born {}, there", "date"), ("1990-12-25", "{} 10:30", "date"),
+    ("2001:db8:85a3::8a2e:370:7334", "from {}.", "ip6"), ("2001:0DB8:0000:0000:0000:0000:0000:0001", "{} up", "ip6"),
+    ("192.168.1.20", "at {}, port 80", "ip"), ("123-45-6789", "ssn {} 2020", "ssn"), ("ada@example.org", "mail {} or", "mail"),
+]
+
+
+@pytest.mark.parametrize(("value", "around", "kind"), PLANTED)
+def test_planted_values_are_replaced_wherever_they_stand(value, around, kind):
+    permutation = pii.Permutation(KEY)
+    before, after = around.split("{}")
+    new, spans = pii.pseudonymise(around.format(value), permutation)
+    assert (kind, len(before), len(before) + len(value)) in spans
+    assert new.startswith(before) and new.endswith(after) and value not in new
+    alone = pii.pseudonymise(value, permutation)[0]
+    assert new == around.format(alone)  # the same pseudonym everywhere
+
+
+def test_planted_values_in_documents(spark):
+    rows = [(i, f"text {i} before\n" + around.format(value) + f"\nand {i} after") for i, (value, around, _) in enumerate(PLANTED)]
+    got = pii.with_pseudonyms(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), KEY).collect()
+    for r in got:
+        value, around, kind = PLANTED[r["doc_id"]]
+        at = rows[r["doc_id"]][1].index(value)
+        assert (kind, at, at + len(value)) in {tuple(s) for s in r["pii"]} and value not in r["text"]
+        assert r["text"].split("\n")[0] == f"text {r['doc_id']} before"
+
+
+def test_pseudonyms_leave_rows_of_numbers():
+    permutation = pii.Permutation(KEY)
+    for text in ("order 1234 5678 9012 3456 78", "at 12:30:45 ok", "::1 and fe80::1", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17", "ratio 16:9:4"):
+        assert pii.pseudonymise(text, permutation) == (text, [])
+
+
 def test_pseudonyms_leave_the_rest():
     permutation = pii.Permutation(KEY)
     for text in ("4041894974608794", "256.1.1.1", "1999-02-30", "000-12-3456", "version 1.2.3", "In 1999, 20 of 300.", "a@b", "x: 12", "127.0.0.1"):
@@ -375,6 +500,20 @@ def test_classifier_learns_and_scores_every_row(spark, docs, rows, none):
     assert {r["score"] for r in classifier.with_score(table, untrained).collect()} == {0.5}
 
 
+def test_scores_equal_a_plain_loop_and_blank_ends_change_nothing(spark):
+    texts = ["good1 fine1", " good1 fine1", "\tgood1  fine1\n", "bad1", "", None, "\u3000bad1 bad1\u00a0", "mixed good1 bad1 " * 400]
+    model = classifier.train(
+        spark.createDataFrame([(i, f"good{i % 3} fine{i % 2}" if i % 2 else f" bad{i % 3} poor ") for i in range(80)], "doc_id long, text string"),
+        spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int"))
+    odds = np.frombuffer(model, "<f4").astype(float)
+    got = {r["doc_id"]: r["score"] for r in classifier.with_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        ids = [b for word in (text or "").split() for b in classifier.features([word])[0].tolist()]
+        mean = sum(odds[b] for b in ids) / len(ids) if ids else 0.0
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(mean + odds[-1]))), rel=1e-9)
+    assert got[0] == got[1] == got[2] and got[0] > 0.5 > got[3]
+
+
 def test_word_shares_add_up_to_the_softmax():
     texts = ["one two three two", "four five"]
     vectors, weights, biases = classifier.fit(texts * 10, np.array([0, 1] * 10))
