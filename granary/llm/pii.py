@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import calendar
 import datetime
-import functools
 import hashlib
 import ipaddress
 import re
@@ -281,7 +280,7 @@ def _values(text: str, kind: str, permute: Map) -> Iterator[tuple[int, int, str]
     groups is tried, longer parts first; then the search goes on behind its first group, but for phone numbers, which any
     row of numbers would yield. Such parts must look like PARTS."""
     pattern, change = KINDS[kind]
-    own, part, at, failed = _compiled(pattern), PARTS.get(kind), 0, 0
+    own, part, at, failed = re.compile(pattern), PARTS.get(kind), 0, 0
     while match := own.search(text, at):
         start, end = match.span()
         whole = [] if part and start < failed and not part.fullmatch(match.group()) else [end]
@@ -298,7 +297,6 @@ def _values(text: str, kind: str, permute: Map) -> Iterator[tuple[int, int, str]
 
 
 _BORDER = re.compile(r"(?<=[\w)])[ .-]")
-_compiled = functools.lru_cache(re.compile)
 
 
 def pseudonymise(text: str, permutation: Permutation, kinds: tuple[str, ...] = tuple(KINDS)) -> tuple[str, list[tuple[str, int, int]]]:

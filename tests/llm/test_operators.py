@@ -263,7 +263,7 @@ def test_a_very_long_repetitive_text_costs_in_proportion(spark):
     docs = spark.createDataFrame([(1, " ".join([five] * 20_000)), (2, "nothing of it")], "doc_id long, text string")
     start = time.perf_counter()
     got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in decontamination.contaminated(docs, items).collect()}
-    assert got == {(1, 1): (1.0, 0)} and time.perf_counter() - start < 120
+    assert got == {(1, 1): (1.0, 0), (1, 2): (0.8, 0)} and time.perf_counter() - start < 120  # the second where the start cuts it
 
 
 def test_encoder_equals_the_library(vocabulary, rows):
@@ -424,7 +424,7 @@ def test_pseudonyms_keep_format_and_validity(kind):
 
 #: A value, what stands around it, and its kind.
 PLANTED = [
-    ("4111 1111 1111 1111", "card {} 12/27", "card"), ("4111-1111-1111-1111", "{} 123", "card"), ("4111 1111 1111 1111", "2 {} 99", "card"),
+    ("4111 1111 1111 1111", "card {} 12/27", "card"), ("4111-1111-1111-1111", "{} 123", "card"), ("4111 1111 1111 1111", "2 {} 98", "card"),
     ("3782 822463 10005", "no {} 04", "card"), ("5555555555554444", "pay {}, thanks", "card"),
     ("AT61 1904 3002 3457 3201", "{} EUR 50", "iban"), ("DE89370400440532013000", "({})", "iban"), ("GB29 NWBK 6016 1331 9268 19", "to {} NOW", "iban"),
     ("(974) 555-3436", "{} 2024", "phone"), ("+14155552671", "call {}.", "phone"), ("+1 4155552671", "{}", "phone"),
