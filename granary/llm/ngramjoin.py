@@ -33,7 +33,7 @@ COUNTERS = 22
 #: log2 of the counters of a part that travels by itself.
 PART = 14
 #: Slices of the hash space in the suffix filter.
-SLICES = 32
+SLICES = 16
 #: Sets compared with one other in a task.
 TOGETHER = 64
 #: Nodes that a task remembers, so that it sends those that many documents share once.
@@ -151,7 +151,7 @@ def prefixes(sets: DataFrame, percent: int, classes: Broadcast) -> DataFrame:
             slices, prefix = [], []
             for value in batch.column("grams"):
                 own = np.frombuffer(value.as_py(), np.uint64)
-                slices.append(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=SLICES))
+                slices.append(np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=SLICES))
                 prefix.append(rare_first(own, order)[: prefix_length(len(own), percent)].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), batch.column("n"), pa.array(slices, pa.list_(pa.int32())), pa.array(prefix, pa.binary())],
@@ -286,7 +286,7 @@ def linked(rows: DataFrame, classes: Broadcast, *, key: str, percent: int) -> Da
     buckets = written(entries.join(stats, "token").withColumn("level", level), "buckets")
     active = written(buckets.groupBy("node").agg(F.first("n").alias("n")), "active")
     shapes = written(
-        wanted_only(nodes.select("node", "slices"), "node", active.select("node")).join(active, "node")
+        wanted_only(nodes.select("node", "slices"), "node", active.select("node")).join(small(active), "node")
         .groupBy("node", "n").agg(F.first("slices").alias("slices")), "shapes")
     begun = _pairs(buckets.filter(
         (F.col("level") > 0) & admissible(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos"), percent)
@@ -297,7 +297,7 @@ def linked(rows: DataFrame, classes: Broadcast, *, key: str, percent: int) -> Da
         begun.join(left_shapes, "a").join(right_shapes, "b").filter(alike(F.col("n"), F.col("x"), F.col("m"), F.col("y"), percent)).select("a", "b"),
         "begun",
     )
-    rest = buckets.filter("many > 2 and level > 0").select("token", "node", "pos", "level").join(shapes, "node")
+    rest = buckets.filter("many > 2 and level > 0").select("token", "node", "pos", "n", "level")
     if begun.isEmpty() and rest.isEmpty():
         return None
     sets = sets.select("node", "grams")
@@ -342,9 +342,10 @@ def linked(rows: DataFrame, classes: Broadcast, *, key: str, percent: int) -> Da
         if spread.isEmpty():
             return roots
         rest = rest.join(small(spread), "token", "left_semi")
-        leads = rest.filter(F.col("level") == turn).select(
+        shaped = written(rest.join(shapes.select("node", "slices"), "node"), "shaped")
+        leads = shaped.filter(F.col("level") == turn).select(
             "token", F.col("node").alias("lead"), F.col("pos").alias("at"), F.col("n").alias("m"), F.col("slices").alias("y"), F.col("root").alias("other"))
-        met = rest.join(leads, "token").filter(
+        met = shaped.join(leads, "token").filter(
             (F.col("root") != F.col("other")) & ((F.col("level") > turn) | (F.col("node") > F.col("lead")))
             & admissible(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), percent)
             & alike(F.col("n"), F.col("slices"), F.col("m"), F.col("y"), percent)
