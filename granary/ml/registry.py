@@ -17,6 +17,12 @@ from granary.sources.sinks import write_partitions
 from granary.streaming.files import delete
 
 
+_ABOUT = (
+    "name string, version string, training_date string, model_type string, "
+    "feature_columns array<string>, metrics map<string,double>, importances map<string,double>"
+)
+
+
 def version_of(moment: datetime) -> str:
     return moment.strftime("%Y%m%d_%H%M%S")
 
@@ -68,18 +74,24 @@ def save_pipeline(
     trained_at: datetime,
     metrics: dict[str, float],
     features: list[str],
+    importances: dict[str, float] | None = None,
 ) -> str:
-    """A fitted pipeline and one row about it; returns the version."""
+    """A fitted pipeline, scaler and all, and one row about it; returns the version."""
     version = version_of(trained_at)
     model.write().overwrite().save(f"{path}/{name}/{version}")
     about = spark.createDataFrame(
-        [(name, version, trained_at.isoformat(), type(model.stages[-1]).__name__, features, metrics)],
-        "name string, version string, training_date string, model_type string, "
-        "feature_columns array<string>, metrics map<string,double>",
+        [(name, version, trained_at.isoformat(), type(model.stages[-1]).__name__, features, metrics, importances or {})],
+        _ABOUT,
     )
     about.coalesce(1).write.mode("append").json(f"{path}/metadata")
     return version
 
 
+def load_metadata(spark: SparkSession, path: str, *, name: str, version: str) -> DataFrame:
+    """The row about a stored pipeline; of one stored again, one."""
+    stored = spark.read.schema(_ABOUT).json(f"{path}/metadata")
+    return stored.filter((F.col("name") == name) & (F.col("version") == version)).limit(1)
+
+
 def load_pipeline(path: str, *, name: str, version: str) -> PipelineModel:
     return PipelineModel.load(f"{path}/{name}/{version}")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import timedelta
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -14,8 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.timing import on
-from granary.ml.features import scaling
+from granary.ml.features import FEATURES, scaling
 from granary.schemas import KEY
+from granary.session import materialized
 
 SEED = 42
 
@@ -67,32 +71,67 @@ def grid(options: dict[str, list]) -> list[dict]:
     return [dict(zip(options, values, strict=True)) for values in product(*options.values())]
 
 
+#: The setting whose smaller values are prefixes of the same fit: boosting adds trees one after the other.
+STAGED = "maxIter"
+
+
+@dataclass
+class Tuned:
+    """A search: the model of the best setting fitted on all rows, its mean absolute error over the folds, and all trials as
+    (setting, fold, mae)."""
+
+    model: PipelineModel
+    setting: dict
+    error: float
+    trials: list[tuple[dict, int, float]]
+
+    def importances(self) -> dict[str, float]:
+        """How much each input contributes to the splits of the trees; they add up to 1."""
+        return dict(zip(FEATURES, self.model.stages[-1].featureImportances.toArray().tolist(), strict=True))
+
+
+def fold_rows(rows: DataFrame, *, folds: int) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """The rows with their input vector, written once for all fits of a search, and its spans. Trees do not depend on the
+    scale of an input, so the scaler is left to the final model."""
+    assembled = scaling()[0].transform(rows).select("date", "target", F.col("raw_features").alias("features"))
+    return materialized(assembled), walk_forward(rows, folds=folds)
+
+
 def tune(
-    rows: DataFrame, make: Callable[..., Pipeline], options: dict[str, list], *, folds: int = 3
-) -> tuple[PipelineModel, dict, float]:
+    rows: DataFrame, make: Callable[..., Pipeline], options: dict[str, list], *, folds: int = 3, parallel: int = 4
+) -> Tuned:
     """The setting with the least mean absolute error over the folds, fitted on all rows.
 
-    One distributed fit per setting and fold; only the error of each comes to the driver.
+    Each fit is distributed, and `parallel` of them share the cluster. Settings that differ in the number of
+    boosting rounds are one fit, measured after each of these numbers. Only errors come to the driver.
     """
+    table, spans = fold_rows(rows, folds=folds)
+    settings = grid(options)
+    staged = sorted({s[STAGED] for s in settings}) if STAGED in options else []
+    shared = [s for s in settings if not staged or s[STAGED] == staged[-1]]
     measure = RegressionEvaluator(labelCol="target", metricName="mae")
-    rows = rows.persist()
-    try:
-        spans = walk_forward(rows, folds=folds)
-        settings = grid(options)
-        errors: list[float] = []
-        for setting in settings:
-            found = []
-            for before, after in spans:
-                held = rows.filter(after)
-                if held.isEmpty() or rows.filter(before).isEmpty():
-                    continue
-                model = make(**setting).fit(rows.filter(before))
-                found.append(measure.evaluate(model.transform(held)))
-            errors.append(sum(found) / len(found) if found else float("inf"))
-        best = min(range(len(settings)), key=errors.__getitem__)
-        return make(**settings[best]).fit(rows), settings[best], errors[best]
-    finally:
-        rows.unpersist()
+
+    def trial(job: tuple[dict, int]) -> list[tuple[dict, int, float]]:
+        setting, fold = job
+        before, after = spans[fold]
+        held = table.filter(after)
+        if held.isEmpty() or table.filter(before).isEmpty():
+            return []
+        model = make(**setting).getStages()[-1].fit(table.filter(before))
+        if not staged:
+            return [(setting, fold, measure.evaluate(model.transform(held)))]
+        errors = model.evaluateEachIteration(held, "absolute")
+        return [(setting | {STAGED: n}, fold, errors[n - 1]) for n in staged]
+
+    jobs = [(setting, fold) for setting in shared for fold in range(len(spans))]
+    with ThreadPool(max(1, parallel)) as pool:
+        trials = [t for found in pool.map(inheritable_thread_target(rows.sparkSession)(trial), jobs) for t in found]
+    means = []
+    for setting in settings:
+        own = [e for s, _, e in trials if s == setting]
+        means.append(sum(own) / len(own) if own else float("inf"))
+    best = min(range(len(settings)), key=means.__getitem__)
+    return Tuned(make(**settings[best]).fit(rows), settings[best], means[best], trials)
 
 
 def predict(models: dict[str, PipelineModel], rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ share of the ledger the key holds.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +18,7 @@ from pyspark.sql.window import WindowSpec
 from granary.functions import stock
 from granary.functions.timing import days_before, on_circle, sunday_first_dow
 from granary.schemas import KEY
+from granary.session import materialized
 
 
 def _moved(kind: str) -> Column:
@@ -270,20 +272,20 @@ def feature_store(frame: DataFrame) -> DataFrame:
 
 
 def feature_metadata(features: DataFrame, columns: list[str]) -> DataFrame:
-    """Type, share of NULLs and number of distinct values of each column, in one aggregate over the rows."""
+    """Type, share of NULLs and number of distinct values of each column.
+
+    Missing values are counted in one pass without a shuffle of rows. Distinct ones take a pass per column: all in one
+    aggregate would turn every row into one for each column before the shuffle.
+    """
+    features = materialized(features.select(*columns))
     types = dict(features.dtypes)
-    counts = features.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.struct(F.count_if(F.col(c).isNull()).alias("missing"), F.count_distinct(c).alias("different")).alias(c) for c in columns],
-    )
+    missing = features.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     cell = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.lit(types[c]).alias("data_type"), F.col(c).alias("n")) for c in columns
+        F.struct(F.lit(c).alias("feature"), F.lit(types[c]).alias("data_type"), F.col(c).alias("missing")) for c in columns
     ])).alias("cell")
-    return counts.select("_rows", cell).select(
-        "cell.feature",
-        (F.col("cell.n.missing") * 100.0 / F.col("_rows")).alias("null_percentage"),
-        F.col("cell.n.different").alias("unique_values"),
-        "cell.data_type",
+    different = [features.agg(F.lit(c).alias("feature"), F.count_distinct(c).alias("unique_values")) for c in columns]
+    return missing.select("_rows", cell).select("_rows", "cell.*").join(reduce(DataFrame.unionAll, different), "feature").select(
+        "feature", (F.col("missing") * 100.0 / F.col("_rows")).alias("null_percentage"), "unique_values", "data_type",
     )
 
 

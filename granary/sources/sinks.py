@@ -13,6 +13,8 @@ from granary.operators.events import as_messages, with_index_name
 from granary.operators.upsert import upsert
 from granary.session import enable_checkpoints
 
+#: Partitions that a filter names one by one.
+NAMED = 200
 # microseconds, which the JSON writer would cut off by default
 JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -59,20 +61,25 @@ def upsert_partitions(
 ) -> None:
     """Merge a batch into a parquet table partitioned by one of its key columns.
 
-    Only partitions between the least and the greatest that the batch names are read, and of those the rows of
-    named ones are kept. The merged rows are checkpointed before they replace those partitions, so no plan reads
-    the files it is replacing. A batch without rows changes nothing.
+    Only partitions that the batch names are read, or, if they are many, those between the least and the greatest,
+    and of these the rows of named ones are kept. The batch is computed once, and the merged rows are checkpointed
+    before they replace those partitions, so no plan reads the files it is replacing. A batch without rows changes nothing.
     """
     if by not in keys:
         raise ValueError("the partition column must be part of the key")
     enable_checkpoints(spark)
+    new = new.select(*schema.fieldNames()).checkpoint()
     names = new.select(by).distinct()
-    low, high = new.agg(F.min(by), F.max(by)).first()
-    if low is None:
+    few = [r[0] for r in names.limit(NAMED + 1).collect()]
+    if not few:
         return
     stored = spark.read.schema(schema).parquet(path)
-    old = stored.filter(F.col(by).between(F.lit(low), F.lit(high))).join(names, by, "left_semi")
-    merged = upsert(old, new.select(*schema.fieldNames()), keys, update=update).checkpoint()
+    if len(few) <= NAMED:
+        old = stored.filter(F.col(by).isin(few))
+    else:
+        low, high = new.agg(F.min(by), F.max(by)).first()
+        old = stored.filter(F.col(by).between(F.lit(low), F.lit(high))).join(names, by, "left_semi")
+    merged = upsert(old, new, keys, update=update).checkpoint()
     write_partitions(merged, path, [by])
 
 

@@ -70,8 +70,19 @@ def test_models_beat_the_mean_or_are_near_it_and_ensemble_is_weighted(rows):
 
 def test_tune_takes_the_least_error(rows):
     learn, _ = rows
-    _, setting, error = train.tune(learn, train.forest, {"numTrees": [2], "maxDepth": [1, 4]}, folds=2)
-    assert setting["maxDepth"] in (1, 4) and 0 < error < float("inf")
+    tuned = train.tune(learn, train.forest, {"numTrees": [2], "maxDepth": [1, 4]}, folds=2)
+    means = {d: sum(e for s, _, e in tuned.trials if s["maxDepth"] == d) / 2 for d in (1, 4)}
+    assert len(tuned.trials) == 4 and tuned.error == min(means.values()) and means[tuned.setting["maxDepth"]] == tuned.error
+    assert set(tuned.importances()) == set(features.FEATURES) and sum(tuned.importances().values()) == pytest.approx(1)
+
+
+def test_boosting_rounds_share_a_fit(rows):
+    """The error after some rounds of a longer fit is that of a fit of so many rounds."""
+    learn, _ = rows
+    options = {"maxIter": [2, 4], "maxDepth": [2]}
+    shared = {s["maxIter"]: e for s, fold, e in train.tune(learn, train.boosted, options, folds=1).trials if fold == 0}
+    alone = {n: train.tune(learn, train.boosted, {"maxIter": [n], "maxDepth": [2]}, folds=1).trials[0][2] for n in (2, 4)}
+    assert shared == pytest.approx(alone)
 
 
 def test_pipeline_storage(spark, rows):

@@ -18,7 +18,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 LEARNED = {
-    "train_random_forest", "train_gbt", "ensemble_predict",
+    "train_random_forest", "train_gbt", "ensemble_predict", "deploy_model",
 }
 
 
