@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from granary.llm.store import shared_batches, written
 
 #: Pieces remembered by a worker before it starts anew, and the ids of their groups.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 LINKS = 8_000_000
+#: Pieces that are encoded in one go.
+BLOCK = 1000
 #: Bytes of a text that are one task's work; shorter texts are aligned where they are read.
 RANGE = 1 << 18
 #: Fragments composed by a task in a level of the tree.
@@ -60,6 +62,12 @@ class Tokenizers:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)
         ]
         plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, np.int64)
+        for i, token in self.a_bytes.items():
+            self.a_sizes[i] = len(token)
+        self.b_sizes = np.array([len(p) for p in self.b_bytes], np.int64)
+        #: each id as it reads inside and at the end of its side of a group
+        self.spelled = [f"{i}{end}" for ends, n in ((",|", len(self.a_sizes)), (",;", len(self.b_sizes))) for i in range(n) for end in ends]
         #: characters that stand side by side in some piece: only between these can a piece lie across a cut
         self.inside = {p[i : i + 2] for p in plain for i in range(len(p) - 1)}
         self.parts_at_spaces = not any(y == SPACE != x for x, y in self.inside)
@@ -248,27 +256,62 @@ class Pieces:
         return own
 
     def _learn(self, new: list[str]) -> None:
-        counts, links = [], []
-        a_of, b_of = self.own.a_bytes, self.own.b_bytes
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            spaced = [" " + p for p in part]
-            for piece, ids, others in zip(spaced, self.own.encode_a(spaced), self.own.encode_b(part), strict=True):
-                whole, a, b = piece.encode(), [a_of[i] for i in ids], [b_of[i] for i in others]
-                closed = None
-                if b"".join(a) == whole == b"".join(b):
-                    closed = grouped(Tokens(
-                        np.array(ids, np.int64), np.cumsum([len(x) for x in a]), np.array(others, np.int64), np.cumsum([len(x) for x in b]),
-                    ))
-                self.known[piece[1:]] = len(self.texts)
-                self.texts.append(closed.text if closed else "")
-                counts.append((len(ids), len(others), len(closed.links) if closed else -1))
-                links.append(closed.links if closed else np.empty(0, np.int64))
-        if new:
-            self.counts = np.concatenate([self.counts, np.array(counts, np.int64)])
-            sizes = np.fromiter(map(len, links), np.int64, len(links))
+        clean = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
+        known = [self._alone([p for p in new if not p or p[0].isspace() or p[-1].isspace()])]
+        for at in range(0, len(clean) if self.own.parts_at_spaces else 0, BLOCK):
+            block = clean[at : at + BLOCK]
+            known.append(self._together(block) or self._alone(block))
+        if not self.own.parts_at_spaces:
+            known.append(self._alone(clean))
+        for spelled, texts, counts, links in known:
+            self.known.update(zip(spelled, range(len(self.texts), len(self.texts) + len(spelled)), strict=True))
+            self.texts += texts
+            sizes = np.maximum(counts[:, 2], 0)
             self.starts = np.concatenate([self.starts, len(self.links) + np.cumsum(sizes) - sizes])
-            self.links = np.concatenate([self.links, *links])
+            self.counts = np.concatenate([self.counts, counts])
+            self.links = np.concatenate([self.links, links])
+
+    def _alone(self, block: list[str]) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+        """Spelling, groups, counts and links of pieces, one after the other."""
+        texts, counts, links = [], [], [np.empty(0, np.int64)]
+        a_of, b_of = self.own.a_bytes, self.own.b_bytes
+        spaced = [" " + p for p in block]
+        for piece, ids, others in zip(spaced, self.own.encode_a(spaced), self.own.encode_b(block), strict=True):
+            whole, a, b = piece.encode(), [a_of[i] for i in ids], [b_of[i] for i in others]
+            closed = None
+            if b"".join(a) == whole == b"".join(b):
+                closed = grouped(Tokens(
+                    np.array(ids, np.int64), np.cumsum([len(x) for x in a]), np.array(others, np.int64), np.cumsum([len(x) for x in b]),
+                ))
+            texts.append(closed.text if closed else "")
+            counts.append((len(ids), len(others), len(closed.links) if closed else -1))
+            links.append(closed.links if closed else links[0])
+        return block, texts, np.array(counts, np.int64).reshape(-1, 3), np.concatenate(links)
+
+    def _together(self, block: list[str]) -> tuple[list[str], list[str], np.ndarray, np.ndarray] | None:
+        """The same for pieces without white space at their ends, as one text that both vocabularies part at its spaces;
+        None if the tokens of one do not spell it."""
+        own, joined = self.own, " ".join(block)
+        whole = (" " + joined).encode()
+        ids, others = own.encode_a([" " + joined])[0], own.encode_b([joined])[0]
+        if b"".join(map(own.a_bytes.__getitem__, ids)) != whole or b"".join(map(own.b_bytes.__getitem__, others)) != whole:
+            return None
+        a, b = np.array(ids, np.int64), np.array(others, np.int64)
+        a_ends, b_ends = np.cumsum(own.a_sizes[a]), np.cumsum(own.b_sizes[b])
+        ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in block), np.int64, len(block)))
+        common = a_ends[np.isin(a_ends, b_ends, assume_unique=True)]
+        if not np.isin(ends, common, assume_unique=True).all():
+            return None
+        in_group = [np.searchsorted(common, e) for e in (a_ends, b_ends)]
+        last = [common[g] == e for g, e in zip(in_group, (a_ends, b_ends), strict=True)]
+        of_piece = [np.bincount(np.searchsorted(ends, e), minlength=len(block)) for e in (a_ends, b_ends, common)]
+        # a group reads: ids of the first with commas, a bar, ids of the second with commas, a semicolon
+        order = np.argsort(np.concatenate([2 * in_group[0], 2 * in_group[1] + 1]), kind="stable")
+        codes = np.concatenate([2 * a + last[0], 2 * len(own.a_sizes) + 2 * b + last[1]])[order]
+        parts = list(map(own.spelled.__getitem__, codes.tolist()))
+        stops = np.cumsum(of_piece[0] + of_piece[1]).tolist()
+        texts = ["".join(parts[x:y])[:-1] for x, y in zip([0, *stops[:-1]], stops, strict=True)]
+        return block, texts, np.stack(of_piece, axis=1).astype(np.int64), a[last[0]] << 32 | b[last[1]]
 
 
 def pieces(first: str, second: str) -> Pieces:
