@@ -249,31 +249,43 @@ def cut_further(content: bytes, level: int, length: int = LENGTH) -> list[tuple[
     ]
 
 
-CONTENTS = "shard long, part long, part2 long, doc long, last long, id long, id2 long, offset int, content binary"
+CONTENTS = "shard long, doc long, last long, id long, id2 long, offset int, content binary"
+
+
+def passage_ids(content: bytes) -> tuple[int, int]:
+    """The 128 bits that name a passage."""
+    from xxhash import xxh3_128_digest
+
+    digest = xxh3_128_digest(content)
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def bounded_groups(contents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """`contents` (CONTENTS; id names a passage, part what of it is in the row) with the passages of keys that have too many
-    for one task cut by further grams of their windows, until none has or all grams are used."""
+    """`contents` (CONTENTS; null ids stand for those of the content) with the passages of keys that have too many for one
+    task cut by further grams of their windows, until none has or all grams are used. A part keeps its passage's ids."""
 
     def recut(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from xxhash import xxh3_128_digest
-
             for batch in batches:
                 rows = []
                 for r in batch.to_pylist():
+                    if r["id"] is None:
+                        r["id"], r["id2"] = passage_ids(r["content"])
                     for at, content, key in cut_further(r["content"], level, length):
-                        digest = xxh3_128_digest(content)
-                        ids = [int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8)]
-                        rows.append(r | {"shard": key, "part": ids[0], "part2": ids[1], "offset": r["offset"] + at, "content": content})
+                        rows.append(r | {"shard": key, "offset": r["offset"] + at, "content": content})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, batch.schema)
 
         return run
 
     for level in range(2, length - min(GRAM, length) + 2):
-        distinct = contents.groupBy("shard", "part", "part2").agg(F.max(F.octet_length("content")).alias("bytes"))
+        # copies are told apart only for keys that are too large with them
+        crowded = contents.groupBy("shard").agg(F.sum(F.octet_length("content")).alias("bytes")).filter(F.col("bytes") > LIMIT)
+        crowded = written(crowded.select("shard"), "crowded")
+        if crowded.isEmpty():
+            break
+        distinct = contents.join(crowded, "shard", "left_semi").groupBy("shard", F.xxhash64("content").alias("part")).agg(
+            F.max(F.octet_length("content")).alias("bytes"))
         hot = written(distinct.groupBy("shard").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") > LIMIT).select("shard"), "hot")
         if hot.isEmpty():
             break
@@ -313,16 +325,14 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, bits: int = BITS)
 
     def passages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per passage of a document without its content, and the contents the task has met, with the least and
-        the greatest document of each."""
-        from xxhash import xxh3_128_digest
-
+        the greatest document of each; their ids follow from the content."""
         hashes, told = Hashes(), {}
 
         def filled_rows(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
         def contents() -> pa.RecordBatch:
-            rows = [(first, 0, 0, shard, *ids, last, content) for content, (first, last, shard, ids) in told.items()]
+            rows = [(first, 0, 0, shard, None, None, last, content) for content, (first, last, shard, _) in told.items()]
             told.clear()
             return filled_rows(rows)
 
@@ -344,8 +354,7 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, bits: int = BITS)
                 doc, content = ids_of[text], b" ".join(words[a : b + length])
                 seen = told.get(content)
                 if seen is None:
-                    digest = xxh3_128_digest(content)
-                    ids = (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))
+                    ids = passage_ids(content)
                     told[content] = (doc, doc, shard, ids)
                 else:
                     ids = seen[3]
@@ -361,7 +370,7 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, bits: int = BITS)
 
     table = written(docs.mapInArrow(passages_of, "doc long, mark long, start long, shard long, id long, id2 long, last long, content binary"), "passages")
     contents = bounded_groups(table.filter("content is not null").select(
-        "shard", F.col("id").alias("part"), F.col("id2").alias("part2"), "doc", "last", "id", "id2", F.lit(0).alias("offset"), "content"), length)
+        "shard", "doc", "last", "id", "id2", F.lit(0).alias("offset"), "content"), length)
     size = contents.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     shards = max(1, -(-size // SHARD))
     out = pa.schema([("id", pa.int64()), ("id2", pa.int64()), ("offset", pa.int32()), ("firsts", pa.list_(pa.int64()))])
@@ -372,7 +381,7 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, bits: int = BITS)
         for content, first, last, *place in zip(*(shard.column(c).to_pylist() for c in names), strict=True):
             seen = held.setdefault(content, [first, last, set()])
             seen[0], seen[1] = min(seen[0], first), max(seen[1], last)
-            seen[2].add(tuple(place))
+            seen[2].add(tuple(place) if place[0] is not None else (*passage_ids(content), place[2]))
         firsts = first_holders(list(held), np.array([h[0] for h in held.values()], np.int64), length)
         told = [(*place, f) for h, f in zip(held.values(), firsts, strict=True) if (f < h[1]).any() for place in h[2]]
         columns = list(zip(*told, strict=True)) or [(), (), (), ()]
@@ -408,22 +417,22 @@ def drop_repeated_passages(
     schema = T.StructType([f if f.name != text else T.StructField(text, T.StringType()) for f in docs.select(*columns).schema])
     schema = schema.add(words, "long").add(removed, "long")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, total, gone = [], [], []
-            for value, places in zip(batch.column(text), batch.column("repeat:places"), strict=True):
-                every = (value.as_py() or "").encode().split()
-                total.append(len(every))
+    def cut(batch: pa.RecordBatch, lost: pa.Array) -> pa.RecordBatch:
+        left, total, gone = [], [], []
+        for value, places in zip(batch.column(text), lost, strict=True):
+            every = (value.as_py() or "").encode().split()
+            total.append(len(every))
+            covered = np.zeros(len(every), bool)
+            if places.is_valid:
                 lose = np.zeros(len(every) + 1, np.int64)
-                if places.is_valid:
-                    at = np.unique(np.array(places.as_py(), np.int64))
-                    lose[at] += 1
-                    np.subtract.at(lose, at + length, 1)
+                at = np.unique(np.array(places.as_py(), np.int64))
+                lose[at] += 1
+                np.subtract.at(lose, at + length, 1)
                 covered = np.cumsum(lose[:-1]) > 0
-                gone.append(int(covered.sum()))
-                left.append(b" ".join([w for w, c in zip(every, covered.tolist(), strict=True) if not c] if gone[-1] else every).decode())
-            arrays = [batch.column(c) if c != text else pa.array(left, pa.string()) for c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*columns, words, removed])
+            gone.append(int(covered.sum()))
+            left.append(b" ".join([w for w, c in zip(every, covered.tolist(), strict=True) if not c] if gone[-1] else every).decode())
+        arrays = [batch.column(c) if c != text else pa.array(left, pa.string()) for c in columns]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*columns, words, removed])
 
     # documents that have lost nothing need no shuffle: a filter of those that have tells them apart
     def losers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -433,17 +442,22 @@ def drop_repeated_passages(
     lost = written(lost, "lost")
     held = twice_seen(lost.select("repeat:doc", "repeat:mark"), losers, LOSERS)
 
-    def where(hit: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = may_repeat(held.value, _row_hashes(batch), LOSERS)
-                yield batch.filter(pa.array(found if hit else ~found))
+    # each stage has one step of Python, so an executor has no more workers than cores
+    def losing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_repeat(held.value, _row_hashes(batch), LOSERS)))
+
+    def kept_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, text, AT_ONCE):
+            own = batch.filter(pa.array(~may_repeat(held.value, _row_hashes(batch), LOSERS)))
+            yield cut(own, pa.nulls(own.num_rows))
 
-        return rows.mapInArrow(run, rows.schema)
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, text, AT_ONCE):
+            yield cut(batch, batch.column("repeat:places"))
 
-    empty = F.lit(None).cast("array<int>").alias("repeat:places")
-    touched = where(True).join(lost, ["repeat:doc", "repeat:mark"], "left").select(*columns, "repeat:places")
-    return touched.unionByName(where(False).select(*columns, empty)).mapInArrow(cut, schema)
+    touched = rows.mapInArrow(losing, rows.schema).join(lost, ["repeat:doc", "repeat:mark"], "left").select(*columns, "repeat:places")
+    return touched.mapInArrow(thinned, schema).unionByName(rows.mapInArrow(kept_whole, schema))
 
 
 def _row_hashes(batch: pa.RecordBatch) -> np.ndarray:
