@@ -3,7 +3,8 @@
 Each micro-batch adds its rows to those that wait. A row is ready once the watermark, the latest time seen less the
 delay, has passed it; the ready rows of a batch go, all at once, to a step that treats them as the next part of one
 ordered history. So results depend on the rows alone and not on how the input was cut into files, triggers or
-batches. What waits is bounded by the delay. Rows that come when their time is already done, and rows without a
+batches. A batch that moves no time on has no step. What waits is bounded by the delay; it stays in the folders it
+came in, read from the time done on, until there are `FOLDERS` of them, which are then written as one. Rows that come when their time is already done, and rows without a
 time, go to a quarantine, with their number in the batch's record.
 """
 
@@ -21,6 +22,8 @@ from granary.streaming.files import Manifests, delete
 from granary.streaming.tables import run_available, write_batch
 
 DELAY = timedelta(minutes=10)
+#: Folders of waiting rows that are written as one.
+FOLDERS = 16
 #: Called with the ready rows, the end of the time done before (None at first), and the number of the batch.
 Step = Callable[[DataFrame, datetime | None, int], None]
 
@@ -72,12 +75,15 @@ class Waiting:
             limit = max(limit, done)
         pool = self._read(folders)
         pool = pool.filter(when.isNotNull() if done is None else when > at(done))
-        step(pool.filter(when <= at(limit)), done, batch_id)
-        waits = self._folder(f"waiting-{batch_id}")
-        pool.filter(when > at(limit)).write.parquet(waits)
+        if done is None or limit > done:
+            step(pool.filter(when <= at(limit)), done, batch_id)
+        waiting, gone = folders, []
+        if rows is None or len(folders) >= FOLDERS:
+            waiting, gone = [self._folder(f"waiting-{batch_id}")], folders
+            pool.filter(when > at(limit)).write.parquet(waiting[0])
         self.manifests.put(batch_id, {
-            "done": limit.isoformat(), "seen": seen.isoformat(), "waiting": [waits], "late": before["late"] + late_rows,
-            "gone": folders, "ended": rows is None,
+            "done": limit.isoformat(), "seen": seen.isoformat(), "waiting": waiting, "late": before["late"] + late_rows,
+            "gone": gone, "ended": rows is None,
         })
         for folder in before.get("gone", []):  # a retry of this batch does not need them
             delete(self.spark, folder)

@@ -16,7 +16,7 @@ from granary.streaming import state, windows
 from granary.streaming.anomaly import run_anomalies
 from granary.streaming.files import _at
 from granary.streaming.metrics import run_days, run_enriched, run_metrics
-from granary.streaming.ordered import Waiting
+from granary.streaming.ordered import FOLDERS, Waiting
 from granary.streaming.tables import BATCH, Tiers, newest, run_available, to_newest, to_table
 from tests.conftest import as_set
 
@@ -321,6 +321,21 @@ def test_sustained_low_stock_on_a_stream(spark, per_trigger):
     assert as_set(got, *columns) == want and len(want) > 5
 
 
+def test_waiting_rows_stay_where_they_are(spark):
+    """Batches that move no time on cost no step, and what waits is not written anew by each batch."""
+    path, _ = target(spark)
+    part = lambda n, minute: spark.createDataFrame([(n, START), (-n, START + timedelta(minutes=minute))], "id long, timestamp timestamp_ntz")
+    waiting, steps = Waiting(part(1, 5), path, delay=timedelta(minutes=7)), []
+    step = lambda ready, done, n: steps.append((n, {r.id for r in ready.collect()}))
+    for n in range(FOLDERS + 3):
+        waiting.advance(part(n + 1, 5), n, step)
+    every = {*range(-FOLDERS - 3, 0), *range(1, FOLDERS + 4)}
+    assert steps == [(0, set())] and len(waiting.manifests.before()["waiting"]) == 4
+    waiting.advance(part(100, 8), FOLDERS + 3, step)  # this moves the watermark over the first rows
+    waiting.advance(None, FOLDERS + 4, step)
+    assert steps[1:] == [(FOLDERS + 3, {n for n in every if n > 0} | {100}), (FOLDERS + 4, {n for n in every if n < 0} | {-100})]
+
+
 def test_rates_over_sliding_windows(spark):
     df = spark.createDataFrame([(START + timedelta(minutes=2), "error")] * 60, "ts timestamp_ntz, event_type string")
     rates = windows.request_rate(df, by=["event_type"])
