@@ -136,6 +136,12 @@ def test_passage_dedup(docs, rows, none):
     assert substrings.drop_repeated_passages(none, bits=18).count() == 0
 
 
+def test_no_stage_of_passages_has_two_steps_of_python(docs):
+    """Steps behind one another in a stage have a worker each, and an executor then holds twice as many."""
+    plan = substrings.drop_repeated_passages(docs, bits=18)._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and plan.toString().count("MapInArrow") == 3
+
+
 def test_passages_of_one_anchor_are_cut_until_groups_are_small(spark, monkeypatch):
     """Many texts around one short run of words, so that most windows have the same anchor."""
     monkeypatch.setattr(substrings, "LIMIT", 300)
