@@ -3,7 +3,8 @@
 Equal sets are one node from the start. The grams of a set are ordered rarest first by counts over the whole corpus; two
 sets of the similarity asked for share a gram of their first few, so only sets that meet there, in a bucket, are
 compared. What a pair must pass before its sets are fetched: the length filter, the positional filter (too few grams
-behind the shared one) and the suffix filter (counts of grams by slice of the hash space that differ too much).
+behind the shared one) and the suffix filter (counts of grams by slice of the hash space that differ too much), first with
+as many slices for all sets, then with some four grams to a slice, a thirtieth of the set's bytes.
 
 A bucket that many near copies share holds far too many pairs, nearly all between sets that links already connect. So
 buckets are worked off in rounds: all members against the member whose shared gram comes first, then against some 16 more,
@@ -14,7 +15,7 @@ pair of a bucket is compared or connected in the end, so no component is missed
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,14 @@ from granary.llm.store import written
 from granary.llm.substrings import Hashes, grams
 from granary.llm.tokens import bounded
 
-#: log2 of the counters that order the grams: 16 MB in a task, 4 MB when told to all. They decide the order only.
-COUNTERS = 22
+#: log2 of the counters that order the grams: 32 MB in a task, 8 MB when told to all. They decide the order only.
+COUNTERS = 23
 #: log2 of the counters of a part that travels by itself.
 PART = 14
 #: Slices of the hash space in the suffix filter.
 SLICES = 16
+#: Grams to a slice of a set's fine shape, at most.
+FINE = 4
 #: Sets compared with one other in a task.
 TOGETHER = 64
 #: Nodes that a task remembers, so that it sends those that many documents share once.
@@ -130,10 +133,10 @@ def frequency_classes(parts: DataFrame) -> Broadcast:
 
     spark = parts.sparkSession
     out = np.zeros(1 << COUNTERS, np.uint8).reshape(-1, 1 << PART)
-    # 4 MB in all, whatever the input
+    # 8 MB in all, whatever the input
     for row in parts.repartition(16, "part").mapInArrow(add, "part int, classes binary").collect():
         out[row["part"]] = np.frombuffer(row["classes"], np.uint8)
-    return spark.sparkContext.broadcast(out.tobytes())
+    return spark.sparkContext.broadcast(out)
 
 
 def rare_first(own: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -142,23 +145,51 @@ def rare_first(own: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.sort((kind << np.uint64(56)) | (own >> np.uint64(8)))
 
 
-def prefixes(sets: DataFrame, percent: int, classes: Broadcast) -> DataFrame:
-    """(node, n, slices, prefix) of sets (node, n, grams): their grams by slice, and the first of them in order."""
+def fine_shape(own: np.ndarray) -> bytes:
+    """How many grams lie in each of 2, 4, 8 … slices of the hash space, a byte each, so many that FINE lie in a slice at most on
+    average; empty, which says nothing, if a count has no room in a byte."""
+    bits = max(1, (len(own) // FINE).bit_length())
+    counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def fine_alike(x: bytes, y: bytes, percent: int) -> bool:
+    """The suffix filter on fine shapes: slices of the finer one are added up to those of the other."""
+    if not x or not y:
+        return True
+    few, more = sorted((np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y)), key=len)
+    both = int(few.sum() + more.sum())
+    apart = int(np.abs(few - more.reshape(len(few), -1).sum(axis=1)).sum())
+    return apart <= both - 2 * -(-percent * both // (100 + percent))
+
+
+def prefixes(sets: DataFrame, first: DataFrame, percent: int, classes: Broadcast) -> DataFrame:
+    """(node, n, slices, fine, prefix) of those sets (mark, node, n, grams) whose mark is in the one column of `first`, and a few
+    others: their grams by slice, and the first of them in order."""
+    held = filter_of(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(classes.value, np.uint8)
-        for batch in batches:
-            slices, prefix = [], []
+        for whole in batches:
+            batch = whole.filter(pa.array(may_repeat(held.value, _marks(whole.column("mark")), WANTED)))
+            slices, fine, prefix = [], [], []
             for value in batch.column("grams"):
                 own = np.frombuffer(value.as_py(), np.uint64)
                 slices.append(np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=SLICES))
+                fine.append(fine_shape(own))
                 prefix.append(rare_first(own, order)[: prefix_length(len(own), percent)].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("n"), pa.array(slices, pa.list_(pa.int32())), pa.array(prefix, pa.binary())],
-                ["node", "n", "slices", "prefix"],
-            )
+            yield pa.RecordBatch.from_arrays([
+                batch.column("node"), batch.column("n"), pa.array(slices, pa.list_(pa.int32())), pa.array(fine, pa.binary()),
+                pa.array(prefix, pa.binary()),
+            ], ["node", "n", "slices", "fine", "prefix"])
+
+    return sets.mapInArrow(run, "node long, n long, slices array<int>, fine binary, prefix binary")
 
-    return sets.mapInArrow(run, "node long, n long, slices array<int>, prefix binary")
+
+def only_once(nodes: DataFrame) -> DataFrame:
+    """One row of each node of a written table (node, row, …): only their numbers are shuffled unless very many repeat."""
+    again = nodes.groupBy("node").agg(F.count("*").alias("many"), F.min("row").alias("one")).filter("many > 1").select("node", "one")
+    return nodes.join(small(written(again, "again")), "node", "left").filter("one is null or row = one").drop("row", "one")
 
 
 def suspected(nodes: DataFrame) -> DataFrame:
@@ -184,7 +215,7 @@ def suspected(nodes: DataFrame) -> DataFrame:
                 ["token", "node", "pos", "n"],
             )
 
-    return nodes.select("node", "n", "prefix").mapInArrow(run, "token long, node long, pos long, n long").distinct()
+    return nodes.select("node", "n", "prefix").mapInArrow(run, "token long, node long, pos long, n long")
 
 
 def _spread(tokens: np.ndarray) -> np.ndarray:
@@ -210,22 +241,28 @@ def alike(n: Column, x: Column, m: Column, y: Column, percent: int) -> Column:
     return apart <= n + m - 2 * overlap(n, m, percent)
 
 
-def wanted_only(df: DataFrame, mark: str, wanted: DataFrame) -> DataFrame:
-    """The rows of `df` whose `mark` (long) is in the one column of `wanted`, and a few others: cut by a filter of 2 MB before
-    anything is shuffled."""
+def _marks(column: pa.Array) -> np.ndarray:
+    return _spread(column.to_numpy(zero_copy_only=False).view(np.uint64))
+
 
-    def mark_of(batch: pa.RecordBatch, column: str) -> np.ndarray:
-        return _spread(batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64))
+def filter_of(wanted: DataFrame) -> Broadcast:
+    """A filter of 2 MB that holds the values (long) of the one column of `wanted`."""
 
     def twice(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        found = np.unique(mark_of(batch, "mark"))
+        found = np.unique(_marks(batch.column(0)))
         return iter([found, found])  # a hash given twice is held by the filter
 
-    held = twice_seen(wanted.toDF("mark"), twice, WANTED)
+    return twice_seen(wanted, twice, WANTED)
+
+
+def wanted_only(df: DataFrame, mark: str, wanted: DataFrame) -> DataFrame:
+    """The rows of `df` whose `mark` (long) is in the one column of `wanted`, and a few others: cut by a filter before
+    anything is shuffled."""
+    held = filter_of(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(may_repeat(held.value, mark_of(batch, mark), WANTED)))
+            yield batch.filter(pa.array(may_repeat(held.value, _marks(batch.column(mark)), WANTED)))
 
     return df.mapInArrow(run, df.schema)
 
@@ -236,29 +273,28 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. The set of b travels once for every few sets compared with it."""
+def compared(pairs: DataFrame, values: DataFrame, passes: Callable[[bytes, bytes], bool], few: bool) -> DataFrame:
+    """The pairs (a, b) whose values (node, value; rows of a node are equal) pass. The value of b travels once for every few
+    compared with it. Unless the values are `few` bytes, those that no pair asks for are cut before the join."""
     many = pairs.groupBy("b").agg(F.count("*").alias("many"))
     dealt = pairs.join(many, "b").select("a", "b", F.expr(f"pmod(xxhash64(a), 1 + many div {TOGETHER})").alias("salt"))
     asked = written(dealt.select(F.col("a").alias("node"), "b", "salt", "a").unionByName(
         dealt.select(F.col("b").alias("node"), "b", "salt", F.lit(None).cast("long").alias("a")).distinct()
     ), "asked")
-    sent = wanted_only(sets, "node", asked.select("node")).join(small(asked), "node").select("b", "salt", "a", "grams").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+    own = values if few else wanted_only(values, "node", asked.select("node"))
+    sent = own.join(small(asked), "node").select("b", "salt", "a", "value").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, other, before = None, np.empty(0, np.uint64), None
+        own, other, before = None, b"", None
         for batch in batches:
             found = []
-            for b, salt, a, data in zip(*(batch.column(c).to_pylist() for c in ("b", "salt", "a")), batch.column("grams"), strict=True):
+            for b, salt, a, value in zip(*(batch.column(c).to_pylist() for c in ("b", "salt", "a")), batch.column("value"), strict=True):
                 if a is None:
-                    if (b, salt) != own:  # other tasks may have sent the same set
-                        own, other = (b, salt), np.frombuffer(data.as_py(), np.uint64)
+                    if (b, salt) != own:  # other tasks may have sent the same value
+                        own, other = (b, salt), value.as_py()
                 elif (b, salt, a) != before:
-                    before, mine = (b, salt, a), np.frombuffer(data.as_py(), np.uint64)
-                    few, more = (mine, other) if len(mine) < len(other) else (other, mine)
-                    place = np.minimum(np.searchsorted(more, few), len(more) - 1)
-                    both = int((more[place] == few).sum())
-                    if 100 * both >= percent * (len(few) + len(more) - both):
+                    before = (b, salt, a)
+                    if passes(value.as_py(), other):
                         found.append((a, b))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
@@ -266,6 +302,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sent.mapInArrow(run, "a long, b long")
 
 
+def similar(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sets of grams in ascending order are similar enough."""
+    few, more = sorted((np.frombuffer(v, np.uint64) for v in (x, y)), key=len)
+    place = np.minimum(np.searchsorted(more, few), len(more) - 1)
+    both = int((more[place] == few).sum())
+    return 100 * both >= percent * (len(few) + len(more) - both)
+
+
+def verified(pairs: DataFrame, fine: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets (node, value) are similar enough; sets travel of those whose fine shapes (node, value) are."""
+    close = written(compared(pairs, fine, lambda x, y: fine_alike(x, y, percent), few=True), "close")
+    return compared(close, sets, lambda x, y: similar(x, y, percent), few=False)
+
+
 def _pairs(found: DataFrame) -> DataFrame:
     """Each pair once, whichever of its ends came first."""
     return found.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(
@@ -273,11 +323,13 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def linked(rows: DataFrame, classes: Broadcast, *, key: str, percent: int) -> DataFrame | None:
-    """(node, root) of the nodes that links of similar sets connect, given `counted` rows; None if there are none."""
+    """(node, root) of the nodes that links of similar sets connect, given `counted` rows; None if there are none. The driver
+    lets go of `classes` once they are used."""
     sets = rows.filter("held").select(F.xxhash64(key).alias("mark"), "node", "n", "grams")
     # of documents with equal sets one is enough; others that hold the set in another task are cut by their key
     first = rows.filter("held").groupBy("node").agg(F.min(key).alias(key)).select(F.xxhash64(key))
-    nodes = written(prefixes(wanted_only(sets, "mark", first).drop("mark"), percent, classes), "prefixes")
+    nodes = only_once(written(prefixes(sets, first, percent, classes).withColumn("row", F.monotonically_increasing_id()), "prefixes"))
+    classes.destroy()
     entries = written(suspected(nodes), "entries")
     stats = entries.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("pos", "n", "node")).alias("first")).filter("many > 1")
     # sixteen times as many members of a bucket lead in each round; the first is the one whose shared gram comes first
@@ -300,7 +352,8 @@ def linked(rows: DataFrame, classes: Broadcast, *, key: str, percent: int) -> Da
     rest = buckets.filter("many > 2 and level > 0").select("token", "node", "pos", "n", "level")
     if begun.isEmpty() and rest.isEmpty():
         return None
-    sets = sets.select("node", "grams")
+    sets = sets.select("node", F.col("grams").alias("value"))
+    fine = nodes.select("node", F.col("fine").alias("value"))
 
     links: DataFrame | None = None
     tested: DataFrame | None = None
@@ -311,7 +364,7 @@ def linked(rows: DataFrame, classes: Broadcast, *, key: str, percent: int) -> Da
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
             return
-        found = written(verified(pairs, sets, percent), "similar")
+        found = written(verified(pairs, fine, sets, percent), "similar")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)

@@ -75,6 +75,45 @@ def test_prefixes_of_similar_sets_meet(percent):
         assert set(first[0]) & set(first[1])
 
 
+@pytest.mark.parametrize("percent", [50, 85, 100])
+def test_fine_shapes_lose_no_similar_sets(percent):
+    draw = np.random.default_rng(percent)
+    for n in (1, 2, 7, 60, 900, 5000):
+        for _ in range(40):
+            own = np.unique(draw.integers(0, 1 << 64, n, dtype=np.uint64))
+            left = own[draw.random(len(own)) > draw.random() * (1 - percent / 100)]
+            other = np.unique(np.concatenate([left, draw.integers(0, 1 << 64, draw.integers(0, 1 + n // 9), dtype=np.uint64)]))
+            if len(other) and ngramjoin.similar(own.tobytes(), other.tobytes(), percent):
+                assert ngramjoin.fine_alike(ngramjoin.fine_shape(own), ngramjoin.fine_shape(other), percent)
+    crowded = np.arange(2000, dtype=np.uint64)  # a slice holds more than a byte says
+    assert ngramjoin.fine_shape(crowded) == b"" and ngramjoin.fine_alike(b"", ngramjoin.fine_shape(own), percent)
+
+
+def test_long_sets_that_share_a_passage_do_not_travel(spark, monkeypatch):
+    """Sixteen slices can't tell long sets apart; their fine shapes do."""
+    draw = np.random.default_rng(1)
+    passage = draw.integers(0, 1 << 64, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([passage, draw.integers(0, 1 << 64, 3000, dtype=np.uint64)])) for _ in range(12)]
+    sets.append(np.unique(np.concatenate([sets[0][60:], draw.integers(0, 1 << 64, 50, dtype=np.uint64)])))
+    table = lambda values: spark.createDataFrame([(i, bytearray(v)) for i, v in enumerate(values)], "node long, value binary")
+    pairs = spark.createDataFrame(list(itertools.combinations(range(len(sets)), 2)), "a long, b long")
+    told, compared = [], ngramjoin.compared
+    monkeypatch.setattr(ngramjoin, "compared", lambda pairs, *rest, **few: told.append(pairs.count()) or compared(pairs, *rest, **few))
+    found = ngramjoin.verified(pairs, table(map(ngramjoin.fine_shape, sets)), table(s.tobytes() for s in sets), 85)
+    assert rows_of(found) == [(0, 12)] and told == [78, 1]
+
+
+def test_sets_are_cut_and_shaped_in_one_step_of_python(spark):
+    """Steps behind one another in a stage have a worker each; and a set that several tasks hold is one node."""
+    own = np.sort(np.random.default_rng(2).integers(0, 1 << 64, 90, dtype=np.uint64)).tobytes()
+    sets = spark.createDataFrame([(1, 5, 90, own), (2, 5, 90, own), (3, 6, 90, own), (1, 5, 90, own)], "mark long, node long, n long, grams binary").repartition(4)
+    classes = spark.sparkContext.broadcast(bytes(1 << ngramjoin.COUNTERS))
+    shaped = ngramjoin.prefixes(sets, spark.createDataFrame([(1,), (3,)], "mark long"), 85, classes)
+    assert shaped._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    once = ngramjoin.only_once(ngramjoin.written(shaped.withColumn("row", F.monotonically_increasing_id()), "prefixes"))
+    assert sorted(r["node"] for r in once.collect()) == [5, 6]
+
+
 VECTORS = "vec_id long, embedding array<double>, label int, score string, id string"
 
 
