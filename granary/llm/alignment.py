@@ -22,12 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.store import shared_batches, written
+from granary.llm.tokens import bounded
 
 #: Pieces remembered by a worker before it starts anew, and the ids of their groups.
 REMEMBERED = 500_000
 LINKS = 8_000_000
 #: Pieces that are encoded in one go.
 BLOCK = 1000
+#: Bytes of text, or of links, looked at in one go.
+AT_ONCE = 4_000_000
 #: Bytes of a text that are one task's work; shorter texts are aligned where they are read.
 RANGE = 1 << 18
 #: Fragments composed by a task in a level of the tree.
@@ -236,7 +239,6 @@ class Pieces:
         self.counts = np.empty((0, 3), np.int64)  # tokens of each, links; -1 links: the bytes differ
         self.links = np.empty(0, np.int64)
         self.starts = np.empty(0, np.int64)
-        self.values: np.ndarray | None = None  # best links and their counts' sum of each
 
     def full(self) -> bool:
         return len(self.known) > REMEMBERED or len(self.links) > LINKS
@@ -247,6 +249,11 @@ class Pieces:
         self._learn(list(dict.fromkeys(p for own in cut for p in own if p not in self.known)))
         return [np.fromiter(map(self.known.__getitem__, own), np.int64, len(own)) for own in cut]
 
+    def links_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The links of pieces, given by number, after one another."""
+        many = np.maximum(self.counts[numbers, 2], 0)
+        return self.links[np.repeat(self.starts[numbers] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+
     def _cut(self, text: str) -> list[str]:
         if not self.own.parts_at_spaces:
             return [text]
@@ -329,33 +336,48 @@ def _summed(links: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(each[at : at + 50_000]), pa.array(total[at : at + 50_000])], ["link", "times"])
 
 
-def short_counts(docs: DataFrame, first: str, second: str) -> DataFrame:
-    """(link, times): how often each pair of ids is linked, added up per task. `docs` has text."""
+def short_links(docs: DataFrame, first: str, second: str) -> DataFrame:
+    """A row (doc, n_a, n_b, n_links, groups_sha256, links) per text, 8 bytes a link in order, so that no text is encoded again when
+    links are counted; and rows (link, times): how often each pair of ids is linked, added up per task. `docs` has doc and text."""
+    kind = docs.schema["doc"].dataType.simpleString()
+    names = ["doc", "n_a", "n_b", "n_links", "groups_sha256", "links", "link", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(first, second)
         times = np.zeros(0, np.int64)
+        doc_type = None
 
         def told() -> Iterator[pa.RecordBatch]:
             used = np.flatnonzero(times)
-            many = own.counts[used, 2]
-            at = np.repeat(own.starts[used] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            yield from _summed(own.links[at], np.repeat(times[used], many))
-
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                if own.full():
-                    yield from told()
-                    own.forget()
-                    times = np.zeros(0, np.int64)
-                found = own.of(batch.column("text").slice(start, 500).to_pylist())
-                times = np.pad(times, (0, len(own.texts) - len(times)))
-                good = [f for f in found if len(f) and (own.counts[f, 2] >= 0).all()]
-                if good:
-                    times += np.bincount(np.concatenate(good), minlength=len(times))
-        yield from told()
-
-    return docs.select("text").mapInArrow(run, "link long, times long")
+            for batch in _summed(own.links_of(used), np.repeat(times[used], np.maximum(own.counts[used, 2], 0))):
+                empty = [pa.nulls(batch.num_rows, t) for t in (doc_type, *[pa.int64()] * 3, pa.string(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*empty, *batch.columns], names)
+
+        for batch in bounded(batches, "text", AT_ONCE):
+            doc_type = batch.column("doc").type
+            if own.full():
+                yield from told()
+                own.forget()
+                times = np.zeros(0, np.int64)
+            found = own.of(batch.column("text").to_pylist())
+            times = np.pad(times, (0, len(own.texts) - len(times)))
+            spelled = [len(f) > 0 and bool((own.counts[f, 2] >= 0).all()) for f in found]
+            flat = np.concatenate([np.empty(0, np.int64), *(f for f, good in zip(found, spelled, strict=True) if good)])
+            times += np.bincount(flat, minlength=len(times))
+            sums = np.array([own.counts[f].sum(0) if good else (0, 0, 0) for f, good in zip(found, spelled, strict=True)], np.int64)
+            digests = [
+                hashlib.sha256(";".join([own.texts[i] for i in f.tolist()]).encode()).hexdigest() if good else ""
+                for f, good in zip(found, spelled, strict=True)
+            ]
+            ends = np.concatenate([[0], 8 * np.cumsum(sums[:, 2])]).astype(np.int32)
+            links = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(own.links_of(flat))])
+            empty = pa.nulls(len(found), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *map(pa.array, sums.T.copy()), pa.array(digests, pa.string()), links, empty, empty], names)
+        if doc_type is not None:
+            yield from told()
+
+    schema = f"doc {kind}, n_a long, n_b long, n_links long, groups_sha256 string, links binary, link long, times long"
+    return docs.select("doc", "text").mapInArrow(run, schema)
 
 
 class Counted:
@@ -398,41 +420,27 @@ def counted_links(counts: DataFrame) -> tuple[list[list[str]], DataFrame]:
 RESULT = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _row(n_a: int, n_b: int, links: int, best: int, total: int, text: str, digest: bool = True) -> tuple:
-    return (n_a, n_b, links, links, best, total, hashlib.sha256(text.encode()).hexdigest() if digest else "")
+def _row(n_a: int, n_b: int, links: int, best: int, total: int, text: str) -> tuple:
+    return (n_a, n_b, links, links, best, total, hashlib.sha256(text.encode()).hexdigest())
 
 
-def short_rows(docs: DataFrame, first: str, second: str, files: list[str], whole: bool) -> DataFrame:
-    """The result of each text (doc, row, text), with what the links in these files give; without the digest unless `whole`."""
-    kind = docs.schema["doc"].dataType.simpleString()
+def short_rows(table: DataFrame, files: list[str], whole: bool) -> DataFrame:
+    """The result of each text of a table (doc, row, n_a, n_b, n_links, groups_sha256, links), with what the links in these files
+    give; without the digest unless `whole`."""
+    kind = table.schema["doc"].dataType.simpleString()
+    names = RESULT.replace(" long", "").replace(" string", "").split(", ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counted = pieces(first, second), Counted(files)
-        names = RESULT.replace(" long", "").replace(" string", "").split(", ")
-        own.values = None
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                if own.full():
-                    own.forget()
-                found = own.of(part.column("text").to_pylist())
-                known = 0 if own.values is None else len(own.values)
-                if known < len(own.texts):
-                    ends = own.starts[known:] + np.maximum(own.counts[known:, 2], 0)
-                    new = counted.of(own.links[own.starts[known] :], ends - own.starts[known])
-                    own.values = new if own.values is None else np.concatenate([own.values, new])
-                rows = []
-                for f in found:
-                    if len(f) and (own.counts[f, 2] >= 0).all():
-                        text = ";".join([own.texts[i] for i in f.tolist()]) if whole else ""
-                        rows.append(_row(*own.counts[f].sum(0).tolist(), *own.values[f].sum(0).tolist(), text, whole))
-                    else:
-                        rows.append((0, 0, 0, 0, 0, 0, ""))
-                columns = [pa.array(c, pa.string() if n == "groups_sha256" else pa.int64()) for c, n in zip(zip(*rows, strict=True), names, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("row"), *columns], ["doc", "row", *names])
-        own.values = None
+        counted = Counted(files)
+        for batch in bounded(batches, "links", AT_ONCE):
+            many = batch.column("n_links")
+            links = np.frombuffer(b"".join(v.as_buffer() or b"" for v in batch.column("links")), np.int64)
+            best, total = counted.of(links, np.cumsum(many.to_numpy())).T.copy()
+            digest = batch.column("groups_sha256") if whole else pa.array([""] * batch.num_rows, pa.string())
+            columns = [batch.column(c) for c in ("doc", "row", "n_a", "n_b")]
+            yield pa.RecordBatch.from_arrays([*columns, many, many, pa.array(best), pa.array(total), digest], ["doc", "row", *names])
 
-    return docs.select("doc", "row", "text").mapInArrow(run, f"doc {kind}, row long, {RESULT}")
+    return table.select("doc", "row", "n_a", "n_b", "n_links", "groups_sha256", "links").mapInArrow(run, f"doc {kind}, row long, {RESULT}")
 
 
 def byte_ranges(docs: DataFrame, first: str, second: str, size: int) -> DataFrame:
@@ -591,16 +599,16 @@ def aligned(
     names = RESULT.replace(" long", "").replace(" string", "").split(", ")
     own = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     is_long = F.coalesce(F.octet_length("text") > size, F.lit(False))
-    short = own.filter(~is_long).withColumn("row", F.lit(None).cast("long"))
+    short = written(short_links(own.filter(~is_long), first, second).withColumn("row", F.monotonically_increasing_id()), "short")
     long = written(own.filter(is_long).withColumn("row", F.monotonically_increasing_id()), "long")
     whole = reduced(fragments(written(byte_ranges(long, first, second, size), "ranges"), first, second), fan)
-    files = counted_links(short_counts(short, first, second).unionByName(long_counts(whole)))
-    if len(files) > 1:  # more pairs of ids than a task holds: their counts are added up from parts of the table
-        short = written(own.filter(~is_long).withColumn("row", F.monotonically_increasing_id()), "short")
+    # more pairs of ids than a task holds: their counts are added up from parts of the table
+    files = counted_links(short.filter("link is not null").select("link", "times").unionByName(long_counts(whole)))
+    short = short.filter("link is null")
 
     def result(part: list[str], digest: bool) -> DataFrame:
         told = long.select("doc", "row").join(long_rows(whole, part), "row").select("doc", (-1 - F.col("row")).alias("row"), *names)
-        return short_rows(short, first, second, part, digest).unionByName(told)
+        return short_rows(short, part, digest).unionByName(told)
 
     every = result(files[0], True)
     if len(files) > 1:

@@ -170,6 +170,15 @@ def test_alignment(spark, rows, docs, none, vocabularies):
     assert alignment.aligned(none, *vocabularies).count() == 0
 
 
+def test_texts_are_encoded_once(spark, vocabularies, tmp_path):
+    """Links are counted, then looked up, from what was written of the texts; they are not read a second time."""
+    given = [(i, t) for i, t in enumerate(TEXTS)] + [(5, None), (None, "")]
+    spark.createDataFrame(given, "doc_id long, text string").write.parquet(str(tmp_path / "texts"))
+    got = alignment.aligned(spark.read.parquet(str(tmp_path / "texts")), *vocabularies)
+    assert got.inputFiles() and not any(str(tmp_path) in f for f in got.inputFiles())
+    assert rows_of(got) == order(brute.alignment(given, *vocabularies))
+
+
 def test_alignment_of_byte_ranges(spark, rows, vocabularies, monkeypatch):
     """Ranges of a few bytes, so that most texts are composed from many fragments, and id pairs in several parts."""
     monkeypatch.setattr(alignment, "PAIRS", 1500)
