@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +32,10 @@ LAST = (1 << 63) - 1
 SHARD = 1_000_000
 #: Bytes of distinct passages of one key that are still left to one task.
 LIMIT = 4_000_000
-#: Distinct passages that a task remembers, so that it sends those that many documents share once.
-TOLD = 20_000
+#: Distinct passages that a task remembers, so that it sends those that many documents share once, and passages it takes in
+#: between before it looks which are new.
+TOLD = 120_000
+MET = 40_000
 #: log2 of the bits of the filter of documents that lose words: 2 MB.
 LOSERS = 24
 #: Bytes of text looked at in one go.
@@ -62,6 +65,67 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
+#: The bytes that part words.
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: What is left of eight bytes of which 0 … 8 belong to a word.
+_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 512
+
+
+class Words:
+    """The words of all texts after one another, as places in the bytes of the texts: word i of all is raw[starts[i]:ends[i]],
+    text t has size[t] words from begin[t] on. Null texts have none."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_binary())
+        if texts.null_count:
+            texts = pc.fill_null(texts, b"")
+        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = texts.buffers()[2] if len(texts) else None
+        self.raw = np.frombuffer(data or b"", np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        blank = _BLANK[self.raw]
+        inside = ~blank
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= blank[:-1]
+        last[:-1] &= blank[1:]
+        first[edges[:-1][edges[:-1] < len(inside)]] = True
+        last[edges[1:][edges[1:] > 0] - 1] = True
+        self.starts, self.ends = np.flatnonzero(first & inside), np.flatnonzero(last & inside) + 1
+        bounds = np.searchsorted(self.starts, edges)
+        self.begin, self.size = bounds[:-1], np.diff(bounds)
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word: its length, then eight bytes after eight are mixed in. So words of up to eight bytes
+        and one length never clash."""
+        size = self.ends - self.starts
+        padded = np.concatenate([self.raw, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.raw) + 1, "<u8", padded, strides=(1,))
+        out = size.astype(np.uint64) * np.uint64(_ODD[4])
+        at, done = np.arange(len(size)), 0
+        while len(at) and done < _LONG:
+            value = eight[self.starts[at] + done] & _LEFT[np.minimum(size[at] - done, 8)]
+            out[at] = _mixed(_mixed(out[at] ^ value) + np.uint64(_ODD[1]))
+            done += 8
+            at = at[size[at] > done]
+        if len(at):
+            from xxhash import xxh3_64_intdigest
+
+            for i in at.tolist():
+                out[i] = xxh3_64_intdigest(self.raw[self.starts[i] : self.ends[i]].tobytes())
+        return out
+
+    def joined(self, first: np.ndarray, stop: np.ndarray) -> Iterator[bytes]:
+        """The words first … stop - 1 of each run, joined by one space."""
+        raw = self.raw.tobytes()
+        odd = (self.starts[1:] - self.ends[:-1] != 1) | (self.raw[self.ends[:-1]] != 32)
+        so_far = np.concatenate([[0], np.cumsum(odd)])
+        plain = so_far[stop - 1] == so_far[first]
+        for a, b, as_is in zip(self.starts[first].tolist(), self.ends[stop - 1].tolist(), plain.tolist(), strict=True):
+            yield raw[a:b] if as_is else b" ".join(raw[a:b].split())
+
+
 class _Powers:
     """Powers of an odd number modulo 2**64, and of its inverse."""
 
@@ -87,6 +151,25 @@ def run_hashes(hashes: np.ndarray, *sizes: int) -> list[np.ndarray]:
     return [_mixed((so_far[size:] - so_far[: n - size + 1]) * down[: n - size + 1]) if n >= size else np.empty(0, np.uint64) for size in sizes]
 
 
+def run_names(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 128 bits that name each run first … stop - 1 of words, from two 64-bit values of each word."""
+    up, down = _Powers.of(len(hashes) + 1)
+    many = (stop - first).astype(np.uint64) * np.uint64(_ODD[1])
+    out = []
+    for values in (hashes, _mixed(hashes + np.uint64(_ODD[4]))):
+        so_far = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:-1])])
+        out.append(_mixed((so_far[stop] - so_far[first]) * down[first] + many).view(np.int64))
+    return out[0], out[1]
+
+
+def alike_rows(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in an order that has equal ones side by side, and where in it each begins that differs from the one before."""
+    order = np.lexsort(columns)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([v[order[1:]] != v[order[:-1]] for v in columns], axis=0)
+    return order, np.flatnonzero(new)
+
+
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of `size` hashes, in order."""
     return run_hashes(hashes, size)[0]
@@ -106,21 +189,13 @@ def window_hashes(hashes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
     return np.minimum(least[:n], least[span - have : span - have + n]), whole
 
 
-def batch_windows(texts: pa.Array, hashes: Hashes, length: int = LENGTH) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """The words of all texts after one another; of each window where it starts there; the text it is of; and where
-    each text starts."""
-    words: list[bytes] = []
-    sizes = []
-    for value in texts:
-        own = (value.as_py() or "").encode().split()
-        sizes.append(len(own))
-        words += own
-    size = np.array(sizes, np.int64)
-    begin = np.cumsum(size) - size
-    count = np.maximum(size - length + 1, 0)
-    of = np.repeat(np.arange(len(size)), count)
-    starts = begin[of] + np.arange(len(of)) - (np.cumsum(count) - count)[of]
-    return words, starts, of, begin
+def batch_windows(texts: pa.Array, length: int = LENGTH) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words of all texts after one another; of each window where it starts there, and the text it is of."""
+    words = Words(texts)
+    count = np.maximum(words.size - length + 1, 0)
+    of = np.repeat(np.arange(len(count)), count)
+    starts = np.arange(len(of)) + np.repeat(words.begin - (np.cumsum(count) - count), count)
+    return words, starts, of
 
 
 class Wavelet:
@@ -165,12 +240,12 @@ class Index:
     def __init__(self, sequence: np.ndarray, holders: np.ndarray, depth: int):
         symbols = int(sequence.max(initial=0)) + 1
         rank, sorted_by = sequence.astype(np.int64), 1
-        rows = np.argsort(rank, kind="stable")
+        rows = np.argsort(rank)  # rows that are equal so far may stand in any order
         while sorted_by < depth:
             behind = np.zeros(len(rank), np.int64)
             behind[:-sorted_by] = rank[sorted_by:] + 1
             joined = rank * (int(rank.max(initial=0)) + 2) + behind
-            rows = np.argsort(joined, kind="stable")
+            rows = np.argsort(joined)
             ordered = joined[rows]
             rank = np.empty(len(ordered), np.int64)
             rank[rows] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
@@ -189,8 +264,11 @@ class Index:
         open_ = np.arange(len(ends))
         for back in range(depth):
             symbol = sequence[ends[open_] - back].astype(np.int64)
-            first = self.before[symbol] + self.tree.rank(symbol, low[open_])
-            behind = self.before[symbol] + self.tree.rank(symbol, high[open_])
+            if back:
+                first = self.before[symbol] + self.tree.rank(symbol, low[open_])
+                behind = self.before[symbol] + self.tree.rank(symbol, high[open_])
+            else:  # of all rows: those that start with the symbol
+                first, behind = self.before[symbol], self.before[symbol + 1]
             more = behind - first > 1  # one row is the place itself
             open_ = open_[more]
             low[open_], high[open_] = first[more], behind[more]
@@ -209,8 +287,15 @@ class Index:
 
 def first_holders(contents: list[bytes], holders: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each window of each content, the least holder of a content that has the window."""
-    sizes = np.fromiter((c.count(b" ") + 1 for c in contents), np.int64, len(contents))
-    _, codes = np.unique(Hashes().of(b" ".join(contents).split(b" ")), return_inverse=True)
+    words = Words(pa.array(contents, pa.binary()))
+    found = holders_of_windows(words.hashes(), words.size, holders, length)
+    return np.split(found, np.cumsum(words.size - length + 1)[:-1])
+
+
+def holders_of_windows(hashes: np.ndarray, sizes: np.ndarray, holders: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The same for contents of so many words each, given the hashes of all words and with the windows of all contents after
+    one another."""
+    _, codes = np.unique(hashes, return_inverse=True)
     # a text of all contents, each ended by symbol 0
     ends = np.cumsum(sizes + 1) - 1
     sequence = np.zeros(int(ends[-1]) + 1, np.int64)
@@ -227,7 +312,7 @@ def first_holders(contents: list[bytes], holders: np.ndarray, length: int = LENG
         whole = reach >= length
         if whole.any():
             found[part[whole]] = index.least_holder(low[whole], high[whole])
-    return np.split(found, np.cumsum(windows)[:-1])
+    return found
 
 
 def cut_further(content: bytes, level: int, length: int = LENGTH) -> list[tuple[int, bytes, int]]:
@@ -254,10 +339,9 @@ CONTENTS = "shard long, doc long, last long, id long, id2 long, offset int, cont
 
 def passage_ids(content: bytes) -> tuple[int, int]:
     """The 128 bits that name a passage."""
-    from xxhash import xxh3_128_digest
-
-    digest = xxh3_128_digest(content)
-    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+    hashes = Words(pa.array([content], pa.binary())).hashes()
+    first, second = run_names(hashes, np.zeros(1, np.int64), np.array([len(hashes)]))
+    return int(first[0]), int(second[0])
 
 
 def bounded_groups(contents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -299,10 +383,9 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, bits: int = BITS)
     (long), mark (long, tells rows of one doc apart) and text."""
 
     def anchors_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        hashes = Hashes()
         for part in bounded(iter([batch]), "text", AT_ONCE):
-            words, starts, of, _ = batch_windows(part.column("text"), hashes, length)
-            anchor = window_hashes(hashes.of(words), length)[0][starts]
+            words, starts, of = batch_windows(part.column("text"), length)
+            anchor = window_hashes(words.hashes(), length)[0][starts]
             # one of each run of equal anchors in a text; what a text repeats itself does no harm
             first = np.flatnonzero((anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])) + 1
             order = np.concatenate([[0], first]) if len(starts) else first
@@ -312,10 +395,9 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, bits: int = BITS)
     filled = twice_seen(docs.select("text"), anchors_of, bits)
 
     def windows_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        hashes = Hashes()
         for part in bounded(iter([batch]), "text", AT_ONCE):
-            words, starts, of, _ = batch_windows(part.column("text"), hashes, length)
-            anchor, whole = (v[starts] for v in window_hashes(hashes.of(words), length))
+            words, starts, of = batch_windows(part.column("text"), length)
+            anchor, whole = (v[starts] for v in window_hashes(words.hashes(), length))
             hit = may_repeat(filled.value, anchor, bits)
             ends = np.searchsorted(of[hit], np.arange(part.num_rows), side="right")
             yield from (np.unique(own) for own in np.split(whole[hit], ends[:-1]))
@@ -326,47 +408,58 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, bits: int = BITS)
     def passages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per passage of a document without its content, and the contents the task has met, with the least and
         the greatest document of each; their ids follow from the content."""
-        hashes, told = Hashes(), {}
-
-        def filled_rows(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
-
-        def contents() -> pa.RecordBatch:
-            rows = [(first, 0, 0, shard, None, None, last, content) for content, (first, last, shard, _) in told.items()]
-            told.clear()
-            return filled_rows(rows)
+        told: list[pa.RecordBatch] = []
+        fresh = 0
+
+        def filled_rows(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+            rows = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in kind], schema=kind)
+
+        def once(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            """The rows of each content as one, in the order met: passages that overlap take few bytes side by side."""
+            every = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+            order, one = alike_rows(every.column("id").to_numpy(), every.column("id2").to_numpy())
+            met = np.argsort(order[one])
+            out = every.take(pa.array(order[one][met]))
+            for name, bound in (("doc", np.minimum), ("last", np.maximum)):
+                held = bound.reduceat(every.column(name).to_numpy()[order], one)[met]
+                out = out.set_column(out.schema.get_field_index(name), name, pa.array(held))
+            return out
+
+        def contents(rows: pa.RecordBatch) -> pa.RecordBatch:
+            none = np.zeros(rows.num_rows, np.int64)
+            return filled_rows(mark=none, start=none, **{c: rows.column(c) for c in ("doc", "shard", "last", "content")})
 
         for batch in bounded(batches, "text", AT_ONCE):
-            rows: list[tuple] = []
-            ids_of, marks = batch.column("doc").to_pylist(), batch.column("mark").to_pylist()
-            words, starts, of, begin = batch_windows(batch.column("text"), hashes, length)
-            anchor, whole = (v[starts] for v in window_hashes(hashes.of(words), length))
+            words, starts, of = batch_windows(batch.column("text"), length)
+            hashes = words.hashes()
+            anchor, whole = (v[starts] for v in window_hashes(hashes, length))
             at = np.flatnonzero(may_repeat(filled.value, anchor, bits))
             at = at[may_repeat(shared.value, whole[at], bits)]
             # a passage goes on while windows of a text follow one another and have one anchor
             new = (np.diff(at, prepend=-2) != 1) | (np.diff(anchor[at], prepend=np.uint64(0)) != 0) | (np.diff(of[at], prepend=-1) != 0)
             first = np.flatnonzero(new)
-            last = np.append(first[1:], len(at))[: len(first)] - 1
-            for text, a, b, shard in zip(
-                of[at[first]].tolist(), starts[at[first]].tolist(), starts[at[last]].tolist(),
-                (anchor[at[first]] >> np.uint64(1)).tolist(), strict=True,
-            ):
-                doc, content = ids_of[text], b" ".join(words[a : b + length])
-                seen = told.get(content)
-                if seen is None:
-                    ids = passage_ids(content)
-                    told[content] = (doc, doc, shard, ids)
-                else:
-                    ids = seen[3]
-                    if doc < seen[0] or doc > seen[1]:
-                        told[content] = (min(doc, seen[0]), max(doc, seen[1]), *seen[2:])
-                rows.append((doc, marks[text], a - int(begin[text]), None, *ids, None, None))
-            if rows:
-                yield filled_rows(rows)
-            if len(told) > TOLD:
-                yield contents()
+            if not len(first):
+                continue
+            last = at[np.append(first[1:], len(at)) - 1]
+            first = at[first]
+            a, stop, text = starts[first], starts[last] + length, of[first]
+            ids = run_names(hashes, a, stop)
+            doc, mark = batch.column("doc").take(pa.array(text)), batch.column("mark").take(pa.array(text))
+            told.append(once([pa.RecordBatch.from_arrays([
+                *(pa.array(v) for v in ids), doc, doc,
+                pa.array((anchor[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)),  # half of an anchor takes half the bytes
+                pa.array(list(words.joined(a, stop)), pa.binary()),
+            ], ["id", "id2", "doc", "last", "shard", "content"])]))
+            fresh += told[-1].num_rows
+            yield filled_rows(doc=doc, mark=mark, start=a - words.begin[text], id=ids[0], id2=ids[1])
+            if fresh > MET:
+                told, fresh = [once(told)], 0
+                if told[0].num_rows > TOLD:
+                    yield contents(told.pop())
         if told:
-            yield contents()
+            yield contents(once(told))
 
     table = written(docs.mapInArrow(passages_of, "doc long, mark long, start long, shard long, id long, id2 long, last long, content binary"), "passages")
     contents = bounded_groups(table.filter("content is not null").select(
@@ -376,16 +469,34 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, bits: int = BITS)
     out = pa.schema([("id", pa.int64()), ("id2", pa.int64()), ("offset", pa.int32()), ("firsts", pa.list_(pa.int64()))])
 
     def search(shard: pa.Table) -> pa.Table:
-        held: dict[bytes, list] = {}
-        names = [c for c in ("content", "doc", "last", "id", "id2", "offset")]
-        for content, first, last, *place in zip(*(shard.column(c).to_pylist() for c in names), strict=True):
-            seen = held.setdefault(content, [first, last, set()])
-            seen[0], seen[1] = min(seen[0], first), max(seen[1], last)
-            seen[2].add(tuple(place) if place[0] is not None else (*passage_ids(content), place[2]))
-        firsts = first_holders(list(held), np.array([h[0] for h in held.values()], np.int64), length)
-        told = [(*place, f) for h, f in zip(held.values(), firsts, strict=True) if (f < h[1]).any() for place in h[2]]
-        columns = list(zip(*told, strict=True)) or [(), (), (), ()]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+        shard = shard.combine_chunks()
+        words = Words(shard.column("content").combine_chunks())
+        hashes = words.hashes()
+        ids = run_names(hashes, words.begin, words.begin + words.size)
+        # rows of one content are a group, held by the least and the greatest of their documents
+        rows, one = alike_rows(*ids)
+        group = np.empty(len(rows), np.int64)
+        group[rows] = np.repeat(np.arange(len(one)), np.diff(np.append(one, len(rows))))
+        least = np.minimum.reduceat(shard.column("doc").to_numpy()[rows], one)
+        greatest = np.maximum.reduceat(shard.column("last").to_numpy()[rows], one)
+        begin, sizes = words.begin[rows[one]], words.size[rows[one]]
+        upto = np.cumsum(sizes)
+        firsts = holders_of_windows(hashes[np.arange(upto[-1]) + np.repeat(begin - (upto - sizes), sizes)], sizes, least, length)
+        windows = sizes - length + 1
+        ends = np.cumsum(windows)
+        some = np.maximum.reduceat(firsts < np.repeat(greatest, windows), ends - windows)
+        # where the parts of passages stand in them; passages that were not cut have the ids of their content
+        place = [
+            pc.fill_null(shard.column(c).combine_chunks(), 0).to_numpy(zero_copy_only=False) for c in ("id", "id2", "offset")
+        ]
+        given = shard.column("id").is_valid().to_numpy()
+        place[:2] = [np.where(given, a, b) for a, b in zip(place, ids)]
+        order, each = alike_rows(*place, group)
+        order = order[each]
+        order = order[some[group[order]]]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(firsts))
+        arrays = [*(pa.array(v[order]) for v in place), lists.take(pa.array(group[order]))]
+        return pa.Table.from_arrays([v.cast(f.type) for v, f in zip(arrays, out, strict=True)], schema=out)
 
     found = contents.withColumn("shard", F.pmod("shard", F.lit(shards))).select("shard", "id", "id2", "offset", "doc", "last", "content").groupBy(
         "shard").applyInArrow(search, "id long, id2 long, offset int, firsts array<long>")
@@ -418,21 +529,23 @@ def drop_repeated_passages(
     schema = schema.add(words, "long").add(removed, "long")
 
     def cut(batch: pa.RecordBatch, lost: pa.Array) -> pa.RecordBatch:
-        left, total, gone = [], [], []
-        for value, places in zip(batch.column(text), lost, strict=True):
-            every = (value.as_py() or "").encode().split()
-            total.append(len(every))
-            covered = np.zeros(len(every), bool)
-            if places.is_valid:
-                lose = np.zeros(len(every) + 1, np.int64)
-                at = np.unique(np.array(places.as_py(), np.int64))
-                lose[at] += 1
-                np.subtract.at(lose, at + length, 1)
-                covered = np.cumsum(lose[:-1]) > 0
-            gone.append(int(covered.sum()))
-            left.append(b" ".join([w for w, c in zip(every, covered.tolist(), strict=True) if not c] if gone[-1] else every).decode())
-        arrays = [batch.column(c) if c != text else pa.array(left, pa.string()) for c in columns]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*columns, words, removed])
+        own = Words(batch.column(text))
+        # where windows that go start and end
+        at = lost.flatten().to_numpy() + np.repeat(own.begin, pc.fill_null(pc.list_value_length(lost), 0).to_numpy())
+        many = len(own.starts)
+        gone = np.cumsum(np.bincount(at, minlength=many + 1) - np.bincount(at + length, minlength=many + 1))[:many] > 0
+        so_far = np.concatenate([[0], np.cumsum(gone)])
+        # runs of words that stay, each in one text
+        edge = np.zeros(many + 1, bool)
+        edge[own.begin] = edge[-1] = True
+        first = np.flatnonzero(~gone & (edge[:-1] | np.concatenate([[True], gone[:-1]])[:many]))
+        stop = np.flatnonzero(~gone & (edge[1:] | np.concatenate([gone[1:], [True]])[:many])) + 1
+        runs = list(own.joined(first, stop))
+        bounds = np.searchsorted(first, np.append(own.begin, many)).tolist()
+        left = [b" ".join(runs[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        arrays = [batch.column(c) if c != text else pa.array(left, pa.binary()).cast(pa.string()) for c in columns]
+        removed_words = so_far[own.begin + own.size] - so_far[own.begin]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(own.size), pa.array(removed_words)], [*columns, words, removed])
 
     # documents that have lost nothing need no shuffle: a filter of those that have tells them apart
     def losers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -450,7 +563,7 @@ def drop_repeated_passages(
     def kept_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, text, AT_ONCE):
             own = batch.filter(pa.array(~may_repeat(held.value, _row_hashes(batch), LOSERS)))
-            yield cut(own, pa.nulls(own.num_rows))
+            yield cut(own, pa.nulls(own.num_rows, pa.list_(pa.int64())))
 
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, text, AT_ONCE):

@@ -136,6 +136,45 @@ def test_passage_dedup(docs, rows, none):
     assert substrings.drop_repeated_passages(none, bits=18).count() == 0
 
 
+def test_words_are_cut_and_hashed_together():
+    """Without a step of Python for each word: a new word costs no more than one met before."""
+    draw = random.Random(8)
+    letters = "ab\x00\xdc\u65e5.\x1f\x85\xa0"
+    word = lambda: "".join(draw.choice(letters) for _ in range(draw.choice([1, 2, 7, 8, 9, 16, 17, 40, 600])))
+    gap = lambda: draw.choice([" ", " ", "\n", " \t\x0b\x0c\r"])
+    texts = [None, "", " \n", "x", *("".join(gap() + word() for _ in range(draw.randint(0, 9))) + draw.choice(["", " "]) for _ in range(200)), ""]
+    array = pa.array(["before", *texts]).slice(1)
+    words = substrings.Words(array)
+    want = [(t or "").encode().split() for t in texts]
+    own = [w for each in want for w in each]
+    assert [words.raw[a:b].tobytes() for a, b in zip(words.starts, words.ends, strict=True)] == own
+    assert words.size.tolist() == [len(each) for each in want]
+    assert list(words.joined(words.begin[words.size > 0], (words.begin + words.size)[words.size > 0])) == [b" ".join(each) for each in want if each]
+    hashes = words.hashes().tolist()
+    named = dict(zip(own, hashes, strict=True))
+    assert [named[w] for w in own] == hashes and len(set(hashes)) == len(named)
+    first = np.repeat(words.begin, np.maximum(words.size - 2, 0))
+    first += np.concatenate([np.arange(max(n - 2, 0)) for n in words.size])
+    ids = zip(*(v.tolist() for v in substrings.run_names(words.hashes(), first, first + 3)), strict=True)
+    for at, pair in zip(first.tolist(), ids, strict=True):
+        assert pair == substrings.passage_ids(b" ".join(own[at : at + 3]))
+
+
+def test_no_word_is_hashed_by_a_call_of_its_own(spark, monkeypatch):
+    """A corpus of ever new words: the passes over the texts look none of them up."""
+
+    def one_by_one(*_):
+        raise AssertionError("a word by itself")
+
+    monkeypatch.setattr(substrings.Hashes, "of", one_by_one)
+    draw = random.Random(9)
+    rows = [(i, " ".join(f"{draw.getrandbits(50):x}" for _ in range(40))) for i in range(30)]
+    rows += [(i + 30, f"{i} {text}") for i, text in rows[:5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.drop_repeated_passages(df, bits=18).select("doc_id", "n_words", "n_removed", "text").collect()
+    assert order(tuple(r) for r in got) == order(brute.left_words(rows))
+
+
 def test_no_stage_of_passages_has_two_steps_of_python(docs):
     """Steps behind one another in a stage have a worker each, and an executor then holds twice as many."""
     plan = substrings.drop_repeated_passages(docs, bits=18)._jdf.queryExecution().optimizedPlan()
