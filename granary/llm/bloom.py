@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from granary.llm.store import shared_batches, written
+
 #: log2 of the bits of a filter: 32 MB, which keeps false repeats below 1 % up to about 60 million distinct hashes.
 BITS = 28
 #: Filters up to 32 MB.
@@ -47,11 +49,28 @@ def may_repeat(second: bytes, hashes: np.ndarray, bits: int = BITS) -> np.ndarra
     return ((filled[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(axis=0)
 
 
+class Stored:
+    """A filter in the shared folder, which each task that asks for its `value` reads from there; the driver holds no more
+    than the names of its files."""
+
+    def __init__(self, files: list[str], bits: int):
+        self.files, self.bits, self.held = files, bits, None
+
+    @property
+    def value(self) -> np.ndarray:
+        if self.held is None:
+            self.held, width = np.zeros(1 << (self.bits - 3), np.uint8), 1 << (self.bits - SEGMENTS - 3)
+            for batch in shared_batches(self.files, 1):
+                at = batch.column("segment")[0].as_py() * width
+                self.held[at : at + width] = np.frombuffer(batch.column("filter")[0].as_buffer(), np.uint8)
+        return self.held
+
+
 def twice_seen(
-    df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BITS
-) -> Broadcast:
-    """The filter of hashes that more than one item holds, as a broadcast of 2**bits / 8 bytes. `hashes_of` gives
-    the distinct hashes (uint64) of each item of a batch."""
+    df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BITS, *, stored: bool = False
+) -> Broadcast | Stored:
+    """The filter of hashes that more than one item holds, as a broadcast of 2**bits / 8 bytes or `stored` in the shared
+    folder. `hashes_of` gives the distinct hashes (uint64) of each item of a batch."""
     spark = df.sparkSession
     inner = bits - SEGMENTS
 
@@ -98,6 +117,8 @@ def twice_seen(
     dealt = df.mapInArrow(deal, "segment int, all binary, again binary")
     # as many tasks as segments: each holds the two arrays of a segment or a few, 4 MB each
     parts = dealt.repartition(1 << SEGMENTS, "segment").mapInArrow(build, "segment int, filter binary")
+    if stored:  # one file of 64 rows, whatever the input
+        return Stored(written(parts.repartition(1), "filter").inputFiles(), bits)
     second = np.zeros(1 << (bits - 3), np.uint8)
     width = 1 << (inner - 3)
     # a small filter comes at once; of a large one the driver holds a segment beside the whole, a job each

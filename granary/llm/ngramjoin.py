@@ -198,7 +198,7 @@ def suspected(nodes: DataFrame) -> DataFrame:
     def grams_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         return (np.unique(_spread(np.frombuffer(value.as_py(), np.uint64))) for value in batch.column(0))
 
-    again = twice_seen(nodes.select("prefix"), grams_of, BITS)
+    again = twice_seen(nodes.select("prefix"), grams_of, BITS, stored=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,16 +273,22 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def matched(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`df` joined by node (long) with a written table of a few columns. Where that goes to all tasks `df` is not shuffled, so
+    there is nothing to cut before; else a filter cuts rows that have no match."""
+    sent = small(wanted)
+    return df.join(sent, "node") if sent is not wanted else wanted_only(df, "node", wanted.select("node")).join(wanted, "node")
+
+
 def compared(pairs: DataFrame, values: DataFrame, passes: Callable[[bytes, bytes], bool], few: bool) -> DataFrame:
     """The pairs (a, b) whose values (node, value; rows of a node are equal) pass. The value of b travels once for every few
-    compared with it. Unless the values are `few` bytes, those that no pair asks for are cut before the join."""
+    compared with it. Unless the values are `few` bytes, those that no pair asks for are cut before a join that shuffles them."""
     many = pairs.groupBy("b").agg(F.count("*").alias("many"))
     dealt = pairs.join(many, "b").select("a", "b", F.expr(f"pmod(xxhash64(a), 1 + many div {TOGETHER})").alias("salt"))
     asked = written(dealt.select(F.col("a").alias("node"), "b", "salt", "a").unionByName(
         dealt.select(F.col("b").alias("node"), "b", "salt", F.lit(None).cast("long").alias("a")).distinct()
     ), "asked")
-    own = values if few else wanted_only(values, "node", asked.select("node"))
-    sent = own.join(small(asked), "node").select("b", "salt", "a", "value").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+    sent = (values.join(small(asked), "node") if few else matched(values, asked)).select("b", "salt", "a", "value").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, other, before = None, b"", None
@@ -338,7 +344,7 @@ def linked(rows: DataFrame, classes: Broadcast, *, key: str, percent: int) -> Da
     buckets = written(entries.join(stats, "token").withColumn("level", level), "buckets")
     active = written(buckets.groupBy("node").agg(F.first("n").alias("n")), "active")
     shapes = written(
-        wanted_only(nodes.select("node", "slices"), "node", active.select("node")).join(small(active), "node")
+        matched(nodes.select("node", "slices"), active)
         .groupBy("node", "n").agg(F.first("slices").alias("slices")), "shapes")
     begun = _pairs(buckets.filter(
         (F.col("level") > 0) & admissible(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos"), percent)

@@ -103,6 +103,29 @@ def test_long_sets_that_share_a_passage_do_not_travel(spark, monkeypatch):
     assert rows_of(found) == [(0, 12)] and told == [78, 1]
 
 
+def test_the_driver_holds_no_filter_of_grams(spark, monkeypatch):
+    """What the driver sends to all tasks from its own memory stays at 8 MB, and few tables of it: the rest is in the shared folder."""
+    sent = []
+    whole = type(spark.sparkContext).broadcast
+
+    def broadcast(self, value):
+        sent.append(len(value))
+        return whole(self, value)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    draw = random.Random(12)
+    base = [[f"w{draw.randint(0, 900)}" for _ in range(60)] for _ in range(6)]
+    rows = [(i, " ".join([*base[i % 6], f"end{i}"])) for i in range(60)]
+    got = ngramjoin.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {(r["doc_id"], r["component"]) for r in got.collect()} == {(i, i % 6) for i in range(60)}
+    # counters, documents to fetch; pairs that go to all tasks need no filter before them
+    assert max(sent) <= 1 << ngramjoin.COUNTERS and len(sent) == 2
+    # the same when they are too many for that
+    monkeypatch.setattr(ngramjoin, "BROADCAST_ROWS", 0)
+    got = ngramjoin.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {(r["doc_id"], r["component"]) for r in got.collect()} == {(i, i % 6) for i in range(60)}
+
+
 def test_sets_are_cut_and_shaped_in_one_step_of_python(spark):
     """Steps behind one another in a stage have a worker each; and a set that several tasks hold is one node."""
     own = np.sort(np.random.default_rng(2).integers(0, 1 << 64, 90, dtype=np.uint64)).tobytes()
