@@ -23,6 +23,15 @@ RADIUS = 23
 BLOCKS = 8
 #: Rows of benchmark shingles up to which they are sent to every task (24 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Rows of any other side of a join up to which it is sent to every task: some 100 bytes each as a hash table, which the driver
+#: builds, and a query has a handful of them.
+SENT_ROWS = 200_000
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that has so many rows: sent to all tasks if they are few, else shuffled, as the other side then is.
+    The planner goes by the sizes of compressed files, a tenth or less of what the driver would hold."""
+    return df.hint("broadcast" if rows <= SENT_ROWS else "merge")
 
 
 def _words(text: str) -> Column:
@@ -75,9 +84,9 @@ def hamming_pairs(windows: DataFrame, items: DataFrame, radius: int = RADIUS) ->
     entered = items.select("item", "item_mark", "length", blocks).withColumn("value", F.expr(_block("item_mark", "block"))).withColumn(
         "value", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseXOR(F.col("value"))))
     )
-    entered = written(entered, "entered")  # the planner does not see how much an explode adds; of a table it does
+    entered = written(entered, "entered")
     asked = windows.select("*", blocks).withColumn("value", F.expr(_block("mark", "block")))
-    met = asked.join(entered, ["length", "block", "value"]).filter(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= radius)
+    met = asked.join(_sent(entered, entered.count()), ["length", "block", "value"]).filter(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= radius)
     return met.drop("block", "value", "length").distinct()
 
 
@@ -111,9 +120,10 @@ def _laid(met: DataFrame, least: float) -> DataFrame:
 
 
 def _contents(windows: DataFrame, shingles: DataFrame) -> DataFrame:
-    """A row per shingle of each window (all columns of `windows`, hash), cut at the ends of the document."""
+    """A row per shingle of each window (all columns of `windows`, hash), cut at the ends of the document. Both sides are
+    shuffled: the planner does not see how much an explode adds, and would have the driver hold every place of all windows."""
     places = F.sequence(F.greatest("start", F.lit(0)), F.col("start") + F.col("length") - 1)
-    return windows.withColumn("place", F.explode(places)).join(shingles, ["row", "place"]).drop("place")
+    return windows.withColumn("place", F.explode(places)).join(shingles.hint("merge"), ["row", "place"]).drop("place")
 
 
 def _fingerprints(windows: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -163,35 +173,41 @@ def contaminated(
     )
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("_text"))
     every = with_shingles(rows, "_text", "hashes").select("doc", "version", F.posexplode_outer("hashes").alias("place", "hash"))
-    known = F.broadcast(seeds) if seeds.count() <= BROADCAST_ROWS else seeds
+    known = seeds.hint("broadcast" if seeds.count() <= BROADCAST_ROWS else "merge")
     met = written(every.join(known, "hash").drop("hash"), "met")
     laid = written(_laid(met, least), "laid")
     # only documents with such a window come this far; their shingles are made once more
     chosen = written(laid.select("doc", "version").distinct().withColumn("row", F.monotonically_increasing_id()), "chosen")
-    named = chosen.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), "row")
+    documents = chosen.count()
+    named = _sent(chosen.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), "row"), documents)
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("version") == F.col("_version"))
     held = rows.join(named, same).groupBy("row").agg(F.first("_text").alias("_text"))  # equal rows are one
     shingles = written(with_shingles(held, "_text", "hashes").select("row", F.posexplode_outer("hashes").alias("place", "hash")), "shingles")
     windows = _fingerprints(laid.join(named, same).select("row", "length", "start"), shingles)
     pairs = written(hamming_pairs(windows.select("window", "mark", "length", "shingles"), items.select("item", "item_mark", "length"), radius), "pairs")
-    asked = windows.join(pairs.select("window").distinct(), "window", "left_semi").select("window", "row", "length", "start")
+    many = pairs.count()
+    asked = windows.join(_sent(pairs.select("window").distinct(), many), "window", "left_semi").select("window", "row", "length", "start")
     of_window = _contents(asked, shingles).groupBy("window", "hash").agg(F.count("*").alias("n"))
-    of_item = items.select("item", F.col("length").alias("item_shingles"), F.explode("item_hashes").alias("hash")).groupBy(
-        "item", "item_shingles", "hash").agg(F.count("*").alias("item_n"))
+    of_item = written(
+        items.select("item", F.col("length").alias("item_shingles"), F.explode("item_hashes").alias("hash"))
+        .groupBy("item", "item_shingles", "hash").agg(F.count("*").alias("item_n")),
+        "of_item",
+    )
     alike = (
-        pairs.select("window", "item", "shingles").join(of_window, "window").join(of_item, ["item", "hash"])
+        _sent(pairs.select("window", "item", "shingles"), many).join(of_window, "window")
+        .join(_sent(of_item, of_item.count()), ["item", "hash"])
         .groupBy("window", "item", "shingles", "item_shingles").agg(F.sum(F.least("n", "item_n")).alias("both"))
         .withColumn("similarity", F.col("both") / (F.col("shingles") + F.col("item_shingles") - F.col("both")))
         .filter(F.col("similarity") >= least)
     )
-    found = alike.join(windows.select("window", "row", "start"), "window").join(chosen, "row").select(
+    found = alike.join(_sent(windows.select("window", "row", "start"), windows.count()), "window").join(_sent(chosen, documents), "row").select(
         "doc", "item", F.greatest("start", F.lit(0)).alias("start"), "similarity")
     short = given.filter(F.col("words").between(1, SHINGLE - 1))
     for run in sorted(r["words"] for r in short.select("words").distinct().collect()):
         found = found.unionByName(_short_hits(rows, short, run))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "words")).alias("best")
     return (
-        found.join(given.select("item", "name", "words"), "item").groupBy("doc", "name").agg(best)
+        found.join(_sent(given.select("item", "name", "words"), given.count()), "item").groupBy("doc", "name").agg(best)
         .select(
             F.col("doc").alias(key), F.col("name").alias(item_key), F.round("best.similarity", 6).alias("similarity"),
             (-F.col("best.start")).alias("start"), F.col("best.words").alias("length"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import classifier, decontamination, graph, lines, neardup, packing, pii, quality, seekable, sharding, substrings, tokenfiles
 from granary.llm.bloom import may_repeat, twice_seen
+from granary.llm.store import written
 from granary.llm.tokens import Encoder
 from tests.llm import brute
 from tests.llm.conftest import CLASHES
@@ -301,6 +302,25 @@ def test_hamming_blocks_find_all_within_the_radius(spark):
     assert {(r["window"], r["item"]) for r in got.collect()} == want
 
 
+def test_the_driver_holds_no_exploded_side(spark, monkeypatch):
+    """A table of windows is small as a file; their places are not, and the planner doesn't see that."""
+    windows = written(spark.range(300).selectExpr("id as row", "0 as start", "200 as length"), "windows")
+    shingles = written(spark.range(300 * 200).selectExpr("id div 200 as row", "cast(id % 200 as int) as place", "xxhash64(id) as hash"), "shingles")
+    contents = decontamination._contents(windows, shingles)
+    assert contents.count() == 300 * 200
+    assert "BroadcastExchange" not in contents._jdf.queryExecution().executedPlan().toString()
+    prose = [" ".join(f"w{i * 40 + k}" for k in range(40)) for i in range(8)]
+    docs = spark.createDataFrame([(i, f"start {t} end") for i, t in enumerate(prose)] + [(99, "none of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(prose[:5])], "item_id long, text string")
+    plans = []
+    for rows in (decontamination.SENT_ROWS, 0):  # none but the seeds of items is small then, and all joins are shuffled
+        monkeypatch.setattr(decontamination, "SENT_ROWS", rows)
+        hits = decontamination.contaminated(docs, items)
+        assert {(r["doc_id"], r["item_id"], r["similarity"]) for r in hits.collect()} == {(i, i, 1.0) for i in range(5)}
+        plans.append(hits._jdf.queryExecution().executedPlan().toString())
+    assert "BroadcastExchange" in plans[0] and "BroadcastExchange" not in plans[1]
+
+
 def test_a_very_long_repetitive_text_costs_in_proportion(spark):
     """Five words over and over, as an item has them: a hundred thousand windows hold enough of it."""
     five = "alpha beta gamma delta epsilon"
