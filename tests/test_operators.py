@@ -383,6 +383,26 @@ def test_catalog_requests_in_order(spark):
         assert as_set(catalog.apply_changes(products, judged), "id", "sku", "name", "category_id", "is_active") == {tuple(r) for r in rows.values()}
 
 
+def test_catalog_requests_for_values_that_rows_share(spark):
+    """Rows of the table may share a value: it is free once no other row has it, in whatever order they are read."""
+    for seed in range(2):
+        rng = random.Random(seed)
+        table = [(i, rng.choice(["AAA", "BBB", None]), "n", None, True) for i in range(1, 9)]
+        asked = [(n, i, table[i - 1][1], "own", None, True) for n, i in enumerate(range(1, 9), 1)]  # each its own value
+        asked += [(n, rng.choice([None, *range(1, 9)]), rng.choice(["AAA", "BBB", "CCC", "DDD", None]), "r", None, True) for n in range(9, 40)]
+        now, want = {r[0]: r[1] for r in table}, {}
+        for n, i, value, *_ in asked:
+            free = value is None or all(v != value for k, v in now.items() if k != i)
+            want[n] = None if free else "DUPLICATE"
+            if free:
+                now[i if i is not None else -n] = value
+        assert sum(w is None for w in want.values()) > 5 and "DUPLICATE" in [want[n] for n in range(1, 9)]
+        products, categories = spark.createDataFrame(rng.sample(table, len(table)), PRODUCT), spark.createDataFrame([(7,)], "id long")
+        requests = spark.createDataFrame(rng.sample(asked, len(asked)), "request_id long, " + PRODUCT).repartition(3)
+        judged = catalog.judge_changes(products, requests, unique="sku", parent="category_id", parents=categories)
+        assert dict(judged.select("request_id", "rejection").collect()) == want
+
+
 def test_sketches_of_parts_merge_to_that_of_the_whole(spark):
     rng = random.Random(3)
     rows = [(f"S{rng.randint(0, 3000)}", rng.randint(0, 6)) for _ in range(20_000)] + [(None, 1)]
