@@ -218,5 +218,5 @@ def contaminated(
 def clean(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """The rows of `docs`, all columns, whose key is no hit."""
     key = str(options.get("key", "doc_id"))
-    hits = contaminated(docs, benchmark, **options).select(F.col(key).alias("hit:key")).distinct()  # type: ignore[arg-type]
-    return docs.join(hits, docs[key].eqNullSafe(F.col("hit:key")), "left_anti")
+    hits = written(contaminated(docs, benchmark, **options).select(F.col(key).alias("hit:key")).distinct(), "hits")  # type: ignore[arg-type]
+    return docs.join(_sent(hits, hits.count()), docs[key].eqNullSafe(F.col("hit:key")), "left_anti")

@@ -317,8 +317,10 @@ def test_the_driver_holds_no_exploded_side(spark, monkeypatch):
         monkeypatch.setattr(decontamination, "SENT_ROWS", rows)
         hits = decontamination.contaminated(docs, items)
         assert {(r["doc_id"], r["item_id"], r["similarity"]) for r in hits.collect()} == {(i, i, 1.0) for i in range(5)}
-        plans.append(hits._jdf.queryExecution().executedPlan().toString())
-    assert "BroadcastExchange" in plans[0] and "BroadcastExchange" not in plans[1]
+        left = decontamination.clean(docs, items)
+        assert sorted(r["doc_id"] for r in left.collect()) == [5, 6, 7, 99]
+        plans.append([x._jdf.queryExecution().executedPlan().toString() for x in (hits, left)])
+    assert all("BroadcastExchange" in x for x in plans[0]) and not any("BroadcastExchange" in x for x in plans[1])
 
 
 def test_a_very_long_repetitive_text_costs_in_proportion(spark):
